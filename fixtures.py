@@ -125,3 +125,208 @@ def busiest(rows: DataFrame) -> int:
 CPU = "arch=aarch64|process_cpu:samples:count:cpu:nanoseconds"
 CPU_NODE = "arch=aarch64,node=NATION_3|process_cpu:samples:count:cpu:nanoseconds"
 ALL_TIME = (0, 4_102_444_800_000)
+
+
+# --- symbols -----------------------------------------------------------------
+# Every part is a function of a binary; a third of the parts sit in one binary.
+
+_BUILD = "case when {k} % 3 = 0 then 'blibc' else concat('b', cast({k} % 11 as string)) end"
+# Binary b7 is a kernel: its addresses have the top bit set.
+_LOW = "(case when {k} % 3 <> 0 and {k} % 11 = 7 then -2130706432L else 0L end + {k} * 4096L)"
+_PLAIN = "replace(p_name, ' ', '_')"
+_MANGLED = (
+    "concat('_ZN', length(split(p_name, ' ')[0]), split(p_name, ' ')[0], "
+    "length(split(p_name, ' ')[1]), split(p_name, ' ')[1], "
+    "'17h', substr(md5(cast(p_partkey as string)), 1, 16), 'E')"
+)
+_SYSTEM = (
+    f"case when p_size < 10 then concat('_Z', cast(p_partkey as string), 'v') "
+    f"when p_size < 20 then {_PLAIN} else {_MANGLED} end"
+)
+
+
+def functions(spark: SparkSession, sf: str) -> DataFrame:
+    """One function per part: binary, lowest address, size class and mangled name."""
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        "p_size",
+        "p_type",
+        F.expr(_BUILD.format(k="p_partkey")).alias("build_id"),
+        F.expr(_LOW.format(k="p_partkey")).alias("low"),
+        F.expr(_PLAIN).alias("plain"),
+        F.expr(_SYSTEM).alias("system_name"),
+    )
+
+
+def symbol_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbol, dynamic and stub tables; some dynamic symbols share an address with the first."""
+    part = functions(spark, sf)
+    own = F.col("low") + F.col("p_size") * 32
+    return (
+        part.select("build_id", own.alias("address"), F.col("system_name").alias("name")),
+        part.select(
+            "build_id",
+            F.when(F.col("p_size") > 25, own).otherwise(F.col("low") + 2048).alias("address"),
+            F.concat(F.lit("dyn_"), "plain").alias("name"),
+        ),
+        part.select("build_id", (F.col("low") + 3000 + F.col("p_size")).alias("address"), F.col("plain").alias("name")),
+    )
+
+
+def dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Readable names of the functions that are not Rust."""
+    return (
+        functions(spark, sf)
+        .where("p_size < 10")
+        .select("system_name", F.concat(F.lit("cpp::"), F.lower("p_type"), F.lit("()")).alias("name"))
+    )
+
+
+def probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct addresses that line items touch."""
+    return (
+        table(spark, sf, "lineitem")
+        .select(
+            F.expr(_BUILD.format(k="l_partkey")).alias("build_id"),
+            F.expr(f"{_LOW.format(k='l_partkey')} + l_linenumber * 500L").alias("address"),
+        )
+        .distinct()
+    )
+
+
+def line_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested ranges per part (depth 0 innermost) and one range over each whole binary."""
+    part = functions(spark, sf)
+    nested = part.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3))).select(
+        "build_id",
+        (F.col("low") + (F.col("p_size") % 3 - F.col("depth")) * 256).alias("low"),
+        (F.col("low") + 4096 - (F.col("p_size") % 3 - F.col("depth")) * 512).alias("high"),
+        "depth",
+        (F.col("p_size") + F.col("depth")).cast("bigint").alias("line"),
+        "system_name",
+        F.when((F.col("depth") == 1) & (F.col("p_size") == 13), F.lit(None))
+        .otherwise(F.concat(F.lower("p_type"), F.lit(".rs")))
+        .alias("filename"),
+    )
+    base = F.when(F.col("build_id") == "b7", F.lit(-2130706432)).otherwise(F.lit(0)).cast("bigint")
+    units = part.groupBy("build_id").agg(F.max("p_partkey").alias("last")).select(
+        "build_id",
+        base.alias("low"),
+        (base + (F.col("last") + 1) * 4096).alias("high"),
+        F.lit(9).alias("depth"),
+        F.lit(1).cast("bigint").alias("line"),
+        F.concat(F.lit("unit_"), "build_id").alias("system_name"),
+        F.lit("unit.c").alias("filename"),
+    )
+    return nested.unionByName(units)
+
+
+def binaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog row per binary; b9 is unknown to the catalog."""
+    build = F.col("build_id")
+
+    def has(*names: str) -> Column:
+        return build.isin(*names)
+
+    quality = F.struct(
+        has("b3").alias("not_valid_elf"),
+        has("b0", "b3", "b7").alias("has_dwarf"),
+        has("b8").alias("has_go_pclntab"),
+        has("b1", "b6", "blibc").alias("has_symtab"),
+        has("b2", "b10").alias("has_dynsym"),
+    )
+    return (
+        functions(spark, sf)
+        .select("build_id")
+        .distinct()
+        .where("build_id <> 'b9'")
+        .select(
+            "build_id",
+            F.when(has("b10"), 2).otherwise(1).alias("source"),
+            F.when(has("b10"), F.lit(None)).when(has("b6"), 1).otherwise(2).alias("upload_state"),
+            F.when(~has("b5"), quality).alias("quality"),
+        )
+    )
+
+
+_KIND = "case when build_id in ('b0', 'b7') then 0 when build_id = 'b10' then 1 else 2 end"
+
+
+def binary_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """One header per binary; b1 has none."""
+    return (
+        functions(spark, sf)
+        .select("build_id")
+        .distinct()
+        .where("build_id <> 'b1'")
+        .select(
+            "build_id",
+            F.expr(_KIND).alias("elf_kind"),
+            F.lit(0).alias("segment"),
+            F.lit(0).cast("bigint").alias("offset"),
+            F.expr("case when build_id in ('b0', 'b7') then 4194304L else 0L end").alias("vaddr"),
+            F.lit(1 << 46).cast("bigint").alias("memsz"),
+        )
+    )
+
+
+def _raw_frame(build: Column, address: Column) -> Column:
+    start = F.lit(4194304).cast("bigint")
+    shift = F.when(build.isin("b0", "b1", "b7"), F.lit(0)).otherwise(start).cast("bigint")
+    return F.struct(
+        (address + shift).cast("bigint").alias("address"),
+        start.alias("mapping_start"),
+        F.lit(1 << 46).cast("bigint").alias("mapping_limit"),
+        F.lit(0).cast("bigint").alias("mapping_offset"),
+        F.concat(F.lit("/usr/bin/"), build).alias("mapping_file"),
+        build.alias("mapping_build_id"),
+        F.array().cast(FRAME["lines"].dataType).alias("lines"),
+    ).cast(FRAME)
+
+
+def raw_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples with two raw frames (a part, the hot library) and a named root."""
+    leaf = _raw_frame(
+        F.expr(_BUILD.format(k="l_partkey")),
+        F.expr(f"{_LOW.format(k='l_partkey')} + l_linenumber * 500L"),
+    )
+    library = _raw_frame(F.lit("blibc"), F.expr("l_suppkey * 12288L + 2500L"))
+    main = _frame(F.lit("main"), F.lit("/usr/bin/app"), F.lit("bapp"), F.lit(4206592), F.lit(1), F.lit("main.c"))
+    return table(spark, sf, "lineitem").select(
+        F.array(leaf, library, main).alias("stacktrace"), F.col("l_quantity").cast("bigint").alias("value")
+    )
+
+
+def supplier_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Three headers per supplier with a balance; the others have none."""
+    unit, base = "4096L * (1 + s_nationkey % 4)", "case when s_suppkey % 3 = 0 then 4194304L else 0L end"
+    headers = f"""array(
+        named_struct('segment', 0, 'offset', 0L, 'vaddr', {base}, 'memsz', {unit} - 100L),
+        named_struct('segment', 1, 'offset', {unit}, 'vaddr', {base} + {unit} + 4096L, 'memsz', 8192L),
+        named_struct('segment', 2, 'offset', {unit} + 2048L, 'vaddr', {base} + {unit} + 10240L, 'memsz', 4096L))"""
+    return (
+        table(spark, sf, "supplier")
+        .where("s_acctbal >= 0")
+        .select(
+            F.expr("concat('s', cast(s_suppkey as string))").alias("build_id"),
+            F.expr("cast(s_suppkey % 3 as int)").alias("elf_kind"),
+            F.explode(F.expr(headers)).alias("header"),
+        )
+        .select("build_id", "elf_kind", "header.*")
+    )
+
+
+def mapped_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct mappings and addresses of line items."""
+    base = "(4194304L + (l_partkey % 16) * 65536L)"
+    return (
+        table(spark, sf, "lineitem")
+        .selectExpr(
+            "concat('s', cast(l_suppkey as string)) as build_id",
+            f"case when l_linenumber = 6 then 0L else {base} end as mapping_start",
+            f"case when l_linenumber = 7 then 4194304L else {base} + 12288L end as mapping_limit",
+            "case when l_linenumber % 3 = 0 then 0L else 4096L * (l_linenumber % 4) end as mapping_offset",
+            f"{base} + l_linenumber * 1500L as address",
+        )
+        .distinct()
+    )

@@ -237,4 +237,182 @@ QUERY_ORACLES: dict[str, str] = {
         group by 1, 2, 3"""),
 }
 
-ORACLES: dict[str, str] = {**QUERY_ORACLES}
+
+def build_of(key: str) -> str:
+    return f"case when {key} % 3 = 0 then 'blibc' else 'b' || ({key} % 11) end"
+
+
+def low_of(key: str) -> str:
+    return f"(case when {key} % 3 <> 0 and {key} % 11 = 7 then -2130706432 else 0 end + {key} * 4096)"
+
+
+FUNCTIONS = f"""
+functions as (
+  select p_partkey, p_size, p_type, {build_of('p_partkey')} as build_id, {low_of('p_partkey')} as low,
+         replace(p_name, ' ', '_') as plain,
+         case when p_size < 10 then '_Z' || p_partkey || 'v'
+              when p_size < 20 then replace(p_name, ' ', '_')
+              else '_ZN' || length(split_part(p_name, ' ', 1)) || split_part(p_name, ' ', 1)
+                   || length(split_part(p_name, ' ', 2)) || split_part(p_name, ' ', 2)
+                   || '17h' || substr(md5(cast(p_partkey as varchar)), 1, 16) || 'E' end as system_name,
+         case when p_size < 10 then 'cpp::' || lower(p_type) || '()'
+              when p_size < 20 then replace(p_name, ' ', '_')
+              else replace(p_name, ' ', '::') end as readable
+  from part),
+names as (
+  select system_name, min(readable) as readable from functions group by 1),
+all_symbols as (
+  select 1 as rank, build_id, low + p_size * 32 as address, system_name as name from functions
+  union all
+  select 2, build_id, case when p_size > 25 then low + p_size * 32 else low + 2048 end, 'dyn_' || plain from functions
+  union all
+  select 3, build_id, low + 3000 + p_size, plain || '@plt' from functions),
+symbols as (
+  select build_id, address, name from (
+    select *, row_number() over (partition by build_id, address order by rank, name) as rn from all_symbols)
+  where rn = 1),
+probes as (
+  select distinct {build_of('l_partkey')} as build_id, {low_of('l_partkey')} + l_linenumber * 500 as address
+  from lineitem),
+ranges as (
+  select build_id, low + (p_size % 3 - depth) * 256 as low, low + 4096 - (p_size % 3 - depth) * 512 as high,
+         depth, p_size + depth as line, system_name,
+         case when depth = 1 and p_size = 13 then null else lower(p_type) || '.rs' end as filename
+  from (select *, unnest(generate_series(0, p_size % 3)) as depth from functions)
+  union all
+  select build_id, case when build_id = 'b7' then -2130706432 else 0 end,
+         case when build_id = 'b7' then -2130706432 else 0 end + (max(p_partkey) + 1) * 4096,
+         9, 1, 'unit_' || build_id, 'unit.c'
+  from functions group by build_id)
+"""
+
+ASOF = """
+select p.build_id, p.address, s.address as symbol_address, s.name as symbol
+from {probes} p asof left join symbols s on p.build_id = s.build_id and p.address >= s.address
+"""
+
+RANGED = """
+select p.build_id, p.address,
+       string_agg(coalesce(n.readable, r.system_name) || ':' || r.filename || ':' || r.line, ';' order by depth) as lines
+from {probes} p join ranges r on p.build_id = r.build_id and r.low <= p.address and p.address < r.high
+left join names n on n.system_name = r.system_name
+where r.filename is not null
+group by 1, 2
+"""
+
+RAW = f"""
+raw as (
+  select {build_of('l_partkey')} as build_id, {low_of('l_partkey')} + l_linenumber * 500 as address,
+         l_suppkey * 12288 + 2500 as library, cast(l_quantity as bigint) as value
+  from lineitem),
+frames as (
+  select build_id, address from raw union select 'blibc', library from raw),
+shifted as (
+  select build_id, address as file_address,
+         address + case when build_id in ('b0', 'b1', 'b7') then 0 else 4194304 end as address
+  from frames),
+by_symbol as ({ASOF.format(probes="frames")}),
+by_range as ({RANGED.format(probes="frames")}),
+resolved as (
+  select f.build_id, f.address, f.file_address,
+         case f.build_id
+           when 'b3' then 'error: not a valid ELF file'
+           when 'b4' then 'error: no usable debug information'
+           when 'b5' then 'error: no quality'
+           when 'b6' then 'error: not uploaded yet'
+           when 'b8' then 'error: no resolver'
+           when 'b9' then 'error: debug information not found'
+           else case when l.lines is null and s.symbol is null then 'error: no symbol' else 'ok' end
+         end as status,
+         case when f.build_id in ('b0', 'b7') then l.lines
+              when f.build_id in ('b1', 'b2', 'b10', 'blibc') then
+                case when s.symbol like '%@plt' then coalesce(n.readable, replace(s.symbol, '@plt', '')) || '@plt'
+                     else coalesce(n.readable, s.symbol) end || ':?:0'
+         end as lines
+  from shifted f
+  left join by_range l on l.build_id = f.build_id and l.address = f.file_address and f.build_id in ('b0', 'b7')
+  left join by_symbol s on s.build_id = f.build_id and s.address = f.file_address
+    and f.build_id in ('b1', 'b2', 'b10', 'blibc')
+  left join names n on n.system_name = replace(s.symbol, '@plt', ''))
+"""
+
+NAMES_OF_LINES = "array_to_string(list_transform(string_split({x}, ';'), lambda y: regexp_replace(y, ':[^:]*:[^:]*$', '')), ';')"
+
+SYMBOL_ORACLES: dict[str, str] = {
+    "symbol_table": f"with {FUNCTIONS} select * from symbols",
+    "symbol_asof": f"with {FUNCTIONS} {ASOF.format(probes='probes')}",
+    "line_lookup": f"with {FUNCTIONS} {RANGED.format(probes='probes')}",
+    "resolver_choice": f"""with {FUNCTIONS} select distinct build_id,
+        case when build_id = 'b3' then 'error: not a valid ELF file'
+             when build_id = 'b4' then 'error: no usable debug information'
+             when build_id = 'b6' then 'error: not uploaded yet'
+             when build_id = 'b5' then 'error: no quality'
+             when build_id in ('b0', 'b7') then 'line ranges'
+             when build_id = 'b8' then 'error: no resolver' else 'symbols' end as resolver
+        from functions where build_id <> 'b9'""",
+    "demangle_names": f"""with {FUNCTIONS} select p_partkey, system_name,
+        case when p_size > 45 then 'given' else readable end as name from functions""",
+    "unresolved_addresses": f"""with {FUNCTIONS}, {RAW} select distinct build_id, cast(4194304 as bigint) as mapping_start,
+        cast(70368744177664 as bigint) as mapping_limit, cast(0 as bigint) as mapping_offset, address from shifted""",
+    "resolved_addresses": f"with {FUNCTIONS}, {RAW} select build_id, address, status, lines from resolved",
+    "symbolized_stacks": f"""with {FUNCTIONS}, {RAW},
+        profile as (select build_id, address, library, sum(value) as value from raw group by 1, 2, 3)
+        select coalesce({NAMES_OF_LINES.format(x='a.lines')},
+                        '0x' || lower(to_hex(cast(a.address as bigint)))) || ';' ||
+               coalesce({NAMES_OF_LINES.format(x='b.lines')},
+                        '0x' || lower(to_hex(cast(b.address as bigint)))) || ';main' as stack,
+               cast(p.value as bigint) as value
+        from profile p
+        join resolved a on a.build_id = p.build_id and a.file_address = p.address
+        join resolved b on b.build_id = 'blibc' and b.file_address = p.library""",
+    "normalize_address": """
+with segments as (
+  select 's' || s_suppkey as build_id, s_suppkey % 3 as kind, u, b, k,
+         case k when 0 then 0 when 1 then u else u + 2048 end as off,
+         b + case k when 0 then 0 when 1 then u + 4096 else u + 10240 end as vaddr,
+         case k when 0 then u - 100 when 1 then 8192 else 4096 end as memsz
+  from (select *, 4096 * (1 + s_nationkey % 4) as u,
+               case when s_suppkey % 3 = 0 then 4194304 else 0 end as b,
+               unnest([0, 1, 2]) as k
+        from supplier where s_acctbal >= 0)),
+probes as (
+  select distinct 's' || l_suppkey as build_id,
+         case when l_linenumber = 6 then 0 else m end as s,
+         case when l_linenumber = 7 then 4194304 else m + 12288 end as e,
+         case when l_linenumber % 3 = 0 then 0 else 4096 * (l_linenumber % 4) end as o,
+         m + l_linenumber * 1500 as a
+  from (select *, 4194304 + (l_partkey % 16) * 65536 as m from lineitem)),
+candidates as (
+  select p.*, g.kind, g.off, g.vaddr, g.memsz,
+         g.off <= a - s + o and a - s + o < g.off + g.memsz as hit
+  from probes p join segments g on p.build_id = g.build_id
+  where s < e and o < g.off + g.memsz and g.off < o + (e - s)
+    and not (o < case when g.off > g.vaddr % 4096 then g.off - g.vaddr % 4096 else 0 end)
+    and not (o > g.off and g.off + g.memsz < o + 4096 and o + (e - s) >= g.off + g.memsz + 4096)),
+counted as (
+  select build_id, s, e, o, a, count(*) as n, sum(case when hit then 1 else 0 end) as hits,
+         max(kind) as kind,
+         case when count(*) = 1 then max(off) else max(case when hit then off end) end as off,
+         case when count(*) = 1 then max(vaddr) else max(case when hit then vaddr end) end as vaddr
+  from candidates group by all),
+judged as (
+  select p.*, c.kind, c.off, c.vaddr,
+         case when p.s >= p.e then 'invalid mapping'
+              when p.build_id not in (select build_id from segments) then 'ok'
+              when c.n is null then 'no program header matches mapping'
+              when c.n > 1 and c.hits = 0 then 'no program header matches file offset'
+              when c.n > 1 and c.hits > 1 then 'second program header matches file offset'
+              when c.kind = 1 and p.o <> 0 then 'relocatable file with mapping offset'
+              else 'ok' end as status
+  from probes p left join counted c on p.build_id = c.build_id and p.s = c.s and p.e = c.e and p.o = c.o and p.a = c.a)
+select build_id, cast(s as bigint) as mapping_start, cast(e as bigint) as mapping_limit,
+       cast(o as bigint) as mapping_offset, cast(a as bigint) as address, status,
+       cast(case when status <> 'ok' then null
+            when kind is null then a
+            when kind = 1 then a - (vaddr - off + s)
+            else a - (s - o + off - vaddr) end as bigint) as normalized
+from judged
+""",
+}
+
+ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES}

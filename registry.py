@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flamelake.functions.frames import function_names, joined
-from flamelake.operators import discovery, reports, select, timeseries
+from flamelake.functions.demangle import demangle
+from flamelake.operators import addresses, discovery, reports, select, symbolize, timeseries
 from flamelake.schema import LABEL_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +184,82 @@ def filter_totals(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def source_lines(spark: SparkSession, sf: str) -> DataFrame:
     return reports.source_report(fx.samples(spark, sf))
+
+
+# --- symbolisation -----------------------------------------------------------
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return symbolize.symbol_table(*fx.symbol_sources(spark, sf))
+
+
+@register
+def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _symbols(spark, sf)
+
+
+@register
+def symbol_asof(spark: SparkSession, sf: str) -> DataFrame:
+    return symbolize.closest_symbols(fx.probes(spark, sf), _symbols(spark, sf))
+
+
+@register
+def normalize_address(spark: SparkSession, sf: str) -> DataFrame:
+    return addresses.normalize_addresses(fx.mapped_addresses(spark, sf), fx.supplier_segments(spark, sf))
+
+
+@register
+def line_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = symbolize.range_lines(fx.probes(spark, sf), fx.line_ranges(spark, sf))
+    lines = symbolize.collect_lines(symbolize.named_lines(rows, fx.dictionary(spark, sf)))
+    return lines.select("build_id", "address", joined_lines("lines").alias("lines"))
+
+
+def joined_lines(column: str):
+    text = F.transform(
+        column,
+        lambda x: F.concat_ws(":", x["function_name"], x["function_filename"], x["line"].cast("string")),
+    )
+    return F.array_join(text, ";")
+
+
+@register
+def resolver_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return symbolize.resolver_choice(fx.binaries(spark, sf)).select("build_id", "resolver")
+
+
+@register
+def demangle_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.functions(spark, sf).select(
+        "p_partkey", F.when(F.col("p_size") > 45, F.lit("given")).alias("name"), "system_name"
+    )
+    return demangle(rows, fx.dictionary(spark, sf))
+
+
+def _resolved(spark: SparkSession, sf: str, stacks: DataFrame) -> DataFrame:
+    return symbolize.resolve_addresses(
+        symbolize.unresolved_addresses(stacks),
+        fx.binary_segments(spark, sf),
+        fx.binaries(spark, sf),
+        _symbols(spark, sf),
+        fx.line_ranges(spark, sf),
+        fx.dictionary(spark, sf),
+    )
+
+
+@register
+def unresolved_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    return symbolize.unresolved_addresses(fx.raw_samples(spark, sf))
+
+
+@register
+def resolved_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _resolved(spark, sf, fx.raw_samples(spark, sf))
+    return rows.select("build_id", "address", "status", joined_lines("lines").alias("lines"))
+
+
+@register
+def symbolized_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    profile = select.aggregate_stacks(fx.raw_samples(spark, sf))
+    named = symbolize.attach_lines(profile, _resolved(spark, sf, profile))
+    return named.select(joined(function_names()).alias("stack"), "value")
