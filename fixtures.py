@@ -330,3 +330,107 @@ def mapped_addresses(spark: SparkSession, sf: str) -> DataFrame:
         )
         .distinct()
     )
+
+
+# --- catalog -------------------------------------------------------------------
+
+NOW = "timestamp_ntz'2001-06-01 00:00:00'"
+
+
+def catalog_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog writes in time order, one per order."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    state = F.when(priority.isin("1-URGENT", "2-HIGH"), 1).otherwise(2)
+    upload = F.struct(
+        F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.concat(F.lit("h"), (F.col("o_orderkey") % 5).cast("string")).alias("hash"),
+        F.col("o_orderdate").alias("started_at"),
+        F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+        state.alias("state"),
+    )
+    quality = F.struct(
+        (F.col("o_orderkey") % 4 == 1).alias("not_valid_elf"),
+        F.lit(True).alias("has_dwarf"),
+        F.lit(False).alias("has_go_pclntab"),
+        F.lit(False).alias("has_symtab"),
+        F.lit(False).alias("has_dynsym"),
+    )
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("bid"), F.col("o_custkey").cast("string")).alias("build_id"),
+        (F.col("o_orderkey") % 3).cast("int").alias("type"),
+        F.when(status == "P", 2).otherwise(1).alias("source"),
+        F.when(status != "P", upload).alias("upload"),
+        F.when(F.col("o_orderkey") % 4 != 0, quality).alias("quality"),
+        F.array().cast("array<string>").alias("servers"),
+        F.col("o_orderdate").alias("written_at"),
+        F.col("o_orderkey").alias("seq"),
+    )
+
+
+def upload_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per customer."""
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.concat(F.lit("bid"), key.cast("string")).alias("build_id"),
+        (key % 3).cast("int").alias("type"),
+        F.when(key % 7 == 0, "").otherwise(F.concat(F.lit("h"), (key % 5).cast("string"))).alias("hash"),
+        (F.col("c_nationkey") % 2 == 0).alias("force"),
+        (key % 4).cast("int").alias("build_id_type"),
+        F.when(F.col("c_acctbal") < 0, 0)
+        .when(F.col("c_acctbal") > 9000, 2_000_000_000)
+        .otherwise(1000)
+        .cast("bigint")
+        .alias("size"),
+    )
+
+
+def server_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Build ids that two servers offer."""
+    build = F.concat(F.lit("bid"), F.col("c_custkey").cast("string")).alias("build_id")
+    server = F.concat(F.lit("srv"), (F.col("c_nationkey") % 2).cast("string"))
+    customers = table(spark, sf, "customer")
+    return customers.where("c_acctbal > 2000").select(server.alias("server"), build).unionByName(
+        customers.where("c_acctbal > 6000").select(F.lit("srv0").alias("server"), build)
+    )
+
+
+def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole document texts cut into chunks of at most 500 characters."""
+    return (
+        table(spark, sf, "documents")
+        .select(
+            F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("upload_id"),
+            "text",
+            F.explode(F.sequence(F.lit(0), F.expr("cast((length(text) - 1) div 500 as int)"))).alias("seq"),
+        )
+        .select("upload_id", "seq", F.encode(F.expr("substring(text, seq * 500 + 1, 500)"), "UTF-8").alias("chunk"))
+    )
+
+
+def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
+    """One catalog event per order; the kind follows the priority."""
+    priority = F.col("o_orderpriority")
+    kind = (
+        F.when(priority == "1-URGENT", "uploading")
+        .when(priority == "3-MEDIUM", "quality")
+        .when(priority == "4-NOT SPECIFIED", "debuginfod")
+        .otherwise("uploaded")
+    )
+    quality = F.struct(
+        (F.col("o_orderkey") % 4 == 1).alias("not_valid_elf"),
+        F.lit(True).alias("has_dwarf"),
+        F.lit(False).alias("has_go_pclntab"),
+        F.lit(False).alias("has_symtab"),
+        F.lit(False).alias("has_dynsym"),
+    )
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("bid"), F.col("o_custkey").cast("string")).alias("build_id"),
+        (F.col("o_orderkey") % 3).cast("int").alias("type"),
+        F.col("o_orderkey").alias("seq"),
+        kind.alias("kind"),
+        F.concat(F.lit("u"), (F.col("o_orderkey") % 2).cast("string")).alias("upload_id"),
+        F.concat(F.lit("h"), (F.col("o_orderkey") % 5).cast("string")).alias("hash"),
+        F.col("o_orderdate").alias("at"),
+        F.array(F.lit("srv0")).alias("servers"),
+        quality.alias("quality"),
+    )

@@ -415,4 +415,150 @@ from judged
 """,
 }
 
-ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES}
+TYPE_KEY = "case {t} when 1 then 'executable' when 2 then 'sources' else 'debuginfo' end"
+
+CATALOG = f"""
+catalog as (
+  select * from (
+    select 'bid' || o_custkey as build_id, {TYPE_KEY.format(t='(o_orderkey % 3)')} as type_key,
+           case when o_orderstatus = 'P' then 2 else 1 end as source,
+           case when o_orderstatus <> 'P' then 'u' || o_orderkey end as upload_id,
+           case when o_orderstatus <> 'P' then 'h' || (o_orderkey % 5) end as hash,
+           case when o_orderstatus <> 'P' then o_orderdate end as started_at,
+           cast(null as timestamp) as finished_at,
+           case when o_orderstatus = 'P' then null
+                when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 2 end as state,
+           case when o_orderkey % 4 <> 0 then o_orderkey % 4 = 1 end as not_valid_elf,
+           row_number() over (partition by o_custkey, o_orderkey % 3 order by o_orderdate desc, o_orderkey desc) as rn
+    from orders) where rn = 1),
+requests as (
+  select 'bid' || c_custkey as build_id, cast(c_custkey % 3 as integer) as type,
+         {TYPE_KEY.format(t='(c_custkey % 3)')} as type_key,
+         case when c_custkey % 7 = 0 then '' else 'h' || (c_custkey % 5) end as hash,
+         c_nationkey % 2 = 0 as force, c_custkey % 4 as build_id_type,
+         case when c_acctbal < 0 then 0 when c_acctbal > 9000 then 2000000000 else 1000 end as size
+  from customer),
+index as (
+  select 'srv' || (c_nationkey % 2) as server, 'bid' || c_custkey as build_id from customer where c_acctbal > 2000
+  union
+  select 'srv0', 'bid' || c_custkey from customer where c_acctbal > 6000)
+"""
+
+
+def decided(documented: bool) -> str:
+    """Reason codes by cases; ``good`` marks rows that take the "already exists" answers."""
+    good = (
+        "not coalesce(c.not_valid_elf, false)" if documented else "(c.not_valid_elf is null or c.not_valid_elf)"
+    )
+    fod = (
+        "case when c.not_valid_elf then 'DebuginfodInvalid' else 'DebuginfodSource' end"
+        if documented
+        else "case when c.not_valid_elf = false then 'DebuginfodInvalid' else 'DebuginfodSource' end"
+    )
+    should_fod = "reason = 'DebuginfodInvalid'" if documented else "true"
+    return f"""
+decided as (
+  select *, case
+      when reason in ('InDebuginfod', 'UploadInProgress', 'AlreadyExists', 'DebuginfoEqual') then false
+      when reason in ('DebuginfodSource', 'DebuginfodInvalid') then {should_fod}
+      else true end as should_initiate
+  from (
+    select r.*, case
+        when length(r.build_id) <= 2 then null
+        when c.build_id is null then
+          case when r.build_id_type in (0, 1) and r.build_id in (select build_id from index)
+               then 'InDebuginfod' else 'FirstTimeSeen' end
+        when c.source = 2 then {fod}
+        when c.state = 1 then
+          case when c.started_at + interval 17 minute < timestamp '2001-06-01' then 'UploadStale'
+               else 'UploadInProgress' end
+        when {good} then case when r.force then 'AlreadyExistsButForced' else 'AlreadyExists' end
+        when r.hash = '' then 'DebuginfoInvalid'
+        when r.hash = c.hash then 'DebuginfoEqual'
+        else 'DebuginfoNotEqual' end as reason
+    from requests r left join catalog c on r.build_id = c.build_id and r.type_key = c.type_key))
+"""
+
+
+CHUNKS = """
+chunks as (
+  select upload_id, seq, substring(text, seq * 500 + 1, 500) as chunk
+  from (select 'doc' || doc_id as upload_id, text,
+               unnest(generate_series(0, cast((length(text) - 1) // 500 as integer))) as seq
+        from documents))
+"""
+
+EVENTS = f"""
+events as (
+  select 'bid' || o_custkey as build_id, {TYPE_KEY.format(t='(o_orderkey % 3)')} as type_key, o_orderkey as seq,
+         case o_orderpriority when '1-URGENT' then 'uploading' when '3-MEDIUM' then 'quality'
+              when '4-NOT SPECIFIED' then 'debuginfod' else 'uploaded' end as kind,
+         'u' || (o_orderkey % 2) as upload_id, 'h' || (o_orderkey % 5) as hash, o_orderdate as at,
+         o_orderkey % 4 = 1 as not_valid_elf
+  from orders),
+seen as (
+  select *, max(case when kind in ('uploading', 'debuginfod') then seq end)
+              over (partition by build_id, type_key order by seq) as reset_seq,
+            max(case when kind in ('uploading', 'debuginfod') then seq end)
+              over (partition by build_id, type_key) as last_reset
+  from events)
+"""
+
+CATALOG_ORACLES: dict[str, str] = {
+    "catalog_latest": f"with {CATALOG} select * exclude (rn) from catalog",
+    "upload_decision": f"with {CATALOG}, {decided(False)} select build_id, type, should_initiate, reason from decided",
+    "upload_decision_documented": f"with {CATALOG}, {decided(True)} select build_id, type, should_initiate, reason from decided",
+    "initiate_checks": f"""with {CATALOG}, {decided(False)}, judged as (
+        select build_id, type, case
+          when hash = '' then 'invalid argument: hash is empty'
+          when size = 0 then 'invalid argument: size is zero'
+          when reason = 'DebuginfoEqual' then 'already exists'
+          when not should_initiate then 'failed precondition'
+          when size > 1000000000 then 'invalid argument: too large'
+          else 'ok' end as status from decided)
+        select *, status = 'ok' as initiated from judged""",
+    "server_availability": f"""with {CATALOG}
+        select build_id, string_agg(server, ',' order by server) as servers from index group by 1""",
+    "source_routing": f"""with {CATALOG}
+        select build_id, type_key, case when source = 2 then 'debuginfod'
+          when upload_id in (select 'u' || l_orderkey from lineitem) then 'object'
+          else 'error: object not found' end as route from catalog""",
+    "chunk_reassembly": """
+        select 'doc' || doc_id as upload_id, octet_length(encode(text)) as size,
+               cast((length(text) - 1) // 500 + 1 as bigint) as chunks, 'ok' as status, sha256(text) as digest
+        from documents""",
+    "chunk_offsets": f"""with {CHUNKS}
+        select upload_id, cast(seq as integer) as seq, octet_length(encode(chunk)) as size,
+               cast(coalesce(sum(octet_length(encode(chunk))) over (
+                 partition by upload_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint)
+                 as "offset",
+               md5(chunk) as digest
+        from chunks""",
+    "upload_lifecycle": f"""with {EVENTS}
+        select r.build_id, r.type_key, case when r.kind = 'uploading' then 1 else 2 end as source,
+               case when r.kind = 'uploading' then r.upload_id end as upload_id,
+               case when r.kind = 'uploading' then r.hash end as hash,
+               case when r.kind = 'uploading' then r.at end as started_at,
+               (select arg_max(e.at, e.seq) from seen e where e.build_id = r.build_id and e.type_key = r.type_key
+                  and e.seq > r.seq and e.kind = 'uploaded' and e.upload_id = r.upload_id
+                  and r.kind = 'uploading') as finished_at,
+               case when r.kind = 'uploading' then
+                 case when exists (select 1 from seen e where e.build_id = r.build_id and e.type_key = r.type_key
+                   and e.seq > r.seq and e.kind = 'uploaded' and e.upload_id = r.upload_id) then 2 else 1 end
+               end as state,
+               (select arg_max(e.not_valid_elf, e.seq) from seen e where e.build_id = r.build_id
+                  and e.type_key = r.type_key and e.seq > r.seq and e.kind = 'quality') as not_valid_elf
+        from seen r where r.seq = r.last_reset""",
+    "lifecycle_outcomes": f"""with {EVENTS}
+        select s.build_id, s.type_key, s.seq, s.kind, case
+          when s.kind in ('uploading', 'debuginfod') then 'ok'
+          when s.reset_seq is null then 'debuginfo not found'
+          when s.kind = 'quality' then 'ok'
+          when r.kind = 'debuginfod' then 'debuginfo is not in uploading state'
+          when r.upload_id <> s.upload_id then 'mismatched upload id'
+          else 'ok' end as status
+        from seen s left join events r
+          on r.build_id = s.build_id and r.type_key = s.type_key and r.seq = s.reset_seq""",
+}
+
+ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES, **CATALOG_ORACLES}

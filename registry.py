@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flamelake.functions.frames import function_names, joined
 from flamelake.functions.demangle import demangle
-from flamelake.operators import addresses, discovery, reports, select, symbolize, timeseries
+from flamelake.operators import addresses, catalog, discovery, reports, select, symbolize, timeseries
 from flamelake.schema import LABEL_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,3 +263,88 @@ def symbolized_stacks(spark: SparkSession, sf: str) -> DataFrame:
     profile = select.aggregate_stacks(fx.raw_samples(spark, sf))
     named = symbolize.attach_lines(profile, _resolved(spark, sf, profile))
     return named.select(joined(function_names()).alias("stack"), "value")
+
+
+# --- catalog -------------------------------------------------------------------
+
+
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.latest(fx.catalog_writes(spark, sf), "written_at", "seq")
+
+
+def flat_catalog(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "build_id",
+        "type_key",
+        "source",
+        F.col("upload.id").alias("upload_id"),
+        F.col("upload.hash").alias("hash"),
+        F.col("upload.started_at").alias("started_at"),
+        F.col("upload.finished_at").alias("finished_at"),
+        F.col("upload.state").alias("state"),
+        F.col("quality.not_valid_elf").alias("not_valid_elf"),
+    )
+
+
+@register
+def catalog_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_catalog(_catalog(spark, sf))
+
+
+def _decisions(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    return catalog.upload_decisions(
+        fx.upload_requests(spark, sf), _catalog(spark, sf), fx.server_index(spark, sf), F.expr(fx.NOW), mode
+    )
+
+
+@register
+def upload_decision(spark: SparkSession, sf: str) -> DataFrame:
+    return _decisions(spark, sf, "observed").select("build_id", "type", "should_initiate", "reason")
+
+
+@register
+def upload_decision_documented(spark: SparkSession, sf: str) -> DataFrame:
+    return _decisions(spark, sf, "documented").select("build_id", "type", "should_initiate", "reason")
+
+
+@register
+def initiate_checks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.initiate_uploads(_decisions(spark, sf, "observed"))
+    return rows.select("build_id", "type", "status", F.col("upload_id").isNotNull().alias("initiated"))
+
+
+@register
+def server_availability(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.server_availability(fx.server_index(spark, sf))
+    return rows.select("build_id", F.array_join("servers", ",").alias("servers"))
+
+
+@register
+def source_routing(spark: SparkSession, sf: str) -> DataFrame:
+    objects = fx.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("u"), F.col("l_orderkey").cast("string")).alias("upload_id")
+    )
+    return catalog.source_route(_catalog(spark, sf), objects).select("build_id", "type_key", "route")
+
+
+@register
+def chunk_reassembly(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.assemble_uploads(fx.document_chunks(spark, sf))
+    return rows.select("upload_id", "size", "chunks", "status", F.sha2("content", 256).alias("digest"))
+
+
+@register
+def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.chunk_offsets(fx.document_chunks(spark, sf))
+    return rows.select("upload_id", "seq", "size", "offset", F.md5("chunk").alias("digest"))
+
+
+@register
+def upload_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    events = catalog.keyed_events(fx.lifecycle_events(spark, sf))
+    return flat_catalog(catalog.fold_events(events))
+
+
+@register
+def lifecycle_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.event_outcomes(fx.lifecycle_events(spark, sf))
