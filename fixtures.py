@@ -7,11 +7,12 @@ rows in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flamelake.functions.frames import stacktrace_id
 from flamelake.schema import FRAME, LABEL_COLUMNS
+from flamelake.sources.pprof import MESSAGES
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -434,3 +435,173 @@ def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit("srv0")).alias("servers"),
         quality.alias("quality"),
     )
+
+
+# --- pprof messages -------------------------------------------------------------
+# One profile per order, one sample, location and function per line item.
+# ``broken`` is the validation rule (1 to 17) that an order's customer breaks.
+
+FIXED_STRINGS = ("", "samples", "count", "alloc", "bytes", "cpu", "nanoseconds", "thread", "size")
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("profile_id"),
+        "o_orderkey",
+        (F.col("o_custkey") % 40).alias("broken"),
+        epoch_ms("o_orderdate").alias("ms"),
+        "o_orderstatus",
+        "o_orderpriority",
+    )
+
+
+def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items numbered from 0 within their order, with the order and the part."""
+    lineitem = table(spark, sf, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy(*[c for c in lineitem.columns if c != "l_orderkey"])
+    return (
+        lineitem.withColumn("pos", F.row_number().over(order).cast("bigint") - 1)
+        .withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+        .withColumn("n_string", 13 + 3 * F.col("n"))
+        .join(_orders(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+
+
+def _message(rows: DataFrame, kind: str, pos: Column, body: Column) -> DataFrame:
+    return rows.select(
+        "profile_id",
+        F.lit(kind).alias("kind"),
+        pos.cast("bigint").alias("pos"),
+        body.cast(MESSAGES[kind].dataType).alias(kind),
+    )
+
+
+def _if_broken(rule: int, bad, good) -> Column:
+    return F.when(F.col("broken") == rule, bad).otherwise(good)
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    orders, lines = _orders(spark, sf), _numbered_lines(spark, sf)
+    pos, qty = F.col("pos"), F.col("l_quantity").cast("bigint")
+    strings = F.array(
+        _if_broken(1, F.lit("x"), F.lit("")),
+        *[F.lit(s) for s in FIXED_STRINGS[1:]],
+        F.col("o_orderpriority"),
+        F.col("o_orderstatus"),
+        F.lit("/bin/app"),
+        F.lit("buildapp"),
+    )
+    head = orders.select("*", F.posexplode(strings).alias("at", "text"))
+    own = lines.select(
+        "*",
+        F.posexplode(F.array(F.col("p_name"), F.concat(F.lit("_"), "p_name"), F.col("p_type"))).alias("at", "text"),
+    )
+    count = orders.join(
+        lines.select("profile_id", "n_string").distinct(), "profile_id", "left"
+    ).withColumn("n_string", F.coalesce("n_string", F.lit(13)))
+    types = orders.where("broken <> 13").select(
+        "*", F.posexplode(F.array(F.struct(_long(1), _long(2)), F.struct(_long(3), _long(4)))).alias("at", "body")
+    )
+    no = F.lit(False)
+    mapping = F.struct(
+        _if_broken(2, _long(2), _long(1)),
+        _long(4194304),
+        _long(8388608),
+        _long(0),
+        _if_broken(3, F.col("n_string"), _long(11)),
+        _if_broken(4, _long(-1), _long(12)),
+        F.lit(True),
+        no,
+        no,
+        no,
+    )
+    function = F.struct(
+        _if_broken(6, pos + 2, pos + 1),
+        _if_broken(7, F.col("n_string"), 13 + 3 * pos),
+        F.when(F.col("broken") == 8, F.col("n_string") + 5)
+        .when(F.col("p_size") < 10, _long(0))
+        .otherwise(14 + 3 * pos),
+        _if_broken(9, _long(-1), 15 + 3 * pos),
+        F.col("p_size").cast("bigint"),
+    )
+    line_type = MESSAGES["location"].dataType["line"].dataType
+    own_function = F.when(F.col("broken") == 12, F.col("n") + 1).when(
+        F.col("l_linenumber") == 7, _long(0)
+    ).otherwise(pos + 1)
+    inlined = F.when(qty > 25, F.array(F.struct(_long(1), _long(99))).cast(line_type)).otherwise(
+        F.array().cast(line_type)
+    )
+    location = F.struct(
+        _if_broken(10, pos + 2, pos + 1),
+        F.when(F.col("broken") == 11, _long(2)).when(F.col("l_returnflag") == "R", _long(0)).otherwise(_long(1)),
+        F.col("l_partkey") * 4096,
+        F.concat(F.array(F.struct(own_function, F.col("l_linenumber").cast("bigint"))).cast(line_type), inlined),
+        no,
+    )
+    ids = F.array_compact(F.array(pos + 1, F.when(pos > 0, pos), _long(1)))
+    stack = F.when(F.col("broken") == 15, F.array(F.col("n") + 1, _long(0))).when(
+        F.col("l_discount") == 0, F.array().cast("array<bigint>")
+    ).otherwise(ids)
+    second = F.when(F.col("l_returnflag") == "N", _long(0)).otherwise(qty * 100)
+    values = F.when(F.col("broken") == 14, F.array(qty)).otherwise(F.array(qty, second))
+    priority = F.when(F.col("broken") == 17, F.col("n_string")).when(
+        F.col("l_linestatus") == "F", _long(0)
+    ).otherwise(_long(9))
+    labels = F.array(
+        F.struct(_if_broken(16, _long(0), _long(7)), priority, _long(0), _long(0)),
+        F.struct(_long(7), _long(10), _long(0), _long(0)),
+        F.struct(_long(8), _long(0), qty, _long(0)),
+        F.struct(_long(8), _long(0), _long(5), _long(0)),
+    )
+    header = F.struct(
+        _long(0),
+        _long(0),
+        F.col("ms") * 1_000_000 + 123_456,
+        _long(10_000_000_000),
+        F.when(F.col("o_orderstatus") != "P", F.struct(_long(5), _long(6))),
+        _long(100),
+        F.array().cast("array<bigint>"),
+        _long(0),
+    )
+    kinds = [
+        _message(head, "string", F.col("at"), F.col("text")),
+        _message(own, "string", 13 + 3 * pos + F.col("at"), F.col("text")),
+        _message(types, "sample_type", F.col("at"), F.col("body")),
+        _message(count, "mapping", F.lit(0), mapping),
+        _message(lines, "function", pos, function),
+        _message(lines, "location", pos, location),
+        _message(lines, "sample", pos, F.struct(stack, values, labels)),
+        _message(orders, "header", F.lit(0), header),
+    ]
+    united = kinds[0]
+    for kind in kinds[1:]:
+        united = united.unionByName(kind, allowMissingColumns=True)
+    return united.select(*MESSAGES.names)
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """Label list of every profile; some lists are wrong."""
+    key = F.col("o_orderkey") % 50
+
+    def label(name: str, value: Column | str) -> Column:
+        return F.struct(F.lit(name).alias("name"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+
+    usual = [
+        label("node", F.col("o_orderpriority")),
+        label("team", F.col("o_orderstatus")),
+    ]
+    name = label("__name__", "process_cpu")
+    labels = (
+        F.when(key == 0, F.array(name, *usual, label("node", "again")))
+        .when(key == 1, F.array(*usual))
+        .when(key == 2, F.array(label("__name__", "first"), *usual, name))
+        .otherwise(F.array(name, *usual))
+    )
+    return _orders(spark, sf).select(
+        "profile_id", labels.alias("labels"), _if_broken(5, _long(2), _long(1)).alias("executables")
+    )

@@ -44,7 +44,7 @@ def label_names(
         .where("n > 0")
         .select("label_name")
     )
-    extra = [c for c in ("labels", "sample_labels", "num_labels") if c in samples.columns]
+    extra = [c for c in ("series_labels", "sample_labels", "num_labels") if c in samples.columns]
     for column in extra:
         fixed = fixed.unionByName(
             rows.select(F.explode(F.map_keys(column)).alias("label_name")).distinct()

@@ -71,7 +71,7 @@ SAMPLES = T.StructType(
         T.StructField("timestamp", T.LongType()),
         T.StructField("value", T.LongType()),
         *[T.StructField(c, T.StringType()) for c in LABEL_COLUMNS],
-        T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("series_labels", T.MapType(T.StringType(), T.StringType())),
         T.StructField("sample_labels", T.MapType(T.StringType(), T.StringType())),
         T.StructField("num_labels", T.MapType(T.StringType(), T.LongType())),
         T.StructField("ingest_date", T.DateType()),

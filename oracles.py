@@ -561,4 +561,114 @@ CATALOG_ORACLES: dict[str, str] = {
           on r.build_id = s.build_id and r.type_key = s.type_key and r.seq = s.reset_seq""",
 }
 
-ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES, **CATALOG_ORACLES}
+PPROF = """
+heads as (
+  select 'p' || o_orderkey as profile_id, o_orderkey, o_custkey % 40 as broken, epoch_ms(o_orderdate) as ms,
+         o_orderstatus, o_orderpriority,
+         (select count(*) from lineitem where l_orderkey = o_orderkey) as n
+  from orders),
+numbered as (
+  select *, row_number() over (
+      partition by l_orderkey
+      order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+               l_returnflag, l_linestatus, l_shipdate) - 1 as pos
+  from lineitem),
+entries as (
+  select h.*, l.pos, l.l_partkey, l.l_linenumber, cast(l.l_quantity as bigint) as qty, l.l_discount,
+         l.l_returnflag, l.l_linestatus, p.p_name, p.p_type, p.p_size
+  from numbered l join heads h on l.l_orderkey = h.o_orderkey join part p on l.l_partkey = p.p_partkey),
+good as (select * from entries where broken not between 1 and 17),
+good_heads as (select * from heads where not (broken between 1 and 17)
+    or (n = 0 and broken in (6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17))),
+frames as (
+  select profile_id, pos,
+         (l_partkey * 4096) || ',' ||
+         case when l_returnflag = 'R' then '0,0,0,,' else '4194304,8388608,0,/bin/app,buildapp' end || ',' ||
+         case when l_linenumber = 7 then '7||||7'
+              else l_linenumber || '|' || p_name || '|' || case when p_size < 10 then '' else '_' || p_name end
+                   || '|' || p_type || '|' || l_linenumber end ||
+         case when qty > 25 then
+           (select '&99|' || f.p_name || '|' || case when f.p_size < 10 then '' else '_' || f.p_name end
+                   || '|' || f.p_type || '|99'
+            from good f where f.profile_id = g.profile_id and f.pos = 0)
+         else '' end as frame
+  from good g),
+stacks as (
+  select g.profile_id, g.pos,
+         a.frame || case when g.pos > 0 then ';' || b.frame else '' end || ';' || c.frame as stack
+  from good g
+  join frames a on a.profile_id = g.profile_id and a.pos = g.pos
+  left join frames b on b.profile_id = g.profile_id and b.pos = g.pos - 1
+  join frames c on c.profile_id = g.profile_id and c.pos = 0
+  where g.l_discount <> 0),
+values_of as (
+  select profile_id, pos, 0 as type_no, qty as value from good where qty <> 0
+  union all
+  select profile_id, pos, 1, qty * 100 from good where l_returnflag <> 'N' and qty <> 0),
+labels_of as (
+  select profile_id, pos,
+         'thread=' || case when l_linestatus = 'F' then o_orderstatus else o_orderpriority end as sample_labels,
+         'size=' || case when qty <> 0 then qty else 5 end as num_labels
+  from good),
+series as (
+  select profile_id, o_orderpriority, o_orderstatus,
+         case o_orderkey % 50 when 0 then 'duplicate label' when 1 then 'missing __name__' end as error
+  from heads)
+"""
+
+
+def rule(name: str, condition: str, source: str = "entries") -> str:
+    return f"select distinct profile_id, '{name}' as rule from {source} where {condition}"
+
+
+NORMALIZED = f"""with {PPROF}
+select 'process_cpu' as name, h.ms as timestamp, cast(10000000000 as bigint) as duration,
+       cast(100 as bigint) as period,
+       case when h.o_orderstatus = 'P' then '' else 'cpu' end as period_type,
+       case when h.o_orderstatus = 'P' then '' else 'nanoseconds' end as period_unit,
+       case v.type_no when 0 then 'samples' else 'alloc' end as sample_type,
+       case v.type_no when 0 then 'count' else 'bytes' end as sample_unit,
+       v.value, s.stack, h.o_orderpriority as node,
+       'node=' || h.o_orderpriority || ',team=' || h.o_orderstatus as series_labels,
+       l.sample_labels, l.num_labels
+from values_of v
+join heads h on h.profile_id = v.profile_id
+join series r on r.profile_id = v.profile_id and r.error is null
+join labels_of l on l.profile_id = v.profile_id and l.pos = v.pos
+left join stacks s on s.profile_id = v.profile_id and s.pos = v.pos
+"""
+
+PPROF_ORACLES: dict[str, str] = {
+    "series_labels": f"""with {PPROF}
+        select profile_id, case when error is null then 'process_cpu' end as name,
+               case when error is null then 'node=' || o_orderpriority || ',team=' || o_orderstatus end as labels,
+               error from series""",
+    "pprof_violations": f"with {PPROF} "
+    + " union all ".join(
+        [
+            *[rule(f"V{i}", f"broken = {i}", "heads") for i in (1, 2, 3, 4, 5)],
+            *[rule(f"V{i}", f"broken = {i}") for i in (6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17)],
+            rule("V14", "broken in (13, 14)"),
+        ]
+    ),
+    "sample_explode": f"""with {PPROF} select profile_id, cast(pos as bigint) as sample_no,
+        cast(type_no as bigint) as type_no, value from values_of""",
+    "profile_meta": f"""with {PPROF}
+        select profile_id, cast(t as bigint) as type_no, ms as timestamp, cast(10000000000 as bigint) as duration,
+               cast(100 as bigint) as period,
+               case t when 0 then 'samples' else 'alloc' end as sample_type,
+               case t when 0 then 'count' else 'bytes' end as sample_unit,
+               case when o_orderstatus = 'P' then '' else 'cpu' end as period_type,
+               case when o_orderstatus = 'P' then '' else 'nanoseconds' end as period_unit
+        from (select *, unnest([0, 1]) as t from good_heads where broken <> 13)""",
+    "sample_labels": f"with {PPROF} select profile_id, cast(pos as bigint) as sample_no, sample_labels, num_labels from labels_of",
+    "label_name_collection": f"""with {PPROF}
+        select profile_id, unnest(['node', 'team']) as label_name from series where error is null
+        union select profile_id, 'thread' from good""",
+    "stack_denormalize": f"with {PPROF} select profile_id, cast(pos as bigint) as sample_no, stack from stacks",
+    "label_pivot": f"with {PPROF} select profile_id, o_orderpriority as node from series where error is null",
+    "normalized_samples": NORMALIZED,
+    "pprof_roundtrip": NORMALIZED,
+}
+
+ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES, **CATALOG_ORACLES, **PPROF_ORACLES}

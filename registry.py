@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flamelake.functions.frames import function_names, joined
+from flamelake.functions.workdir import fresh_path
 from flamelake.functions.demangle import demangle
-from flamelake.operators import addresses, catalog, discovery, reports, select, symbolize, timeseries
+from flamelake.operators import addresses, catalog, discovery, normalize, reports, select, symbolize, timeseries
 from flamelake.schema import LABEL_COLUMNS
+from flamelake.sources import pprof
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,3 +350,123 @@ def upload_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def lifecycle_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.event_outcomes(fx.lifecycle_events(spark, sf))
+
+
+# --- pprof and normalisation ----------------------------------------------------
+
+
+def _valid(spark: SparkSession, sf: str) -> DataFrame:
+    counts = fx.series(spark, sf).select("profile_id", "executables")
+    return normalize.valid_messages(fx.messages(spark, sf), counts)
+
+
+def shown_frames(column: str = "stacktrace"):
+    """Every field of every frame as text."""
+    line = lambda x: F.concat_ws(
+        "|",
+        x["line"].cast("string"),
+        x["function_name"],
+        x["function_system_name"],
+        x["function_filename"],
+        x["function_start_line"].cast("string"),
+    )
+    frame = lambda f: F.concat_ws(
+        ",",
+        f["address"].cast("string"),
+        f["mapping_start"].cast("string"),
+        f["mapping_limit"].cast("string"),
+        f["mapping_offset"].cast("string"),
+        f["mapping_file"],
+        f["mapping_build_id"],
+        F.array_join(F.transform(f["lines"], line), "&"),
+    )
+    return F.array_join(F.transform(column, frame), ";")
+
+
+def shown_map(column: str):
+    entries = F.array_sort(F.map_entries(column))
+    return F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+
+
+@register
+def series_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalize.split_series(fx.series(spark, sf))
+    return rows.select("profile_id", "name", shown_map("labels").alias("labels"), "error")
+
+
+@register
+def pprof_violations(spark: SparkSession, sf: str) -> DataFrame:
+    counts = fx.series(spark, sf).select("profile_id", "executables")
+    return normalize.violations(fx.messages(spark, sf), counts)
+
+
+@register
+def sample_explode(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.explode_samples(_valid(spark, sf))
+
+
+@register
+def profile_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.profile_meta(_valid(spark, sf))
+
+
+@register
+def sample_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalize.sample_labels(_valid(spark, sf))
+    return rows.select(
+        "profile_id",
+        "sample_no",
+        shown_map("sample_labels").alias("sample_labels"),
+        shown_map("num_labels").alias("num_labels"),
+    )
+
+
+@register
+def label_name_collection(spark: SparkSession, sf: str) -> DataFrame:
+    series = normalize.split_series(fx.series(spark, sf)).where("error is null")
+    return normalize.label_names(_valid(spark, sf), series)
+
+
+@register
+def stack_denormalize(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalize.sample_stacks(_valid(spark, sf))
+    return rows.select("profile_id", "sample_no", shown_frames().alias("stack"))
+
+
+@register
+def label_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = normalize.split_series(fx.series(spark, sf)).where("error is null")
+    return plain_labels(rows.select("profile_id", *normalize.label_columns("labels"))).drop("pod", "arch")
+
+
+def shown_samples(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "name",
+        "timestamp",
+        "duration",
+        "period",
+        "period_type",
+        "period_unit",
+        "sample_type",
+        "sample_unit",
+        "value",
+        shown_frames().alias("stack"),
+        F.col("`labels.node`").alias("node"),
+        shown_map("series_labels").alias("series_labels"),
+        shown_map("sample_labels").alias("sample_labels"),
+        shown_map("num_labels").alias("num_labels"),
+    )
+
+
+@register
+def normalized_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_samples(normalize.normalize(fx.messages(spark, sf), fx.series(spark, sf)))
+
+
+@register
+def pprof_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode every profile to a gzipped blob, decode the blobs and normalise them."""
+    blobs = pprof.pprof_files(pprof.pprof_parts(fx.messages(spark, sf)))
+    staged = fresh_path(spark, "messages")
+    pprof.write_messages(pprof.decode(blobs), staged)
+    return shown_samples(normalize.normalize(pprof.read_messages(spark, staged), fx.series(spark, sf)))
