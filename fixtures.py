@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from flamelake.functions.frames import stacktrace_id
 from flamelake.schema import FRAME, LABEL_COLUMNS
-from flamelake.sources.pprof import MESSAGES
+from flamelake.functions.workdir import fresh_path
+from flamelake.sources.pprof import MESSAGES, read_messages, write_messages
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer files than the session has cores, over all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def epoch_ms(column: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, {EPOCH}, {column})")
 
@@ -49,7 +56,7 @@ def _frame(name: Column, binary: Column, build: Column, address: Column, line: C
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """One sample per line item; the stack is part (unless unreturned), brand, nation, main."""
     joined = (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem").drop("l_extendedprice", "l_discount", "l_tax", "l_orderkey"))
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -293,7 +300,7 @@ def raw_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
     library = _raw_frame(F.lit("blibc"), F.expr("l_suppkey * 12288L + 2500L"))
     main = _frame(F.lit("main"), F.lit("/usr/bin/app"), F.lit("bapp"), F.lit(4206592), F.lit(1), F.lit("main.c"))
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")).select(
         F.array(leaf, library, main).alias("stacktrace"), F.col("l_quantity").cast("bigint").alias("value")
     )
 
@@ -468,13 +475,11 @@ def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _message(rows: DataFrame, kind: str, pos: Column, body: Column) -> DataFrame:
-    return rows.select(
-        "profile_id",
-        F.lit(kind).alias("kind"),
-        pos.cast("bigint").alias("pos"),
-        body.cast(MESSAGES[kind].dataType).alias(kind),
-    )
+def _message(kind: str, pos: Column, body: Column) -> Column:
+    """One row of the message table as a struct; the columns of other kinds are null."""
+    columns = {"kind": F.lit(kind), "pos": pos, kind: body}
+    fields = [f for f in MESSAGES.fields if f.name != "profile_id"]
+    return F.struct(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def _if_broken(rule: int, bad, good) -> Column:
@@ -486,27 +491,23 @@ def _long(x: int) -> Column:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The message table as ingest leaves it: written once, read by kind."""
+    staged = fresh_path(spark, "messages")
+    write_messages(derived_messages(spark, sf), staged)
+    return read_messages(spark, staged)
+
+
+def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
     orders, lines = _orders(spark, sf), _numbered_lines(spark, sf)
     pos, qty = F.col("pos"), F.col("l_quantity").cast("bigint")
-    strings = F.array(
+    strings = [
         _if_broken(1, F.lit("x"), F.lit("")),
         *[F.lit(s) for s in FIXED_STRINGS[1:]],
         F.col("o_orderpriority"),
         F.col("o_orderstatus"),
         F.lit("/bin/app"),
         F.lit("buildapp"),
-    )
-    head = orders.select("*", F.posexplode(strings).alias("at", "text"))
-    own = lines.select(
-        "*",
-        F.posexplode(F.array(F.col("p_name"), F.concat(F.lit("_"), "p_name"), F.col("p_type"))).alias("at", "text"),
-    )
-    count = orders.join(
-        lines.select("profile_id", "n_string").distinct(), "profile_id", "left"
-    ).withColumn("n_string", F.coalesce("n_string", F.lit(13)))
-    types = orders.where("broken <> 13").select(
-        "*", F.posexplode(F.array(F.struct(_long(1), _long(2)), F.struct(_long(3), _long(4)))).alias("at", "body")
-    )
+    ]
     no = F.lit(False)
     mapping = F.struct(
         _if_broken(2, _long(2), _long(1)),
@@ -568,20 +569,29 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         F.array().cast("array<bigint>"),
         _long(0),
     )
-    kinds = [
-        _message(head, "string", F.col("at"), F.col("text")),
-        _message(own, "string", 13 + 3 * pos + F.col("at"), F.col("text")),
-        _message(types, "sample_type", F.col("at"), F.col("body")),
-        _message(count, "mapping", F.lit(0), mapping),
-        _message(lines, "function", pos, function),
-        _message(lines, "location", pos, location),
-        _message(lines, "sample", pos, F.struct(stack, values, labels)),
-        _message(orders, "header", F.lit(0), header),
+    of_line = [
+        *[
+            _message("string", 13 + 3 * pos + i, text)
+            for i, text in enumerate([F.col("p_name"), F.concat(F.lit("_"), "p_name"), F.col("p_type")])
+        ],
+        _message("function", pos, function),
+        _message("location", pos, location),
+        _message("sample", pos, F.struct(stack, values, labels)),
     ]
-    united = kinds[0]
-    for kind in kinds[1:]:
-        united = united.unionByName(kind, allowMissingColumns=True)
-    return united.select(*MESSAGES.names)
+    of_order = [
+        *[_message("string", F.lit(i), text) for i, text in enumerate(strings)],
+        _message("sample_type", F.lit(0), F.struct(_long(1), _long(2))),
+        _message("sample_type", F.lit(1), F.struct(_long(3), _long(4))),
+        _message("mapping", F.lit(0), mapping),
+        _message("header", F.lit(0), header),
+    ]
+    heads = orders.join(lines.select("profile_id", "n_string").distinct(), "profile_id", "left").withColumn(
+        "n_string", F.coalesce("n_string", F.lit(13))
+    )
+    rows = lines.select("profile_id", "broken", F.explode(F.array(*of_line)).alias("m")).unionByName(
+        heads.select("profile_id", "broken", F.explode(F.array(*of_order)).alias("m"))
+    )
+    return rows.where("broken <> 13 or m.kind <> 'sample_type'").select("profile_id", "m.*").select(*MESSAGES.names)
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:

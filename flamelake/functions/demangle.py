@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flamelake.functions.skew import salted_join
+from flamelake.functions.skew import skew_join
 
 # Escapes of the legacy Rust mangling.
 RUST_ESCAPES = {
@@ -97,7 +97,7 @@ def demangle(functions: DataFrame, dictionary: DataFrame | None = None, force: b
     names = demangled_names(marked.where("not _done"), dictionary).withColumnRenamed("name", "_readable")
     kept: Column = F.when(system != "", system).otherwise(name) if force else name
     return (
-        salted_join(marked, names, ["system_name"], "left")
+        skew_join(marked, names, ["system_name"], "left")
         .withColumn("name", F.when(F.col("_done"), kept).otherwise(F.coalesce("_readable", system)))
         .select(*functions.columns)
     )

@@ -3,7 +3,7 @@
 All inputs are columns of the message table (see ``sources.pprof``) and
 ``series(profile_id, labels array<struct<name, value>>, executables)``.
 Lookups go by ``(profile_id, index)``; where one index is in every sample (the
-root frame, a label key, the sample type) the join is salted.
+root frame, a label key, the sample type) the join splits that hot key.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flamelake.functions.frames import stacktrace_id
-from flamelake.functions.skew import salted_join
+from flamelake.functions.skew import skew_join
 from flamelake.schema import FRAME, LABEL_COLUMNS, METADATA_LABELS, SAMPLES
 from flamelake.sources.pprof import REJECT
 
 NAME_LABEL = "__name__"
-SALTS = 16
 
 
 # --- messages by kind ------------------------------------------------------------
@@ -37,7 +36,7 @@ def strings(messages: DataFrame) -> DataFrame:
 
 
 def resolve_strings(
-    rows: DataFrame, table: DataFrame, key: Sequence[str], indexes: dict[str, str], salts: int = SALTS
+    rows: DataFrame, table: DataFrame, key: Sequence[str], indexes: dict[str, str]
 ) -> DataFrame:
     """``key`` with one text per ``{new column: index column}``, in a single join.
 
@@ -48,7 +47,7 @@ def resolve_strings(
         *[F.struct(F.lit(name).alias("field"), F.col(index).alias("idx")) for name, index in indexes.items()]
     )
     stacked = rows.select(*key, F.explode(pairs).alias("ref")).select(*key, "ref.field", "ref.idx")
-    found = salted_join(stacked, table, ["profile_id", "idx"], "left", salts)
+    found = skew_join(stacked, table, ["profile_id", "idx"], "left")
     return found.groupBy(*key).agg(
         *[F.max(F.when(F.col("field") == name, F.col("text"))).alias(name) for name in indexes]
     )
@@ -298,7 +297,7 @@ def location_frames(messages: DataFrame) -> DataFrame:
     )
     # One group is one location; its list is as long as the inlining is deep.
     by_location = (
-        salted_join(lines, function_texts, ["profile_id", "function_id"], "left", SALTS)
+        skew_join(lines, function_texts, ["profile_id", "function_id"], "left")
         .groupBy("profile_id", "location_id")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", line.alias("line")))).alias("lines"))
     )
@@ -313,7 +312,7 @@ def location_frames(messages: DataFrame) -> DataFrame:
         F.coalesce(F.transform("lines", lambda x: x["line"]), F.array()).cast(FRAME["lines"].dataType).alias("lines"),
     )
     return (
-        salted_join(locations.drop("entries"), mapping_rows, ["profile_id", "mapping_id"], "left", SALTS)
+        skew_join(locations.drop("entries"), mapping_rows, ["profile_id", "mapping_id"], "left")
         .join(by_location, ["profile_id", "location_id"], "left")
         .select("profile_id", "location_id", frame.cast(FRAME).alias("frame"))
     )
@@ -326,7 +325,7 @@ def sample_stacks(messages: DataFrame) -> DataFrame:
     )
     # One group is one sample; its list is as long as the stack is deep.
     return (
-        salted_join(refs, location_frames(messages), ["profile_id", "location_id"], "inner", SALTS)
+        skew_join(refs, location_frames(messages), ["profile_id", "location_id"])
         .groupBy("profile_id", "sample_no")
         .agg(F.sort_array(F.collect_list(F.struct("frame_no", "frame"))).alias("frames"))
         .select("profile_id", "sample_no", F.transform("frames", lambda x: x["frame"]).alias("stacktrace"))
@@ -353,7 +352,7 @@ def normalize(messages: DataFrame, raw: DataFrame, ingest_date: Column | None =
     meta = profile_meta(good).join(series, "profile_id").withColumnRenamed("labels", "series_labels")
     day = ingest_date if ingest_date is not None else F.current_date()
     rows = (
-        salted_join(explode_samples(good), meta, ["profile_id", "type_no"], "inner", SALTS)
+        skew_join(explode_samples(good), meta, ["profile_id", "type_no"])
         .join(sample_stacks(good), ["profile_id", "sample_no"], "left")
         .join(sample_labels(good), ["profile_id", "sample_no"], "left")
         .withColumn("stacktrace_id", stacktrace_id())

@@ -45,8 +45,9 @@ def top_functions(profile: DataFrame) -> DataFrame:
     """Per function: value of stacks that hold it (recursion counts once) and value of its leaves."""
     stacks = by_function_names(profile)
     return (
-        stacks.select(
-            F.explode(F.array_distinct("names")).alias("function"),
+        stacks.where(F.size("names") > 0)
+        .select(
+            F.explode_outer(F.array_distinct("names")).alias("function"),
             F.get("names", F.lit(0)).alias("leaf"),
             *_measures(stacks),
         )
@@ -67,20 +68,23 @@ def flamegraph(profile: DataFrame, group_by: Sequence[str] = (), invert: bool =
     if group_by:
         groups = F.array(*[F.coalesce(F.col(f"group_{i}"), F.lit("")) for i in range(len(group_by))])
         path = F.concat(groups, path)
-    empty = F.expr(
-        "named_struct('id', '', 'nodes', "
-        "cast(array() as array<struct<node_id:string,parent_id:string,name:string>>))"
-    )
-
-    def step(acc: Column, name: Column) -> Column:
-        node_id = F.md5(F.concat(acc["id"], F.lit("|"), name))
-        node = F.struct(node_id.alias("node_id"), acc["id"].alias("parent_id"), name.alias("name"))
-        return F.struct(node_id.alias("id"), F.array_append(acc["nodes"], node).alias("nodes"))
+    none = F.expr("cast(array() as array<struct<node_id:string,parent_id:string,name:string>>)")
+
+    def step(nodes: Column, name: Column) -> Column:
+        parent = F.coalesce(F.get(nodes, F.size(nodes) - 1)["node_id"], F.lit(""))
+        node = F.struct(
+            F.md5(F.concat(parent, F.lit("|"), name)).alias("node_id"),
+            parent.alias("parent_id"),
+            name.alias("name"),
+        )
+        return F.array_append(nodes, node)
 
-    nodes = F.aggregate(path, empty, step, lambda acc: acc["nodes"])
     measures = _measures(stacks)
-    rows = stacks.select(nodes.alias("nodes"), *measures).select(
-        F.posexplode("nodes").alias("depth", "node"), F.size("nodes").alias("length"), *measures
+    sized = stacks.select(path.alias("path"), F.size(path).alias("length"), *measures).where("length > 0")
+    # The outer form spares the planner's not-empty filter, which would evaluate
+    # the digests again; empty paths are already gone.
+    rows = sized.select(
+        F.posexplode_outer(F.aggregate("path", none, step)).alias("depth", "node"), "length", *measures
     )
     return (
         rows.select("depth", "node.*", (F.col("depth") + 1 == F.col("length")).alias("own"), *measures)
@@ -132,7 +136,7 @@ def _edges(stacks: DataFrame) -> DataFrame:
     )
     return (
         stacks.where(F.size("frames") > 1)
-        .select(F.explode(F.array_distinct(pairs)).alias("edge"), "value")
+        .select(F.explode_outer(F.array_distinct(pairs)).alias("edge"), "value")
         .groupBy("edge.caller", "edge.callee", "edge.is_collapsed")
         .agg(F.sum("value").alias("cumulative"))
     )
@@ -174,10 +178,10 @@ def source_report(profile: DataFrame, build_id: str | None = None, filename: str
         )
 
     rows = profile.select(
-        F.explode(F.array_distinct(F.flatten(F.transform("stacktrace", places)))).alias("place"),
+        F.explode_outer(F.array_distinct(F.flatten(F.transform("stacktrace", places)))).alias("place"),
         F.get(places(F.get("stacktrace", F.lit(0))), F.lit(0)).alias("leaf"),
         *_measures(profile),
-    )
+    ).where("place is not null")
     if build_id is not None:
         rows = rows.where(F.col("place.build_id") == build_id)
     if filename is not None:

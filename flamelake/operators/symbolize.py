@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flamelake.functions import u64
 from flamelake.functions.demangle import demangled_names
 from flamelake.functions.frames import stacktrace_id
-from flamelake.functions.skew import salted_join
+from flamelake.functions.skew import skew_join
 from flamelake.operators.addresses import OK, normalize_addresses
 from flamelake.operators.asof import asof_lookup
 from flamelake.operators.rangejoin import interval_lookup
@@ -146,7 +146,7 @@ def range_lines(probes: DataFrame, line_ranges: DataFrame) -> DataFrame:
 def named_lines(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Add the readable ``function_name``, demangling each distinct system name once."""
     names = demangled_names(rows, dictionary)
-    return salted_join(rows, names, ["system_name"], "left").withColumn("function_name", F.concat("name", "suffix"))
+    return skew_join(rows, names, ["system_name"], "left").withColumn("function_name", F.concat("name", "suffix"))
 
 
 def collect_lines(rows: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def resolve_addresses(
         .when(F.col("lines").isNull(), "error: no symbol")
         .otherwise("ok")
     )
-    return salted_join(placed, lines, ["build_id", "normalized"], "left").select(
+    return skew_join(placed, lines, ["build_id", "normalized"], "left").select(
         *PROBE, status.alias("status"), "lines"
     )
 
@@ -242,7 +242,7 @@ def attach_lines(stacks: DataFrame, resolved: DataFrame) -> DataFrame:
     )
     found = resolved.where("lines is not null").select(*PROBE, F.col("lines").alias("_lines"))
     # Frames that need nothing have a null build id and are spread, not joined.
-    joined = salted_join(keyed, found, list(PROBE), "left")
+    joined = skew_join(keyed, found, list(PROBE), "left")
     frame = F.col("frame")
     filled = frame.withField("lines", F.coalesce("_lines", frame["lines"])).cast(FRAME)
     rebuilt = (

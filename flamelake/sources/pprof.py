@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from flamelake.functions.workdir import fresh_path
 from flamelake.sources import wire
 
 REJECT = "reject"
@@ -153,6 +154,14 @@ def pprof_parts(messages: DataFrame, part_messages: int = PART_MESSAGES) -> Data
     )
 
 
+def write_pprof(messages: DataFrame, path: str) -> None:
+    """Write ``pprof_files`` rows to a table; parts are staged, so each message is encoded once."""
+    spark = messages.sparkSession
+    staged = fresh_path(spark, "parts")
+    pprof_parts(messages).write.parquet(staged)
+    pprof_files(spark.read.parquet(staged)).write.mode("overwrite").parquet(path)
+
+
 def pprof_files(parts: DataFrame, max_size: int = MAX_BLOB_SIZE) -> DataFrame:
     """Gzipped pprof as ``(profile_id, part, parts, raw_profile)``.
 

@@ -466,7 +466,7 @@ def normalized_samples(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def pprof_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Encode every profile to a gzipped blob, decode the blobs and normalise them."""
-    blobs = pprof.pprof_files(pprof.pprof_parts(fx.messages(spark, sf)))
-    staged = fresh_path(spark, "messages")
-    pprof.write_messages(pprof.decode(blobs), staged)
+    blobs, staged = fresh_path(spark, "pprof"), fresh_path(spark, "messages")
+    pprof.write_pprof(fx.derived_messages(spark, sf), blobs)
+    pprof.write_messages(pprof.decode(spark.read.parquet(blobs)), staged)
     return shown_samples(normalize.normalize(pprof.read_messages(spark, staged), fx.series(spark, sf)))
