@@ -37,7 +37,7 @@ def _frame(name: Column, binary: Column, build: Column, address: Column, line: C
     return F.struct(
         address.cast("bigint").alias("address"),
         start.alias("mapping_start"),
-        (start + 1048576).alias("mapping_limit"),
+        (start + (1 << 40)).alias("mapping_limit"),
         F.lit(0).cast("bigint").alias("mapping_offset"),
         binary.alias("mapping_file"),
         build.alias("mapping_build_id"),
@@ -64,8 +64,8 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     leaf = _frame(
         F.col("p_name"),
         F.concat(F.lit("/opt/shop/"), F.lower("p_type")),
-        F.concat(F.lit("b"), (F.col("p_partkey") % 8).cast("string")),
-        F.lit(4194304) + F.col("p_size") * 64,
+        F.concat(F.lit("b"), F.lower("p_type")),
+        F.expr("4194304L + cast(conv(substr(md5(concat(p_name, p_type, p_size)), 1, 8), 16, 10) as bigint) * 16L"),
         F.col("p_size"),
         F.concat(F.lower("p_type"), F.lit(".rs")),
     )
@@ -588,8 +588,8 @@ def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
     heads = orders.join(lines.select("profile_id", "n_string").distinct(), "profile_id", "left").withColumn(
         "n_string", F.coalesce("n_string", F.lit(13))
     )
-    rows = lines.select("profile_id", "broken", F.explode(F.array(*of_line)).alias("m")).unionByName(
-        heads.select("profile_id", "broken", F.explode(F.array(*of_order)).alias("m"))
+    rows = lines.select("profile_id", "broken", F.explode_outer(F.array(*of_line)).alias("m")).unionByName(
+        heads.select("profile_id", "broken", F.explode_outer(F.array(*of_order)).alias("m"))
     )
     return rows.where("broken <> 13 or m.kind <> 'sample_type'").select("profile_id", "m.*").select(*MESSAGES.names)
 
@@ -615,3 +615,52 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).select(
         "profile_id", labels.alias("labels"), _if_broken(5, _long(2), _long(1)).alias("executables")
     )
+
+
+# --- reports, metastore, status, streams -----------------------------------------
+
+
+def report_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """One report per nation and profile type over all samples."""
+    rows = samples(spark, sf).withColumn("report_id", F.concat_ws("/", "`labels.node`", "name"))
+    stacks = rows.groupBy("report_id", "stacktrace").agg(F.sum("value").alias("value"))
+    meta = rows.groupBy("report_id").agg(
+        F.max("timestamp").alias("timestamp"),
+        *[
+            F.max(c).alias(c)
+            for c in ("duration", "period", "sample_type", "sample_unit", "period_type", "period_unit")
+        ],
+    )
+    return stacks, meta
+
+
+def event_samples(events: DataFrame) -> DataFrame:
+    """Samples of the event table: milliseconds, type label, value in cents."""
+    return events.select(
+        F.expr(f"timestampdiff(MILLISECOND, {EPOCH}, ts)").alias("timestamp"),
+        F.col("event_type").alias("type"),
+        F.expr("cast(round(value * 100) as bigint)").alias("value"),
+    )
+
+
+def pushes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pushes of agents: the node name is known for some, the address for all."""
+    user = F.col("user_id").cast("string")
+    return table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("node"), user)).otherwise("").alias("node"),
+        F.concat(F.lit("10.0.0."), user).alias("ip"),
+        F.col("ts").alias("pushed_at"),
+        F.when(F.col("event_type") == "error", F.lit("push failed")).alias("error"),
+        F.expr("cast(round(value * 100) as bigint)").alias("duration"),
+        "event_id",
+    )
+
+
+def targets(spark: SparkSession, sf: str) -> DataFrame:
+    suppliers = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return suppliers.select(
+        F.col("n_name").alias("job"),
+        F.col("s_name").alias("target"),
+        F.when(F.col("s_suppkey") % 3 == 0, "dropped").otherwise("active").alias("state"),
+        F.when(F.col("s_acctbal") < 0, "bad").when(F.col("s_acctbal") > 5000, "good").otherwise("unknown").alias("health"),
+    )

@@ -36,18 +36,20 @@ def strings(messages: DataFrame) -> DataFrame:
 
 
 def resolve_strings(
-    rows: DataFrame, table: DataFrame, key: Sequence[str], indexes: dict[str, str]
+    rows: DataFrame, table: DataFrame, key: Sequence[str], indexes: dict[str, str], join=DataFrame.join
 ) -> DataFrame:
     """``key`` with one text per ``{new column: index column}``, in a single join.
 
     Index columns are stacked into rows, joined once and put back per key.
-    ``key`` must hold ``profile_id`` and identify a row.
+    ``key`` must hold ``profile_id`` and identify a row.  Rows per sample pass
+    ``skew_join``; those per function or mapping leave a skewed partition to
+    the adaptive split.
     """
     pairs = F.array(
         *[F.struct(F.lit(name).alias("field"), F.col(index).alias("idx")) for name, index in indexes.items()]
     )
     stacked = rows.select(*key, F.explode(pairs).alias("ref")).select(*key, "ref.field", "ref.idx")
-    found = skew_join(stacked, table, ["profile_id", "idx"], "left")
+    found = join(stacked, table, ["profile_id", "idx"], "left")
     return found.groupBy(*key).agg(
         *[F.max(F.when(F.col("field") == name, F.col("text"))).alias(name) for name in indexes]
     )
@@ -219,6 +221,7 @@ def sample_labels(messages: DataFrame) -> DataFrame:
         strings(messages),
         key,
         {"name": "key", "text": "_str"},
+        skew_join,
     )
     first = texts.groupBy("profile_id", "sample_no", "name").agg(
         F.min(F.when(F.col("text").isNotNull(), F.struct("label_no", "text"))).alias("text"),
@@ -297,7 +300,7 @@ def location_frames(messages: DataFrame) -> DataFrame:
     )
     # One group is one location; its list is as long as the inlining is deep.
     by_location = (
-        skew_join(lines, function_texts, ["profile_id", "function_id"], "left")
+        lines.join(function_texts, ["profile_id", "function_id"], "left")
         .groupBy("profile_id", "location_id")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", line.alias("line")))).alias("lines"))
     )
@@ -312,7 +315,8 @@ def location_frames(messages: DataFrame) -> DataFrame:
         F.coalesce(F.transform("lines", lambda x: x["line"]), F.array()).cast(FRAME["lines"].dataType).alias("lines"),
     )
     return (
-        skew_join(locations.drop("entries"), mapping_rows, ["profile_id", "mapping_id"], "left")
+        locations.drop("entries")
+        .join(mapping_rows, ["profile_id", "mapping_id"], "left")
         .join(by_location, ["profile_id", "location_id"], "left")
         .select("profile_id", "location_id", frame.cast(FRAME).alias("frame"))
     )

@@ -18,8 +18,8 @@ samples as (
     list_concat(
       list_concat(
         case when l_returnflag = 'N' then [] else [
-          {'fn': p_name, 'bin': '/opt/shop/' || lower(p_type), 'build': 'b' || (p_partkey % 8),
-           'addr': 4194304 + p_size * 64, 'line': cast(p_size as bigint), 'src': lower(p_type) || '.rs'}] end,
+          {'fn': p_name, 'bin': '/opt/shop/' || lower(p_type), 'build': 'b' || lower(p_type),
+           'addr': 4194304 + cast('0x' || substr(md5(p_name || p_type || p_size), 1, 8) as bigint) * 16, 'line': cast(p_size as bigint), 'src': lower(p_type) || '.rs'}] end,
         case when l_linenumber = 7 then [
           {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400,
            'line': cast(7 as bigint), 'src': 'brand.c'},
@@ -671,4 +671,128 @@ PPROF_ORACLES: dict[str, str] = {
     "pprof_roundtrip": NORMALIZED,
 }
 
-ORACLES: dict[str, str] = {**QUERY_ORACLES, **SYMBOL_ORACLES, **CATALOG_ORACLES, **PPROF_ORACLES}
+REPORTS = f"""
+{SAMPLES},
+rows_of as (
+  select *, node || '/' || name as report_id from samples),
+frames_of as (
+  select distinct report_id, unnest(stack) as f from rows_of),
+texts as (
+  select report_id, unnest([f.fn, f.src, f.bin, f.build]) as text from frames_of
+  union select report_id, unnest([sample_type, sample_unit, period_type, period_unit]) from rows_of
+  union select report_id, '' from rows_of)
+"""
+
+SHOWN = """array_to_string(list_transform(stack, lambda f:
+    f.addr || ',4194304,1099515822080,0,' || f.bin || ',' || f.build || ',' ||
+    f.line || '|' || f.fn || '|' || f.fn || '|' || f.src || '|' || {start}), ';')"""
+
+
+def created(entity: str, columns: str) -> str:
+    """Entities of all stacks; those of returned items exist already."""
+    return with_samples(f""",
+        everything as (select distinct {entity}, min(case when pod is not null then 0 else 1 end) as fresh
+                       from (select pod, unnest(stack) as f from samples) group by all)
+        select {columns}, fresh = 1 as created from everything""")
+
+
+LOCATIONS = f"""
+locations as (select distinct build_id || ':' || address as id, address, build_id from shifted)
+"""
+
+REPORT_ORACLES: dict[str, str] = {
+    "string_table": f"""with {REPORTS}
+        select report_id, text, cast(row_number() over (
+          partition by report_id order by text <> '', substr(md5(text), 1, 3), text) - 1 as bigint) as idx
+        from (select distinct report_id, text from texts)""",
+    "mapping_dedup": f"""with {REPORTS}
+        select distinct report_id, f.bin as mapping_file, f.build as mapping_build_id,
+               cast(4194304 as bigint) as mapping_start, cast(1099515822080 as bigint) as mapping_limit,
+               cast(0 as bigint) as mapping_offset
+        from (select report_id, {{'bin': min(f.bin), 'build': f.build}} as f from frames_of group by report_id, f.build)""",
+    "function_dedup": f"""with {REPORTS}
+        select distinct report_id, f.fn as name, f.fn as system_name, f.src as filename, cast(0 as bigint) as start_line
+        from frames_of""",
+    "location_dedup": f"""with {REPORTS}
+        select report_id, cast(addr - 4194304 as bigint) as relative, cast(addr as bigint) as address, 1 as lines
+        from (select distinct report_id, f.build as build, f.addr as addr from frames_of)""",
+    "sample_merge": f"""with {REPORTS}
+        select report_id, cast(len(place) as integer) as locations, cast(sum(value) as bigint) as value
+        from (select report_id, value, list_transform(stack, lambda f: f.build || '/' || f.addr) as place from rows_of)
+        group by report_id, place""",
+    "report_export": f"""with {REPORTS}
+        select report_id, (select max(timestamp) from rows_of m where m.report_id = r.report_id) as timestamp,
+               sample_type, period_unit, {SHOWN.format(start='f.line')} as stack, cast(sum(value) as bigint) as value
+        from rows_of r group by report_id, sample_type, period_unit, stack""",
+    "get_or_create_stacks": with_samples(f"""
+        select {SHOWN.format(start='0')} as stack, max(case when pod is not null then 1 else 0 end) = 0 as created
+        from samples group by stack"""),
+    "get_or_create_functions": created(
+        "f.fn as fn, f.src as src",
+        "cast(0 as bigint) as start_line, fn as name, fn as system_name, src as filename",
+    ),
+    "get_or_create_mappings": created(
+        "f.bin as bin, f.build as build",
+        "cast(4194304 as bigint) as start, cast(1099515822080 as bigint) as \"limit\", "
+        "cast(0 as bigint) as \"offset\", bin as file, build as build_id",
+    ),
+    "get_or_create_locations": created(
+        "f",
+        "cast(f.addr as bigint) as address, f.bin as mapping_file, f.build as mapping_build_id, f.fn as \"function\"",
+    ),
+    "unknown_stacks": with_samples(f"""
+        select {SHOWN.format(start='0')} as stack from samples group by stack
+        having max(case when pod is not null then 1 else 0 end) = 0"""),
+    "unsymbolized_page": f"""with {FUNCTIONS}, {RAW}, {LOCATIONS}
+        select id, cast(address as bigint) as address from locations where id > 'b2' order by id limit 500""",
+    "location_lines": f"""with {FUNCTIONS}, {RAW}, {LOCATIONS},
+        updates as (
+          select 'blibc:' || (4194304 + l_suppkey * 12288 + 2500) as id, l_orderkey * 10 + l_linenumber as seq,
+                 'f' || l_suppkey || ':late.c:' || l_linenumber as lines
+          from lineitem)
+        select id, coalesce((select arg_max(lines, seq) from updates u where u.id = l.id), '') as lines
+        from locations l
+        union all
+        select 'bapp:4206592', 'main:main.c:1'""",
+    "agents_status": """
+        select case when user_id % 2 = 0 then 'node' || user_id else '10.0.0.' || user_id end as agent_id,
+               arg_max(case when event_type = 'error' then 'push failed' else '' end, (ts, event_id)) as e,
+               max(ts) as last_push,
+               arg_max(cast(round(value * 100) as bigint), (ts, event_id)) as last_push_duration
+        from events group by 1""",
+    "targets_by_state": """
+        select n_name as job, s_name as target, 'active' as state,
+               case when s_acctbal < 0 then 'bad' when s_acctbal > 5000 then 'good' else 'unknown' end as health
+        from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 <> 0""",
+    "target_jobs": """
+        select n_name as job, count(*) as targets,
+               count(*) filter (where s_acctbal >= 0 and s_acctbal <= 5000) as unknown,
+               count(*) filter (where s_acctbal > 5000) as good,
+               count(*) filter (where s_acctbal < 0) as bad
+        from supplier join nation on s_nationkey = n_nationkey group by 1""",
+    "store_scan": profile(
+        """select stack, sum(value) as v from samples
+           where timestamp >= epoch_ms(timestamp '1997-01-01') and timestamp < epoch_ms(timestamp '1999-01-01')
+           group by 1"""
+    ),
+    "stream_ingest": NORMALIZED,
+    "stream_range": """
+        select event_type as type, epoch_ms(ts) - epoch_ms(ts) % 3600000 as bucket,
+               cast(sum(cast(round(value * 100) as bigint)) as bigint) as value,
+               sum(cast(round(value * 100) as bigint)) / 3600.0 as value_per_second
+        from events group by 1, 2""",
+    "stream_lifecycle": CATALOG_ORACLES["upload_lifecycle"],
+}
+REPORT_ORACLES["agents_status"] = (
+    "select agent_id, nullif(e, '') as last_error, last_push, last_push_duration from ("
+    + REPORT_ORACLES["agents_status"]
+    + ")"
+)
+
+ORACLES: dict[str, str] = {
+    **QUERY_ORACLES,
+    **SYMBOL_ORACLES,
+    **CATALOG_ORACLES,
+    **PPROF_ORACLES,
+    **REPORT_ORACLES,
+}

@@ -11,9 +11,22 @@ from pyspark.sql import functions as F
 from flamelake.functions.frames import function_names, joined
 from flamelake.functions.workdir import fresh_path
 from flamelake.functions.demangle import demangle
-from flamelake.operators import addresses, catalog, discovery, normalize, reports, select, symbolize, timeseries
-from flamelake.schema import LABEL_COLUMNS
-from flamelake.sources import pprof
+from flamelake.operators import (
+    addresses,
+    catalog,
+    discovery,
+    metastore,
+    normalize,
+    report,
+    reports,
+    select,
+    status,
+    symbolize,
+    timeseries,
+)
+from flamelake.schema import LABEL_COLUMNS, SAMPLES
+from flamelake.sources import pprof, store
+from flamelake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,3 +483,222 @@ def pprof_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     pprof.write_pprof(fx.derived_messages(spark, sf), blobs)
     pprof.write_messages(pprof.decode(spark.read.parquet(blobs)), staged)
     return shown_samples(normalize.normalize(pprof.read_messages(spark, staged), fx.series(spark, sf)))
+
+
+# --- reports back to pprof ---------------------------------------------------------
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder and read back, for inputs that are used several times."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _report(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    stacks, meta = fx.report_inputs(spark, sf)
+    return staged(stacks, "stacks"), staged(meta, "meta")
+
+
+@register
+def string_table(spark: SparkSession, sf: str) -> DataFrame:
+    return report.string_table(report.report_strings(*_report(spark, sf)))
+
+
+@register
+def mapping_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.mappings(report.frames_of(_report(spark, sf)[0]))
+    return rows.drop("mapping_key")
+
+
+@register
+def function_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.functions(report.frames_of(_report(spark, sf)[0]))
+    return rows.drop("function_key")
+
+
+@register
+def location_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.locations(report.frames_of(_report(spark, sf)[0]))
+    return rows.select("report_id", "relative", "address", F.size("lines").alias("lines"))
+
+
+@register
+def sample_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.merged_samples(_report(spark, sf)[0])
+    return rows.select("report_id", F.size("location_keys").alias("locations"), "value")
+
+
+@register
+def report_export(spark: SparkSession, sf: str) -> DataFrame:
+    """All reports as gzipped pprof, read back and normalised."""
+    stacks, meta = _report(spark, sf)
+    blobs, messages = fresh_path(spark, "reports"), fresh_path(spark, "messages")
+    pprof.write_pprof(report.report_messages(stacks, meta), blobs)
+    pprof.write_messages(pprof.decode(spark.read.parquet(blobs)), messages)
+    name = F.struct(F.lit("__name__").alias("name"), F.col("report_id").alias("value"))
+    raw = meta.select(F.col("report_id").alias("profile_id"), F.array(name).alias("labels"))
+    rows = normalize.normalize(pprof.read_messages(spark, messages), raw)
+    return rows.select(
+        F.col("name").alias("report_id"), "timestamp", "sample_type", "period_unit", shown_frames().alias("stack"), "value"
+    )
+
+
+# --- metastore and status -------------------------------------------------------------
+
+
+def _returned(rows: DataFrame) -> DataFrame:
+    return rows.where("`labels.pod` is not null")
+
+
+def _stacks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All stacks, and those of returned items as the ones already stored."""
+    rows = fx.samples(spark, sf)
+    return rows.select("stacktrace"), _returned(rows).select("stacktrace")
+
+
+def _stored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(metastore.content_id(*columns).alias("id")).distinct()
+
+
+@register
+def get_or_create_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    wanted, known = _stacks(spark, sf)
+    rows = metastore.get_or_create(wanted, _stored(known, ["stacktrace"]), ["stacktrace"])
+    return rows.select(shown_frames().alias("stack"), "created")
+
+
+@register
+def get_or_create_functions(spark: SparkSession, sf: str) -> DataFrame:
+    wanted, known = (metastore.functions_of(s) for s in _stacks(spark, sf))
+    columns = ["start_line", "name", "system_name", "filename"]
+    return metastore.get_or_create(wanted, _stored(known, columns), columns).drop("id")
+
+
+@register
+def get_or_create_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    wanted, known = (metastore.mappings_of(s) for s in _stacks(spark, sf))
+    columns = ["start", "limit", "offset", "file", "build_id"]
+    return metastore.get_or_create(wanted, _stored(known, columns), columns).drop("id")
+
+
+@register
+def get_or_create_locations(spark: SparkSession, sf: str) -> DataFrame:
+    wanted, known = (metastore.locations_of(s) for s in _stacks(spark, sf))
+    columns = wanted.columns
+    rows = metastore.get_or_create(wanted, _stored(known, columns), columns)
+    return rows.select(
+        "address", "mapping_file", "mapping_build_id", F.col("lines")[0]["function_name"].alias("function"), "created"
+    )
+
+
+@register
+def unknown_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.with_stack_ids(fx.samples(spark, sf))
+    known = metastore.stacktraces_of(_returned(rows))
+    missing = metastore.unknown_stacktraces(rows, known)
+    dictionary = metastore.stacktraces_of(rows).distinct()
+    return metastore.lookup(dictionary, missing, "stacktrace_id").select(shown_frames().alias("stack"))
+
+
+def _locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw locations under a readable key."""
+    key = F.concat_ws(":", "mapping_build_id", F.col("address").cast("string"))
+    return metastore.locations_of(fx.raw_samples(spark, sf)).distinct().select(key.alias("id"), "*")
+
+
+@register
+def unsymbolized_page(spark: SparkSession, sf: str) -> DataFrame:
+    return metastore.unsymbolized_page(_locations(spark, sf), 500, "b2").select("id", "address")
+
+
+@register
+def location_lines(spark: SparkSession, sf: str) -> DataFrame:
+    locations = _locations(spark, sf)
+    line = F.struct(
+        F.col("l_linenumber").cast("bigint").alias("line"),
+        F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("function_name"),
+        F.lit(None).cast("string").alias("function_system_name"),
+        F.lit("late.c").alias("function_filename"),
+        F.lit(0).cast("bigint").alias("function_start_line"),
+    )
+    updates = fx.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("blibc:"), F.expr("cast(4194304 + l_suppkey * 12288 + 2500 as string)")).alias("id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.array(line).cast(locations.schema["lines"].dataType).alias("lines"),
+    )
+    return metastore.create_location_lines(locations, updates).select("id", joined_lines("lines").alias("lines"))
+
+
+@register
+def agents_status(spark: SparkSession, sf: str) -> DataFrame:
+    return status.agents_status(fx.pushes(spark, sf), "pushed_at", "event_id")
+
+
+@register
+def targets_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    return status.targets_by_state(fx.targets(spark, sf), "active")
+
+
+@register
+def target_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return status.jobs(status.targets_by_state(fx.targets(spark, sf)))
+
+
+# --- store and streams ------------------------------------------------------------------
+
+
+@register
+def store_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Write samples and their stacks to the store, then merge by stack id over two years."""
+    none = F.lit(None)
+    rows = fx.with_stack_ids(fx.samples(spark, sf)).select(
+        "*",
+        *[none.cast(SAMPLES[c].dataType).alias(c) for c in ("series_labels", "sample_labels", "num_labels")],
+        F.col("date").alias("ingest_date"),
+    )
+    # The samples of a year in one folder per year of the fixture's dates keeps the number of files small.
+    rows = rows.withColumn("date", F.trunc("date", "year"))
+    samples_path, stacks_path = fresh_path(spark, "store"), fresh_path(spark, "stacks")
+    store.write_samples(rows.repartition("date"), samples_path)
+    store.write_stacks(rows, stacks_path)
+    kept = store.read_samples(spark, samples_path).where("date between '1997-01-01' and '1998-12-31'")
+    return shown(select.aggregate_stacks(kept, spark.read.parquet(stacks_path)))
+
+
+@register
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Arriving pprof files through the micro-batched ingest, read back from the store."""
+    blobs, source = fresh_path(spark, "pprof"), fresh_path(spark, "arriving")
+    pprof.write_pprof(fx.derived_messages(spark, sf), blobs)
+    raw = spark.read.parquet(blobs).join(fx.series(spark, sf), "profile_id")
+    raw.select(*ingest.RAW.names).repartition(ingest.FILES_PER_BATCH).write.parquet(source)
+    target = fresh_path(spark, "store")
+    ingest.ingest_stream(
+        spark, source, target, fresh_path(spark, "staging"), fresh_path(spark, "checkpoint")
+    ).awaitTermination()
+    return shown_samples(ingest.read_stream_store(spark, target))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    schema = fx.table(spark, sf, "events").schema
+    return ingest.file_stream(spark, f"{sf}/events*.parquet", schema, ingest.FILES_PER_BATCH)
+
+
+@register
+def stream_range(spark: SparkSession, sf: str) -> DataFrame:
+    out, step = fresh_path(spark, "rollup"), 3_600_000
+    ingest.rollup_stream(
+        fx.event_samples(_events(spark, sf)), out, fresh_path(spark, "checkpoint"), step, ["type"]
+    ).awaitTermination()
+    return ingest.read_rollup(spark, out, ["type"], step)
+
+
+@register
+def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    events, log = fresh_path(spark, "events"), fresh_path(spark, "log")
+    rows = fx.lifecycle_events(spark, sf)
+    rows.repartition(2 * ingest.FILES_PER_BATCH).write.parquet(events)
+    arriving = ingest.file_stream(spark, events, rows.schema, ingest.FILES_PER_BATCH)
+    ingest.lifecycle_stream(arriving, log, fresh_path(spark, "checkpoint")).awaitTermination()
+    return flat_catalog(ingest.read_lifecycle(spark, log))
