@@ -73,7 +73,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_brand"),
         F.lit("/usr/lib/libbrand.so"),
         F.lit("blib"),
-        F.lit(4198400),
+        F.expr("4198400 + cast(substr(p_brand, 7) as int) * 64"),
         F.lit(7),
         F.lit("brand.c"),
     )

@@ -21,12 +21,12 @@ samples as (
           {'fn': p_name, 'bin': '/opt/shop/' || lower(p_type), 'build': 'b' || lower(p_type),
            'addr': 4194304 + cast('0x' || substr(md5(p_name || p_type || p_size), 1, 8) as bigint) * 16, 'line': cast(p_size as bigint), 'src': lower(p_type) || '.rs'}] end,
         case when l_linenumber = 7 then [
-          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400,
+          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400 + cast(substr(p_brand, 7) as integer) * 64,
            'line': cast(7 as bigint), 'src': 'brand.c'},
-          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400,
+          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400 + cast(substr(p_brand, 7) as integer) * 64,
            'line': cast(7 as bigint), 'src': 'brand.c'}]
         else [
-          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400,
+          {'fn': p_brand, 'bin': '/usr/lib/libbrand.so', 'build': 'blib', 'addr': 4198400 + cast(substr(p_brand, 7) as integer) * 64,
            'line': cast(7 as bigint), 'src': 'brand.c'}] end),
       [{'fn': n_name, 'bin': '/usr/bin/python3.11', 'build': 'bpy', 'addr': 4202496 + n_nationkey * 16,
         'line': cast(n_nationkey as bigint), 'src': 'region_' || n_regionkey || '.py'},
