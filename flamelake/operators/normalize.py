@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flamelake.functions.frames import stacktrace_id
 from flamelake.functions.skew import skew_join
+from flamelake.functions.workdir import stage
 from flamelake.schema import FRAME, LABEL_COLUMNS, METADATA_LABELS, SAMPLES
 from flamelake.sources.pprof import REJECT
 
@@ -352,7 +353,8 @@ def normalize(messages: DataFrame, raw: DataFrame, ingest_date: Column | None =
     """
     series = split_series(raw).where("error is null").select("profile_id", "name", "labels")
     counts = raw.select("profile_id", "executables") if "executables" in raw.columns else None
-    good = valid_messages(messages, counts)
+    bad = stage(violations(messages, counts).select("profile_id").distinct(), "invalid-profiles")
+    good = messages.join(bad, "profile_id", "left_anti")
     meta = profile_meta(good).join(series, "profile_id").withColumnRenamed("labels", "series_labels")
     day = ingest_date if ingest_date is not None else F.current_date()
     rows = (

@@ -13,6 +13,7 @@ from flamelake.functions import u64
 from flamelake.functions.demangle import demangled_names
 from flamelake.functions.frames import stacktrace_id
 from flamelake.functions.skew import skew_join
+from flamelake.functions.workdir import stage
 from flamelake.operators.addresses import OK, normalize_addresses
 from flamelake.operators.asof import asof_lookup
 from flamelake.operators.rangejoin import interval_lookup
@@ -211,13 +212,17 @@ def resolve_addresses(
     placed = normalize_addresses(probes, segments).join(choice, "build_id", "left")
     gate = F.coalesce("resolver", F.lit("error: debug information not found"))
     usable = gate.isin("line ranges", "symbols") & (F.col("status") == OK)
-    placed = placed.withColumn("resolver", gate).withColumn("normalized", F.when(usable, F.col("normalized")))
+    placed = stage(
+        placed.withColumn("resolver", gate).withColumn("normalized", F.when(usable, F.col("normalized"))),
+        "placed-addresses",
+    )
     target = placed.where("normalized is not null").select(
         "build_id", F.col("normalized").alias("address"), "resolver"
     )
     rows = range_lines(target.where("resolver = 'line ranges'"), line_ranges).unionByName(
         symbol_lines(target.where("resolver = 'symbols'"), symbols)
     )
+    rows = stage(rows, "resolved-rows")
     lines = collect_lines(named_lines(rows, dictionary)).withColumnRenamed("address", "normalized")
     status = (
         F.when(F.col("resolver").startswith("error"), F.col("resolver"))

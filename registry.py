@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flamelake.functions.frames import function_names, joined
-from flamelake.functions.workdir import fresh_path
+from flamelake.functions.workdir import fresh_path, stage
 from flamelake.functions.demangle import demangle
 from flamelake.operators import (
     addresses,
@@ -488,21 +488,15 @@ def pprof_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 # --- reports back to pprof ---------------------------------------------------------
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back, for inputs that are used several times."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _report(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     stacks, meta = fx.report_inputs(spark, sf)
-    return staged(stacks, "stacks"), staged(meta, "meta")
+    return stage(stacks, "stacks"), stage(meta, "meta")
 
 
 @register
 def string_table(spark: SparkSession, sf: str) -> DataFrame:
-    return report.string_table(report.report_strings(*_report(spark, sf)))
+    stacks, meta = _report(spark, sf)
+    return report.string_table(report.report_strings(report.frames_of(stacks), meta))
 
 
 @register
