@@ -498,7 +498,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
-    orders, lines = _orders(spark, sf), _numbered_lines(spark, sf)
+    orders, lines = _orders(spark, sf), spread(_numbered_lines(spark, sf))
     pos, qty = F.col("pos"), F.col("l_quantity").cast("bigint")
     strings = [
         _if_broken(1, F.lit("x"), F.lit("")),

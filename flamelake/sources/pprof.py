@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flamelake.functions.workdir import fresh_path
+from flamelake.functions.workdir import fresh_path, stage
 from flamelake.sources import wire
 
 REJECT = "reject"
@@ -54,20 +54,31 @@ MESSAGES = T.StructType(
     ]
 )
 
+_ARROW_MESSAGES = to_arrow_schema(MESSAGES)
 
-def _messages(profile_id: str, blob: bytes | None) -> Iterator[dict]:
-    def row(kind: str, pos: int, **columns) -> dict:
-        return {"profile_id": profile_id, "kind": kind, "pos": pos, **columns}
 
+def _messages(blob: bytes | None) -> Iterator[tuple[str, int, object]]:
     if blob is None or blob[:2] != b"\x1f\x8b":
-        yield row(REJECT, 0, string="not gzip")
+        yield REJECT, 0, "not gzip"
         return
     try:
-        data = gzip.decompress(blob)
-        for kind, pos, message in wire.read_profile(data):
-            yield row(kind, pos, **{kind: message})
+        yield from wire.read_profile(gzip.decompress(blob))
     except (wire.Malformed, OSError, EOFError, zlib.error) as error:
-        yield row(REJECT, 0, string=f"{type(error).__name__}: {error}")
+        yield REJECT, 0, f"{type(error).__name__}: {error}"
+
+
+def _batch(kind: str, rows: list[tuple[str, int, object]]) -> pa.RecordBatch:
+    """Messages of one kind; the columns of the other kinds are null."""
+    ids, positions, bodies = zip(*rows, strict=True)
+    column = "string" if kind == REJECT else kind
+    arrays = {"profile_id": ids, "kind": [kind] * len(rows), "pos": positions, column: bodies}
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(arrays[f.name], f.type) if f.name in arrays else pa.nulls(len(rows), f.type)
+            for f in _ARROW_MESSAGES
+        ],
+        schema=_ARROW_MESSAGES,
+    )
 
 
 def decode(raw: DataFrame) -> DataFrame:
@@ -76,19 +87,19 @@ def decode(raw: DataFrame) -> DataFrame:
     A blob that cannot be read gives a ``reject`` row with the reason; the
     messages read before the fault are ignored by validation.
     """
-    schema = to_arrow_schema(MESSAGES)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer: list[dict] = []
+        buffers: dict[str, list] = {}
         for batch in batches:
-            for profile_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for message in _messages(profile_id, blob.as_py()):
-                    buffer.append(message)
+            for profile_id, blob in zip(batch.column(0), batch.column(1), strict=True):
+                key = profile_id.as_py()
+                for kind, pos, message in _messages(blob.as_py()):
+                    buffer = buffers.setdefault(kind, [])
+                    buffer.append((key, pos, message))
                     if len(buffer) >= _BATCH:
-                        yield pa.RecordBatch.from_pylist(buffer, schema)
-                        buffer = []
-        if buffer:
-            yield pa.RecordBatch.from_pylist(buffer, schema)
+                        yield _batch(kind, buffers.pop(kind))
+        for kind, buffer in buffers.items():
+            yield _batch(kind, buffer)
 
     return raw.select("profile_id", "raw_profile").mapInArrow(rows, MESSAGES)
 
@@ -115,19 +126,30 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 # --- export --------------------------------------------------------------------
 
 
-def encode_fields(messages: DataFrame) -> DataFrame:
-    """``(profile_id, kind, pos, field)``: each message as the bytes of its profile field."""
-    schema = pa.schema(
-        [("profile_id", pa.string()), ("kind", pa.string()), ("pos", pa.int64()), ("field", pa.binary())]
-    )
+def _encode_kind(messages: DataFrame, kind: str) -> DataFrame:
+    schema = pa.schema([("profile_id", pa.string()), ("pos", pa.int64()), ("field", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = [wire.write_field(m["kind"], m[m["kind"]]) for m in batch.to_pylist()]
-            keys = [batch.column(name) for name in ("profile_id", "kind", "pos")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(fields, pa.binary())], schema=schema)
+            fields = [wire.write_field(kind, message) for message in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(fields, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    narrow = messages.where(F.col("kind") == kind).select("profile_id", "pos", kind)
+    return narrow.mapInArrow(rows, "profile_id string, pos bigint, field binary").withColumn("kind", F.lit(kind))
 
-    return messages.mapInArrow(rows, "profile_id string, kind string, pos bigint, field binary")
+
+def encode_fields(messages: DataFrame) -> DataFrame:
+    """``(profile_id, pos, field, kind)``: each message as the bytes of its profile field.
+
+    One pass per kind, over a staged table that is partitioned by kind: only
+    the one column that is set goes to Python.
+    """
+    encoded = [_encode_kind(messages, kind) for kind in KINDS]
+    united = encoded[0]
+    for rows in encoded[1:]:
+        united = united.unionByName(rows)
+    return united
 
 
 @F.pandas_udf(T.BinaryType())
@@ -146,7 +168,7 @@ def pprof_parts(messages: DataFrame, part_messages: int = PART_MESSAGES) -> Data
     encoded by many tasks, each part holding at most ``part_messages`` messages.
     """
     return (
-        encode_fields(messages.where(F.col("kind").isin(*KINDS)))
+        encode_fields(messages)
         .withColumn("part_kind", _ordered_kind())
         .withColumn("part_no", F.floor(F.col("pos") / part_messages))
         .groupBy("profile_id", "part_kind", "part_no")
@@ -155,11 +177,12 @@ def pprof_parts(messages: DataFrame, part_messages: int = PART_MESSAGES) -> Data
 
 
 def write_pprof(messages: DataFrame, path: str) -> None:
-    """Write ``pprof_files`` rows to a table; parts are staged, so each message is encoded once."""
+    """Write ``pprof_files`` rows to a table; messages and parts are staged, so each is made once."""
     spark = messages.sparkSession
-    staged = fresh_path(spark, "parts")
-    pprof_parts(messages).write.parquet(staged)
-    pprof_files(spark.read.parquet(staged)).write.mode("overwrite").parquet(path)
+    by_kind = fresh_path(spark, "messages")
+    write_messages(messages, by_kind)
+    parts = stage(pprof_parts(read_messages(spark, by_kind)), "parts")
+    pprof_files(parts).write.mode("overwrite").parquet(path)
 
 
 def pprof_files(parts: DataFrame, max_size: int = MAX_BLOB_SIZE) -> DataFrame:
