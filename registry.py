@@ -324,7 +324,7 @@ def upload_decision_documented(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def initiate_checks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.initiate_uploads(_decisions(spark, sf, "observed"))
+    rows = catalog.initiate_uploads(_decisions(spark, sf, "observed"), F.expr(fx.NOW))
     return rows.select("build_id", "type", "status", F.col("upload_id").isNotNull().alias("initiated"))
 
 
