@@ -210,32 +210,41 @@ def profile_meta(messages: DataFrame) -> DataFrame:
 
 
 def sample_labels(messages: DataFrame) -> DataFrame:
-    """``sample_labels`` and ``num_labels`` per sample: the first text and the first number of each key."""
+    """``sample_labels`` and ``num_labels`` per sample: the first text and the first number of each key.
+
+    Texts are looked up once per distinct (key, text) pair of a profile; the
+    samples then join that short list.
+    """
     entries = (
         of_kind(messages, "sample")
         .select("profile_id", F.col("pos").alias("sample_no"), F.posexplode("label").alias("label_no", "label"))
         .select("profile_id", "sample_no", "label_no", "label.key", F.col("label.str").alias("str"), "label.num")
     )
-    key = ["profile_id", "sample_no", "label_no", "num"]
-    texts = resolve_strings(
-        entries.withColumn("_str", F.when(F.col("str") != 0, F.col("str"))),
-        strings(messages),
-        key,
-        {"name": "key", "text": "_str"},
-        skew_join,
-    )
-    first = texts.groupBy("profile_id", "sample_no", "name").agg(
-        F.min(F.when(F.col("text").isNotNull(), F.struct("label_no", "text"))).alias("text"),
-        F.min(F.when(F.col("num") != 0, F.struct("label_no", "num"))).alias("num"),
+    pair = ["profile_id", "key", "str"]
+    pairs = entries.select(*pair, F.when(F.col("str") != 0, F.col("str")).alias("_str")).distinct()
+    texts = resolve_strings(pairs, strings(messages), pair, {"name": "key", "text": "_str"}, skew_join)
+    # One group is one sample; its list is as long as the sample has labels.
+    listed = (
+        skew_join(entries, texts, pair)
+        .groupBy("profile_id", "sample_no")
+        .agg(F.sort_array(F.collect_list(F.struct("label_no", "name", "text", "num"))).alias("entries"))
     )
-    # One group is one sample; its list is as long as the sample has label keys.
-    return first.groupBy("profile_id", "sample_no").agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("name", "text.text"))))
-        ).alias("sample_labels"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(F.col("num").isNotNull(), F.struct("name", "num.num"))))
-        ).alias("num_labels"),
+
+    def first_of_each_key(kept: str, names: str, value: str) -> Column:
+        first = F.filter(kept, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+        return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x[value])))
+
+    kept = listed.withColumns(
+        {
+            "texts": F.filter("entries", lambda x: x["text"].isNotNull()),
+            "nums": F.filter("entries", lambda x: x["num"] != 0),
+        }
+    ).withColumns({"text_names": F.col("texts.name"), "num_names": F.col("nums.name")})
+    return kept.select(
+        "profile_id",
+        "sample_no",
+        first_of_each_key("texts", "text_names", "text").alias("sample_labels"),
+        first_of_each_key("nums", "num_names", "num").alias("num_labels"),
     )
 
 
