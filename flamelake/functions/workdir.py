@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Root every executor can reach.
 
-    A folder of this machine is set only for a session that runs on this
+    A folder of this machine is used only for a session that runs on this
     machine alone; a cluster without the setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="flamelake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="flamelake-")
+    return _LOCAL_ROOTS[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -651,10 +651,10 @@ def store_scan(spark: SparkSession, sf: str) -> DataFrame:
         *[none.cast(SAMPLES[c].dataType).alias(c) for c in ("series_labels", "sample_labels", "num_labels")],
         F.col("date").alias("ingest_date"),
     )
-    # The samples of a year in one folder per year of the fixture's dates keeps the number of files small.
+    # The table spans years with few rows a day, so the folders of this query are years.
     rows = rows.withColumn("date", F.trunc("date", "year"))
     samples_path, stacks_path = fresh_path(spark, "store"), fresh_path(spark, "stacks")
-    store.write_samples(rows.repartition("date"), samples_path)
+    store.write_samples(rows, samples_path)
     store.write_stacks(rows, stacks_path)
     kept = store.read_samples(spark, samples_path).where("date between '1997-01-01' and '1998-12-31'")
     return shown(select.aggregate_stacks(kept, spark.read.parquet(stacks_path)))
@@ -666,7 +666,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     blobs, source = fresh_path(spark, "pprof"), fresh_path(spark, "arriving")
     pprof.write_pprof(fx.derived_messages(spark, sf), blobs)
     raw = spark.read.parquet(blobs).join(fx.series(spark, sf), "profile_id")
-    raw.select(*ingest.RAW.names).repartition(ingest.FILES_PER_BATCH).write.parquet(source)
+    raw.select(*ingest.RAW.names).write.parquet(source)
     target = fresh_path(spark, "store")
     ingest.ingest_stream(
         spark, source, target, fresh_path(spark, "staging"), fresh_path(spark, "checkpoint")
@@ -692,7 +692,7 @@ def stream_range(spark: SparkSession, sf: str) -> DataFrame:
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     events, log = fresh_path(spark, "events"), fresh_path(spark, "log")
     rows = fx.lifecycle_events(spark, sf)
-    rows.repartition(2 * ingest.FILES_PER_BATCH).write.parquet(events)
+    rows.write.parquet(events)
     arriving = ingest.file_stream(spark, events, rows.schema, ingest.FILES_PER_BATCH)
     ingest.lifecycle_stream(arriving, log, fresh_path(spark, "checkpoint")).awaitTermination()
     return flat_catalog(ingest.read_lifecycle(spark, log))
