@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from flamelake.llm import decontaminate
+import public_tokenizers
+
+from flamelake.llm import bpe, decontaminate, token_counts, transducer
 from flamelake.llm.common import table
 
 
+def op3_token_counts(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op4_bpe(spark, sf_dir):
+    ids = bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = transducer.encode(table(spark, sf_dir, "documents"), ids, public_tokenizers.PATTERN)
+    return transducer.digests(transducer.decode(encoded, ids))
+
+
 def op8_decontaminate(spark, sf_dir):
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(hits)
 
 
-QUERIES = {f.__name__: f for f in (op8_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe, op8_decontaminate)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
