@@ -1,11 +1,13 @@
-"""Registered queries of the text operators and the SQL that states the same results."""
+"""Registered queries of the text operators."""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from flamelake.llm import bpe, decontaminate, token_counts, transducer
+from flamelake.llm import bpe, decontaminate, quality_rules, token_counts, transducer
 from flamelake.llm.common import table
+from flamelake.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 
 
 def op3_token_counts(spark, sf_dir):
@@ -24,31 +26,9 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.judged(hits)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe, op8_decontaminate)}
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-ORACLES: dict[str, str] = {
-    "op8_decontaminate": f"""
-with d as (select doc_id, {_ITEM_WORDS} as w from documents),
-b as (select item_id, {_ITEM_WORDS} as w from benchmark),
-bw as (
-    select distinct item_id, least(len(w), 13) as n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as k
-    from (select *, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i from b where len(w) > 0)
-),
-dw as (
-    select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as k
-    from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)
-),
-hit as (select doc_id, item_id, i, n from dw join bw using (n, k)),
-covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
-items as (
-    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
-    from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1
-)
-select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join covered using (doc_id) left join items using (doc_id)
-""",
-}
+def op10_quality_rules(spark, sf_dir):
+    judged = quality_rules.rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe, op8_decontaminate, op10_quality_rules)}
