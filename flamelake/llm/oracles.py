@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flamelake.llm import licenses
 from flamelake.llm import quality_rules as rules
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,7 +72,38 @@ from v
 """
 
 
+def license_sql() -> str:
+    names = ", ".join(f"('{key}', '{name}')" for key, name in licenses.known().items())
+    steps = []
+    for n, (_, rule) in enumerate(licenses.RULES):
+        text = licenses.sequence(rule)
+        for c in "sp":
+            steps.append(f"contains({c}{n}, '{text}') as {c}_hit{n}, replace({c}{n}, '{text}', '|') as {c}{n + 1}")
+    hits = "[" + ", ".join(f"case when s_hit{n} or p_hit{n} then '{name}' end" for n, (name, _) in enumerate(licenses.RULES)) + "]"
+    last = len(licenses.RULES)
+    cut = "select doc_id, n, '{kind}' as kind, unnest(string_split_regex(body, '{end}')) as part, generate_subscripts(string_split_regex(body, '{end}'), 1) as pos from d"
+    return f"""
+with known(sentence, id) as (values {names}),
+d as (select row_number() over () as n, doc_id, coalesce(text, '') as body from documents),
+parts as ({cut.format(kind="s", end=licenses.BY_LINE)} union all {cut.format(kind="p", end=licenses.BY_PARAGRAPH)}),
+sentences as (select n, kind, pos, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) as sentence from parts),
+marked as (select s.*, id from sentences s left join known using (sentence)),
+seq as (
+    select n, string_agg(id, ',' order by pos) filter (kind = 's') as ids,
+        coalesce(string_agg('<' || id || '>', '' order by pos) filter (kind = 's'), '') as s0,
+        coalesce(string_agg('<' || id || '>', '' order by pos) filter (kind = 'p'), '') as p0,
+        count(*) filter (kind = 's' and id is null and regexp_matches(sentence, '{licenses.TRIGGER}')) as n_unknown
+    from marked group by 1
+),
+m as (select *, {", ".join(steps)} from seq)
+select doc_id, array_to_string(list_filter({hits}, lambda x, i: x is not null and not list_contains({hits}[: i - 1], x)), ',') as licenses, coalesce(ids, '') as sentence_ids,
+    cast(length(s{last}) - length(replace(s{last}, '<', '')) as bigint) as n_unmatched, n_unknown
+from d join m using (n)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_sql(),
     "op10_quality_rules": quality_sql(),
     "op8_decontaminate": f"""
 with d as (select doc_id, {_ITEM_WORDS} as w from documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flamelake.llm import bpe, decontaminate, language_id, quality_rules, token_counts, transducer
+from flamelake.llm import bpe, decontaminate, language_id, licenses, quality_rules, token_counts, transducer
 from flamelake.llm.common import held_out, table
 from flamelake.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 
@@ -19,6 +19,11 @@ def op1_language_id(spark, sf_dir):
     return spans.select("doc_id", held_out().alias("held_out"), lang.alias("lang_pred"), score.alias("score"), n_spans)
 
 
+def op2_license_scan(spark, sf_dir):
+    scanned = licenses.scan(table(spark, sf_dir, "documents"))
+    return scanned.withColumns({c: F.array_join(c, ",") for c in ("licenses", "sentence_ids")})
+
+
 def op3_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -40,4 +45,4 @@ def op10_quality_rules(spark, sf_dir):
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_bpe, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op8_decontaminate, op10_quality_rules)}
