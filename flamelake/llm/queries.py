@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flamelake.llm import bpe, decontaminate, language_id, licenses, near_dup, quality_rules, token_counts, transducer
+from flamelake.llm import bpe, decontaminate, language_id, licenses, near_dup, quality_mil, quality_rules, token_counts, transducer
 from flamelake.llm.common import held_out, table
 from flamelake.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 
@@ -39,6 +39,13 @@ def op6_near_duplicates(spark, sf_dir):
     return near_dup.groups(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.where(~held_out()).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scored = quality_mil.score(docs, quality_mil.fit(known.select("text", "label")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_decontaminate(spark, sf_dir):
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(hits)
@@ -49,4 +56,4 @@ def op10_quality_rules(spark, sf_dir):
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op6_near_duplicates, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op6_near_duplicates, op7_quality_classifier, op8_decontaminate, op10_quality_rules)}
