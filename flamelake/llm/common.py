@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flamelake.functions import workdir
+
 Row = tuple
 
 
@@ -36,6 +38,31 @@ def parse(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """``workdir.stage`` whose shuffle files go as soon as the table is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return workdir.stage(df, label)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def map_columns(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, rows: int = 512) -> DataFrame:
+    """As ``map_rows``, for functions that return whole columns (arrays of equal length)."""
+    fields = parse(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, out = make(), arrow_schema(fields)
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                made = work([c.to_pylist() for c in batch.slice(start, rows).columns])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, fields)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[Row]]], schema: str, rows: int = 512) -> DataFrame:
     """One Arrow pass: ``make()`` runs once a task and gives a function from input columns to output rows.
 

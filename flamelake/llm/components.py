@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flamelake.functions.workdir import stage
+from flamelake.llm.common import stage
 
 
 def _towards(edges: DataFrame, both: bool) -> DataFrame:

@@ -31,9 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flamelake.functions.workdir import stage
 from flamelake.llm import hashing
-from flamelake.llm.common import id_text, map_rows
+from flamelake.llm.common import id_text, map_rows, stage
 from flamelake.llm.components import components
 
 SIZE, SHARED = 96, 50

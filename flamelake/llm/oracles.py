@@ -20,7 +20,7 @@ def quality_sql() -> str:
     classes = ", ".join(
         f"length(regexp_replace({text}, '[^{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in rules.CLASSES.values()
     )
-    classes = classes.replace("\\u0080", "\\x{80}")
+    classes = f"length({text}) - length(array_to_string(words, '')), " + classes.replace("\\u0080", "\\x{80}")
     common = ", ".join(f"len(list_filter(low, lambda x: x = '{w}'))" for w in rules.COMMON)
 
     def best(counts: str) -> str:
@@ -37,14 +37,14 @@ def quality_sql() -> str:
 
     return f"""
 with w as (
-    select row_number() over () as n, doc_id, lang, {text} as body, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') as words,
-        [{classes}] as classes
+    select row_number() over () as n, doc_id, lang, {text} as body, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') as words
     from documents
 ),
+counted as (select *, [{classes}] as classes from (select *, body as text from w)),
 m as (
     select n, lang, list_concat(classes, [length(body) - list_sum(classes)]) as chars,
         list_concat(common, [len(words) - list_sum(common)]) as common
-    from (select *, [{common}] as common from (select *, list_transform(words, lambda x: lower(x)) as low from w))
+    from (select *, [{common}] as common from (select *, list_transform(words, lambda x: lower(x)) as low from counted))
 ),
 lines as (
     select n, count(*) - count(distinct line) as dup

@@ -21,6 +21,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flamelake.llm.common import stage
+
+
 #: Frequent short words of each language, lower case.
 COMMON = (
     "the", "of", "and", "to", "in", "is", "that", "for",
@@ -28,14 +31,13 @@ COMMON = (
     "der", "die", "und", "den", "das", "ein", "zu", "ist",
     "que", "el", "en", "los", "las", "y", "por", "con",
 )
-#: Character classes beside "all others" (symbols): ASCII letters, digits, white space, marks of prose, beyond ASCII.
+#: Character classes beside white space and "all others" (symbols): ASCII letters, beyond ASCII, marks of prose, digits.
 CLASSES = {
     "lower": "a-z",
+    "wide": r"\u0080-\x{10FFFF}",
+    "marks": r".,;:?!'\"()\-",
     "upper": "A-Z",
     "digit": "0-9",
-    "blank": r"\x20\x09-\x0D",
-    "marks": r".,;:?!'\"()\-",
-    "wide": r"\u0080-\x{10FFFF}",
 }
 SYMBOLS = "#*$%&|<>"
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -74,7 +76,7 @@ def repeated_words(words: Column) -> Column:
 
     def of(windows: Column) -> Column:
         pairs = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(F.array_sort(pairs), covered)).otherwise(
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(F.sort_array(pairs), covered)).otherwise(
             F.lit(0).cast("bigint")
         )
 
@@ -85,49 +87,60 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(words, lambda w: let(windows(w), of))).otherwise(F.lit(0).cast("bigint"))
 
 
-def _without(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
+def _less(text: Column, members: str) -> Column:
+    return F.regexp_replace(text, f"[{members}]+", "")
 
 
 def measured(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, lang`` and ``keep`` with the base counts and both histograms as arrays of counts."""
+    """``doc_id, lang`` and ``keep`` with the base counts and both histograms as arrays of counts.
+
+    Classes are counted by taking them away one after the other, so that each
+    step reads what the ones before have left.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         *[F.col(f"`{c}`") for c in keep],
         text.alias("_text"),
         words_of(text).alias("_words"),
     )
-    body, words = F.col("_text"), F.col("_words")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    spaced = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
-    counted = split.select(
-        "doc_id",
-        "lang",
-        *[F.col(f"`{c}`") for c in keep],
+    carried = ["doc_id", "lang", *keep]
+    words = F.col("_words")
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    frequent = F.filter(F.transform(words, F.lower), lambda w: w.isin(*COMMON))
+    rows = rows.select(
+        *[F.col(f"`{c}`") for c in carried],
         F.size(words).cast("bigint").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-        _without(body, f"[^{SYMBOLS}]+").cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        F.length(body).alias("_chars"),
-        F.array(*[_without(body, f"[^{c}]+") for c in CLASSES.values()]).alias("_classes"),
-        spaced.alias("_spaced"),
+        F.length("_text").alias("_chars"),
+        F.concat(F.lit(" "), F.array_join(frequent, "  "), F.lit(" ")).alias("_spaced"),
+        F.array_join(words, "").alias("_left"),
     )
+    rows = rows.withColumn("_size", F.length("_left")).withColumn("word_chars", F.col("_size").cast("bigint"))
+    counts = [F.col("_chars") - F.col("word_chars")]
+    for name, members in CLASSES.items():
+        rows = rows.withColumn("_next", _less(F.col("_left"), members))
+        rows = rows.withColumn("_rest", F.length("_next")).withColumn(f"_{name}", F.col("_size") - F.col("_rest"))
+        rows = rows.withColumn("_left", F.col("_next")).withColumn("_size", F.col("_rest")).drop("_next", "_rest")
+        counts.append(F.col(f"_{name}"))
     times = lambda w: (
         F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), F.lit(f" {w} "), F.lit("")))
     ) / F.lit(len(w.encode()) + 2)
-    rest = lambda total, counts: F.concat(
-        counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda n, x: n + x))
+    rows = rows.select(
+        *[F.col(f"`{c}`") for c in carried],
+        "n_words",
+        "word_chars",
+        (F.col("_size") - F.length(_less(F.col("_left"), SYMBOLS))).cast("bigint").alias("n_symbols"),
+        "n_dup_lines",
+        "n_repeat_words",
+        "_chars",
+        F.array(*[c.cast("double") for c in (*counts, F.col("_size"))]).alias("chars"),
+        F.array(*[times(w).cast("double") for w in COMMON]).alias("common"),
     )
-    classes = F.transform("_classes", lambda x: x.cast("double"))
-    return counted.withColumns(
-        {
-            "chars": rest(F.col("_chars").cast("double"), classes),
-            "common": F.array(*[times(w).cast("double") for w in COMMON]),
-        }
-    ).withColumn("common", rest(F.col("n_words").cast("double"), F.col("common"))).drop("_classes", "_spaced")
+    total = F.aggregate("common", F.lit(0.0), lambda n, x: n + x)
+    return rows.withColumn("common", F.concat("common", F.array(F.col("n_words").cast("double") - total)))
 
 
 def _share(counts: Column) -> Column:
@@ -137,7 +150,7 @@ def _share(counts: Column) -> Column:
 
 def references(rows: DataFrame) -> list[dict]:
     """Histograms of whole languages, one row each: sums over all documents of the language."""
-    bins = {"chars": len(CLASSES) + 1, "common": len(COMMON) + 1}
+    bins = {"chars": len(CLASSES) + 2, "common": len(COMMON) + 1}
     sums = [F.sum(F.get(F.col(c), F.lit(n))).alias(f"{c}_{n}") for c, size in bins.items() for n in range(size)]
     out = []
     for row in rows.where("lang is not null").groupBy("lang").agg(*sums).orderBy("lang").collect():
@@ -180,8 +193,8 @@ def judged(rows: DataFrame, languages: list[dict]) -> DataFrame:
 
 
 def rules(docs: DataFrame) -> DataFrame:
-    """Counts, distances and verdict of every document."""
-    rows = measured(docs)
+    """Counts, distances and verdict of every document; the counts are made once and written."""
+    rows = stage(measured(docs), "measured")
     return judged(rows, references(rows))
 
 
@@ -189,5 +202,5 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     every = docs.columns
     packed = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in every]).alias("_row"))
-    rows = measured(packed, ["_row"])
-    return judged(rows, references(measured(docs))).where("kept").select("_row.*")
+    rows = stage(measured(packed, ["_row"]), "measured")
+    return judged(rows, references(rows)).where("kept").select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flamelake.llm import bpe, decontaminate, language_id, licenses, near_dup, quality_mil, quality_rules, token_counts, transducer
+from flamelake.llm import bpe, decontaminate, language_id, licenses, line_dedup, near_dup, quality_mil, quality_rules, token_counts, transducer
 from flamelake.llm.common import held_out, table
 from flamelake.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 
@@ -51,9 +51,14 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.judged(hits)
 
 
+def op9_line_dedup(spark, sf_dir):
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "line_dedup.*", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_quality_rules(spark, sf_dir):
     judged = quality_rules.rules(table(spark, sf_dir, "documents"))
     return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op6_near_duplicates, op7_quality_classifier, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op6_near_duplicates, op7_quality_classifier, op8_decontaminate, op9_line_dedup, op10_quality_rules)}
