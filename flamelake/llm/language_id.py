@@ -49,9 +49,7 @@ SCRIPTS = (
 )
 _STARTS, _NAMES = [s for s, _ in SCRIPTS], sorted({n for _, n in SCRIPTS})
 _SCRIPT = [_NAMES.index(n) for _, n in SCRIPTS]
-#: Word characters that are neither letters nor decimal digits, such as fractions.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def script_of(word: str) -> int:
@@ -74,6 +72,11 @@ def lowered(text: str | None) -> str:
     return (text or "").replace("\u0130", "i").lower()
 
 
+def lettered(word: str) -> bool:
+    """Numerals such as fractions are word characters too; alone they are no word."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(lowered(text))
 
@@ -97,7 +100,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> dict | None:
         def work(columns):
             sums: dict[str, np.ndarray] = {}
             for text, lang in zip(*columns, strict=True):
-                if found := words_of(text):
+                if found := [w for w in words_of(text) if lettered(w)]:
                     own = sums.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
                     own += np.bincount(sequences(found)[0], minlength=len(own))
                     own[BUCKETS:] += np.bincount([script_of(w) for w in found], minlength=len(_NAMES))
@@ -168,9 +171,12 @@ def _labelled(texts: list[str], model: dict, penalty: float):
     """Spans and letters by language of each text."""
     seen: dict[str, int] = {}
     docs = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], np.int64) for t in texts]
-    if not seen:
-        return [([], []) for _ in texts]
     words = [*seen]
+    empty = [n for n, w in enumerate(words) if not lettered(w)]
+    if empty:
+        docs = [d[~np.isin(d, empty)] for d in docs]
+    if len(empty) == len(words):
+        return [([], []) for _ in texts]
     letters = np.array([len(w) for w in words])
     labels = viterbi(docs, word_scores(words, model), penalty)
     out = []
@@ -183,7 +189,7 @@ def _labelled(texts: list[str], model: dict, penalty: float):
         cuts = np.flatnonzero(np.diff(label)) + 1 if len(label) else []
         spans = []
         if len(cuts):
-            places = [m.start() for m in _WORD.finditer(lowered(text))]
+            places = [m.start() for m in _WORD.finditer(lowered(text)) if lettered(m[0])]
             borders = [0, *[places[c] for c in cuts], len(text)]
             firsts = [0, *cuts]
             spans = [
