@@ -8,7 +8,7 @@ weighted mean is scored.  Weights of passages are learned from document labels
 alone.
 
 Passage statistics of the labelled rows are made in Spark; the fit takes at most
-about ``FIT_DOCS`` documents, chosen by a hash of the text, and of each at most
+``FIT_DOCS`` documents, chosen by a hash of the id, and of each at most
 ``FIT_PASSAGES`` passages spread over its whole length.  Scoring reads whole texts.
 
 Cases: a null text counts as empty; a text without words is one passage without
@@ -77,18 +77,21 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def sample(labelled: DataFrame, docs: int) -> DataFrame:
-    """About ``docs`` rows of each label at most, chosen by a hash of the text."""
-    counts = {r["label"]: r["count"] for r in labelled.where("label in (0, 1)").groupBy("label").count().collect()}
-    share = F.lit(0.0)
-    for label, count in counts.items():
-        share = F.when(F.col("label") == label, min(1.0, docs / 2 / count)).otherwise(share)
-    chosen = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < share * 1_000_000
-    return labelled.where("label in (0, 1)").where(chosen)
+def sample(labels: DataFrame, docs: int) -> DataFrame:
+    """``doc_id, label`` of at most ``docs`` labelled documents, half of each label, chosen by a hash of the id."""
+    usable = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    halves = [usable.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs // 2) for x in (0, 1)]
+    return halves[0].unionByName(halves[1])
 
 
-def fit(labelled: DataFrame, docs: int = FIT_DOCS, seed: int = 7) -> dict:
-    """Model from rows of ``text`` and ``label``."""
+def fit(docs: DataFrame, labels: DataFrame, size: int = FIT_DOCS, seed: int = 7) -> dict:
+    """Model from ``doc_id, text`` and ``doc_id, label``.
+
+    The sample has ``size`` rows of two numbers at most, so it is broadcast; texts are read in place.
+    """
+    totals = {r["label"]: r["count"] for r in labels.where("label in (0, 1)").groupBy("label").count().collect()}
+    if not totals:
+        return {"constant": 0.5}
 
     def make():
         def work(columns):
@@ -104,13 +107,14 @@ def fit(labelled: DataFrame, docs: int = FIT_DOCS, seed: int = 7) -> dict:
 
         return work
 
-    rows = sample(labelled.select("text", "label"), docs)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, size)), "doc_id").select("text", "label")
     bags = map_rows(rows, make, "label int, bag binary", 512).toPandas()
     bags = bags.iloc[np.argsort([b[:4096] for b in bags["bag"]], kind="stable")] if len(bags) else bags
     labels = bags["label"].to_numpy(np.float64)
+    share = totals.get(1, 0) / sum(totals.values())
     if len(set(labels)) < 2:
-        return {"constant": float(labels.mean()) if len(labels) else 0.5}
-    return train([np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in bags["bag"]], labels, seed)
+        return {"constant": share}
+    return train([np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in bags["bag"]], labels, share, seed)
 
 
 def _forward(model: dict, x: np.ndarray, starts: np.ndarray, of: np.ndarray) -> dict:
@@ -124,7 +128,7 @@ def _forward(model: dict, x: np.ndarray, starts: np.ndarray, of: np.ndarray) ->
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": 1 / (1 + np.exp(-(z @ model["out"] + model["out_b"])))}
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, seed: int) -> dict:
+def train(bags: list[np.ndarray], labels: np.ndarray, share: float, seed: int) -> dict:
     """Encoder, gated attention and score by Adam on weighted cross-entropy."""
     rng = np.random.default_rng(seed)
     every = np.concatenate(bags).astype(np.float64)
@@ -165,7 +169,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int) -> dict:
                 second[k] = 0.999 * second[k] + 0.001 * slope**2
                 model[k] = model[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     # The weights of the labels are taken back, so that scores are probabilities.
-    model["out_b"] = model["out_b"] + np.log(labels.mean() / (1 - labels.mean()))
+    model["out_b"] = model["out_b"] + np.log(share / (1 - share))
     return model | {"center": center, "scale": scale}
 
 

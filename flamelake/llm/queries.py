@@ -45,8 +45,8 @@ def op6_near_duplicates(spark, sf_dir):
 
 def op7_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.where(~held_out()).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    scored = quality_mil.score(docs, quality_mil.fit(known.select("text", "label")))
+    known = labels.where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_mil.score(docs, quality_mil.fit(docs.where(~held_out()), known))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
