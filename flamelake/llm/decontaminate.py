@@ -14,13 +14,12 @@ give one result row each.  Empty tables give no hits, or no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flamelake.llm.common import id_text, map_rows
+from flamelake.llm.common import map_rows
 
 WINDOW = 13
 #: Bytes of benchmark text that one automaton takes; a larger benchmark is scanned in blocks.
@@ -91,22 +90,28 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, text, n_words, spans, byte_spans, items``: hit words as merged word ranges, the same
-    ranges as bytes of the original text, and the ids of the items with occurring windows.
+    """``doc_id, text, n_words, spans, byte_spans, items, row``: hit words as merged word ranges, the same
+    ranges as bytes of the original text, and the ids of the items with occurring windows; ``row`` holds the
+    other columns, by their place.
 
     Every block adds its hits to those found before, in one pass without a shuffle.
     """
     spark = docs.sparkSession
+    others = [F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(c for c in docs.columns if c != "text")]
     span = "array<struct<first:bigint,end:bigint>>"
-    schema = f"doc_id bigint, text string, n_words bigint, spans {span}, byte_spans {span}, items array<string>"
-    out = id_text(docs).withColumns(
+    out = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row")
+    )
+    row = out.schema["row"].dataType.simpleString()
+    schema = f"doc_id bigint, text string, n_words bigint, spans {span}, byte_spans {span}, items array<string>, row {row}"
+    out = out.withColumns(
         {
             "n_words": F.lit(0).cast("bigint"),
             "spans": F.expr(f"cast(array() as {span})"),
             "byte_spans": F.expr(f"cast(array() as {span})"),
             "items": F.expr("cast(array() as array<string>)"),
         }
-    )
+    ).select("doc_id", "text", "n_words", "spans", "byte_spans", "items", "row")
     blocks = _item_blocks(benchmark, block_bytes)
     for block in [*blocks] or [[]]:
         shared = spark.sparkContext.broadcast(patterns(block, window))
@@ -115,7 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             machine = automaton(shared.value) if shared.value else None
 
             def work(columns):
-                for doc_id, text, _, spans, _, items in zip(*columns, strict=True):
+                for doc_id, text, _, spans, _, items, row in zip(*columns, strict=True):
                     own = words(text)
                     hits, ids = [(s["first"], s["end"]) for s in spans], set(items)
                     if machine is not None and own:
@@ -130,7 +135,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
                     places = offsets(text) if hits else []
                     yield (
                         doc_id, text, len(own), [{"first": a, "end": b} for a, b in hits],
-                        [{"first": places[a][0], "end": places[b - 1][1]} for a, b in hits], sorted(ids),
+                        [{"first": places[a][0], "end": places[b - 1][1]} for a, b in hits], sorted(ids), row,
                     )
 
             return work
@@ -139,17 +144,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     return out
 
 
+def _n_hit():
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+
+
+def _contaminated():
+    return (_n_hit() > 0) & (20 * _n_hit() >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    names = [c for c in docs.columns if c != "text"]
+    back = {c: F.col(f"row.c{n}").alias(c) for n, c in enumerate(names)} | {"text": F.col("text")}
+    return scan(docs, benchmark).where(~_contaminated()).select(*[back[c] for c in docs.columns])
+
+
 def judged(hits: DataFrame) -> DataFrame:
     """``scan`` rows with ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
     return hits.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
+        _n_hit().alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        _contaminated().alias("contaminated"),
+    )
