@@ -116,6 +116,19 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Profiles of one team; the team is a label without a column.
+TEAM_CPU = "arch=aarch64,team=odd|process_cpu:samples:count:cpu:nanoseconds"
+
+
+def team_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples whose series carry a label that has no column: the parity of the month."""
+    team = F.when(F.month("date") % 2 == 1, "odd").when(F.month("date") != 12, "even")
+    rows = samples(spark, sf)
+    return rows.withColumn(
+        "series_labels", F.when(team.isNotNull(), F.create_map(F.lit("team"), team)).otherwise(F.expr("map()").cast("map<string,string>"))
+    )
+
+
 def with_stack_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stacktrace_id", stacktrace_id())
 

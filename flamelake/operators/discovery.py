@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flamelake.functions.frames import basename
 from flamelake.operators.select import _selector
-from flamelake.plans.selector import Selector, during
-from flamelake.schema import LABEL_COLUMNS, PROFILE_TYPE_COLUMNS, quoted
+from flamelake.plans.selector import Selector, during, label_column
+from flamelake.schema import LABEL_COLUMNS, METADATA_LABELS, PROFILE_TYPE_COLUMNS, quoted
 
 
 def _window(
@@ -17,7 +17,7 @@ def _window(
     if start_ms is not None and end_ms is not None:
         samples = samples.where(during(samples, start_ms, end_ms))
     if selector is not None:
-        samples = samples.where(_selector(selector).predicate())
+        samples = samples.where(_selector(selector).predicate(samples.columns))
     return samples
 
 
@@ -32,24 +32,18 @@ def label_names(
     start_ms: int | None = None,
     end_ms: int | None = None,
 ) -> DataFrame:
-    """Labels that occur: fixed label columns and the keys of the label maps.
-
-    The fixed columns are counted in one pass, as one row of partial counts.
-    """
+    """Labels that occur: fixed label columns and the keys of the label maps, in one pass."""
     rows = _window(samples, selector, start_ms, end_ms)
-    present = [c for c in LABEL_COLUMNS if c in samples.columns]
-    counts = rows.agg(*[F.count(quoted(c)).alias(c.removeprefix("labels.")) for c in present])
-    fixed = (
-        counts.unpivot([], [c.removeprefix("labels.") for c in present], "label_name", "n")
-        .where("n > 0")
-        .select("label_name")
-    )
-    extra = [c for c in ("series_labels", "sample_labels", "num_labels") if c in samples.columns]
-    for column in extra:
-        fixed = fixed.unionByName(
-            rows.select(F.explode(F.map_keys(column)).alias("label_name")).distinct()
-        )
-    return fixed.distinct() if extra else fixed
+    fixed = [c for c in LABEL_COLUMNS if c in samples.columns]
+    maps = [c for c in ("series_labels", "sample_labels", "num_labels") if c in samples.columns]
+    names = [
+        F.array_compact(F.array(*[F.when(F.col(quoted(c)).isNotNull(), F.lit(c.removeprefix("labels."))) for c in fixed])),
+        *[F.coalesce(F.map_keys(c), F.expr("cast(array() as array<string>)")) for c in maps],
+    ]
+    # Rows with the same labels are one before their names are listed.
+    return rows.select(F.array_distinct(F.concat(*names)).alias("names")).distinct().select(
+        F.explode("names").alias("label_name")
+    ).distinct()
 
 
 def label_values(
@@ -59,8 +53,18 @@ def label_values(
     start_ms: int | None = None,
     end_ms: int | None = None,
 ) -> DataFrame:
-    """Distinct values of a label, in order."""
-    column = F.col(f"`labels.{label}`")
+    """Distinct values of a label, in order; any label that ``label_names`` lists.
+
+    A label with a column is read there, others in the label maps; numbers are
+    given as text.
+    """
+    if label in METADATA_LABELS:
+        column = label_column(label)
+    else:
+        maps = [c for c in ("sample_labels", "series_labels", "num_labels") if c in samples.columns]
+        if not maps:
+            raise ValueError(f"unknown label {label!r}")
+        column = F.coalesce(*[F.try_element_at(F.col(c), F.lit(label)).cast("string") for c in maps])
     return (
         _window(samples, selector, start_ms, end_ms)
         .where(column.isNotNull())

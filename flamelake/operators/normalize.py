@@ -62,13 +62,13 @@ def resolve_strings(
 def split_series(raw: DataFrame) -> DataFrame:
     """Pull ``__name__`` out of the label list; ``error`` tells why a series is refused.
 
-    A repeated ``__name__`` takes its last value; any other repeated label is an error.
+    A repeated ``__name__`` takes its last value, which must not be empty; any other repeated label is an error.
     """
     names = F.transform(F.filter("labels", lambda x: x["name"] != NAME_LABEL), lambda x: x["name"])
     named = F.filter("labels", lambda x: x["name"] == NAME_LABEL)
     rest = F.filter("labels", lambda x: x["name"] != NAME_LABEL)
     error = F.when(F.size(F.array_distinct(names)) < F.size(names), "duplicate label").when(
-        F.size(named) == 0, "missing __name__"
+        (F.size(named) == 0) | (F.coalesce(F.get(named, F.size(named) - 1)["value"], F.lit("")) == ""), "missing __name__"
     )
     return (
         raw.withColumn("error", error)

@@ -44,7 +44,7 @@ def single_profile(
     require_rows: bool = False,
 ) -> DataFrame:
     """The profile of a selector at one timestamp."""
-    rows = samples.where(_selector(selector).predicate() & at(samples, time_ms))
+    rows = samples.where(_selector(selector).predicate(samples.columns) & at(samples, time_ms))
     if require_rows and rows.isEmpty():
         raise LookupError("no samples for this selector at this time")
     return aggregate_stacks(rows, stacks)
@@ -60,7 +60,7 @@ def merge_profile(
     """All samples of a closed time range summed per stack."""
     predicate = during(samples, start_ms, end_ms)
     if selector is not None:
-        predicate &= _selector(selector).predicate()
+        predicate &= _selector(selector).predicate(samples.columns)
     return aggregate_stacks(samples.where(predicate), stacks)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -18,9 +19,9 @@ class Selector:
     matchers: tuple[tuple[str, str], ...]
     profile_type: tuple[str, ...]
 
-    def predicate(self) -> Column:
-        """All label equalities and the five profile-type equalities."""
-        return all_of([*(label_equals(k, v) for k, v in self.matchers), profile_type_is(self.profile_type)])
+    def predicate(self, columns: Sequence[str] = ()) -> Column:
+        """All label equalities and the five profile-type equalities, for a table with ``columns``."""
+        return all_of([*(label_equals(k, v, columns) for k, v in self.matchers), profile_type_is(self.profile_type)])
 
 
 def parse_selector(text: str) -> Selector:
@@ -43,11 +44,20 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(and_, predicates)
 
 
-def label_equals(label: str, value: str) -> Column:
-    """Equality on a label column; a missing label never matches."""
-    if label not in METADATA_LABELS:
+def label_column(label: str, columns: Sequence[str] = ()) -> Column:
+    """Value of a label: its own column, else the label maps of a table with ``columns``, where the labels
+    of a sample go before those of its series.  Null where the label is missing."""
+    if label in METADATA_LABELS:
+        return F.col(f"`labels.{label}`")
+    maps = [c for c in ("sample_labels", "series_labels") if c in columns]
+    if not maps:
         raise ValueError(f"unknown label {label!r}")
-    return F.col(f"`labels.{label}`") == value
+    return F.coalesce(*[F.try_element_at(F.col(c), F.lit(label)) for c in maps])
+
+
+def label_equals(label: str, value: str, columns: Sequence[str] = ()) -> Column:
+    """Equality on a label; a missing label never matches."""
+    return label_column(label, columns) == value
 
 
 def profile_type_is(values: tuple[str, ...]) -> Column:

@@ -125,27 +125,27 @@ QUERY_ORACLES: dict[str, str] = {
             where {CPU} and arch = 'aarch64' and timestamp between 0 and 4102444800000 group by 1"""
     ),
     "query_range": with_samples(f"""
-        select node, pod, arch, timestamp - timestamp % 2592000000 as bucket,
+        select name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, timestamp - timestamp % 2592000000 as bucket,
                cast(sum(v) as bigint) as value, cast(sum(d) as bigint) as duration,
                sum(v) / 2592000.0 as value_per_second
-        from (select node, pod, arch, timestamp, sum(value) as v, max(duration) as d
+        from (select name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, timestamp, sum(value) as v, max(duration) as d
               from samples where {CPU} and arch = 'aarch64' group by all)
-        group by 1, 2, 3, 4"""),
+        group by name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, bucket"""),
     "query_range_sum_by": with_samples("""
-        select node, timestamp - timestamp % 2592000000 as bucket,
+        select name, sample_type, sample_unit, period_type, period_unit, node, timestamp - timestamp % 2592000000 as bucket,
                cast(sum(v) as bigint) as value, cast(sum(d) as bigint) as duration,
                sum(v) / 2592000.0 as value_per_second
-        from (select node, pod, arch, timestamp, sum(value) as v, max(duration) as d
+        from (select name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, timestamp, sum(value) as v, max(duration) as d
               from samples group by all)
-        group by 1, 2"""),
+        group by name, sample_type, sample_unit, period_type, period_unit, node, bucket"""),
     "query_range_limit": with_samples("""
-        select node, timestamp - timestamp % 2592000000 as bucket,
+        select name, sample_type, sample_unit, period_type, period_unit, node, timestamp - timestamp % 2592000000 as bucket,
                cast(sum(v) as bigint) as value, cast(sum(d) as bigint) as duration,
                sum(v) / 2592000.0 as value_per_second
-        from (select node, pod, arch, timestamp, sum(value) as v, max(duration) as d
+        from (select name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, timestamp, sum(value) as v, max(duration) as d
               from samples group by all
-              order by timestamp desc, arch nulls first, node nulls first, pod nulls first limit 100)
-        group by 1, 2"""),
+              order by timestamp desc, name, sample_type, sample_unit, period_type, period_unit, arch nulls first, node nulls first, pod nulls first limit 100)
+        group by name, sample_type, sample_unit, period_type, period_unit, node, bucket"""),
     "profile_types": with_samples("""
         select distinct name, sample_type, sample_unit, period_type, period_unit, duration <> 0 as delta
         from samples"""),
@@ -155,6 +155,16 @@ QUERY_ORACLES: dict[str, str] = {
           union all select 'pod', pod from samples
           union all select 'arch', arch from samples) where v is not null"""),
     "label_values": with_samples("select distinct node as label_value from samples where node is not null"),
+    "label_values_of_map": with_samples("""
+        select distinct case when month(epoch_ms(timestamp)) % 2 = 1 then 'odd' else 'even' end as label_value
+        from samples where month(epoch_ms(timestamp)) <> 12"""),
+    "query_range_map_labels": with_samples(f"""
+        select name, sample_type, sample_unit, period_type, period_unit, 'odd' as team, node, timestamp - timestamp % 2592000000 as bucket,
+               cast(sum(v) as bigint) as value, cast(sum(d) as bigint) as duration,
+               sum(v) / 2592000.0 as value_per_second
+        from (select name, sample_type, sample_unit, period_type, period_unit, node, pod, arch, timestamp, sum(value) as v, max(duration) as d
+              from samples where {CPU} and arch = 'aarch64' and month(epoch_ms(timestamp)) % 2 = 1 group by all)
+        group by name, sample_type, sample_unit, period_type, period_unit, node, bucket"""),
     "profile_metadata": with_samples("""
         select distinct 'binary' as kind, split_part(b, '/', -1) as name
         from (select unnest(list_transform(stack, lambda f: f.bin)) as b from samples)
@@ -525,8 +535,14 @@ CATALOG_ORACLES: dict[str, str] = {
           else 'error: object not found' end as route from catalog""",
     "chunk_reassembly": """
         select 'doc' || doc_id as upload_id, octet_length(encode(text)) as size,
-               cast((length(text) - 1) // 500 + 1 as bigint) as chunks, 'ok' as status, sha256(text) as digest
+               cast((length(text) - 1) // 500 + 1 as bigint) as chunks, 'ok' as status
         from documents""",
+    "upload_parts": f"""with {CHUNKS}, placed as (
+        select upload_id, seq, chunk, cast(coalesce(sum(octet_length(encode(chunk))) over (
+                 partition by upload_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
+        from chunks)
+        select upload_id, pos // 1500 as part, min(pos) as "offset", sha256(string_agg(chunk, '' order by seq)) as digest
+        from placed group by 1, 2""",
     "chunk_offsets": f"""with {CHUNKS}
         select upload_id, cast(seq as integer) as seq, octet_length(encode(chunk)) as size,
                cast(coalesce(sum(octet_length(encode(chunk))) over (

@@ -103,6 +103,17 @@ def label_values(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.label_values(fx.samples(spark, sf), "node")
 
 
+@register
+def label_values_of_map(spark: SparkSession, sf: str) -> DataFrame:
+    return discovery.label_values(fx.team_samples(spark, sf), "team")
+
+
+@register
+def query_range_map_labels(spark: SparkSession, sf: str) -> DataFrame:
+    series = timeseries.query_range(fx.team_samples(spark, sf), fx.TEAM_CPU, *fx.ALL_TIME, MONTH_MS, sum_by=["team", "labels.node"])
+    return plain_labels(series).withColumnRenamed("labels.team", "team")
+
+
 @register
 def profile_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.profile_metadata(fx.samples(spark, sf))
@@ -344,8 +355,13 @@ def source_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def chunk_reassembly(spark: SparkSession, sf: str) -> DataFrame:
-    rows = catalog.assemble_uploads(fx.document_chunks(spark, sf))
-    return rows.select("upload_id", "size", "chunks", "status", F.sha2("content", 256).alias("digest"))
+    return catalog.assemble_uploads(fx.document_chunks(spark, sf))
+
+
+@register
+def upload_parts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = catalog.upload_parts(fx.document_chunks(spark, sf), part_bytes=1500)
+    return parts.select("upload_id", "part", "offset", F.sha2("content", 256).alias("digest"))
 
 
 @register
