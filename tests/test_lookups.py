@@ -127,3 +127,21 @@ def test_attach_keeps_order_and_present_lines(spark):
         assert [f["address"] for f in rows[value]] == [16, 32, 48]
         assert [[x["function_name"] for x in f["lines"]] for f in rows[value]] == [["leaf"], ["f"], []]
     assert stacks.where(F.exists("stacktrace", needs_symbols)).count() == 2
+
+
+def test_many_hot_keys(spark):
+    left = spark.range(6000).selectExpr("id % 1500 as a", "id as x")
+    right = spark.range(1500).selectExpr("id as a", "id * 2 as y")
+    got = skew_join(left, right, ["a"], "inner", hot_rows=2)
+    assert got.count() == 6000 and got.where("y <> a * 2").count() == 0
+
+
+def test_wrapping_arithmetic(spark):
+    from flamelake.functions import u64
+    from pyspark.sql import functions as F
+
+    edges = [0, 1, -1, 2**63 - 1, -(2**63), 0xFFFFFFFF, -0xFFFFFFFF, 4096, 1 << 32]
+    rows = spark.createDataFrame([(a, b) for a in edges for b in edges], "a bigint, b bigint")
+    out = rows.select("a", "b", u64.wrapping_add(F.col("a"), F.col("b")).alias("s"), u64.wrapping_subtract(F.col("a"), F.col("b")).alias("d"))
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    assert all((r["s"], r["d"]) == (signed(r["a"] + r["b"]), signed(r["a"] - r["b"])) for r in out.collect())
