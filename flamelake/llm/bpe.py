@@ -86,7 +86,8 @@ class Cutter:
 
     def __init__(self, pattern: str, of_piece: Callable, join: Callable, memory: int = MEMORY):
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(of_piece, memory)
+        # Frequent pieces are enough here: whole segments are remembered beside them.
+        self.pieces = Memo(of_piece, memory // 8)
         self.join = join
         self.after_blank = Memo(lambda rest: self.direct(" " + rest), memory)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+#: Bytes of text that one step of an Arrow pass works on; a longer text is a step of its own.
+STEP_BYTES = 6 << 20
+
+
+def _steps(batch: pa.RecordBatch, rows: int) -> Iterator[list]:
+    """The columns of at most ``rows`` rows and about ``STEP_BYTES`` of text, as Python lists."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        most = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP_BYTES, side="right"))
+        end = max(start + 1, min(start + rows, most))
+        yield [c.to_pylist() for c in batch.slice(start, end - start).columns]
+        start = end
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, rows: int = 512) -> DataFrame:
     """As ``map_rows``, for functions that return whole columns (arrays of equal length)."""
     fields = parse(schema)
@@ -56,8 +76,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[list], list]], schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out = make(), arrow_schema(fields)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                made = work([c.to_pylist() for c in batch.slice(start, rows).columns])
+            for columns in _steps(batch, rows):
+                made = work(columns)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, fields)
@@ -74,9 +94,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[Row]]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out = make(), arrow_schema(fields)
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                made = list(work([c.to_pylist() for c in part.columns]))
+            for given in _steps(batch, rows):
+                made = list(work(given))
                 columns = list(zip(*made, strict=True)) if made else [()] * len(out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from flamelake.llm import bpe
 from flamelake.llm.common import id_text, map_rows
 
 #: States and pair verdicts that one worker keeps.
-STATES, PAIRS = 200_000, 300_000
+STATES, PAIRS = 200_000, 100_000
 #: Bytes of one piece between two emissions.
 EMIT_EVERY = 4096
 
@@ -221,13 +222,10 @@ class Utf8Stream:
 
 def decode_stream(ids: Iterable[int], token: dict[int, bytes], step: int = 8192) -> Iterator[str]:
     """Text of a stream of ids in pieces of whole characters."""
-    machine, part = Utf8Stream(), []
-    for number in ids:
-        part.append(token[number])
-        if len(part) == step:
-            yield machine.push(b"".join(part))
-            part = []
-    yield machine.push(b"".join(part)) + machine.end()
+    machine = Utf8Stream()
+    for part in batched(ids, step):
+        yield machine.push(b"".join(map(token.__getitem__, part)))
+    yield machine.end()
 
 
 _KEPT: dict[str, object] = {}
@@ -242,15 +240,16 @@ def _machine(shared) -> Transducer:
     return _KEPT[key]
 
 
-def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str, keep: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty and has no ids.
+    A null text counts as empty and has no ids.  With ``keep`` a worker keeps its
+    states and segments for its next tasks, else they go with the task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def make():
-        machine = _machine(shared)
+        machine = _machine(shared) if keep else Transducer(shared.value)
         if not hasattr(machine, "cut"):
             machine.cut = bpe.Cutter(pattern, lambda p: array("I", machine.encode(p.encode())).tobytes(), b"".join)
 
