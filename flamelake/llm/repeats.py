@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flamelake.llm import hashing
@@ -40,7 +40,9 @@ from flamelake.llm.common import arrow_schema, id_text, map_columns, map_rows, p
 
 LENGTH, GRAM = 50, 20
 #: Contexts of one anchor that one task indexes.
-BLOCK = 4096
+BLOCK = 1 << 16
+#: Size of the table of bits that keeps places of contexts found once from being shuffled: 8 MB, whatever the input.
+FILTER_BITS = 26
 #: Bytes of contexts in one index, and documents whose anchors are found together.
 INDEX_BYTES, ROWS = 4 << 20, 1024
 
@@ -53,7 +55,7 @@ class Contexts:
         sizes = np.array([len(e) for e in encoded], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
         data = np.frombuffer(b"\n".join(encoded), np.uint8)
-        self.doc = self.first = self.end = np.zeros(0, np.int64)
+        self.doc = self.first = self.end = self.place = np.zeros(0, np.int64)
         self.anchor = self.context = np.zeros(0, np.uint64)
         if len(data) < length:
             return
@@ -85,13 +87,33 @@ class Contexts:
         doc = np.searchsorted(starts, first, side="right") - 1
         end = last + length
         self.doc, self.first, self.end = doc, first - starts[doc], end - starts[doc]
+        self.place = place - first
         self.anchor = grams[place]
         whole = hashing.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
         self.context = hashing.mix(whole + (place - first).astype(np.uint64))
 
 
-def _found(rows: DataFrame, length: int, gram: int, every: bool) -> DataFrame:
-    """All contexts with their places, or (not ``every``) each context once a batch with its first and last document."""
+def _slot(contexts: np.ndarray) -> np.ndarray:
+    return (contexts.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(known: DataFrame) -> np.ndarray:
+    """Bits of all known contexts in a table of fixed size."""
+    slot = F.shiftrightunsigned("context", 64 - FILTER_BITS)
+    words = known.groupBy(F.shiftright(slot, 6).alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(context, {64 - FILTER_BITS}) & 63 as int)))").alias("bits")
+    )
+    found = words.toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def _found(rows: DataFrame, length: int, gram: int, known: np.ndarray | None = None) -> DataFrame:
+    """Each context once a batch for its first and once for its last document; or, with the bits of the
+    known ones, all places of contexts that may be known."""
+    every = known is not None
+    bits = rows.sparkSession.sparkContext.broadcast(known) if every else None
 
     def make():
         def work(columns):
@@ -100,17 +122,21 @@ def _found(rows: DataFrame, length: int, gram: int, every: bool) -> DataFrame:
             doc = np.array(ids, np.int64)[c.doc] if len(ids) else np.zeros(0, np.int64)
             a, x = c.anchor.view(np.int64), c.context.view(np.int64)
             if every:
-                return [a, x, doc, c.first, (c.end - c.first).astype(np.int16)]
+                slot = _slot(x)
+                use = (bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+                return [v[use] for v in (a, x, doc, c.first, (c.end - c.first).astype(np.int16), c.place.astype(np.int16))]
             order = np.lexsort((doc, x))
             a, x, doc = a[order], x[order], doc[order]
-            cut = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (a[1:] != a[:-1])])) if len(x) else []
-            last = np.concatenate([cut[1:], [len(x)]]).astype(int) - 1 if len(x) else []
-            return [a[cut], x[cut], doc[cut], doc[last]] if len(x) else [[]] * 4
+            cut = np.concatenate([[True], (x[1:] != x[:-1]) | (a[1:] != a[:-1])])[: len(x)]
+            low = np.flatnonzero(cut)
+            high = np.concatenate([low[1:], [len(x)]]).astype(int)[: len(low)] - 1
+            use = np.concatenate([low, high[doc[high] != doc[low]]])
+            return [a[use], x[use], doc[use]]
 
         return work
 
     schema = "anchor bigint, context bigint, "
-    schema += "doc_id bigint, first int, size smallint" if every else "low bigint, high bigint"
+    schema += "doc_id bigint, first int, size smallint, place smallint" if every else "doc_id bigint"
     return map_columns(rows, make, schema, ROWS if every else 2 * ROWS)
 
 
@@ -210,29 +236,37 @@ def marked(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[RunIndex,
 
 def _ranges(context: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joined byte ranges of marked windows by context."""
+    if not len(first):
+        return context, first, first
     order = np.lexsort((first, context))
     context, first = context[order], first[order]
-    cut = np.concatenate([[True], (context[1:] != context[:-1]) | (first[1:] > first[:-1] + length)])[: len(first)]
+    cut = np.concatenate([[True], (context[1:] != context[:-1]) | (first[1:] > first[:-1] + length)])
     start = np.flatnonzero(cut)
-    last = np.concatenate([start[1:], [len(first)]]).astype(int) - 1
+    last = np.concatenate([start[1:], [len(first)]]) - 1
     return context[start], first[start], first[last] + length
 
 
-def _worth(anchor: np.ndarray, part: np.ndarray, texts: list[bytes], place: np.ndarray, gram: int, reach: int) -> np.ndarray:
+def _worth(anchor: np.ndarray, spread: np.ndarray, texts: pa.Array, place: np.ndarray, gram: int, reach: int) -> np.ndarray:
     """Contexts that share the anchor and ``reach`` bytes on one side of it with another one.
 
-    A window has ``2 * reach`` bytes beside its anchor or one less than that,
+    A window has ``2 * reach`` bytes beside its anchor or one more than that,
     so two contexts with a common window share so many on one side.
     """
-    left = np.array([hash(t[max(0, p - reach) : p]) if p >= reach else -2 - n for n, (t, p) in enumerate(zip(texts, place.tolist(), strict=True))])
-    right = np.array(
-        [hash(t[p + gram : p + gram + reach]) if len(t) >= p + gram + reach else -2 - n for n, (t, p) in enumerate(zip(texts, place.tolist(), strict=True))]
-    )
-    keep = part > 1
-    for side in (left, right):
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    at = offsets[:-1] + place
+    alone = hashing.mix(np.arange(len(place), dtype=np.uint64))
+    keep = spread > 1
+    for first, end, has in (
+        (at - reach, at, place >= reach),
+        (at + gram, at + gram + reach, at + gram + reach <= offsets[1:]),
+    ):
+        side = alone.copy()
+        side[has] = hashing.span_hashes(data, first[has], end[has])
         order = np.lexsort((side, anchor))
-        a, s = anchor[order], side[order]
-        same = (a[1:] == a[:-1]) & (s[1:] == s[:-1])
+        a, s, h = anchor[order], side[order], has[order]
+        same = (a[1:] == a[:-1]) & (s[1:] == s[:-1]) & h[1:] & h[:-1]
         keep[order[1:][same]] = keep[order[:-1][same]] = True
     return keep
 
@@ -252,13 +286,13 @@ def _compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             anchor = table["anchor"].to_numpy()
             spread = table["spread"].to_numpy()
-            texts, place = table["bytes"].to_pylist(), table["place"].to_numpy()
+            texts, place = table["bytes"].combine_chunks().cast(pa.binary()), table["place"].to_numpy().astype(np.int64)
             use = np.flatnonzero(_worth(anchor, spread, texts, place, gram, (length - gram) // 2))
             if not len(use):
                 return
-            texts, spread = [texts[n] for n in use], spread[use]
-            docs, places = table["low"].to_numpy()[use], table["places"].to_pylist()
-            places = [np.array(places[n]) for n in use]
+            texts, spread = texts.take(pa.array(use)).to_pylist(), spread[use]
+            docs = table["low"].to_numpy()[use]
+            places = [np.array(p) for p in table["places"].combine_chunks().take(pa.array(use)).to_pylist()]
             many = np.array([len(p) for p in places])
             before, every = np.concatenate([[0], np.cumsum(many)]), np.concatenate(places)
 
@@ -335,17 +369,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     rows = id_text(docs).where("doc_id is not null and text is not null")
     # One exchange: contexts of an anchor meet in one partition, where both groupings are local.
     each = (
-        _found(rows, length, gram, False)
+        _found(rows, length, gram)
         .repartition("anchor")
         .groupBy("anchor", "context")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .withColumn("contexts", F.count("*").over(Window.partitionBy("anchor")))
     )
-    anchors = each.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    known = stage(each.join(anchors, "anchor").where("contexts > 1 or high > low"), "contexts")
-    placed = _found(rows, length, gram, True).join(known, ["anchor", "context"])
+    known = stage(each.where("contexts > 1 or high > low").drop("high"), "contexts")
+    placed = _found(rows, length, gram, _filter(known)).join(known.hint("merge"), ["anchor", "context"])
     placed = stage(
         placed.where("doc_id > low or contexts > 1").select(
-            "anchor", "context", "doc_id", "first", F.expr("cast(first + size as int)").alias("end"), "low", "contexts"
+            "anchor", "context", "doc_id", "first", F.expr("cast(first + size as int)").alias("end"), "place", "low", "contexts"
         ),
         "places",
     )
@@ -355,9 +389,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     one = (
         placed.where("doc_id = low and contexts > 1")
         .groupBy("anchor", "context", "contexts", "doc_id")
-        .agg(F.collect_list("first").alias("places"), F.min(F.col("end") - F.col("first")).alias("size"))
+        .agg(F.collect_list("first").alias("places"), F.min(F.col("end") - F.col("first")).alias("size"), F.min("place").alias("place"))
+    )
+    wanted = one.groupBy("doc_id").agg(
+        F.collect_list(F.struct("anchor", "context", "contexts", "places", "size", "place")).alias("own")
     )
-    wanted = one.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "contexts", "places", "size")).alias("own"))
 
     def cut():
         def work(columns):
@@ -366,12 +402,12 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 for c in own:
                     at = c["places"][0]
                     piece = data[at : at + c["size"]]
-                    yield c["anchor"], c["context"], c["contexts"], doc_id, c["places"], _anchor_place(piece, length, gram), piece
+                    yield c["anchor"], c["context"], c["contexts"], doc_id, c["places"], c["place"], piece
 
         return work
 
-    schema = "anchor bigint, context bigint, contexts bigint, low bigint, places array<int>, place int, bytes binary"
-    pieces = map_rows(rows.join(wanted, "doc_id"), cut, schema, 256).withColumn(
+    schema = "anchor bigint, context bigint, contexts bigint, low bigint, places array<int>, place smallint, bytes binary"
+    pieces = map_rows(rows.join(wanted.hint("merge"), "doc_id"), cut, schema, 256).withColumn(
         "spread", F.ceil(F.col("contexts") / BLOCK).cast("bigint")
     )
     pieces = pieces.withColumn("salt", F.pmod("context", "spread"))
@@ -384,33 +420,22 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     )
 
 
-def _anchor_place(piece: bytes, length: int, gram: int) -> int:
-    """Place of the anchor: the leftmost smallest hash of the grams that all windows share."""
-    # All windows of a context hold bytes len - length to length; the anchor lies there.
-    data = np.frombuffer(piece, np.uint8)
-    up, down = hashing.powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashing.BYTES[data] * up[: len(data)])])
-    first, last = len(data) - length, length - gram
-    at = np.arange(first, last + 1)
-    return int(first + np.argmin(hashing.mix((sums[at + gram] - sums[at]) * down[at]) >> np.uint64(31)))
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte ranges, and the bytes that are left."""
     found = spans(docs, length, gram)
-    packed = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("own"))
-    joined = id_text(docs).join(packed, "doc_id", "left")
+    range_ = F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("end")
+    packed = found.groupBy("doc_id").agg(F.collect_list(range_).alias("own"))
+    joined = id_text(docs).join(packed.hint("merge"), "doc_id", "left")
 
     def make():
         def work(columns):
             for doc_id, text, own in zip(*columns, strict=True):
                 data = (text or "").encode()
-                joined: list[list[int]] = []
-                for first, end in sorted((s["first"], s["end"]) for s in own or ()):
-                    if joined and first <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], end)
-                    else:
-                        joined.append([first, end])
+                ranges = np.sort(np.array(own or (), np.int64))
+                first, end = ranges >> 32, np.maximum.accumulate(ranges & 0xFFFFFFFF) if len(ranges) else ranges
+                cut = np.concatenate([[True], first[1:] > end[:-1]])[: len(ranges)]
+                last = np.concatenate([cut[1:], [True]])[: len(ranges)]
+                joined = list(zip(first[cut].tolist(), end[last].tolist(), strict=True))
                 cuts = [0, *[x for span in joined for x in span], len(data)]
                 kept = b"".join(data[cuts[n] : cuts[n + 1]] for n in range(0, len(cuts), 2))
                 yield doc_id, len(data), [{"first": a, "end": b} for a, b in joined], kept
