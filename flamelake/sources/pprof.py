@@ -26,9 +26,8 @@ KINDS = ("sample_type", "sample", "mapping", "location", "function", "string", "
 
 # Rows handed to Spark at a time.
 _BATCH = 8192
-# Messages per encoded part, and the size up to which parts become one blob.
+# Messages per encoded part.
 PART_MESSAGES = 50_000
-MAX_BLOB_SIZE = 1_000_000_000
 
 
 def _type_of(spec) -> T.DataType:
@@ -57,12 +56,15 @@ MESSAGES = T.StructType(
 _ARROW_MESSAGES = to_arrow_schema(MESSAGES)
 
 
-def _messages(blob: bytes | None) -> Iterator[tuple[str, int, object]]:
+def _messages(blob: bytes | None, part_kind: str | None, first: int | None) -> Iterator[tuple[str, int, object]]:
+    """Messages of a whole profile, or of a part: those of its kind, with positions from ``first`` on."""
     if blob is None or blob[:2] != b"\x1f\x8b":
         yield REJECT, 0, "not gzip"
         return
     try:
-        yield from wire.read_profile(gzip.decompress(blob))
+        for kind, pos, message in wire.read_profile(gzip.decompress(blob)):
+            if part_kind is None or kind == part_kind:
+                yield kind, pos + (first or 0), message
     except (wire.Malformed, OSError, EOFError, zlib.error) as error:
         yield REJECT, 0, f"{type(error).__name__}: {error}"
 
@@ -82,18 +84,19 @@ def _batch(kind: str, rows: list[tuple[str, int, object]]) -> pa.RecordBatch:
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """Message table of ``raw(profile_id, raw_profile)``.
+    """Message table of ``raw(profile_id, raw_profile)``; rows with ``part_kind`` and ``first`` are parts.
 
-    A blob that cannot be read gives a ``reject`` row with the reason; the
+    Parts of one profile are read by different tasks: each holds messages of one
+    kind and says where they stand, and only the header's part gives a header.  A blob that cannot be read gives a ``reject`` row with the reason; the
     messages read before the fault are ignored by validation.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffers: dict[str, list] = {}
         for batch in batches:
-            for profile_id, blob in zip(batch.column(0), batch.column(1), strict=True):
+            for profile_id, blob, part_kind, first in zip(*batch.columns, strict=True):
                 key = profile_id.as_py()
-                for kind, pos, message in _messages(blob.as_py()):
+                for kind, pos, message in _messages(blob.as_py(), part_kind.as_py(), first.as_py()):
                     buffer = buffers.setdefault(kind, [])
                     buffer.append((key, pos, message))
                     if len(buffer) >= _BATCH:
@@ -101,7 +104,11 @@ def decode(raw: DataFrame) -> DataFrame:
         for kind, buffer in buffers.items():
             yield _batch(kind, buffer)
 
-    return raw.select("profile_id", "raw_profile").mapInArrow(rows, MESSAGES)
+    part = [
+        F.col(c).cast(kind).alias(c) if c in raw.columns else F.lit(None).cast(kind).alias(c)
+        for c, kind in (("part_kind", "string"), ("first", "bigint"))
+    ]
+    return raw.select("profile_id", "raw_profile", *part).mapInArrow(rows, MESSAGES)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
@@ -162,49 +169,42 @@ def _ordered_kind(kind: str = "kind"):
 
 
 def pprof_parts(messages: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
-    """Encoded profile in ordered parts ``(profile_id, part_kind, part_no, data)``.
+    """Encoded profile in ordered parts ``(profile_id, part_kind, part, first, data)``.
 
     Fields of a message may be concatenated, so a profile of any size is
-    encoded by many tasks, each part holding at most ``part_messages`` messages.
+    encoded by many tasks, each part holding at most ``part_messages`` messages
+    of one kind, of which ``first`` is the position of the first.
     """
+    number = F.floor(F.col("pos") / part_messages)
     return (
         encode_fields(messages)
-        .withColumn("part_kind", _ordered_kind())
-        .withColumn("part_no", F.floor(F.col("pos") / part_messages))
-        .groupBy("profile_id", "part_kind", "part_no")
-        .agg(F.expr("listagg(field) within group (order by pos)").alias("data"))
+        .withColumnRenamed("kind", "part_kind")
+        .groupBy("profile_id", "part_kind", number.alias("_number"))
+        .agg(F.expr("listagg(field) within group (order by pos)").alias("data"), F.min("pos").alias("first"))
+        .withColumn("part", _ordered_kind("part_kind") * 1_000_000_000 + F.col("_number"))
+        .select("profile_id", "part_kind", "part", "first", "data")
     )
 
 
-def write_pprof(messages: DataFrame, path: str) -> None:
-    """Write ``pprof_files`` rows to a table; messages and parts are staged, so each is made once."""
+def write_pprof(messages: DataFrame, path: str, part_messages: int = PART_MESSAGES) -> None:
+    """Write ``pprof_files`` rows to a table; messages are staged, so each kind is read once."""
     spark = messages.sparkSession
     by_kind = fresh_path(spark, "messages")
     write_messages(messages, by_kind)
-    parts = stage(pprof_parts(read_messages(spark, by_kind)), "parts")
-    pprof_files(parts).write.mode("overwrite").parquet(path)
+    pprof_files(pprof_parts(read_messages(spark, by_kind), part_messages)).write.mode("overwrite").parquet(path)
 
 
-def pprof_files(parts: DataFrame, max_size: int = MAX_BLOB_SIZE) -> DataFrame:
-    """Gzipped pprof as ``(profile_id, part, parts, raw_profile)``.
+def pprof_files(parts: DataFrame) -> DataFrame:
+    """Gzipped pprof as ``(profile_id, part_kind, part, first, raw_profile)``, in parts at every size.
 
-    A profile up to ``max_size`` is one blob.  A larger one stays in parts, each
-    a gzip member of its own; the members in the order of ``part`` are the file.
+    Each part is a gzip member of its own; the members in the order of ``part``
+    are the file, and ``decode`` reads the parts as they are.
     """
-    sizes = parts.groupBy("profile_id").agg(
-        F.sum(F.octet_length("data").cast("bigint")).alias("_size"), F.count("*").alias("_parts")
-    )
-    small, large = sizes.where(F.col("_size") <= max_size), sizes.where(F.col("_size") > max_size)
-    blobs = (
-        parts.join(small.select("profile_id"), "profile_id", "left_semi")
-        .groupBy("profile_id")
-        .agg(F.expr("listagg(data) within group (order by part_kind * 1000000000L + part_no)").alias("data"))
-        .select("profile_id", F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("parts"), "data")
-    )
-    pieces = parts.join(large.select("profile_id", "_parts"), "profile_id").select(
-        "profile_id",
-        (F.col("part_kind") * 1_000_000_000 + F.col("part_no")).alias("part"),
-        F.col("_parts").alias("parts"),
-        "data",
-    )
-    return blobs.unionByName(pieces).select("profile_id", "part", "parts", _gzip("data").alias("raw_profile"))
+    return parts.withColumn("raw_profile", _gzip("data")).drop("data")
+
+
+def joined_files(files: DataFrame) -> DataFrame:
+    """``(profile_id, raw_profile)``: the parts of every profile as one file, for receivers that take whole
+    messages (1e9 bytes at most)."""
+    whole = F.expr("listagg(raw_profile) within group (order by part)").alias("raw_profile")
+    return files.groupBy("profile_id").agg(whole)

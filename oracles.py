@@ -685,6 +685,7 @@ PPROF_ORACLES: dict[str, str] = {
     "label_pivot": f"with {PPROF} select profile_id, o_orderpriority as node from series where error is null",
     "normalized_samples": NORMALIZED,
     "pprof_roundtrip": NORMALIZED,
+    "pprof_parts_roundtrip": NORMALIZED,
 }
 
 REPORTS = f"""

@@ -501,6 +501,15 @@ def pprof_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return shown_samples(normalize.normalize(pprof.read_messages(spark, staged), fx.series(spark, sf)))
 
 
+@register
+def pprof_parts_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``pprof_roundtrip``, with parts of three messages that different tasks read."""
+    blobs, staged = fresh_path(spark, "pprof"), fresh_path(spark, "messages")
+    pprof.write_pprof(fx.derived_messages(spark, sf), blobs, part_messages=3)
+    pprof.write_messages(pprof.decode(spark.read.parquet(blobs).repartition(8)), staged)
+    return shown_samples(normalize.normalize(pprof.read_messages(spark, staged), fx.series(spark, sf)))
+
+
 # --- reports back to pprof ---------------------------------------------------------
 
 
@@ -681,7 +690,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Arriving pprof files through the micro-batched ingest, read back from the store."""
     blobs, source = fresh_path(spark, "pprof"), fresh_path(spark, "arriving")
     pprof.write_pprof(fx.derived_messages(spark, sf), blobs)
-    raw = spark.read.parquet(blobs).join(fx.series(spark, sf), "profile_id")
+    raw = pprof.joined_files(spark.read.parquet(blobs)).join(fx.series(spark, sf), "profile_id")
     raw.select(*ingest.RAW.names).write.parquet(source)
     target = fresh_path(spark, "store")
     ingest.ingest_stream(
