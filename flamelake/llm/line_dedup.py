@@ -11,9 +11,11 @@ only those are listed.  Pairs from a list pass filters of length, of position an
 of a parity signature (each exact: no similar pair is lost) and are verified on
 whole sets.
 
-Pairs of one list are not all made.  Every list first proposes its members to its
-earliest line; what that removes is no target any more.  Then the remaining
-targets meet the earlier lines of their lists.
+Pairs of one list are not all made.  Lists arrive sorted, and in a long one a line
+gets only its first passing partners; words from buckets with very many rows are
+spread over shares with lists of their own.  Lines that might have further
+partners, and that nothing has removed by then, meet all earlier lines of their
+words in a join.
 
 Cases: a null text has one empty line and stays null; rows that share a ``doc_id``
 have the same lines kept, by number; rows with a null ``doc_id`` stay as they are
@@ -22,17 +24,26 @@ and remove nothing.  Other columns, whatever their names, are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flamelake.llm import hashing
-from flamelake.llm.common import id_text, map_columns, map_rows, stage
+from flamelake.llm.common import arrow_schema, id_text, map_columns, map_rows, parse, stage
 
 PERCENT = 80
 #: Buckets in which words are counted; their table is what the rarity order needs.
 BUCKETS = 1 << 16
+#: Words of one bucket that a list of the first step may stand for.
+SHARE = 500_000
+#: In the first step a line meets the first SOURCES lines of a list and gets PARTNERS of them at most; lists
+#: above SHORT lines are worked on one by one.  The second step has no bounds.
+SHORT, SOURCES, PARTNERS = 48, 20_000, 2
+#: Size of the table that keeps words without open lines out of the second step: 1 MB, whatever the input.
+FILTER_BITS = 20
 #: Texts whose lines are worked on together.
 ROWS = 1024
 
@@ -95,9 +106,31 @@ def _needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """``word, doc_id, line, n, place, parity``: the rarest words of lines, once a distinct set and batch."""
+def _slot(words: np.ndarray) -> np.ndarray:
+    """Place of a word in the filter of the second step."""
+    return (hashing.mix(words) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(words: DataFrame) -> np.ndarray:
+    """Which slots the words take: a table of fixed size."""
+
+    def make():
+        return lambda columns: [np.unique(_slot(np.array(columns[0], np.int64).view(np.uint64)))]
+
+    found = map_columns(words.select("word"), make, "slot bigint", 1 << 16).distinct().toArrow()
+    table = np.zeros(1 << FILTER_BITS, bool)
+    table[found["slot"].to_numpy()] = True
+    return table
+
+
+def _postings(rows: DataFrame, counts: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """``word, share, doc_id, line, n, place, parity, digest``: the rarest words of lines, once a distinct set
+    and batch; with ``wanted``, only words in slots that it names.
+
+    ``share`` is -1 for words whose list is not spread.
+    """
     table = rows.sparkSession.sparkContext.broadcast(counts)
+    slots = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
     # Below this size only equal sets are similar.
     smallest = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
 
@@ -108,46 +141,147 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             ids, texts = columns
             found = Lines(texts)
             if not len(found.word):
-                return [[]] * 6
+                return [[]] * 8
             # The words of each line, rarest first; bucket counts come before the words themselves.
             rank = np.minimum(rarity[bucket_of(found.word)], (1 << 31) - 1).astype(np.uint64)
             order = np.lexsort((found.word, rank, found.line))
             of = np.repeat(np.arange(len(found.having)), found.size)
             place = np.arange(len(order)) - found.start[of]
             once = np.zeros(len(found.having), bool)
-            once[np.unique(found.digest, return_index=True)[1]] = True
+            at = found.having
+            earliest = np.lexsort((found.number[at], np.array(ids, np.int64)[found.doc[at]], found.digest))
+            once[earliest[np.unique(found.digest[earliest], return_index=True)[1]]] = True
             once &= found.size >= smallest
             use = (place < (found.size - _needed(found.size, percent) + 1)[of]) & once[of]
+            if slots is not None:
+                use &= slots.value[_slot(found.word[order])]
             line = of[use]
             at = found.having[line]
+            word = found.word[order][use]
+            shares = 1 + rarity[bucket_of(word)] // SHARE
+            share = np.where(shares > 1, (found.digest[line] % shares.astype(np.uint64)).astype(np.int64), -1)
             return [
-                found.word[order][use].view(np.int64),
+                word.view(np.int64),
+                share,
                 np.array(ids, np.int64)[found.doc[at]],
                 found.number[at],
                 found.size[line],
                 place[use],
                 found.parity[line].view(np.int64),
+                found.digest[line].view(np.int64),
             ]
 
         return work
 
-    return map_columns(rows, make, "word bigint, doc_id bigint, line int, n int, place int, parity bigint", ROWS)
+    return map_columns(rows, make, "word bigint, share int, doc_id bigint, line int, n int, place int, parity bigint, digest bigint", ROWS)
+
 
+def _near(a: dict, b: dict, percent: int):
+    """Filters that no similar pair fails: length, position of the shared word, parity signature.
 
-def _passes(a: str, b: str, percent: int):
-    """Filters that no similar pair fails: length, position of the shared word, parity signature."""
-    n, m = F.col(f"{a}.n").cast("bigint"), F.col(f"{b}.n").cast("bigint")
-    shared = F.lit(1) + F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) - 1
-    # Places before the shared word may hold shared words too, at most as many as the nearer place.
-    shared = shared + F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
-    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    Works on arrays and on columns alike; ``b`` brings the functions that differ.
+    """
+    n, m = a["n"], b["n"]
+    # Of all words that two sets share, the first in the order has the others behind it in both.
+    shared = b["least"](n - a["place"], m - b["place"])
     return (
-        (100 * F.least(n, m) >= percent * F.greatest(n, m))
+        (100 * n >= percent * m)
+        & (100 * m >= percent * n)
         & ((100 + percent) * shared >= percent * (n + m))
-        & ((100 + percent) * apart <= (100 - percent) * (n + m))
+        & ((100 + percent) * b["apart"](a["parity"], b["parity"]) <= (100 - percent) * (n + m))
     )
 
 
+_ARRAYS = {"least": np.minimum, "apart": lambda x, y: np.bitwise_count(x ^ y).astype(np.int64)}
+_COLUMNS = {"least": F.least, "apart": lambda x, y: F.bit_count(x.bitwiseXOR(y))}
+_FIELDS = ("word", "share", "doc_id", "line", "n", "place", "parity", "digest")
+
+
+def _bits(parity: np.ndarray) -> np.ndarray:
+    return parity.view(np.uint64)
+
+
+def _candidates(postings: DataFrame, percent: int, short: int, most: int, partners: int) -> DataFrame:
+    """Pairs of sorted lists that pass the filters: ``e`` and ``l`` as in ``_similar``.
+
+    A line that passes with ``partners`` or more earlier lines of a list gets the
+    first of them only, and lines behind the first ``most`` of a list meet only
+    those; their rows come again with a null ``e``.
+    """
+    place = "struct<doc_id:bigint,line:int>"
+    fields = parse(f"word bigint, n int, place int, parity bigint, e {place}, l {place}")
+
+    def pairs_of(rows: dict, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        word, share = rows["word"], rows["share"]
+        start = np.concatenate([[True], (word[1:] != word[:-1]) | (share[1:] != share[:-1])])
+        first = np.flatnonzero(start)
+        sizes = np.diff(np.concatenate([first, [len(word)]]))
+        nth, size = np.arange(len(word)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+        fresh = np.arange(len(word)) >= old
+        e, l, more = [], [], [np.flatnonzero((share >= 0) & fresh)]  # noqa: E741
+
+        def part(at, shape=()):
+            own = {c: rows[c][at] for c in ("n", "place")} | {"parity": _bits(rows["parity"])[at]}
+            return {c: v[shape] if shape else v for c, v in own.items()} | _ARRAYS
+
+        few, begins = (size <= short) & fresh, np.repeat(first, sizes)
+        found = np.zeros(len(word), np.int64)
+        for k in range(int(size[few].max(initial=1)) - 1):
+            at = np.flatnonzero(few & (nth > k) & (found < partners))
+            at = at[_near(part(begins[at] + k), part(at), percent)]
+            found[at] += 1
+            e.append(begins[at] + k)
+            l.append(at)
+        more.append(np.flatnonzero(few & (found == partners)))
+        for begin, count in zip(first[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+            many = min(count, most)
+            sources = part(slice(begin, begin + many), (None, slice(None)))
+            for at in range(max(begin, old), begin + count, 256):
+                rest = np.arange(at, min(at + 256, begin + count))
+                near = _near(sources, part(rest, (slice(None), None)), percent)
+                near &= np.arange(begin, begin + many)[None, :] < rest[:, None]
+                near &= np.cumsum(near, axis=1) <= partners
+                t, s = np.nonzero(near)
+                e.append(begin + s)
+                l.append(rest[t])
+                more.append(rest[(near.sum(axis=1) == partners) | (rest - begin >= many)])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + e), np.concatenate(none + l), np.unique(np.concatenate(more)), int(first[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = arrow_schema(fields), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in _FIELDS}
+            old = len(held["word"]) if held else 0
+            if held:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in _FIELDS}
+            # A set that a list has already is not the first of its kind.
+            order = np.lexsort((np.arange(len(rows["word"])), rows["digest"], rows["share"], rows["word"]))
+            same = np.ones(len(order) - 1, bool)
+            for c in ("digest", "share", "word"):
+                same &= rows[c][order[1:]] == rows[c][order[:-1]]
+            if same.any():
+                stay = np.ones(len(order), bool)
+                stay[order[1:][same]] = False
+                rows = {c: v[stay] for c, v in rows.items()}
+            e, l, more, last = pairs_of(rows, old)  # noqa: E741
+
+            def places(at: np.ndarray) -> pa.StructArray:
+                return pa.StructArray.from_arrays(
+                    [pa.array(rows["doc_id"][at]), pa.array(rows["line"][at].astype(np.int32))], ["doc_id", "line"]
+                )
+
+            for at, source in ((l, places(e)), (more, pa.nulls(len(more), out.field("e").type))):
+                plain = [pa.array(rows[c][at], out.field(c).type) for c in ("word", "n", "place", "parity")]
+                yield pa.RecordBatch.from_arrays([*plain, source, places(at)], schema=out)
+            # The first lines of the last list meet those that follow.
+            held = {c: v[last : last + most] for c, v in rows.items()}
+
+    return postings.mapInArrow(run, fields)
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (``e`` earlier, ``l`` later: ``doc_id, line``) whose whole sets are similar."""
     ends = pairs.select("e.*").unionByName(pairs.select("l.*")).distinct()
@@ -167,7 +301,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    words = stage(map_rows(rows.join(wanted, "doc_id"), sets, "doc_id bigint, line int, words binary", ROWS), "line-words")
+    words = stage(map_rows(rows.join(wanted.hint("merge"), "doc_id"), sets, "doc_id bigint, line int, words binary", ROWS), "line-words")
     keyed = lambda x: words.select(F.struct("doc_id", "line").alias(x), F.col("words").alias(f"{x}w"))
 
     def verified():
@@ -190,41 +324,35 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = id_text(docs).where("doc_id is not null")
     table = stage(_table(rows), "lines")
     counts = np.zeros(BUCKETS, np.int64)
-    found = table.where("line < 0").groupBy("digest").agg(F.sum("doc_id").alias("n")).toPandas()
-    counts[found["digest"]] = found["n"]
+    found = table.where("line < 0").groupBy("digest").agg(F.sum("doc_id").alias("n")).toArrow()
+    counts[found["digest"].to_numpy()] = found["n"].to_numpy()
     firsts = stage(
         table.where("line >= 0").groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("p.*"), "first-lines"
     )
     postings = _postings(rows, counts, percent)
-    entry = F.struct("doc_id", "line", "n", "place", "parity")
-    heads = postings.groupBy("word").agg(F.min(entry).alias("head"), F.max(F.struct("doc_id", "line")).alias("last"))
-    heads = heads.where(F.struct("head.doc_id", "head.line") != F.col("last")).select("word", "head")
-    lists = stage(postings.join(heads, "word").join(firsts, ["doc_id", "line"], "left_semi"), "lists")
-
-    place = lambda x: F.struct(F.col(f"{x}.doc_id").alias("doc_id"), F.col(f"{x}.line").alias("line"))
-    lists = lists.select("word", entry.alias("own"), "head")
-    first = stage(
-        lists.where(place("own") != place("head"))
-        .where(_passes("head", "own", percent))
-        .select(place("head").alias("e"), place("own").alias("l"))
-        .distinct(),
-        "first-pairs",
-    )
-    gone = stage(_similar(first, rows, percent), "gone")
-    left = lists.join(gone, (F.col("own.doc_id") == gone["doc_id"]) & (F.col("own.line") == gone["line"]), "left_anti")
-    targets = left.where(place("own") != place("head")).select("word", F.col("own").alias("target"))
-    second = stage(
-        lists.select("word", F.col("own").alias("source"))
-        .join(targets, "word")
-        .where(place("source") < place("target"))
-        .where(_passes("source", "target", percent))
-        .select(place("source").alias("e"), place("target").alias("l"))
-        .distinct()
-        .join(first, ["e", "l"], "left_anti"),
-        "second-pairs",
-    )
-    gone = gone.unionByName(_similar(second, rows, percent))
-    return firsts.join(stage(gone, "gone"), ["doc_id", "line"], "left_anti")
+    dealt = postings.repartition("word", "share").sortWithinPartitions("word", "share", "doc_id", "line")
+    found = stage(_candidates(dealt, percent, SHORT, SOURCES, PARTNERS), "candidates")
+    # Repeated rows give a line twice.
+    found = found.where("e is null or e < l").withColumns({"doc_id": F.col("l.doc_id"), "line": F.col("l.line")})
+    found = found.join(firsts.hint("merge"), ["doc_id", "line"], "left_semi")
+    pairs = stage(found.where("e is not null").select("e", "l").distinct(), "pairs")
+    gone = stage(_similar(pairs, rows, percent), "gone")
+    # Lines that may have further partners and that nothing has removed so far.
+    rest = stage(found.where("e is null").join(gone.hint("merge"), ["doc_id", "line"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        sides = {x: {c: F.col(f"{x}.{c}").cast("bigint") for c in ("n", "place", "parity")} for x in "st"}
+        source = F.struct(F.col("s.doc_id").alias("doc_id"), F.col("s.line").alias("line"))
+        met = (
+            _postings(rows, counts, percent, _filter(rest))
+            .alias("s")
+            .join(rest.alias("t"), F.col("s.word") == F.col("t.word"))
+            .where(source < F.col("t.l"))
+            .where(_near(sides["s"], sides["t"] | _COLUMNS, percent))
+            .select(source.alias("e"), "t.l")
+            .distinct()
+        )
+        gone = stage(gone.unionByName(_similar(stage(met, "pairs"), rows, percent)), "gone")
+    return firsts.join(gone.hint("merge"), ["doc_id", "line"], "left_anti")
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,7 +363,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     packed = docs.select(
         F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("body"), F.struct("*").alias("row")
     )
-    joined = packed.join(kept.withColumnRenamed("doc_id", "id"), "id", "left")
+    joined = packed.join(kept.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left")
     rebuilt = joined.mapInArrow(_rebuild, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed bigint")
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name]
     return rebuilt.select(*columns, F.struct("n_lines", "n_removed").alias(name))
