@@ -251,7 +251,8 @@ def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str, keep: bool = Tr
     def make():
         machine = _machine(shared) if keep else Transducer(shared.value)
         if not hasattr(machine, "cut"):
-            machine.cut = bpe.Cutter(pattern, lambda p: array("I", machine.encode(p.encode())).tobytes(), b"".join)
+            memory = bpe.MEMORY if keep else bpe.MEMORY // 3
+            machine.cut = bpe.Cutter(pattern, lambda p: array("I", machine.encode(p.encode())).tobytes(), b"".join, memory)
 
         def work(columns):
             for doc_id, text in zip(*columns, strict=True):

@@ -240,7 +240,9 @@ def test_similar_lines_in_long_lists(spark, monkeypatch):
         lines.append(" ".join(own))
     rows = [(n, "\n".join(lines[n * 4 : n * 4 + 4])) for n in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for share in (line_dedup.SHARE, 5):
+    for share, bounds in ((line_dedup.SHARE, (48, 20_000, 16)), (5, (48, 20_000, 16)), (10**9, (3, 10, 2)), (10**9, (3, 10**6, 10**6))):
+        for name, bound in zip(("SHORT", "SOURCES", "PARTNERS"), bounds):
+            monkeypatch.setattr(line_dedup, name, bound)
         monkeypatch.setattr(line_dedup, "SHARE", share)
         out = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
         assert out == brute.lines(rows)
