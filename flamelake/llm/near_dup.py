@@ -1,20 +1,23 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
-Every distinct shingle set is represented once.  Its sketch holds the ``size``
-smallest shingle hashes.  Two similar sets share many of them, so they also share
-one of the rarest ``size - shared + 1`` of each (prefix of an order by rarity);
-only those are listed.  Lists propose pairs, the sketch of a pair's union
-estimates its similarity, and exact Jaccard on full sets confirms it.
+Every distinct shingle set is represented once.  Its sketch holds the smallest
+shingle hashes: all of a set of up to ``WHOLE``, ``size`` of a larger one.  Two
+similar sets share many of them, so they also share one of the rarest in an order
+by rarity, a prefix of each sketch; only those are listed.  Lists propose pairs,
+the sketch of a pair's union estimates its similarity, and exact Jaccard on full
+sets confirms it.  Before a pair is made, the places of the shared hash and
+signatures of 256 bits must allow for the threshold.
 
 Pairs of one list are not all made.  First every list proposes its members to its
-smallest member; confirmed links are contracted to groups.  Then lists whose
+most central one, whose hashes most others hold; confirmed links are contracted to groups.  Then lists whose
 members lie in several groups propose pairs of different groups, of similar size
 only.  A pair inside a group could change nothing, so no link is lost.
 
-``size`` and ``shared`` bound the chance that a pair at the threshold shares fewer
-retained hashes than asked: at 0.8 of 96 hashes the mean is 77 or more and 50 lies
-almost seven deviations below.  Sets small enough to be whole in both sketches
-use the exact bound.
+Sets of up to ``WHOLE`` are listed by the exact bound of set similarity.  Larger
+ones, and those that can be similar to a larger one, are also listed by ``size``
+hashes, of which two similar sets share ``shared``: at 0.8 of 96 hashes the mean is
+77 or more and 50 lies almost seven deviations below.  So a passage that many
+documents share is listed only for those that hardly hold anything else.
 
 Cases: a null or empty text has an empty set, is linked with nothing and is its
 own component; equal texts are linked; rows that share a ``doc_id`` count as one
@@ -32,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flamelake.llm import hashing
-from flamelake.llm.common import id_text, map_rows, stage
+from flamelake.llm.common import id_text, map_columns, map_rows, stage
 from flamelake.llm.components import components
 
-SIZE, SHARED = 96, 50
+SIZE, SHARED, WHOLE = 96, 50, 256
 #: Sketch estimates below the threshold less this much (six deviations) are dropped.
 MARGIN = 0.25
 #: Buckets in which retained hashes are counted; their table is what the rarity order needs.
@@ -50,7 +53,7 @@ def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
             ids, texts = columns
             for doc_id, own in zip(ids, hashing.shingle_sets(texts, shingle), strict=True):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
-                yield doc_id, len(own), digest, own[:size].tolist()
+                yield doc_id, len(own), digest, (own if len(own) <= WHOLE else own[:size]).tolist()
 
         return work
 
@@ -71,8 +74,8 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
     counted = map_rows(sets.select("sketch"), make, "bucket int, n bigint", 16384).groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(BUCKETS, np.int64)
-    rows = counted.toPandas()
-    table[rows["bucket"]] = rows["n"]
+    rows = counted.toArrow()
+    table[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return table
 
 
@@ -80,30 +83,70 @@ def bucket_of(values: np.ndarray) -> np.ndarray:
     return (hashing.mix(values.view(np.uint64)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def prefix_length(retained: int, n: int, threshold: float, size: int, shared: int) -> int:
-    """Retained hashes of which two similar sets must share one."""
-    if not retained:
-        return 0
-    whole = n <= math.floor(threshold * size + 1e-9)
-    needed = math.ceil(threshold * n - 1e-9) if whole else shared
-    return max(1, retained - min(needed, retained) + 1)
+def prefixes(own: np.ndarray, n: int, counts: np.ndarray, percent: int, size: int, shared: int) -> list[tuple]:
+    """Listed hashes of one sketch, rarest first, with the number retained: of the whole set, and of its
+    ``size`` smallest.  The two kinds have different lists, so the second is told apart by flipped bits."""
+    out = []
+    if n <= WHOLE:
+        out.append((_rarest(own, counts, n - -(-percent * n // 100) + 1), n, True))
+    if 100 * n > percent * WHOLE:
+        out.append((~_rarest(own[:size], counts, size - shared + 1), min(n, size), False))
+    return out
 
 
-def listed(sets: DataFrame, counts: np.ndarray, threshold: float, size: int, shared: int) -> DataFrame:
-    """``value, node, n``: the rarest retained hashes of every set."""
+def _rarest(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return values[np.lexsort((values, counts[bucket_of(values)]))[:n]]
+
+
+def parity(values: np.ndarray) -> tuple[int, ...]:
+    """Signature of 256 bits: each hash flips one of them, so two sets differ in no more bits than members."""
+    bits = np.bincount((hashing.mix(values.view(np.uint64)) & np.uint64(255)).astype(np.int64), minlength=256)
+    return tuple(np.packbits((bits & 1).astype(np.uint8)).view(np.int64).tolist())
+
+
+def listed(sets: DataFrame, counts: np.ndarray, percent: int, size: int, shared: int) -> DataFrame:
+    """``value, node, n, rest, whole, bits``: the rarest retained hashes of every set; ``rest`` of its retained
+    hashes are this one or come after it, ``bits`` is their signature."""
     table = sets.sparkSession.sparkContext.broadcast(counts)
 
     def make():
         def work(columns):
-            for node, n, sketch in zip(*columns, strict=True):
-                values = np.array(sketch, np.int64)
-                order = np.lexsort((values, table.value[bucket_of(values)]))
-                for value in values[order[: prefix_length(len(values), n, threshold, size, shared)]].tolist():
-                    yield value, node, n
+            found = [
+                (values, node, n, retained, whole, *parity(own[:retained]))
+                for node, n, own in ((node, n, np.array(own, np.int64)) for node, n, own in zip(*columns, strict=True))
+                for values, retained, whole in prefixes(own, n, table.value, percent, size, shared)
+            ]
+            many = np.array([len(f[0]) for f in found], np.int64)
+            values = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+            node, n, retained, whole, *bits = (np.repeat(np.array([f[k] for f in found], np.int64), many) for k in range(1, 9))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(many) - many, many)
+            return [values, node, n, retained - place, whole.astype(bool), *bits]
 
         return work
 
-    return map_rows(sets.select("node", "n", "sketch"), make, "value bigint, node bigint, n bigint", 512)
+    schema = "value bigint, node bigint, n bigint, rest bigint, whole boolean, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    rows = map_columns(sets.select("node", "n", "sketch"), make, schema, 512)
+    return rows.withColumn("bits", F.struct("b0", "b1", "b2", "b3")).drop("b0", "b1", "b2", "b3")
+
+
+def _enough(a: str, b: str, percent: int, size: int, low="n", high="n"):
+    """Can the shared hash be the first of as many as two similar sets share, and can so few bits of their
+    signatures differ?  Exact for whole sets; for sketches seven deviations below the mean.  ``a`` and ``b``
+    may stand for several sets, of ``low`` to ``high`` shingles, and have null bits then."""
+    col = lambda x, c: F.col(f"{x}.{c}").cast("double")
+    rest = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+    share = percent / (100 + percent)
+    sets = F.ceil(share * (col(a, low) + col(b, low)) - 1e-6)
+    ratio = F.greatest(
+        F.lit(percent / 100), F.least(col(a, low) / col(b, high), col(b, low) / col(a, high), F.lit(1.0))
+    )
+    p = share * (1 + ratio)
+    sampled = size * p - 7 * F.sqrt(size * p * (1 - p))
+    apart = sum(F.bit_count(F.col(f"{a}.bits.b{k}").bitwiseXOR(F.col(f"{b}.bits.b{k}"))) for k in range(4))
+    # Members of only one of two sets: all that they hold, less twice what they share.
+    most = F.when(F.col(f"{a}.whole"), col(a, low) + col(b, low) - 2 * sets).otherwise(2 * (size - sampled))
+    listed_early = F.when(F.col(f"{a}.whole"), rest >= sets).otherwise(rest >= sampled)
+    return listed_early & F.coalesce(apart <= most, F.lit(True))
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -143,7 +186,6 @@ def groups(
     docs: DataFrame, shingle: int = 5, percent: int = 80, size: int = SIZE, shared: int = SHARED
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for every input row."""
-    threshold = percent / 100
     every = stage(sketches(docs, shingle, size), "sketches")
     usable = every.where("doc_id is not null and digest is not null")
     sets = stage(
@@ -152,21 +194,22 @@ def groups(
         ),
         "sets",
     )
-    lists = listed(sets, rarity(sets), threshold, size, shared)
-    heads = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members"))
-    lists = stage(
-        lists.join(heads.where("members > 1"), "value").select(
-            "value", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")
-        ),
-        "lists",
-    )
+    lists = listed(sets, rarity(sets), percent, size, shared)
+    shared_values = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    lists = stage(lists.join(shared_values, "value"), "shared")
+    # The most central member of each list: the one whose hashes most others hold.
+    weights = lists.groupBy("node").agg(F.sum("members").alias("weight"))
+    lists = stage(lists.join(weights, "node").drop("members"), "lists")
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("node"), "node", "n", "rest", "bits")).alias("head"))
+    headed = lists.select("value", F.struct("node", "n", "rest", "whole", "bits").alias("own")).join(heads, "value")
     texts = stage(
-        id_text(docs).withColumnRenamed("doc_id", "node").join(lists.select("node").distinct(), "node", "left_semi"),
+        id_text(docs).withColumnRenamed("doc_id", "node").join(lists.select("node").distinct().hint("merge"), "node", "left_semi"),
         "texts",
     )
     first = stage(
-        lists.where((F.col("node") != F.col("head")) & _similar_size("n", "head_n", percent))
-        .select(F.col("head").alias("u"), F.col("node").alias("v"))
+        headed.where((F.col("own.node") != F.col("head.node")) & _similar_size("own.n", "head.n", percent))
+        .where(_enough("own", "head", percent, size))
+        .select(F.col("head.node").alias("u"), F.col("own.node").alias("v"))
         .distinct(),
         "first-pairs",
     )
@@ -182,27 +225,37 @@ def groups(
     members = stage(
         placed.join(mixed.select("value"), "value")
         .withColumn("band", F.floor(F.log("n") / step + 1e-9))
-        .select("value", "node", "n", "own", "band"),
+        .select("value", "own", "band", F.struct("node", "n", "rest", "whole", "bits").alias("set")),
         "mixed",
     )
-    held = members.select("value", "own", "band").distinct()
-    near = held.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
+    held = members.groupBy("value", "own", "band").agg(
+        F.min("set.n").alias("low"), F.max("set.n").alias("high"), F.max("set.rest").alias("rest"), F.first("set.whole").alias("whole"),
+        F.when(F.count("*") == 1, F.min("set.bits")).alias("bits"),
+    )
+    left = held.select("value", "band", F.struct("own", "band", "low", "high", "rest", "whole", "bits").alias("a"))
+    right = held.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1))).select(
+        "value", F.col("at").alias("band"), F.struct("own", "band", "low", "high", "rest", "whole", "bits").alias("b")
+    )
     meeting = (
-        held.withColumnRenamed("own", "left")
-        .join(near.withColumnRenamed("own", "right"), ["value", "band"])
-        .where("left < right")
-        .select("value", "left", "right", F.col("band").alias("left_band"))
-        .distinct()
+        left.join(right, ["value", "band"])
+        .where(F.col("a.own") < F.col("b.own"))
+        .where(_enough("a", "b", percent, size, "low", "high"))
+    )
+    side = lambda x: members.select(
+        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").alias(x)
     )
-    left = members.select("value", F.col("own").alias("left"), F.col("band").alias("left_band"), F.col("node").alias("u"), F.col("n").alias("un"))
-    right = members.select("value", F.col("own").alias("right"), F.col("node").alias("v"), F.col("n").alias("vn"))
     second = (
-        meeting.join(left, ["value", "left", "left_band"])
-        .join(right, ["value", "right"])
-        .where(_similar_size("un", "vn", percent))
+        meeting.select(
+            "value", F.col("a.own").alias("u_own"), F.col("a.band").alias("u_band"), F.col("b.own").alias("v_own"), F.col("b.band").alias("v_band")
+        )
+        .join(side("u"), ["value", "u_own", "u_band"])
+        .join(side("v"), ["value", "v_own", "v_band"])
+        .where(_similar_size("u.n", "v.n", percent))
+        .where(_enough("u", "v", percent, size))
+        .select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()
-        .join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+        .join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), ["u", "v"], "left_anti")
     )
     more = stage(confirmed(stage(second, "second-pairs"), sets, texts, shingle, percent, size), "second-links")
     # Rows that share an id tie their sets together.
@@ -215,3 +268,9 @@ def groups(
     )
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return named.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, with all its columns; rows without ``doc_id`` stay."""
+    later = groups(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(later.hint("merge"), F.col("doc_id").cast("bigint") == F.col("id"), "left_anti")
