@@ -54,7 +54,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes of text that one step of an Arrow pass works on; a longer text is a step of its own.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 
 
 def _steps(batch: pa.RecordBatch, rows: int) -> Iterator[list]:
