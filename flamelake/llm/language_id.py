@@ -6,9 +6,11 @@ Each candidate's score of the word is the sum of the log frequencies of its
 text, in which a change of language costs ``penalty``, labels spans; the text's
 language is the one with most letters.
 
-Fitting counts sequences in a sample of the labelled rows, at most about
-``FIT_ROWS`` documents of each language, chosen by a hash of the text; counting
-runs in Spark and only the table of counts (``BUCKETS`` a language) is gathered.
+Every language of the labelled rows is learned.  Fitting counts sequences in a
+sample of these rows, at most about ``FIT_ROWS`` documents of each language and
+``FIT_TOTAL`` of all, chosen by a hash of the text; with many languages each has an
+equal part of the total, ``LEAST_ROWS`` at least.  Counting runs in Spark and only
+the table of counts (``BUCKETS`` a language) is gathered.
 
 Cases: a null text or one without a letter has no span and language ``und``;
 words in a script that no learned language uses leave all languages as
@@ -28,14 +30,14 @@ from pyspark.sql import functions as F
 
 from flamelake.llm.common import map_rows
 
-#: Labelled documents of each language that a model is fitted on, and languages it may hold.
-FIT_ROWS, MAX_LANGUAGES = 20_000, 120
+#: Labelled documents that a model is fitted on: most of each language, most of all, least of each that has so many.
+FIT_ROWS, FIT_TOTAL, LEAST_ROWS = 20_000, 2_400_000, 100
 BUCKETS = 1 << 16
 PENALTY = 12.0
 #: Share of a language's words in a script that makes it a candidate there.
 SCRIPT_SHARE = 0.005
-#: Characters of text that are labelled together.
-CHUNK = 16 << 20
+#: Characters of text that are labelled together, times languages; a longer text is labelled alone.
+CELLS = 1 << 25
 
 #: First code point of each script range, by the Unicode blocks.
 SCRIPTS = (
@@ -81,49 +83,55 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(lowered(text))
 
 
-def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of each language at most, chosen by a hash of the text."""
+def sample(labelled: DataFrame, rows: int) -> tuple[list[str], DataFrame]:
+    """All languages by name, and ``text, n`` of a sample of their rows, chosen by a hash of the text.
+
+    ``n`` is the language's place; each has about ``rows`` rows at most, or its part of ``FIT_TOTAL``.
+    """
     usable = labelled.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").take(MAX_LANGUAGES)}
-    if not counts:
-        return usable.where(F.lit(False))
-    share = F.lit(0.0)
-    for lang, count in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, rows / count)).otherwise(share)
-    return usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    counts = sorted((r["lang"], r["count"]) for r in usable.groupBy("lang").count().collect())
+    each = min(rows, max(LEAST_ROWS, FIT_TOTAL // max(1, len(counts))))
+    shares = [(lang, n, min(1.0, each / count)) for n, (lang, count) in enumerate(counts)]
+    table = labelled.sparkSession.createDataFrame(shares, "lang string, n int, share double")
+    chosen = usable.join(F.broadcast(table), "lang").where(
+        F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    )
+    return [lang for lang, _ in counts], chosen.select("text", "n")
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> dict | None:
     """Languages, log frequencies (language by bucket) and candidates (script by language)."""
+    names, chosen = sample(labelled, rows)
 
     def make():
         def work(columns):
-            sums: dict[str, np.ndarray] = {}
-            for text, lang in zip(*columns, strict=True):
+            own: dict[int, list[str]] = {}
+            for text, n in zip(*columns, strict=True):
                 if found := [w for w in words_of(text) if lettered(w)]:
-                    own = sums.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-                    own += np.bincount(sequences(found)[0], minlength=len(own))
-                    own[BUCKETS:] += np.bincount([script_of(w) for w in found], minlength=len(_NAMES))
-            for lang, own in sums.items():
-                for bucket in np.flatnonzero(own).tolist():
-                    yield lang, bucket, int(own[bucket])
+                    own.setdefault(n, []).extend(found)
+            for n, found in own.items():
+                sums = np.bincount(sequences(found)[0], minlength=BUCKETS + len(_NAMES))
+                sums[BUCKETS:] += np.bincount([script_of(w) for w in found], minlength=len(_NAMES))
+                for bucket in np.flatnonzero(sums).tolist():
+                    yield n, bucket, int(sums[bucket])
 
         return work
 
-    counted = map_rows(sample(labelled, rows), make, "lang string, bucket int, n bigint", 4096)
+    counted = map_rows(chosen, make, "lang int, bucket int, n bigint", 4096)
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if table.empty:
         return None
-    langs = sorted(table["lang"].unique())
-    counts = np.zeros((len(langs), BUCKETS + len(_NAMES)))
-    counts[table["lang"].map({x: n for n, x in enumerate(langs)}), table["bucket"]] = table["n"]
-    grams, scripts = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
-    shares = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return {
-        "langs": langs,
-        "logs": np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32).T.copy(),
-        "candidates": (shares >= SCRIPT_SHARE).T,
-    }
+    table = table.sort_values("lang", kind="stable")
+    found, first = np.unique(table["lang"].to_numpy(), return_index=True)
+    logs, candidates = np.empty((BUCKETS, len(found)), np.float32), np.empty((len(_NAMES), len(found)), bool)
+    # One language at a time: only the table of 4-byte values grows with their number.
+    for k, (start, end) in enumerate(zip(first, [*first[1:], len(table)], strict=True)):
+        part = table.iloc[start:end]
+        counts = np.bincount(part["bucket"], weights=part["n"], minlength=BUCKETS + len(_NAMES))
+        grams, scripts = counts[:BUCKETS] + 0.5, counts[BUCKETS:]
+        logs[:, k] = np.log(grams / grams.sum())
+        candidates[:, k] = scripts / max(scripts.sum(), 1) >= SCRIPT_SHARE
+    return {"langs": [names[n] for n in found], "logs": logs, "candidates": candidates}
 
 
 def word_scores(words: list[str], model: dict) -> np.ndarray:
@@ -143,24 +151,23 @@ def viterbi(docs: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[
     flat = np.concatenate([docs[n] for n in order]) if order else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     size = scores.shape[1]
-    came = np.empty((len(flat), size), np.int8)
+    stays, tops = np.empty((len(flat), size), bool), np.empty(len(flat), np.int32)
     value = np.zeros((len(order), size), np.float32)
-    stay = np.arange(size, dtype=np.int8)
     active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
     for step, count in enumerate(active.tolist()):
         at = starts[:count] + step
         own = value[:count]
         top = own.argmax(axis=1)
         moved = own[np.arange(count), top][:, None] - np.float32(penalty)
-        came[at] = np.where(own >= moved, stay, top[:, None].astype(np.int8))
+        stays[at], tops[at] = own >= moved, top
         value[:count] = np.maximum(own, moved) + scores[flat[at]]
-    label = np.empty(len(flat), np.int8)
+    label = np.empty(len(flat), np.int32)
     current = value.argmax(axis=1)
     for step in range(len(active) - 1, -1, -1):
         count = active[step]
         at = starts[:count] + step
-        label[at] = current[:count]
-        current[:count] = came[at, current[:count]]
+        label[at] = now = current[:count]
+        current[:count] = np.where(stays[at, now], now, tops[at])
     out: list[np.ndarray] = [label[:0]] * len(docs)
     for place, n in enumerate(order):
         out[n] = label[starts[place] : starts[place] + lengths[place]]
@@ -211,12 +218,13 @@ def spans(docs: DataFrame, model: dict | None, penalty: float = PENALTY) -> Data
 
     def make():
         known = shared.value
+        most = CELLS // len(known["langs"]) if known else CELLS
 
         def work(columns):
             ids, texts = columns
             start, size = 0, 0
             for n in range(len(ids) + 1):
-                if n == len(ids) or size > CHUNK:
+                if n == len(ids) or size > most:
                     part = [t or "" for t in texts[start:n]]
                     made = _labelled(part, known, penalty) if known else [([], [])] * len(part)
                     yield from ((i, *m) for i, m in zip(ids[start:n], made, strict=True))

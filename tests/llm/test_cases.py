@@ -91,6 +91,21 @@ def test_language_spans_of_mixed_text(spark):
     assert out[1]["spans"][-1]["end"] == len(english * 4 + german * 4)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    # More languages than one byte counts, each with words of its own letters; the last by name is rarest.
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = [f"{a}a{b}o{a}{b}" for a in letters for b in letters][:150]
+    rows = [(n, f"{w} " * 30, f"l{n:03}") for n, w in enumerate(words) for _ in range(1 + (n < 149))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs.select("text", "lang"))
+    assert model["langs"] == [f"l{n:03}" for n in range(150)]
+    for cells in (language_id.CELLS, 1):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        lang, _ = language_id.predicted(language_id.spans(docs, model))
+        out = language_id.spans(docs, model).select("doc_id", lang.alias("lang")).collect()
+        assert len(out) == len(rows) and all(r["lang"] == f"l{r['doc_id']:03}" for r in out)
+
+
 def test_licenses(docs, none, repeated):
     out = by_id(licenses.scan(docs))
     assert out[14]["licenses"] == ["MIT"] and out[4]["licenses"] == [] and out[12]["n_unmatched"] == 0
