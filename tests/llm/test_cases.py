@@ -235,6 +235,30 @@ def test_decontamination(spark, docs, none, given, items, block_bytes):
     assert decontaminate.clean(docs, bench.where("false")).columns == docs.columns
 
 
+def test_benchmark_blocks_are_scanned_one_by_one(spark, items, monkeypatch):
+    staged, write = [], decontaminate.stage
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(decontaminate, "stage", lambda df, label: staged.append(label) or write(df, label))
+    items = [*items[:12], (900, prose(40, 1500)), (901, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = list(decontaminate.pattern_blocks(bench, 13, 20_000))
+    assert len(blocks) > 3 and all(sum(map(len, b)) <= 20_000 + 1000 for b in blocks)
+    assert {k for b in blocks for k in b} == {k for _, t in items for k in decontaminate.windows(t, 13)}
+    # The long item is in several blocks; its text twice, and one with null id.
+    rows = ROWS + [(5000, items[2][1]), (5001, items[12][1]), (5001, items[12][1]), (None, items[12][1] + " x")]
+    hits = decontaminate.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), bench, block_bytes=20_000)
+    assert staged == ["block-hits"] * (len(blocks) - 1) + ["hits"]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    out = decontaminate.judged(hits).collect()
+    assert len(out) == len(rows) and [r["n_hit"] for r in out if r["doc_id"] == 5001] == [1500, 1500]
+    assert [(r["n_hit"], r["n_words"]) for r in out if r["doc_id"] is None] == [(1500, 1501)]
+    expected = brute.contaminated(rows, items)
+    for r in out:
+        if r["doc_id"] is not None:
+            n, hit, found = expected[r["doc_id"]]
+            assert (r["n_words"], r["n_hit"], r["items_sha256"]) == (n, hit, brute.sha(",".join(found))), r
+
+
 def test_lines(docs, none, repeated):
     expected = brute.lines(ROWS)
     for given in (docs, repeated):
