@@ -8,8 +8,9 @@ weighted mean is scored.  Weights of passages are learned from document labels
 alone.
 
 Passage statistics of the labelled rows are made in Spark; the fit takes at most
-``FIT_DOCS`` documents, chosen by a hash of the id, and of each at most
-``FIT_PASSAGES`` passages spread over its whole length.  Scoring reads whole texts.
+``FIT_DOCS`` documents, chosen by a hash of the id, with all their passages.  Where
+these are more than ``FIT_PASSAGES`` together, fewer documents are taken, in the order
+of the hash and one of each label at least.  Scoring reads whole texts.
 
 Cases: a null text counts as empty; a text without words is one passage without
 content and gets a score like any other; without labelled rows, or with one label
@@ -19,16 +20,18 @@ judged alone: repeated rows, null ids and extra columns change nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flamelake.llm import hashing
-from flamelake.llm.common import map_rows
+from flamelake.llm.common import map_rows, stage
 
 PASSAGE = 64
-#: Bounds of the sample that a model is fitted on.
-FIT_DOCS, FIT_PASSAGES = 8000, 64
+#: Bounds of the sample that a model is fitted on: documents, and passages of all of them.
+FIT_DOCS, FIT_PASSAGES = 8000, 1 << 20
 WIDTH, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 128, 0.01, 1e-4
 
 #: Byte classes: lower, upper, digit, blank, line end, marks of prose, symbols, beyond ASCII.
@@ -42,7 +45,8 @@ FEATURES = 64 + 5
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Statistics of all passages in a row and the number of passages of each text (one at least)."""
     encoded = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b"\n".join(encoded), np.uint8)
+    # A line end after every text, also the last: a text's statistics don't depend on its neighbours.
+    data = np.frombuffer(b"".join(e + b"\n" for e in encoded), np.uint8)
     first, end = hashing.word_bounds(data)
     ends = np.cumsum([len(e) + 1 for e in encoded])
     doc = np.searchsorted(ends, first, side="right")
@@ -54,14 +58,17 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return out, counts
     before = np.concatenate([[0], np.cumsum(words)])
     of_word = base[doc] + (np.arange(len(first)) - before[doc]) // PASSAGE
-    # A byte belongs to the passage of the last word begun in its text.
+    # A byte belongs to the passage of the last word begun in its text, before any word to the first one.
     of_byte = of_word[np.maximum(0, np.searchsorted(first, np.arange(len(data)), side="right") - 1)]
+    text_of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    of_byte = np.maximum(of_byte, base[text_of])
     codes = _CLASS[data]
-    same = of_byte[1:] == of_byte[:-1]
+    same = (of_byte[1:] == of_byte[:-1]) & (words[text_of[1:]] > 0)
     pair = codes[:-1].astype(np.int64) * 8 + codes[1:]
     shares = np.bincount(of_byte[1:][same] * 64 + pair[same], minlength=len(out) * 64).reshape(len(out), 64)
     total = np.maximum(1, shares.sum(axis=1))
-    size = np.maximum(1, np.bincount(of_word, minlength=len(out)))
+    held = np.bincount(of_word, minlength=len(out))
+    size = np.maximum(1, held)
     hashes, lengths = hashing.span_hashes(data, first, end), end - first
     again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])])
     order = np.lexsort((hashes, of_word))
@@ -73,7 +80,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out[:, 65] = np.bincount(of_word[order], weights=fresh, minlength=len(out)) / size
     out[:, 66] = np.log1p(np.bincount(of_word, weights=lengths, minlength=len(out)) / size)
     out[:, 67] = np.bincount(of_word, weights=lengths > 20, minlength=len(out)) / size
-    out[:, 68] = size / PASSAGE
+    out[:, 68] = held / PASSAGE
     return out, counts
 
 
@@ -84,10 +91,20 @@ def sample(labels: DataFrame, docs: int) -> DataFrame:
     return halves[0].unionByName(halves[1])
 
 
+def _last_places(sampled) -> dict[int, int]:
+    """Last place of each label, in the order of the hash, up to which half of ``FIT_PASSAGES`` has room."""
+    last = {}
+    for label, own in sampled.sort_values("place").groupby("label"):
+        room = own["passages"].cumsum().to_numpy() <= FIT_PASSAGES // 2
+        last[int(label)] = int(own["place"].iloc[max(0, int(room.sum()) - 1)])
+    return last
+
+
 def fit(docs: DataFrame, labels: DataFrame, size: int = FIT_DOCS, seed: int = 7) -> dict:
     """Model from ``doc_id, text`` and ``doc_id, label``.
 
     The sample has ``size`` rows of two numbers at most, so it is broadcast; texts are read in place.
+    Their passages are written, and of these the chosen documents' are gathered whole.
     """
     totals = {r["label"]: r["count"] for r in labels.where("label in (0, 1)").groupBy("label").count().collect()}
     if not totals:
@@ -95,20 +112,22 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = FIT_DOCS, seed: int = 7)
 
     def make():
         def work(columns):
-            texts, labels = columns
+            texts, labels, places = columns
             made, counts = passages(texts)
             at = 0
-            for label, count in zip(labels, counts.tolist(), strict=True):
+            for label, place, count in zip(labels, places, counts.tolist(), strict=True):
                 own = made[at : at + count]
                 at += count
-                if count > FIT_PASSAGES:
-                    own = own[np.linspace(0, count - 1, FIT_PASSAGES).astype(int)]
-                yield int(label), own.astype("<f4").tobytes()
+                yield int(label), place, count, own.astype("<f4").tobytes()
 
         return work
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, size)), "doc_id").select("text", "label")
-    bags = map_rows(rows, make, "label int, bag binary", 512).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, size)), "doc_id")
+    rows = rows.select("text", "label", F.xxhash64("doc_id").alias("place"))
+    made = stage(map_rows(rows, make, "label int, place bigint, passages bigint, bag binary", 512), "bags")
+    last = _last_places(made.groupBy("label", "place").agg(F.sum("passages").alias("passages")).toPandas())
+    chosen = [(F.col("label") == label) & (F.col("place") <= place) for label, place in last.items()]
+    bags = made.where(reduce(Column.__or__, chosen, F.lit(False))).select("label", "bag").toPandas()
     bags = bags.iloc[np.argsort([b[:4096] for b in bags["bag"]], kind="stable")] if len(bags) else bags
     labels = bags["label"].to_numpy(np.float64)
     share = totals.get(1, 0) / sum(totals.values())
@@ -131,8 +150,10 @@ def _forward(model: dict, x: np.ndarray, starts: np.ndarray, of: np.ndarray) ->
 def train(bags: list[np.ndarray], labels: np.ndarray, share: float, seed: int) -> dict:
     """Encoder, gated attention and score by Adam on weighted cross-entropy."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float64)
-    center, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+    # One bag at a time: all passages in eight bytes would be a second copy of the sample.
+    count = sum(map(len, bags))
+    center = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / count
+    scale = np.sqrt(sum(((b - center) ** 2).sum(axis=0) for b in bags) / count) + 1e-3
     shapes = {
         "encode": (FEATURES, WIDTH), "encode_b": (WIDTH,), "focus": (WIDTH, ATTENTION), "gate": (WIDTH, ATTENTION),
         "weigh": (ATTENTION,), "out": (WIDTH,), "out_b": (1,),

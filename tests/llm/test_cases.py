@@ -218,6 +218,31 @@ def test_quality_scores(spark, docs, none, repeated):
     assert {r["score"] for r in quality_mil.score(docs, {"constant": 1.0}).collect()} == {1.0}
 
 
+def test_quality_passages_do_not_depend_on_neighbours():
+    texts = ["  lead blanks", "", " \n ", None, "one", "\n\n two words " * 70, "one"]
+    made, counts = quality_mil.passages(texts)
+    alone = [quality_mil.passages([t]) for t in texts]
+    assert counts.tolist() == [c for _, own in alone for c in own.tolist()]
+    assert made.tolist() == [row for own, _ in alone for row in own.tolist()]
+
+
+def test_quality_fit_reads_every_passage(spark, monkeypatch):
+    bags = []
+    train = lambda found, *rest: bags.append([len(b) for b in found]) or {"constant": 0.5}
+    monkeypatch.setattr(quality_mil, "train", train)
+    rows = [(1, prose(1, 20_000)), (2, prose(2, 700)), (3, "few words"), (4, None), (5, prose(5, 6400)), (6, prose(6, 64))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, label int")
+    quality_mil.fit(docs, labels)
+    assert sorted(bags.pop()) == [1, 1, 1, 11, 100, 313]
+    # Less room: whole documents stay away, and one of each label is left.
+    for room in (300, 2):
+        monkeypatch.setattr(quality_mil, "FIT_PASSAGES", room)
+        quality_mil.fit(docs, labels)
+        found = bags.pop()
+        assert 2 <= len(found) < 6 and set(found) <= {1, 11, 100, 313}
+
+
 @pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 1])
 def test_decontamination(spark, docs, none, given, items, block_bytes):
     items = [*items[:30], (900, "One"), (901, "two, words!"), (902, None), (903, "..."), (904, items[0][1])]
