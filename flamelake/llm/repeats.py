@@ -21,8 +21,9 @@ aggregated over all tasks and joined with the windows of the contexts, so that a
 passage in a third of all documents is in no task as a whole.
 
 Cases: a null text counts as empty; texts below ``length`` bytes have no window;
-documents are ordered by ``doc_id``, rows that share one count as one document,
-and rows without one keep everything and remove nothing.  Anchors and contexts are
+documents are ordered by ``doc_id``; rows that share one do not remove each other,
+and each, told apart by a hash of its text (``row``), loses its own places only;
+rows without one keep everything and remove nothing.  Anchors and contexts are
 told apart by two 64-bit hashes, windows inside an index by one.
 """
 
@@ -117,14 +118,15 @@ def _found(rows: DataFrame, length: int, gram: int, known: np.ndarray | None = N
 
     def make():
         def work(columns):
-            ids, texts = columns
+            ids, texts, own = columns
             c = Contexts(texts, length, gram)
             doc = np.array(ids, np.int64)[c.doc] if len(ids) else np.zeros(0, np.int64)
             a, x = c.anchor.view(np.int64), c.context.view(np.int64)
             if every:
                 slot = _slot(x)
                 use = (bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-                return [v[use] for v in (a, x, doc, c.first, (c.end - c.first).astype(np.int16), c.place.astype(np.int16))]
+                row = np.array(own, np.int64)[c.doc] if len(own) else doc
+                return [v[use] for v in (a, x, doc, row, c.first, (c.end - c.first).astype(np.int16), c.place.astype(np.int16))]
             order = np.lexsort((doc, x))
             a, x, doc = a[order], x[order], doc[order]
             cut = np.concatenate([[True], (x[1:] != x[:-1]) | (a[1:] != a[:-1])])[: len(x)]
@@ -136,7 +138,7 @@ def _found(rows: DataFrame, length: int, gram: int, known: np.ndarray | None = N
         return work
 
     schema = "anchor bigint, context bigint, "
-    schema += "doc_id bigint, first int, size smallint, place smallint" if every else "doc_id bigint"
+    schema += "doc_id bigint, row bigint, first int, size smallint, place smallint" if every else "doc_id bigint"
     return map_columns(rows, make, schema, ROWS if every else 2 * ROWS)
 
 
@@ -274,10 +276,10 @@ def _worth(anchor: np.ndarray, spread: np.ndarray, texts: pa.Array, place: np.nd
 def _compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     """Index pass over contexts dealt by anchor (and salt): marked ranges, and windows of spread anchors.
 
-    ``kind`` 0: range ``first, end`` of ``doc_id``.  1: distinct window with its
-    smallest document in ``doc_id``.  2: window at ``first`` of ``doc_id``.
+    ``kind`` 0: range ``first, end`` of ``doc_id, row``.  1: distinct window with its
+    smallest document in ``doc_id``.  2: window at ``first`` of ``doc_id, row``.
     """
-    fields = parse("kind int, doc_id bigint, first int, end int, window bigint, check bigint")
+    fields = parse("kind int, doc_id bigint, row bigint, first int, end int, window bigint, check bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(fields)
@@ -291,7 +293,7 @@ def _compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             if not len(use):
                 return
             texts, spread = texts.take(pa.array(use)).to_pylist(), spread[use]
-            docs = table["low"].to_numpy()[use]
+            docs, own = table["low"].to_numpy()[use], table["row"].to_numpy()[use]
             places = [np.array(p) for p in table["places"].combine_chunks().take(pa.array(use)).to_pylist()]
             many = np.array([len(p) for p in places])
             before, every = np.concatenate([[0], np.cumsum(many)]), np.concatenate(places)
@@ -308,7 +310,7 @@ def _compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             c, start, end = _ranges(context[hit], first[hit], length)
             of, base = at_all(c)
             zero = np.zeros(len(of), int)
-            rows = [(zero, docs[c][of], base + start[of], base + end[of], zero, zero)]
+            rows = [(zero, docs[c][of], own[c][of], base + start[of], base + end[of], zero, zero)]
             if not whole.all():
                 c, f, r = context[~whole], first[~whole], run[~whole]
                 codes = index.window_code[r].view(np.int64)
@@ -316,10 +318,11 @@ def _compared(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 checks = np.array([hash_bytes(texts[n][p : p + length]) for n, p in zip(c.tolist(), f.tolist(), strict=True)], np.int64)
                 _, one = np.unique(codes, return_index=True)
                 zero = np.zeros(len(one), int)
-                rows.append((zero + 1, index.sample[r][one], zero, zero, codes[one], checks[one]))
+                rows.append((zero + 1, index.sample[r][one], zero, zero, zero, codes[one], checks[one]))
                 of, base = at_all(c)
-                rows.append((np.full(len(of), 2), docs[c][of], base + f[of], base + f[of] + length, codes[of], checks[of]))
-            columns = [np.concatenate([r[k] for r in rows]) for k in range(6)]
+                two = np.full(len(of), 2)
+                rows.append((two, docs[c][of], own[c][of], base + f[of], base + f[of] + length, codes[of], checks[of]))
+            columns = [np.concatenate([r[k] for r in rows]) for k in range(7)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
         size = 0
@@ -364,9 +367,14 @@ def hash_bytes(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data, seed=50) - (1 << 63)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, row``: rows with one id and different texts differ in ``row``."""
+    return id_text(docs).withColumn("row", F.xxhash64("text"))
+
+
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, first, end``: byte ranges to remove, not yet joined."""
-    rows = id_text(docs).where("doc_id is not null and text is not null")
+    """``doc_id, row, first, end``: byte ranges to remove, not yet joined."""
+    rows = _keyed(docs).where("doc_id is not null and text is not null")
     # One exchange: contexts of an anchor meet in one partition, where both groupings are local.
     each = (
         _found(rows, length, gram)
@@ -379,35 +387,36 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     placed = _found(rows, length, gram, _filter(known)).join(known.hint("merge"), ["anchor", "context"])
     placed = stage(
         placed.where("doc_id > low or contexts > 1").select(
-            "anchor", "context", "doc_id", "first", F.expr("cast(first + size as int)").alias("end"), "place", "low", "contexts"
+            "anchor", "context", "doc_id", "row", "first", F.expr("cast(first + size as int)").alias("end"), "place", "low", "contexts"
         ),
         "places",
     )
-    ranges = placed.where("doc_id > low").select("doc_id", "first", "end")
+    ranges = placed.where("doc_id > low").select("doc_id", "row", "first", "end")
 
     # All places of a context in its first document go with it.
     one = (
         placed.where("doc_id = low and contexts > 1")
-        .groupBy("anchor", "context", "contexts", "doc_id")
+        .groupBy("anchor", "context", "contexts", "doc_id", "row")
         .agg(F.collect_list("first").alias("places"), F.min(F.col("end") - F.col("first")).alias("size"), F.min("place").alias("place"))
     )
-    wanted = one.groupBy("doc_id").agg(
+    wanted = one.groupBy("doc_id", "row").agg(
         F.collect_list(F.struct("anchor", "context", "contexts", "places", "size", "place")).alias("own")
     )
 
     def cut():
         def work(columns):
-            for doc_id, text, own in zip(*columns, strict=True):
+            for doc_id, row, text, own in zip(*columns, strict=True):
                 data = text.encode()
                 for c in own:
                     at = c["places"][0]
                     piece = data[at : at + c["size"]]
-                    yield c["anchor"], c["context"], c["contexts"], doc_id, c["places"], c["place"], piece
+                    yield c["anchor"], c["context"], c["contexts"], doc_id, row, c["places"], c["place"], piece
 
         return work
 
-    schema = "anchor bigint, context bigint, contexts bigint, low bigint, places array<int>, place smallint, bytes binary"
-    pieces = map_rows(rows.join(wanted.hint("merge"), "doc_id"), cut, schema, 256).withColumn(
+    schema = "anchor bigint, context bigint, contexts bigint, low bigint, row bigint, places array<int>, place smallint, bytes binary"
+    given = rows.join(wanted.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "text", "own")
+    pieces = map_rows(given, cut, schema, 256).withColumn(
         "spread", F.ceil(F.col("contexts") / BLOCK).cast("bigint")
     )
     pieces = pieces.withColumn("salt", F.pmod("context", "spread"))
@@ -415,8 +424,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     compared = stage(_compared(dealt, length, gram), "compared")
     lowest = compared.where("kind = 1").groupBy("window", "check").agg(F.min("doc_id").alias("low"))
     met = compared.where("kind = 2").join(lowest, ["window", "check"]).where("low < doc_id")
-    return ranges.unionByName(compared.where("kind = 0").select("doc_id", "first", "end")).unionByName(
-        met.select("doc_id", "first", "end")
+    return ranges.unionByName(compared.where("kind = 0").select("doc_id", "row", "first", "end")).unionByName(
+        met.select("doc_id", "row", "first", "end")
     )
 
 
@@ -424,8 +433,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte ranges, and the bytes that are left."""
     found = spans(docs, length, gram)
     range_ = F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("end")
-    packed = found.groupBy("doc_id").agg(F.collect_list(range_).alias("own"))
-    joined = id_text(docs).join(packed.hint("merge"), "doc_id", "left")
+    packed = found.groupBy("doc_id", "row").agg(F.collect_list(range_).alias("own"))
+    joined = _keyed(docs).join(packed.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "own")
 
     def make():
         def work(columns):

@@ -156,6 +156,26 @@ def test_repeated_rows_do_not_remove_each_other(spark):
     assert out == [(1, len(BASE)), (1, len(BASE)), (2, 0)]
 
 
+@pytest.mark.parametrize("block", [repeats.BLOCK, 1])
+def test_repeats_of_texts_that_share_an_id(spark, block, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    part = [prose(80 + n, 60) for n in range(6)]
+    rows = [
+        (1, part[0] + part[1]), (1, part[2] + "x" + part[3]), (1, "short"), (2, part[4] + part[1][7:]), (2, part[5] * 2),
+        (2, part[2][:200] + "y" + part[3][5:]), (3, "z" * 9 + part[4][3:]), (3, part[3] + part[0]), (3, "w"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = sorted((r["doc_id"], bytes(r["kept"])) for r in repeats.dedup(df).collect())
+    expected = []
+    for doc, text in rows:
+        data, gone = text.encode(), set()
+        for at in range(len(data) - 49):
+            if any(d < doc and data[at : at + 50] in t.encode() for d, t in rows):
+                gone.update(range(at, at + 50))
+        expected.append((doc, bytes(b for n, b in enumerate(data) if n not in gone)))
+    assert out == sorted(expected)
+
+
 def test_run_index_statistics():
     import numpy as np
 
