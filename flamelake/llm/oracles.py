@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from flamelake.llm import licenses
 from flamelake.llm import quality_rules as rules
+from flamelake.llm import secret_scan
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -102,7 +103,35 @@ from d join m using (n)
 """
 
 
+def secret_sql() -> str:
+    """Every rule over every text: places follow from what lies between the matches."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    parts = " union all ".join(
+        f"""select n, {rank} as rank, '{rule.kind}' as kind, unnest(range(len(m))) as k,
+            unnest(list_transform(m, lambda x: length(x))) as own,
+            unnest(list_transform(string_split_regex(body, p)[: len(m)], lambda x: length(x))) as gap,
+            unnest(list_transform(regexp_extract_all(body, p, {rule.group}), lambda x: length(x))) >= {rule.least} as fits
+        from (select *, regexp_extract_all(body, p) as m from (select *, {quoted(rule.pattern)} as p from d))"""
+        for rank, rule in enumerate(secret_scan.RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.BASE)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secret_scan.BASE)
+    return f"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as body from documents),
+cut as ({parts}),
+placed as (select *, sum(own + gap) over (partition by n, rank order by k) as stop from cut),
+found as (select n, rank, kind, cast(stop - own as bigint) as start, concat_ws(':', kind, cast(stop - own as bigint), cast(stop as bigint)) as span from placed where fits),
+each as (
+    select n, {counts}, string_agg(span, ',' order by start, rank) as every, string_agg(span, ',' order by start, rank) filter (kind in ({base})) as own
+    from found group by 1
+)
+select doc_id, {zeros}, sha256(coalesce(own, '')) as base_sha256, coalesce(every, '') as spans from d left join each using (n)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_secret_scan": secret_sql(),
     "op2_license_scan": license_sql(),
     "op10_quality_rules": quality_sql(),
     "op8_decontaminate": f"""
