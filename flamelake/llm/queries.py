@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flamelake.llm import bpe, decontaminate, language_id, licenses, line_dedup, near_dup, quality_mil, quality_rules, repeats, secret_scan, token_counts, transducer, whitening
+from flamelake.llm import bpe, decontaminate, language_id, licenses, line_dedup, near_dup, quality_mil, quality_rules, repeats, secret_scan, spelling, token_counts, transducer, whitening
 from flamelake.llm.common import held_out, table
 from flamelake.llm.oracles import ORACLES  # noqa: F401  the SQL of those that SQL can express
 
@@ -69,8 +69,12 @@ def op11_whitening(spark, sf_dir):
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def op13_secret_scan(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op5_repeats, op6_near_duplicates, op7_quality_classifier, op8_decontaminate, op9_line_dedup, op10_quality_rules, op11_whitening, op13_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_counts, op4_bpe, op5_repeats, op6_near_duplicates, op7_quality_classifier, op8_decontaminate, op9_line_dedup, op10_quality_rules, op11_whitening, op12_spelling_variants, op13_secret_scan)}
