@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flamelake.functions.frames import stacktrace_id
 from flamelake.schema import FRAME, LABEL_COLUMNS
 from flamelake.functions.workdir import fresh_path
-from flamelake.sources.pprof import MESSAGES, read_messages, write_messages
+from flamelake.sources.pprof import MESSAGES, joined_files, read_messages, write_messages, write_pprof
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -607,6 +607,29 @@ def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("broken <> 13 or m.kind <> 'sample_type'").select("profile_id", "m.*").select(*MESSAGES.names)
 
 
+def _unreadable() -> Column:
+    """Profiles whose blob arrives damaged."""
+    return F.substring("profile_id", 2, 20).cast("bigint") % 50 == 3
+
+
+def messages_with_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """The message table with a reject in place of the messages of damaged blobs."""
+    sound = derived_messages(spark, sf).where(~_unreadable())
+    refused = _orders(spark, sf).where(_unreadable()).select("profile_id", _message("reject", F.lit(0), F.lit("")).alias("m"))
+    refused = refused.select("profile_id", "m.*").withColumn("string", F.lit("not gzip")).select(*MESSAGES.names)
+    staged = fresh_path(spark, "messages")
+    write_messages(sound.unionByName(refused), staged)
+    return read_messages(spark, staged)
+
+
+def arriving_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded profiles with their series, some of them damaged."""
+    blobs = fresh_path(spark, "pprof")
+    write_pprof(derived_messages(spark, sf), blobs)
+    raw = joined_files(spark.read.parquet(blobs)).join(series(spark, sf), "profile_id")
+    return raw.withColumn("raw_profile", F.when(_unreadable(), F.encode(F.lit("plain"), "UTF-8")).otherwise(F.col("raw_profile")))
+
+
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Label list of every profile; some lists are wrong."""
     key = F.col("o_orderkey") % 50

@@ -67,8 +67,8 @@ def split_series(raw: DataFrame) -> DataFrame:
     names = F.transform(F.filter("labels", lambda x: x["name"] != NAME_LABEL), lambda x: x["name"])
     named = F.filter("labels", lambda x: x["name"] == NAME_LABEL)
     rest = F.filter("labels", lambda x: x["name"] != NAME_LABEL)
-    error = F.when(F.size(F.array_distinct(names)) < F.size(names), "duplicate label").when(
-        (F.size(named) == 0) | (F.coalesce(F.get(named, F.size(named) - 1)["value"], F.lit("")) == ""), "missing __name__"
+    error = F.when(F.size(F.array_distinct(names)) < F.size(names), DUPLICATE_LABEL).when(
+        (F.size(named) == 0) | (F.coalesce(F.get(named, F.size(named) - 1)["value"], F.lit("")) == ""), MISSING_NAME
     )
     return (
         raw.withColumn("error", error)
@@ -86,14 +86,32 @@ def split_series(raw: DataFrame) -> DataFrame:
 # --- validation ----------------------------------------------------------------------
 
 
-def violations(messages: DataFrame, executables: DataFrame | None = None) -> DataFrame:
-    """``(profile_id, rule)`` for every rule a profile breaks.
-
-    Each rule is a comparison of per-profile counts and extreme index values,
-    so the whole check is one grouped aggregate with partial sums, and a huge
-    profile costs one row per task.  ``executables(profile_id, executables)``
-    is the number of executable descriptions sent along.
-    """
+# What each rule says of a refused profile.
+REASONS = {
+    "V1": "the first string is not empty",
+    "V2": "a mapping id differs from its position",
+    "V3": "a mapping file is not in the string table",
+    "V4": "a mapping build id is not in the string table",
+    "V5": "executables and mappings differ in number",
+    "V6": "a function id differs from its position",
+    "V7": "a function name is not in the string table",
+    "V8": "a function system name is not in the string table",
+    "V9": "a function file is not in the string table",
+    "V10": "a location id differs from its position",
+    "V11": "a location names an unknown mapping",
+    "V12": "a line names an unknown function",
+    "V13": "samples without a sample type",
+    "V14": "a sample has another number of values than there are types",
+    "V15": "a sample names an unknown location",
+    "V16": "a label key is not in the string table",
+    "V17": "a label text is not in the string table",
+}
+UNREADABLE = "unreadable"
+DUPLICATE_LABEL, MISSING_NAME, NO_SERIES = "duplicate label", "missing __name__", "no series"
+
+
+def _statistics(messages: DataFrame) -> DataFrame:
+    """Counts and extreme indexes of each profile: one grouped aggregate, a row per task for a huge profile."""
 
     def when(kind: str, value: Column) -> Column:
         return F.when(F.col("kind") == kind, value)
@@ -112,9 +130,9 @@ def violations(messages: DataFrame, executables: DataFrame | None = None) -> Dat
 
     labels = F.col("sample.label")
     text_labels = F.filter(labels, lambda x: x["str"] != 0)
-    stats = messages.groupBy("profile_id").agg(
+    return messages.groupBy("profile_id").agg(
         *[count(k).alias(f"n_{k}") for k in ("sample_type", "sample", "mapping", "location", "function", "string")],
-        F.max(F.when(F.col("kind") == REJECT, True)).alias("rejected"),
+        F.min(F.when(F.col("kind") == REJECT, F.coalesce("string", F.lit("")))).alias("fault"),
         F.max(when("string", (F.col("pos") == 0) & (F.col("string") != ""))).alias("v1"),
         F.max(when("mapping", F.col("mapping.id") != F.col("pos") + 1)).alias("v2"),
         F.max(when("function", F.col("function.id") != F.col("pos") + 1)).alias("v6"),
@@ -131,18 +149,16 @@ def violations(messages: DataFrame, executables: DataFrame | None = None) -> Dat
         *listed("v16", "sample", F.transform(labels, lambda x: x["key"])),
         *listed("v17", "sample", F.transform(text_labels, lambda x: x["str"])),
     )
-    if executables is not None:
-        stats = stats.join(executables, "profile_id", "left")
-        v5 = F.col("executables") != F.col("n_mapping")
-    else:
-        v5 = F.lit(False)
+
+
+def _broken_rules(v5: Column) -> Column:
+    """Rules that a profile's statistics break; of a blob that cannot be read, nothing else is said."""
 
     def outside(name: str, length: str, first: int = 0, past: int = 0) -> Column:
         """An index below ``first`` or not below ``length + past``."""
         return (F.col(f"{name}_low") < first) | (F.col(f"{name}_high") >= F.col(length) + past)
 
     rules = {
-        "unreadable": F.col("rejected"),
         "V1": F.col("v1"),
         "V2": F.col("v2"),
         "V3": outside("v3", "n_string"),
@@ -162,7 +178,55 @@ def violations(messages: DataFrame, executables: DataFrame | None = None) -> Dat
         "V17": outside("v17", "n_string"),
     }
     broken = F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
-    return stats.select("profile_id", F.explode(broken).alias("rule"))
+    return F.when(F.col("fault").isNotNull(), F.array(F.lit(UNREADABLE))).otherwise(broken)
+
+
+def violations(messages: DataFrame, executables: DataFrame | None = None) -> DataFrame:
+    """``(profile_id, rule)`` for every rule a profile breaks.
+
+    Each rule is a comparison of per-profile counts and extreme index values.
+    ``executables(profile_id, executables)`` is the number of executable
+    descriptions sent along.
+    """
+    stats = _statistics(messages)
+    if executables is not None:
+        stats = stats.join(executables, "profile_id", "left")
+        v5 = F.col("executables") != F.col("n_mapping")
+    else:
+        v5 = F.lit(False)
+    return stats.select("profile_id", F.explode(_broken_rules(v5)).alias("rule"))
+
+
+def rejects(messages: DataFrame, raw: DataFrame) -> DataFrame:
+    """Everything that keeps a profile out of the store: ``(profile_id, level, rule, reason)``.
+
+    ``level`` is ``blob`` (bytes that cannot be read), ``series`` (a label list that is
+    refused, or none) or ``profile`` (one row a broken rule).  A profile may have rows of
+    several levels.  Profiles of ``raw`` without a row here are accepted, so accepted
+    and refused profiles add up to what came in.
+    """
+    text = "string"
+    series = split_series(raw).select(
+        "profile_id",
+        F.lit(True).alias("_sent"),
+        F.col("error").alias("_error"),
+        (F.col("executables") if "executables" in raw.columns else F.lit(None)).cast("bigint").alias("_executables"),
+    )
+    entry = lambda level, rule, reason: F.struct(
+        F.lit(level).alias("level"), rule.cast(text).alias("rule"), reason.cast(text).alias("reason")
+    )
+    reasons = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    broken = F.transform(
+        F.coalesce(_broken_rules(F.coalesce(F.col("_executables") != F.col("n_mapping"), F.lit(False))), F.array().cast("array<string>")),
+        lambda rule: F.when(rule == UNREADABLE, entry("blob", rule, F.col("fault"))).otherwise(
+            entry("profile", rule, F.try_element_at(reasons, rule))
+        ),
+    )
+    error = F.when(F.col("_sent").isNull(), NO_SERIES).otherwise(F.col("_error"))
+    of_series = F.when(error.isNotNull(), F.array(entry("series", F.translate(error, " ", "_"), error)))
+    both = _statistics(messages).join(series, "profile_id", "full")
+    every = F.concat(broken, F.coalesce(of_series, F.array().cast(f"array<struct<level:{text},rule:{text},reason:{text}>>")))
+    return both.select("profile_id", F.explode(every).alias("r")).select("profile_id", "r.*").distinct()
 
 
 def valid_messages(messages: DataFrame, executables: DataFrame | None = None) -> DataFrame:
@@ -355,15 +419,23 @@ def label_columns(labels: str = "series_labels") -> list[Column]:
 
 
 def normalize(messages: DataFrame, raw: DataFrame, ingest_date: Column | None = None) -> DataFrame:
-    """Stored sample rows of valid profiles.
+    """Stored sample rows of accepted profiles; see ``split_ingest``."""
+    return split_ingest(messages, raw, ingest_date)[0]
+
+
+def split_ingest(
+    messages: DataFrame, raw: DataFrame, ingest_date: Column | None = None, refused: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Stored sample rows of accepted profiles, and the ``rejects`` of all others.
 
     ``raw(profile_id, labels[, executables])`` gives the series of each profile.
-    Samples without frames keep a null stack.
+    Samples without frames keep a null stack.  ``refused`` is given by callers that have
+    written the rejects; otherwise they are staged here, since both outputs read them.
     """
     series = split_series(raw).where("error is null").select("profile_id", "name", "labels")
-    counts = raw.select("profile_id", "executables") if "executables" in raw.columns else None
-    bad = stage(violations(messages, counts).select("profile_id").distinct(), "invalid-profiles")
-    good = messages.join(bad, "profile_id", "left_anti")
+    if refused is None:
+        refused = stage(rejects(messages, raw), "rejects")
+    good = messages.join(refused.select("profile_id").distinct(), "profile_id", "left_anti")
     meta = profile_meta(good).join(series, "profile_id").withColumnRenamed("labels", "series_labels")
     day = ingest_date if ingest_date is not None else F.current_date()
     rows = (
@@ -375,4 +447,5 @@ def normalize(messages: DataFrame, raw: DataFrame, ingest_date: Column | None =
         .withColumn("date", F.expr("date_add(date'1970-01-01', cast(floor(timestamp / 86400000) as int))"))
     )
     columns = [c for c in SAMPLES.names if c not in LABEL_COLUMNS]
-    return rows.select(*columns, *label_columns()).select(*[F.col(f"`{c}`") for c in SAMPLES.names])
+    samples = rows.select(*columns, *label_columns()).select(*[F.col(f"`{c}`") for c in SAMPLES.names])
+    return samples, refused

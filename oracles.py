@@ -1,11 +1,13 @@
 """SQL answers the registered queries are checked against (DuckDB dialect).
 
 Every statement starts from the given tables and states the operator its own
-way; nothing is shared with the Spark code.
+way; only the texts of reject reasons are shared with the Spark code.
 """
 
 from __future__ import annotations
 
+from flamelake.operators.normalize import REASONS
+
 SAMPLES = """
 samples as (
   select
@@ -654,19 +656,33 @@ join labels_of l on l.profile_id = v.profile_id and l.pos = v.pos
 left join stacks s on s.profile_id = v.profile_id and s.pos = v.pos
 """
 
+BROKEN = " union all ".join(
+    [
+        *[rule(f"V{i}", f"broken = {i}", "heads") for i in (1, 2, 3, 4, 5)],
+        *[rule(f"V{i}", f"broken = {i}") for i in (6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17)],
+        rule("V14", "broken in (13, 14)"),
+    ]
+)
+
+REJECTED = f"""with {PPROF},
+broken_rules as ({BROKEN}),
+reasons(rule, reason) as (values {", ".join(f"('{k}', '{v}')" for k, v in REASONS.items())}),
+damaged as (select profile_id from heads where o_orderkey % 50 = 3)
+select profile_id, 'blob' as level, 'unreadable' as rule, 'not gzip' as reason from damaged
+union all
+select profile_id, 'series', replace(error, ' ', '_'), error from series where error is not null
+union all
+select profile_id, 'profile', rule, reason from broken_rules join reasons using (rule)
+where profile_id not in (select profile_id from damaged)
+"""
+
 PPROF_ORACLES: dict[str, str] = {
+    "ingest_rejects": REJECTED,
     "series_labels": f"""with {PPROF}
         select profile_id, case when error is null then 'process_cpu' end as name,
                case when error is null then 'node=' || o_orderpriority || ',team=' || o_orderstatus end as labels,
                error from series""",
-    "pprof_violations": f"with {PPROF} "
-    + " union all ".join(
-        [
-            *[rule(f"V{i}", f"broken = {i}", "heads") for i in (1, 2, 3, 4, 5)],
-            *[rule(f"V{i}", f"broken = {i}") for i in (6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 17)],
-            rule("V14", "broken in (13, 14)"),
-        ]
-    ),
+    "pprof_violations": f"with {PPROF} {BROKEN}",
     "sample_explode": f"""with {PPROF} select profile_id, cast(pos as bigint) as sample_no,
         cast(type_no as bigint) as type_no, value from values_of""",
     "profile_meta": f"""with {PPROF}
@@ -793,6 +809,7 @@ REPORT_ORACLES: dict[str, str] = {
            group by 1"""
     ),
     "stream_ingest": NORMALIZED,
+    "stream_rejects": REJECTED,
     "stream_range": """
         select event_type as type, epoch_ms(ts) - epoch_ms(ts) % 3600000 as bucket,
                cast(sum(cast(round(value * 100) as bigint)) as bigint) as value,

@@ -429,6 +429,12 @@ def pprof_violations(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.violations(fx.messages(spark, sf), counts)
 
 
+@register
+def ingest_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Refused blobs, series and profiles of the batch form."""
+    return normalize.rejects(fx.messages_with_faults(spark, sf), fx.series(spark, sf))
+
+
 @register
 def sample_explode(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.explode_samples(_valid(spark, sf))
@@ -699,6 +705,17 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return shown_samples(ingest.read_stream_store(spark, target))
 
 
+@register
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The same refusals as the second output of the micro-batched ingest."""
+    source, refused = fresh_path(spark, "arriving"), fresh_path(spark, "rejects")
+    fx.arriving_blobs(spark, sf).select(*ingest.RAW.names).write.parquet(source)
+    ingest.ingest_stream(
+        spark, source, fresh_path(spark, "store"), fresh_path(spark, "staging"), fresh_path(spark, "checkpoint"), rejects=refused
+    ).awaitTermination()
+    return ingest.read_rejects(spark, refused)
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     schema = fx.table(spark, sf, "events").schema
     return ingest.file_stream(spark, f"{sf}/events*.parquet", schema, ingest.FILES_PER_BATCH)
