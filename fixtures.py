@@ -457,6 +457,12 @@ def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def timed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog events in the order of their time."""
+    day = F.datediff("at", F.lit("1970-01-01").cast("date")).cast("bigint")
+    return lifecycle_events(spark, sf).withColumn("seq", day * 100_000_000_000 + F.col("seq"))
+
+
 # --- pprof messages -------------------------------------------------------------
 # One profile per order, one sample, location and function per line item.
 # ``broken`` is the validation rule (1 to 17) that an order's customer breaks.

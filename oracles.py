@@ -516,6 +516,21 @@ seen as (
   from events)
 """
 
+OUTCOMES = """select s.build_id, s.type_key, s.seq, s.kind, case
+          when s.kind in ('uploading', 'debuginfod') then 'ok'
+          when s.reset_seq is null then 'debuginfo not found'
+          when s.kind = 'quality' then 'ok'
+          when r.kind = 'debuginfod' then 'debuginfo is not in uploading state'
+          when r.upload_id <> s.upload_id then 'mismatched upload id'
+          else 'ok' end as status
+        from seen s left join events r
+          on r.build_id = s.build_id and r.type_key = s.type_key and r.seq = s.reset_seq"""
+
+TIMED = EVENTS.replace(
+    "o_orderkey as seq",
+    "date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 100000000000 + o_orderkey as seq",
+)
+
 CATALOG_ORACLES: dict[str, str] = {
     "catalog_latest": f"with {CATALOG} select * exclude (rn) from catalog",
     "upload_decision": f"with {CATALOG}, {decided(False)} select build_id, type, should_initiate, reason from decided",
@@ -567,16 +582,14 @@ CATALOG_ORACLES: dict[str, str] = {
                (select arg_max(e.not_valid_elf, e.seq) from seen e where e.build_id = r.build_id
                   and e.type_key = r.type_key and e.seq > r.seq and e.kind = 'quality') as not_valid_elf
         from seen r where r.seq = r.last_reset""",
-    "lifecycle_outcomes": f"""with {EVENTS}
-        select s.build_id, s.type_key, s.seq, s.kind, case
-          when s.kind in ('uploading', 'debuginfod') then 'ok'
-          when s.reset_seq is null then 'debuginfo not found'
-          when s.kind = 'quality' then 'ok'
-          when r.kind = 'debuginfod' then 'debuginfo is not in uploading state'
-          when r.upload_id <> s.upload_id then 'mismatched upload id'
-          else 'ok' end as status
-        from seen s left join events r
-          on r.build_id = s.build_id and r.type_key = s.type_key and r.seq = s.reset_seq""",
+    "lifecycle_outcomes": f"with {EVENTS} {OUTCOMES}",
+    "stream_outcomes": f"""with {TIMED} {OUTCOMES}
+        union all
+        select e.build_id, e.type_key, e.seq, 'stale', 'upload is stale' from events e
+        where e.kind = 'uploading' and e.at + interval 17 minutes < (select max(m.at) from events m)
+          and not exists (select 1 from events f where f.build_id = e.build_id and f.type_key = e.type_key and f.seq > e.seq
+            and f.at <= e.at + interval 17 minutes
+            and (f.kind in ('uploading', 'debuginfod') or (f.kind = 'uploaded' and f.upload_id = e.upload_id)))""",
 }
 
 PPROF = """

@@ -26,7 +26,7 @@ from flamelake.operators import (
 )
 from flamelake.schema import LABEL_COLUMNS, SAMPLES
 from flamelake.sources import pprof, store
-from flamelake.streaming import ingest
+from flamelake.streaming import ingest, lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -738,3 +738,16 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     arriving = ingest.file_stream(spark, events, rows.schema, ingest.FILES_PER_BATCH)
     ingest.lifecycle_stream(arriving, log, fresh_path(spark, "checkpoint")).awaitTermination()
     return flat_catalog(ingest.read_lifecycle(spark, log))
+
+
+@register
+def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to events that arrive in three loads, the stream restarted for each, and stale uploads."""
+    events, out, checkpoint = fresh_path(spark, "events"), fresh_path(spark, "outcomes"), fresh_path(spark, "checkpoint")
+    rows, files = fx.timed_events(spark, sf), 4
+    for first, past in (("1900-01-01", "1994-07-01"), ("1994-07-01", "1996-03-01"), ("1996-03-01", "2100-01-01")):
+        load = rows.where((F.col("at") >= first) & (F.col("at") < past))
+        load.repartition(files).write.mode("append").parquet(events)
+        arriving = ingest.file_stream(spark, events, rows.schema, files)
+        lifecycle.write_outcomes(arriving, out, checkpoint, catalog.STALE_MS).awaitTermination()
+    return lifecycle.read_outcomes(spark, out)
