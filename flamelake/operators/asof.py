@@ -67,15 +67,16 @@ def _level(wanted: DataFrame, known: DataFrame, by: list[str], level: int) -> Da
     )
     if top:
         return matched
-    # The last entry of each range, and the ranges that have to look further back.
+    # The last entry of each range before one with a probe.  All of these ranges are asked for, not
+    # just those of probes without a hit: they are few, and the window above is not needed twice.
     summary = (
         known.select(*by, *bucket, "_pos", "_hit")
         .groupBy(*by, "_bucket")
         .agg(F.max_by("_hit", "_pos").alias("_hit"))
         .withColumnRenamed("_bucket", "_pos")
     )
-    open_ranges = matched.where("_hit is null").select(*by, (F.col("_bucket") - 1).alias("_pos")).distinct()
-    earlier = _level(open_ranges, summary, by, level + 1).select(
+    ranges_before = wanted.select(*by, (F.shiftright("_pos", LEVEL_BITS) - 1).alias("_pos")).distinct()
+    earlier = _level(ranges_before, summary, by, level + 1).select(
         *by, (F.col("_pos") + 1).alias("_bucket"), F.col("_hit").alias("_earlier")
     )
     return (

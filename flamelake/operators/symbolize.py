@@ -16,7 +16,7 @@ from flamelake.functions.skew import skew_join
 from flamelake.functions.workdir import stage
 from flamelake.operators.addresses import OK, normalize_addresses
 from flamelake.operators.asof import asof_lookup
-from flamelake.operators.rangejoin import interval_lookup
+from flamelake.operators.segments import disjoint_segments
 from flamelake.schema import FRAME, LINE
 
 PROBE = ("build_id", "mapping_start", "mapping_limit", "mapping_offset", "address")
@@ -116,11 +116,12 @@ def symbol_lines(probes: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def range_lines(probes: DataFrame, line_ranges: DataFrame) -> DataFrame:
-    """Line rows from ``line_ranges(build_id, low, high, depth, line, system_name, filename)``.
+def line_segments(line_ranges: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """``(build_id, key, lines)``: ranges flattened once, for any number of lookups.
 
-    Depth 0 is the innermost inlined function.  Rows that lack a line, a name or
-    a file are left out.
+    ``line_ranges`` is ``(build_id, low, high, depth, line, system_name, filename)``; depth 0 is the
+    innermost inlined function.  Rows that lack a line, a name or a file are
+    left out.  ``key`` is the order key of a segment's first address.
     """
     complete = line_ranges.where("line is not null and system_name is not null and filename is not null").select(
         "build_id",
@@ -130,18 +131,19 @@ def range_lines(probes: DataFrame, line_ranges: DataFrame) -> DataFrame:
         F.col("line").cast("bigint").alias("line"),
         "system_name",
         "filename",
+        F.col("line").cast("bigint").alias("start_line"),
     )
-    points = probes.select("build_id", u64.order_key(F.col("address")).alias("key")).distinct()
-    return interval_lookup(points, complete, ["build_id"], "key").select(
-        "build_id",
-        u64.order_key(F.col("key")).alias("address"),
-        "depth",
-        "line",
-        "system_name",
-        "filename",
-        F.col("line").alias("start_line"),
-        F.lit("").alias("suffix"),
-    )
+    # Rows of ranges, not of samples: names are joined before the lookups multiply them.
+    named = complete.join(demangled_names(complete, dictionary), "system_name", "left").withColumnRenamed("name", "function_name")
+    segments = disjoint_segments(named, ["build_id"], _line_entry())
+    return stage(segments.select("build_id", F.col("start").alias("key"), _without_depth("entries").alias("lines")), "line-segments")
+
+
+def segment_lines(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(build_id, address, lines)`` of each distinct address that a segment covers."""
+    points = probes.select("build_id", u64.order_key(F.col("address")).alias("key"))
+    found = asof_lookup(points, segments, ["build_id"], "key", ["lines"])
+    return found.where(F.size("lines") > 0).select("build_id", u64.order_key(F.col("key")).alias("address"), "lines")
 
 
 def named_lines(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -150,9 +152,8 @@ def named_lines(rows: DataFrame, dictionary: DataFrame | None = None) -> DataFra
     return skew_join(rows, names, ["system_name"], "left").withColumn("function_name", F.concat("name", "suffix"))
 
 
-def collect_lines(rows: DataFrame) -> DataFrame:
-    """``lines`` of each (build id, address), innermost first; as long as the inlining is deep."""
-    entry = F.struct(
+def _line_entry() -> Column:
+    return F.struct(
         "depth",
         "line",
         "function_name",
@@ -160,14 +161,18 @@ def collect_lines(rows: DataFrame) -> DataFrame:
         F.col("filename").alias("function_filename"),
         F.col("start_line").alias("function_start_line"),
     )
+
+
+def _without_depth(entries: str) -> Column:
+    return F.transform(entries, lambda e: e.dropFields("depth")).cast(_LINES)
+
+
+def collect_lines(rows: DataFrame) -> DataFrame:
+    """``lines`` of each (build id, address), innermost first; as long as the inlining is deep."""
     return (
         rows.groupBy("build_id", "address")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select(
-            "build_id",
-            "address",
-            F.transform("entries", lambda e: e.dropFields("depth")).cast(_LINES).alias("lines"),
-        )
+        .agg(F.sort_array(F.collect_list(_line_entry())).alias("entries"))
+        .select("build_id", "address", _without_depth("entries").alias("lines"))
     )
 
 
@@ -219,11 +224,10 @@ def resolve_addresses(
     target = placed.where("normalized is not null").select(
         "build_id", F.col("normalized").alias("address"), "resolver"
     )
-    rows = range_lines(target.where("resolver = 'line ranges'"), line_ranges).unionByName(
-        symbol_lines(target.where("resolver = 'symbols'"), symbols)
-    )
-    rows = stage(rows, "resolved-rows")
-    lines = collect_lines(named_lines(rows, dictionary)).withColumnRenamed("address", "normalized")
+    rows = stage(symbol_lines(target.where("resolver = 'symbols'"), symbols), "resolved-rows")
+    ranged = segment_lines(target.where("resolver = 'line ranges'"), line_segments(line_ranges, dictionary))
+    # A binary has one resolver, so no address is in both.
+    lines = collect_lines(named_lines(rows, dictionary)).unionByName(ranged).withColumnRenamed("address", "normalized")
     status = (
         F.when(F.col("resolver").startswith("error"), F.col("resolver"))
         .when(F.col("status") != OK, F.concat(F.lit("error: "), F.col("status")))
@@ -271,7 +275,8 @@ def symbolize(
     line_ranges: DataFrame,
     dictionary: DataFrame | None = None,
 ) -> DataFrame:
-    """Symbolise the frames of every row's ``stacktrace``."""
+    """Symbolise the frames of every row's ``stacktrace``; the rows are evaluated once and written."""
+    stacks = stage(stacks, "stacks")
     resolved = resolve_addresses(
         unresolved_addresses(stacks), segments, catalog, symbols, line_ranges, dictionary
     )

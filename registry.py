@@ -236,8 +236,8 @@ def normalize_address(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def line_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = symbolize.range_lines(fx.probes(spark, sf), fx.line_ranges(spark, sf))
-    lines = symbolize.collect_lines(symbolize.named_lines(rows, fx.dictionary(spark, sf)))
+    segments = symbolize.line_segments(fx.line_ranges(spark, sf), fx.dictionary(spark, sf))
+    lines = symbolize.segment_lines(fx.probes(spark, sf), segments)
     return lines.select("build_id", "address", joined_lines("lines").alias("lines"))
 
 
@@ -286,7 +286,7 @@ def resolved_addresses(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def symbolized_stacks(spark: SparkSession, sf: str) -> DataFrame:
-    profile = select.aggregate_stacks(fx.raw_samples(spark, sf))
+    profile = stage(select.aggregate_stacks(fx.raw_samples(spark, sf)), "profile")
     named = symbolize.attach_lines(profile, _resolved(spark, sf, profile))
     return named.select(joined(function_names()).alias("stack"), "value")
 

@@ -10,6 +10,7 @@ from flamelake.functions.skew import skew_join
 from flamelake.operators import addresses as a
 from flamelake.operators.asof import asof_lookup
 from flamelake.operators.rangejoin import interval_lookup
+from flamelake.operators.segments import disjoint_segments
 from flamelake.operators.symbolize import closest_symbols, needs_symbols, attach_lines
 from flamelake.schema import FRAME
 
@@ -64,6 +65,37 @@ def test_intervals(spark):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def covering(intervals, key, point):
+    return sorted(i for k, low, high, i in intervals if k == key and low <= point < high)
+
+
+def test_segments_are_disjoint_and_complete(spark):
+    rng = random.Random(7)
+    intervals = [("a", -BIG, BIG - 1, 0), ("c", 4096, 8192, 1), ("c", 8192, 12288, 2), ("d", 5, 5, 3)]
+    for i in range(10, 160):
+        low = rng.choice([rng.randrange(9000), rng.randrange(1 << 30), rng.randrange(-BIG, BIG - (1 << 40))])
+        intervals.append((rng.choice("ab"), low, low + rng.choice([0, 1, 7, 300, 4096, 1 << 17, 1 << 33]), i))
+    frame = spark.createDataFrame(intervals, "k string, low long, high long, i int")
+    segments = disjoint_segments(frame, ["k"], F.struct("i"))
+    got = {(r["k"], r["start"]): [e["i"] for e in r["entries"]] for r in segments.collect()}
+    ends = {(k, p) for k, low, high, _ in intervals if low < high for p in (low, high)}
+    assert got == {(k, p): covering(intervals, k, p) for k, p in ends}
+    # One point meets one segment, also under a range over everything.
+    points = {(rng.choice("abcde"), p) for p in positions(rng, 150)} | {(k, p) for k, p in ends}
+    found = asof_lookup(spark.createDataFrame(sorted(points), "k string, p long"), segments.withColumnRenamed("start", "p"), ["k"], "p", ["entries"])
+    rows = {(r["k"], r["p"]): [e["i"] for e in r["entries"] or []] for r in found.collect()}
+    assert rows == {(k, p): covering(intervals, k, p) for k, p in points}
+
+
+def test_segments_of_a_binary_with_one_range_over_everything(spark):
+    """Work follows range ends: pages in use each get the large range once, however many points there are."""
+    ranges = spark.range(5000).select(F.lit("b").alias("k"), (F.col("id") * 5000).alias("low"), (F.col("id") * 5000 + 100).alias("high"), F.col("id").alias("i"))
+    whole = spark.createDataFrame([("b", -1, 1 << 62, -1)], "k string, low long, high long, i long")
+    segments = disjoint_segments(ranges.unionByName(whole), ["k"], F.struct("i"))
+    sizes = {r["n"]: r["c"] for r in segments.groupBy(F.size("entries").alias("n")).agg(F.count("*").alias("c")).collect()}
+    assert sizes == {2: 5000, 1: 5001, 0: 1}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join(spark, how):
     rows = [(1, "hot", i) for i in range(500)] + [(i, "x", i) for i in range(40)] + [(None, "null", i) for i in range(30)]
