@@ -175,6 +175,27 @@ QUERY_ORACLES: dict[str, str] = {
         union select 'label', 'arch' from samples where arch is not null"""),
     "top_functions": with_samples(TOP.format(name='"function"')),
     "flamegraph": flame("list_reverse(names)", "select * from nodes"),
+    "flamegraph_layout": flame(
+        "list_reverse(names)",
+        """,
+earlier as (
+  select node_id, coalesce(sum(cumulative) over (
+           partition by parent_id order by name rows between unbounded preceding and 1 preceding), 0) as taken from nodes),
+ids as (
+  select prefix, list_reduce(list_concat([''], prefix), lambda x, y: md5(x || '|' || y)) as node_id,
+         row_number() over (order by prefix) - 1 as record
+  from (select distinct prefix from prefixes)),
+above as (
+  select node_id, list_reduce(list_concat([''], prefix[1:i]), lambda x, y: md5(x || '|' || y)) as up
+  from (select *, unnest(generate_series(1, len(prefix))) as i from ids)),
+lefts as (
+  select a.node_id, cast(sum(taken) as bigint) as "left" from above a join earlier e on e.node_id = a.up group by 1),
+kids as (
+  select n.parent_id as node_id, string_agg(cast(record as varchar), ',' order by record) as children
+  from nodes n join ids i on i.node_id = n.node_id group by 1)
+select n.*, i.record, l."left", coalesce(k.children, '') as children
+from nodes n join ids i on i.node_id = n.node_id join lefts l on l.node_id = n.node_id left join kids k on k.node_id = n.node_id""",
+    ),
     "flamegraph_inverted": flame("names", "select * from nodes"),
     "flamegraph_trimmed": flame(
         "list_reverse(names)",

@@ -15,6 +15,7 @@ from flamelake.operators import (
     addresses,
     catalog,
     discovery,
+    layout,
     metastore,
     normalize,
     report,
@@ -134,6 +135,12 @@ def flamegraph_inverted(spark: SparkSession, sf: str) -> DataFrame:
     return reports.flamegraph(fx.samples(spark, sf), invert=True)
 
 
+@register
+def flamegraph_layout(spark: SparkSession, sf: str) -> DataFrame:
+    placed = layout.flamegraph_layout(reports.flamegraph(fx.samples(spark, sf)))
+    return placed.withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+
+
 @register
 def flamegraph_trimmed(spark: SparkSession, sf: str) -> DataFrame:
     return reports.trim_flamegraph(reports.flamegraph(fx.samples(spark, sf)), 0.5)

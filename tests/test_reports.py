@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from flamelake.operators import discovery, metastore, reports, select, timeseries
+from flamelake.operators import discovery, layout, metastore, reports, select, timeseries
 from flamelake.operators.status import targets_by_state
 from flamelake.schema import FRAME
 
@@ -28,6 +28,37 @@ def test_flamegraph_properties(rows):
     assert (summary["total"], summary["trimmed"]) == (total, 0)
 
 
+@pytest.mark.parametrize("threshold", [0, 1])
+def test_layout_nests(rows, threshold):
+    nodes = reports.trim_flamegraph(reports.flamegraph(rows), threshold)
+    placed = {r["record"]: r for r in layout.flamegraph_layout(nodes).collect()}
+    assert sorted(placed) == list(range(nodes.count()))
+    for record, r in placed.items():
+        edge, last = r["left"], record
+        for n, child in enumerate(r["children"]):
+            c = placed[child]
+            assert c["parent_id"] == r["node_id"] and c["left"] == edge and child > last
+            assert n > 0 or child == record + 1
+            edge, last = edge + c["cumulative"], child
+        assert edge <= r["left"] + r["cumulative"]
+    assert sum(len(r["children"]) for r in placed.values()) == sum(r["depth"] > 0 for r in placed.values())
+
+
+def test_layout_of_deep_and_empty_trees(spark):
+    from flamelake.schema import STACKTRACE
+
+    def stack(*names):
+        return [(n, 0, 0, 0, "", "", [(1, name, name, "f", 0)]) for n, name in enumerate(names)]
+
+    deep = [f"f{n}" for n in range(77)]
+    rows = [(stack(*deep), 5), (stack("x", *deep[40:]), 2), (stack("solo"), 1)]
+    profile = spark.createDataFrame(rows, f"stacktrace {STACKTRACE.simpleString()}, value long")
+    placed = layout.flamegraph_layout(reports.flamegraph(profile)).orderBy("record").collect()
+    assert [r["record"] for r in placed] == list(range(79))
+    assert [(r["name"], r["left"]) for r in placed if r["name"] in ("f76", "f0", "x", "solo")] == [("f76", 0), ("f0", 0), ("x", 5), ("solo", 7)]
+    assert layout.flamegraph_layout(reports.flamegraph(profile.where("false"))).count() == 0
+
+
 def test_unsymbolized_frames_show_their_address(spark):
     df = spark.createDataFrame([([(-16, 0, 0, 0, "", "", [])], 5)], f"stacktrace array<{FRAME.simpleString()}>, value long")
     assert reports.top_functions(df).first()["function"] == "0xfffffffffffffff0"
