@@ -810,6 +810,17 @@ REPORT_ORACLES: dict[str, str] = {
     "unknown_stacks": with_samples(f"""
         select {SHOWN.format(start='0')} as stack from samples group by stack
         having max(case when pod is not null then 1 else 0 end) = 0"""),
+    "stored_functions": with_samples(""",
+        everything as (select distinct f.fn as fn, f.src as src from (select unnest(stack) as f from samples))
+        select cast(0 as bigint) as start_line, fn as name, fn as system_name, src as filename from everything"""),
+    "stream_unknown_stacks": with_samples(f""",
+        asked as (
+          select stack, bool_or(early) as in_first, coalesce(bool_or(pod is not null) filter (early), false) as given_first,
+                 bool_or(not early) as in_second, bool_or(pod is not null) as given
+          from (select *, "timestamp" < 788918400000 as early from samples) group by stack)
+        select cast(0 as bigint) as batch, {SHOWN.format(start='0')} as stack from asked where in_first and not given_first
+        union all
+        select cast(1 as bigint), {SHOWN.format(start='0')} from asked where in_second and not given"""),
     "unsymbolized_page": f"""with {FUNCTIONS}, {RAW}, {LOCATIONS}
         select id, cast(address as bigint) as address from locations where id > 'b2' order by id limit 500""",
     "location_lines": f"""with {FUNCTIONS}, {RAW}, {LOCATIONS},

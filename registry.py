@@ -26,7 +26,7 @@ from flamelake.operators import (
     timeseries,
 )
 from flamelake.schema import LABEL_COLUMNS, SAMPLES
-from flamelake.sources import pprof, store
+from flamelake.sources import dictionary, pprof, store
 from flamelake.streaming import ingest, lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -758,3 +758,35 @@ def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         arriving = ingest.file_stream(spark, events, rows.schema, files)
         lifecycle.write_outcomes(arriving, out, checkpoint, catalog.STALE_MS).awaitTermination()
     return lifecycle.read_outcomes(spark, out)
+
+
+@register
+def stream_unknown_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Stacks asked for in each of two loads of samples, of which those with a pod bring their stack."""
+    rows = fx.with_stack_ids(fx.samples(spark, sf)).select(
+        "stacktrace_id", F.when(F.col("`labels.pod`").isNotNull(), F.col("stacktrace")).alias("stacktrace"), "value", "date"
+    )
+    arriving, requests, stacks, target, checkpoint = (fresh_path(spark, x) for x in ("arriving", "requests", "stacks", "store", "checkpoint"))
+    for early in (True, False):
+        load = rows.where((F.col("date") < "1995-01-01") == early).drop("date")
+        load.repartition(ingest.FILES_PER_BATCH).write.mode("append").parquet(arriving)
+        stream = ingest.file_stream(spark, arriving, load.schema, ingest.FILES_PER_BATCH)
+        ingest.stacks_stream(stream, stacks, target, requests, checkpoint).awaitTermination()
+    known = metastore.stacktraces_of(fx.with_stack_ids(fx.samples(spark, sf))).distinct()
+    asked = spark.read.schema("stacktrace_id string, batch bigint").parquet(requests)
+    return asked.join(known, "stacktrace_id").select(F.col("batch").cast("bigint").alias("batch"), shown_frames().alias("stack"))
+
+
+@register
+def stored_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The function dictionary after two overlapping loads, the second one twice."""
+    columns = ["start_line", "name", "system_name", "filename"]
+    wanted, known = (
+        metastore.functions_of(s).select(metastore.content_id(*columns).alias("id"), *columns) for s in _stacks(spark, sf)
+    )
+    path = fresh_path(spark, "functions")
+    dictionary.create(spark, path, wanted.schema)
+    for load in (known, wanted, wanted):
+        dictionary.extend(load, path, wanted.schema)
+    dictionary.compact(spark, path, wanted.schema, 1)
+    return dictionary.read(spark, path, wanted.schema).select(*columns)
