@@ -80,15 +80,20 @@ def _give_back() -> None:
 
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, rows: int = 512) -> DataFrame:
-    """As ``map_rows``, for functions that return whole columns (arrays of equal length)."""
+    """As ``map_rows``, for functions that return whole columns (arrays of equal length).
+
+    A function with an attribute ``finish`` gives further columns once its task has read everything.
+    """
     fields = parse(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out = make(), arrow_schema(fields)
+        as_batch = lambda made: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
         for batch in batches:
             for columns in _steps(batch, rows):
-                made = work(columns)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, out, strict=True)], schema=out)
+                yield as_batch(work(columns))
+        if hasattr(work, "finish"):
+            yield as_batch(work.finish())
         del work
         _give_back()
 

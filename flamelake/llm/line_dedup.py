@@ -17,8 +17,10 @@ spread over shares with lists of their own.  Lines that might have further
 partners, and that nothing has removed by then, meet all earlier lines of their
 words in a join.
 
-Cases: a null text has one empty line and stays null; rows that share a ``doc_id``
-have the same lines kept, by number; rows with a null ``doc_id`` stay as they are
+Rows that share a ``doc_id`` but not their text stand one after the other, by digest of
+the text, and their lines are numbered on; equal rows have the same lines.
+
+Cases: a null text has one empty line and stays null; repeated rows keep the same lines; rows with a null ``doc_id`` stay as they are
 and remove nothing.  Other columns, whatever their names, are carried along.
 """
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flamelake.llm import hashing
@@ -51,7 +53,7 @@ ROWS = 1024
 class Lines:
     """Lines of some texts with their distinct words, as flat arrays."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], bases: list[int]):
         encoded = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join(encoded).translate(hashing._LOWER), np.uint8)
         breaks = np.flatnonzero(data == 10)
@@ -62,7 +64,7 @@ class Lines:
         ends = np.cumsum([len(e) + 1 for e in encoded]) - 1
         self.doc = np.searchsorted(ends, np.concatenate([[0], breaks + 1]))
         starts = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.number = np.arange(len(self.doc)) - starts[self.doc]
+        self.number = np.arange(len(self.doc)) - starts[self.doc] + np.array(bases, np.int64)[self.doc]
         order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
         word, line = hashes[order], line[order]
         fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])])[: len(word)]
@@ -81,24 +83,25 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def _table(rows: DataFrame) -> DataFrame:
-    """``doc_id, line, digest`` of all lines with words; rows with line -1 hold counts of word buckets."""
+    """``doc_id, line, digest`` of all lines with words; rows with line -1 hold a task's counts of word buckets."""
 
     def make():
+        counts = np.zeros(BUCKETS, np.int64)
+
         def work(columns):
-            ids, texts = columns
-            found = Lines(texts)
-            counts = np.bincount(bucket_of(found.word), minlength=BUCKETS)
+            ids, texts, bases = columns
+            found = Lines(texts, bases)
+            counts[:] += np.bincount(bucket_of(found.word), minlength=BUCKETS)
+            return [np.array(ids, np.int64)[found.doc[found.having]], found.number[found.having], found.digest.view(np.int64)]
+
+        def finish():
             used = np.flatnonzero(counts)
-            at = found.doc[found.having]
-            return [
-                np.concatenate([np.array(ids, np.int64)[at], counts[used]]),
-                np.concatenate([found.number[found.having], np.full(len(used), -1)]),
-                np.concatenate([found.digest.view(np.int64), used]),
-            ]
+            return [counts[used], np.full(len(used), -1), used]
 
+        work.finish = finish
         return work
 
-    return map_columns(rows, make, "doc_id bigint, line int, digest bigint", ROWS)
+    return map_columns(rows, make, "doc_id bigint, line bigint, digest bigint", ROWS)
 
 
 def _needed(n, percent: int):
@@ -138,8 +141,8 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int, wanted: np.ndar
         rarity = table.value
 
         def work(columns):
-            ids, texts = columns
-            found = Lines(texts)
+            ids, texts, bases = columns
+            found = Lines(texts, bases)
             if not len(found.word):
                 return [[]] * 8
             # The words of each line, rarest first; bucket counts come before the words themselves.
@@ -173,7 +176,7 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int, wanted: np.ndar
 
         return work
 
-    return map_columns(rows, make, "word bigint, share int, doc_id bigint, line int, n int, place int, parity bigint, digest bigint", ROWS)
+    return map_columns(rows, make, "word bigint, share int, doc_id bigint, line bigint, n int, place int, parity bigint, digest bigint", ROWS)
 
 
 def _near(a: dict, b: dict, percent: int):
@@ -208,7 +211,7 @@ def _candidates(postings: DataFrame, percent: int, short: int, most: int, partne
     first of them only, and lines behind the first ``most`` of a list meet only
     those; their rows come again with a null ``e``.
     """
-    place = "struct<doc_id:bigint,line:int>"
+    place = "struct<doc_id:bigint,line:bigint>"
     fields = parse(f"word bigint, n int, place int, parity bigint, e {place}, l {place}")
 
     def pairs_of(rows: dict, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -270,7 +273,7 @@ def _candidates(postings: DataFrame, percent: int, short: int, most: int, partne
 
             def places(at: np.ndarray) -> pa.StructArray:
                 return pa.StructArray.from_arrays(
-                    [pa.array(rows["doc_id"][at]), pa.array(rows["line"][at].astype(np.int32))], ["doc_id", "line"]
+                    [pa.array(rows["doc_id"][at]), pa.array(rows["line"][at])], ["doc_id", "line"]
                 )
 
             for at, source in ((l, places(e)), (more, pa.nulls(len(more), out.field("e").type))):
@@ -289,8 +292,8 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     def sets():
         def work(columns):
-            ids, texts, lines = columns
-            found = Lines(texts)
+            ids, texts, bases, lines = columns
+            found = Lines(texts, bases)
             at = {(int(d), int(n)): k for k, (d, n) in enumerate(zip(found.doc[found.having], found.number[found.having], strict=True))}
             for row, own in enumerate(lines):
                 for line in own:
@@ -301,7 +304,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    words = stage(map_rows(rows.join(wanted.hint("merge"), "doc_id"), sets, "doc_id bigint, line int, words binary", ROWS), "line-words")
+    words = stage(map_rows(rows.join(wanted.hint("merge"), "doc_id"), sets, "doc_id bigint, line bigint, words binary", ROWS), "line-words")
     keyed = lambda x: words.select(F.struct("doc_id", "line").alias(x), F.col("words").alias(f"{x}w"))
 
     def verified():
@@ -316,12 +319,47 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         return work
 
     joined = pairs.join(keyed("e"), "e").join(keyed("l"), "l").select("l", "ew", "lw")
-    return map_rows(joined, verified, "doc_id bigint, line int", 4096).distinct()
+    return map_rows(joined, verified, "doc_id bigint, line bigint", 4096).distinct()
+
 
+def bases(docs: DataFrame) -> DataFrame | None:
+    """``doc_id, digest, base``: where the lines of rows that share an id begin; None where no two texts share one.
 
-def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, line`` of the lines with words that stay."""
-    rows = id_text(docs).where("doc_id is not null")
+    Starts are sums inside ranges of the digest plus sums over ranges, so that an id of very
+    many texts is not numbered in one task.
+    """
+    rows = id_text(docs).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    hashed = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    shared = stage(hashed.where("a <> b").select("doc_id"), "shared-ids")
+    if shared.isEmpty():
+        return None
+    size = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    texts = stage(rows.join(shared, "doc_id", "left_semi").select("doc_id", _digest("text").alias("digest"), size.alias("n")).distinct(), "shared-texts")
+    texts = texts.withColumn("range", F.substring("digest", 1, 3))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = texts.groupBy("doc_id", "range").agg(F.sum("n").alias("n"))
+    starts = starts.select("doc_id", "range", F.coalesce(F.sum("n").over(before(["doc_id"], "range")), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(before(["doc_id", "range"], "digest")), F.lit(0))
+    placed = texts.withColumn("inside", inside).join(starts, ["doc_id", "range"])
+    return stage(placed.select("doc_id", "digest", (F.col("inside") + F.col("start")).alias("base")), "line-bases")
+
+
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _based(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """``rows`` of ``doc_id`` and ``text`` with ``base``."""
+    if starts is None:
+        return rows.withColumn("base", F.lit(0).cast("bigint"))
+    own = starts.withColumnsRenamed({"doc_id": "_doc", "digest": "_digest"})
+    met = rows.join(own, (F.col("doc_id") == F.col("_doc")) & (_digest("text") == F.col("_digest")), "left")
+    return met.withColumn("base", F.coalesce("base", F.lit(0).cast("bigint"))).drop("_doc", "_digest")
+
+
+def kept_lines(docs: DataFrame, percent: int = PERCENT, starts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, line`` of the lines with words that stay, numbered from ``base`` of ``starts``."""
+    rows = _based(id_text(docs).where("doc_id is not null"), starts)
     table = stage(_table(rows), "lines")
     counts = np.zeros(BUCKETS, np.int64)
     found = table.where("line < 0").groupBy("digest").agg(F.sum("doc_id").alias("n")).toArrow()
@@ -359,11 +397,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with the text that is left, all other columns, and ``n_lines`` and ``n_removed`` in a
     struct ``line_dedup``."""
     name = "line_dedup"
-    kept = kept_lines(docs, percent).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    starts = bases(docs)
+    kept = kept_lines(docs, percent, starts).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     packed = docs.select(
-        F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("body"), F.struct("*").alias("row")
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row")
     )
-    joined = packed.join(kept.withColumnRenamed("doc_id", "id").hint("merge"), "id", "left")
+    joined = _based(packed, starts).join(kept.hint("merge"), "doc_id", "left")
     rebuilt = joined.mapInArrow(_rebuild, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed bigint")
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name]
     return rebuilt.select(*columns, F.struct("n_lines", "n_removed").alias(name))
@@ -372,12 +411,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _rebuild(batches):
     for batch in batches:
         texts, counts, removed = [], [], []
-        for doc_id, body, lines in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "lines")), strict=True):
+        for doc_id, body, base, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "base", "lines")), strict=True):
             own = (body or "").split("\n")
             stay = own
             if doc_id is not None:
                 numbers = set(lines or ())
-                stay = [x for n, x in enumerate(own) if n in numbers or not x.strip(" \t\n\x0b\x0c\r")]
+                stay = [x for n, x in enumerate(own) if n + base in numbers or not x.strip(" \t\n\x0b\x0c\r")]
             texts.append(None if body is None else "\n".join(stay))
             counts.append(len(own))
             removed.append(len(own) - len(stay))

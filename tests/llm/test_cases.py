@@ -6,6 +6,7 @@ import brute
 import corpus_pipeline
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from flamelake.llm import (
     bpe,
     components,
@@ -345,3 +346,19 @@ def test_stages_keep_columns(spark, docs, none):
     for name, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, SF).columns == docs.columns, name
         assert step(spark, none, SF).count() == 0, name
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    import hashlib
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (2, a), (2, b), (5, b + "\nalpha beta gamma"), (6, b + " z\nalone here"), (6, "other words only"), (6, "other words only"), (6, None), (7, "other words only")]
+    rows += [(9, f"shared line of all\nown line number {n} word{n} and word{n + 100} more{n}") for n in range(60)]
+    order = sorted({(doc, text) for doc, text in rows}, key=lambda r: (r[0], hashlib.md5((r[1] or "").encode()).hexdigest()))
+    plain = brute.lines([(n, text) for n, (_, text) in enumerate(order)])
+    expected = {key: plain[n] for n, key in enumerate(order)}
+    frame = spark.createDataFrame([(doc, text, 3) for doc, text in rows], "doc_id long, text string, base int").repartition(4)
+    packed = frame.withColumn("given", F.col("text"))
+    got = [((r["doc_id"], r["given"]), r["text"]) for r in line_dedup.dedup(packed).collect()]
+    assert sorted(got, key=str) == sorted(((key, expected[key]) for key in rows), key=str)
+    assert expected[6, "other words only"] == "other words only" and expected[2, b] == b and expected[7, "other words only"] == ""
