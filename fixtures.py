@@ -405,6 +405,13 @@ def upload_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def repeated_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's request again under two types, one that has no key of its own."""
+    types = F.explode(F.array(F.lit(0), F.lit(3), F.lit(1)))
+    again = upload_requests(spark, sf).withColumn("type", types)
+    return again.withColumn("size", F.when(F.col("size") == 1000, 1000 + F.col("type")).otherwise(F.col("size")))
+
+
 def server_index(spark: SparkSession, sf: str) -> DataFrame:
     """Build ids that two servers offer."""
     build = F.concat(F.lit("bid"), F.col("c_custkey").cast("string")).alias("build_id")

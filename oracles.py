@@ -84,6 +84,17 @@ def diff(absolute: bool) -> str:
     )
 
 
+def cpu_diff(tail: str) -> str:
+    """CPU samples per stack on two architectures: value of the second and difference from the scaled first."""
+    return with_samples(f""",
+sides as (
+  select stack, names, coalesce(sum(value) filter (arch = 'aarch64'), 0) as a, coalesce(sum(value) filter (arch = 'x86_64'), 0) as b
+  from named where name = 'process_cpu' group by 1, 2),
+totals as (select cast(sum(a) as hugeint) as ta, cast(sum(b) as hugeint) as tb from sides),
+compared as (select stack, names, b as v, b - coalesce(cast(a as hugeint) * tb // nullif(ta, 0), 0) as d from sides, totals)
+{tail}""")
+
+
 def flame(path: str, tail: str) -> str:
     """Nodes as (path prefix, depth, name) with sums, then the digest of each path."""
     return with_samples(f""",
@@ -258,6 +269,30 @@ from nodes n join ids i on i.node_id = n.node_id join lefts l on l.node_id = n.n
         select cast(sum(case when pod = 'A' then value else 0 end) as bigint) as total,
                cast(sum(case when pod = 'A' then 0 else value end) as bigint) as filtered
         from samples"""),
+    "top_diff": cpu_diff("""
+        select f as "function", cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
+               cast(sum(case when f = names[1] then v else 0 end) as bigint) as flat,
+               cast(sum(case when f = names[1] then d else 0 end) as bigint) as flat_diff
+        from (select names, v, d, unnest(list_distinct(names)) as f from compared) group by 1"""),
+    "flamegraph_diff": cpu_diff("""
+        select list_reduce(list_concat([''], prefix), lambda x, y: md5(x || '|' || y)) as node_id,
+               list_reduce(list_concat([''], prefix[1 : len(prefix) - 1]), lambda x, y: md5(x || '|' || y)) as parent_id,
+               cast(len(prefix) - 1 as integer) as depth, prefix[-1] as name,
+               cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
+               cast(sum(case when own then v else 0 end) as bigint) as flat,
+               cast(sum(case when own then d else 0 end) as bigint) as flat_diff
+        from (select path[1:i] as prefix, i = len(path) as own, v, d
+              from (select path, v, d, unnest(generate_series(1, len(path))) as i
+                    from (select list_reverse(names) as path, v, d from compared)))
+        group by prefix"""),
+    "source_lines_diff": cpu_diff("""
+        select p.build as build_id, p.src as filename, p.line as line,
+               cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
+               cast(sum(case when p = stack[1] then v else 0 end) as bigint) as flat,
+               cast(sum(case when p = stack[1] then d else 0 end) as bigint) as flat_diff
+        from (select v, d, stack, unnest(list_distinct(stack)) as p
+              from (select v, d, list_transform(stack, lambda f: {'build': f.build, 'src': f.src, 'line': f.line}) as stack from compared))
+        group by 1, 2, 3"""),
     "source_lines": with_samples("""
         select build_id, filename, line, cast(sum(value) as bigint) as cumulative,
                cast(sum(case when own then value else 0 end) as bigint) as flat
@@ -552,6 +587,12 @@ TIMED = EVENTS.replace(
     "date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 100000000000 + o_orderkey as seq",
 )
 
+REPEATED = f"""requests as (
+  select build_id, t as type, {TYPE_KEY.format(t='t')} as type_key, hash, force, build_id_type,
+         case when size = 1000 then 1000 + t else size end as size
+  from (select *, unnest([0, 3, 1]) as t from single)),
+"""
+
 CATALOG_ORACLES: dict[str, str] = {
     "catalog_latest": f"with {CATALOG} select * exclude (rn) from catalog",
     "upload_decision": f"with {CATALOG}, {decided(False)} select build_id, type, should_initiate, reason from decided",
@@ -565,16 +606,33 @@ CATALOG_ORACLES: dict[str, str] = {
           when size > 1000000000 then 'invalid argument: too large'
           else 'ok' end as status from decided)
         select *, status = 'ok' as initiated from judged""",
+    "initiate_same_key": f"""with {CATALOG.replace("requests as (", "single as (").replace("index as (", REPEATED + "index as (")}, {decided(False)}, judged as (
+        select *, case
+          when hash = '' then 'invalid argument: hash is empty'
+          when size = 0 then 'invalid argument: size is zero'
+          when reason = 'DebuginfoEqual' then 'already exists'
+          when not should_initiate then 'failed precondition'
+          when size > 1000000000 then 'invalid argument: too large'
+          else 'ok' end as first_status from decided),
+        turns as (select *, row_number() over (partition by build_id, type_key, first_status order by hash, size, type) as turn from judged)
+        select build_id, type, hash, size, case when first_status = 'ok' and turn > 1 then 'failed precondition' else first_status end as status,
+               first_status = 'ok' and turn = 1 as initiated from turns""",
     "server_availability": f"""with {CATALOG}
         select build_id, string_agg(server, ',' order by server) as servers from index group by 1""",
     "source_routing": f"""with {CATALOG}
         select build_id, type_key, case when source = 2 then 'debuginfod'
           when upload_id in (select 'u' || l_orderkey from lineitem) then 'object'
           else 'error: object not found' end as route from catalog""",
-    "chunk_reassembly": """
-        select 'doc' || doc_id as upload_id, octet_length(encode(text)) as size,
-               cast((length(text) - 1) // 500 + 1 as bigint) as chunks, 'ok' as status
-        from documents""",
+    "chunk_reassembly": f"""with {CHUNKS}, placed as (
+        select upload_id, seq, chunk, octet_length(encode(chunk)) as size, cast(coalesce(sum(octet_length(encode(chunk))) over (
+                 partition by upload_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
+        from chunks),
+        parts as (
+          select upload_id, min(pos) as "offset", sum(size) as size, count(*) as n, sha256(string_agg(chunk, '' order by seq)) as digest
+          from placed group by upload_id, pos // 4000)
+        select upload_id, cast(sum(size) as bigint) as size, cast(sum(n) as bigint) as chunks, 'ok' as status,
+               string_agg("offset" || ':' || digest, ',' order by "offset") as parts
+        from parts group by 1""",
     "upload_parts": f"""with {CHUNKS}, placed as (
         select upload_id, seq, chunk, cast(coalesce(sum(octet_length(encode(chunk))) over (
                  partition by upload_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos

@@ -188,6 +188,28 @@ def diff_relative(spark: SparkSession, sf: str) -> DataFrame:
     return _diff(spark, sf, False)
 
 
+def _cpu_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """One profile type on two architectures, relative to their totals."""
+    arch = F.col("`labels.arch`")
+    rows = fx.samples(spark, sf).where("name = 'process_cpu'")
+    return select.diff_profile(rows, arch == "aarch64", arch == "x86_64", absolute=False)
+
+
+@register
+def top_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.top_functions(_cpu_diff(spark, sf))
+
+
+@register
+def flamegraph_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.flamegraph(_cpu_diff(spark, sf))
+
+
+@register
+def source_lines_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.source_report(_cpu_diff(spark, sf))
+
+
 @register
 def stack_filter(spark: SparkSession, sf: str) -> DataFrame:
     return shown(select.stack_filter(select.aggregate_stacks(fx.samples(spark, sf)), "WIDGET"))
@@ -324,9 +346,9 @@ def catalog_latest(spark: SparkSession, sf: str) -> DataFrame:
     return flat_catalog(_catalog(spark, sf))
 
 
-def _decisions(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+def _decisions(spark: SparkSession, sf: str, mode: str, requests: DataFrame | None = None) -> DataFrame:
     return catalog.upload_decisions(
-        fx.upload_requests(spark, sf), _catalog(spark, sf), fx.server_index(spark, sf), F.expr(fx.NOW), mode
+        fx.upload_requests(spark, sf) if requests is None else requests, _catalog(spark, sf), fx.server_index(spark, sf), F.expr(fx.NOW), mode
     )
 
 
@@ -346,6 +368,14 @@ def initiate_checks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("build_id", "type", "status", F.col("upload_id").isNotNull().alias("initiated"))
 
 
+@register
+def initiate_same_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Several requests of one batch for one catalog key, under types that share it."""
+    rows = _decisions(spark, sf, "observed", fx.repeated_requests(spark, sf))
+    rows = catalog.initiate_uploads(rows, F.expr(fx.NOW))
+    return rows.select("build_id", "type", "hash", "size", "status", F.col("upload_id").isNotNull().alias("initiated"))
+
+
 @register
 def server_availability(spark: SparkSession, sf: str) -> DataFrame:
     rows = catalog.server_availability(fx.server_index(spark, sf))
@@ -362,7 +392,9 @@ def source_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def chunk_reassembly(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.assemble_uploads(fx.document_chunks(spark, sf))
+    rows = catalog.assemble_uploads(fx.document_chunks(spark, sf), part_bytes=4000)
+    shown_part = lambda p: F.concat_ws(":", p["offset"].cast("string"), p["digest"])
+    return rows.withColumn("parts", F.array_join(F.transform("parts", shown_part), ","))
 
 
 @register
