@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -11,12 +12,19 @@ import regex
 
 #: Segments that one worker remembers at a time; older ones are forgotten and worked out again.
 MEMORY = 300_000
+#: Longest text in characters that is remembered; longer ones are rare and would fill the memory.
+REMEMBERED = 64
+#: Longest list of parts in which each merge is searched for from the start.
+SCANNED = 32
 
 _UNCLEAR = re.compile(r" (?:\s|$)")
 
 
 class Memo(dict):
-    """Results by text in two generations, so that frequent texts outlive the clearing of rare ones."""
+    """Results by text in two generations, so that frequent texts outlive the clearing of rare ones.
+
+    Bounded by the number of texts and by their length, hence by bytes.
+    """
 
     def __init__(self, compute: Callable, limit: int = MEMORY):
         super().__init__()
@@ -26,6 +34,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        if len(key) > REMEMBERED:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -34,7 +44,13 @@ class Memo(dict):
 
 
 def merge(parts: list, joined: Callable) -> list:
-    """Merge the leftmost pair of lowest rank until none is left; ``joined(a, b)`` gives ``(rank, part)`` or None."""
+    """Merge the leftmost pair of lowest rank until none is left; ``joined((a, b))`` gives ``(rank, part)`` or None.
+
+    Short lists are searched for each merge.  Longer ones keep their pairs in a heap
+    by rank and place, so that time grows with n log n.
+    """
+    if len(parts) > SCANNED:
+        return _merge_long(parts, joined)
     while len(parts) > 1:
         best = None
         for at in range(len(parts) - 1):
@@ -47,6 +63,36 @@ def merge(parts: list, joined: Callable) -> list:
     return parts
 
 
+def _merge_long(parts: list, joined: Callable) -> list:
+    """``merge`` over a linked list.  A merged pair stays at its left place; its right place becomes None.
+
+    Entries of the heap name the two parts that they were made for and are passed over
+    when either has changed since.
+    """
+    end = len(parts)
+    after, before = [*range(1, end + 1)], [*range(-1, end - 1)]
+
+    def pair(left: int, right: int):
+        found = joined((parts[left], parts[right]))
+        return found and (found[0], left, parts[left], parts[right], found[1])
+
+    heap = [found for at in range(end - 1) if (found := pair(at, at + 1))]
+    heapq.heapify(heap)
+    while heap:
+        _, left, first, second, whole = heapq.heappop(heap)
+        right = after[left]
+        if right == end or parts[left] != first or parts[right] != second:
+            continue
+        parts[left], parts[right], after[left] = whole, None, after[right]
+        if after[left] < end:
+            before[after[left]] = left
+            if found := pair(left, after[left]):
+                heapq.heappush(heap, found)
+        if before[left] >= 0 and (found := pair(before[left], left)):
+            heapq.heappush(heap, found)
+    return [part for part in parts if part is not None]
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies use, by the public rule: printable Latin-1
     characters stand for themselves, the other bytes follow from code point 256 on."""

@@ -6,6 +6,7 @@ merging; only the rest are merged, and remembered in bounded memory.
 
 Cases: a null text counts as empty, an empty text has no tokens; special strings
 inside texts count one each and split the text, as the library has it by default.
+A text of one unbroken piece is merged in n log n time and not remembered.
 Rows are independent: repeated rows, null ids and extra columns change nothing.
 """
 

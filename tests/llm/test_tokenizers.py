@@ -1,12 +1,15 @@
 """Tokenizer operators against the libraries, by fuzzing and on borders."""
 
 import random
+import time
 from array import array
 
 import public_tokenizers as P
 import pytest
 import tiktoken
 from flamelake.llm import bpe, token_counts, transducer
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 ODD = [chr(c) for c in range(256)] + list("aaa   \n\t''sltd0123456789éüñ中文字あ한😀　 ​ \x85ⅫǅʰªºǺ")
@@ -88,6 +91,36 @@ def test_counts_equal_library():
         assert count(text) == len(library.encode(text, add_special_tokens=False).ids), text[:40]
 
 
+def test_long_pieces_equal_library_in_bounded_time():
+    known = token_counts.vocabulary(P.path("byte_bpe_50k.json"))
+    count = token_counts.counter(known, P.PATTERN)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    unbroken = ["".join(rng.choices("中文字典的一是在不了有和人这", k=20_000)), "".join(rng.choices("abcdeinst", k=50_000)), *LONG[3:]]
+    began = time.monotonic()
+    counts = [count(text) for text in unbroken]
+    assert time.monotonic() - began < 20
+    assert counts == [len(library.encode(text, add_special_tokens=False).ids) for text in unbroken]
+
+
+@given(st.lists(st.integers(0, 3), max_size=80), st.permutations([(a, b) for a in range(7) for b in range(7)]))
+def test_heap_and_scan_merge_alike(parts, order):
+    # The first pairs in this order are merges, each into a part of its own.
+    rules = {pair: (rank, 4 + rank) for rank, pair in enumerate(order[:3])}
+    scanned = list(parts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "SCANNED", 100)
+        scanned = bpe.merge(scanned, rules.get)
+        patch.setattr(bpe, "SCANNED", 0)
+        assert bpe.merge(list(parts), rules.get) == scanned
+
+
+def test_long_texts_are_not_remembered():
+    memo = bpe.Memo(len)
+    assert memo["x" * 1000] == 1000 and memo["x" * 10] == 10
+    assert list(memo) == ["x" * 10]
+
+
 def test_whole_tokens_are_proven():
     known = token_counts.vocabulary(P.path("byte_bpe_50k.json"))
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
