@@ -160,9 +160,15 @@ _MANGLED = (
     "length(split(p_name, ' ')[1]), split(p_name, ' ')[1], "
     "'17h', substr(md5(cast(p_partkey as string)), 1, 16), 'E')"
 )
+# The newer form, a crate numbered by part; a generic one refers back to its crate, at place 3.
+_NEWER = (
+    "concat('NvCs', cast(p_partkey as string), '_', length(split(p_name, ' ')[0]), split(p_name, ' ')[0], "
+    "length(split(p_name, ' ')[1]), split(p_name, ' ')[1])"
+)
 _SYSTEM = (
     f"case when p_size < 10 then concat('_Z', cast(p_partkey as string), 'v') "
-    f"when p_size < 20 then {_PLAIN} else {_MANGLED} end"
+    f"when p_size < 20 then {_PLAIN} when p_size < 35 then {_MANGLED} "
+    f"when p_size < 40 then concat('_R', {_NEWER}) else concat('_RI', {_NEWER}, 'NtB2_4ItemRShE') end"
 )
 
 

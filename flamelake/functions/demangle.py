@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flamelake.functions.rust_names import demangle_v0
 from flamelake.functions.skew import skew_join
 
 # Escapes of the legacy Rust mangling.
@@ -42,13 +43,13 @@ def _unescape(token: re.Match) -> str:
 
 
 def demangle_rust(symbol: str | None) -> str | None:
-    """Legacy Rust name without its hash, or None when the symbol is not one."""
+    """Rust name of either mangling without its hash, or None when the symbol is not one."""
     if not symbol or not symbol.isascii():
         return None
     symbol = _LLVM.sub("", symbol)
     prefix = _PREFIX.match(symbol)
     if prefix is None:
-        return None
+        return demangle_v0(symbol)
     at, parts = prefix.end(), []
     while length := _LENGTH.match(symbol, at):
         at = length.end() + int(length[0])
@@ -76,7 +77,7 @@ def demangled_names(system_names: DataFrame, dictionary: DataFrame | None = None
     """
     distinct = system_names.select("system_name").where("system_name is not null").distinct()
     named = distinct.withColumn(
-        "_rust", F.when(F.col("system_name").rlike("^_{0,2}ZN"), _demangle_rust("system_name"))
+        "_rust", F.when(F.col("system_name").rlike("^(_{0,2}ZN|_{0,2}R[A-Z])"), _demangle_rust("system_name"))
     )
     if dictionary is None:
         return named.select("system_name", F.coalesce("_rust", "system_name").alias("name"))

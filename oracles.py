@@ -320,12 +320,17 @@ functions as (
          replace(p_name, ' ', '_') as plain,
          case when p_size < 10 then '_Z' || p_partkey || 'v'
               when p_size < 20 then replace(p_name, ' ', '_')
-              else '_ZN' || length(split_part(p_name, ' ', 1)) || split_part(p_name, ' ', 1)
+              when p_size < 35 then '_ZN' || length(split_part(p_name, ' ', 1)) || split_part(p_name, ' ', 1)
                    || length(split_part(p_name, ' ', 2)) || split_part(p_name, ' ', 2)
-                   || '17h' || substr(md5(cast(p_partkey as varchar)), 1, 16) || 'E' end as system_name,
+                   || '17h' || substr(md5(cast(p_partkey as varchar)), 1, 16) || 'E'
+              else case when p_size < 40 then '_RNvCs' else '_RINvCs' end || p_partkey || '_'
+                   || length(split_part(p_name, ' ', 1)) || split_part(p_name, ' ', 1)
+                   || length(split_part(p_name, ' ', 2)) || split_part(p_name, ' ', 2)
+                   || case when p_size < 40 then '' else 'NtB2_4ItemRShE' end end as system_name,
          case when p_size < 10 then 'cpp::' || lower(p_type) || '()'
               when p_size < 20 then replace(p_name, ' ', '_')
-              else replace(p_name, ' ', '::') end as readable
+              when p_size < 40 then replace(p_name, ' ', '::')
+              else replace(p_name, ' ', '::') || '::<' || split_part(p_name, ' ', 1) || '::Item, &[u8]>' end as readable
   from part),
 names as (
   select system_name, min(readable) as readable from functions group by 1),
@@ -918,6 +923,17 @@ REPORT_ORACLES: dict[str, str] = {
                cast(sum(cast(round(value * 100) as bigint)) as bigint) as value,
                sum(cast(round(value * 100) as bigint)) / 3600.0 as value_per_second
         from events group by 1, 2""",
+    "stream_windows": """
+        with samples as (
+          select event_type as type, epoch_ms(ts) as at, epoch_ms(ts) - epoch_ms(ts) % 3600000 as bucket,
+                 cast(round(value * 100) as bigint) as value, case when user_id % 10 < 7 then 1 when user_id % 10 < 9 then 2 else 3 end as load
+          from events),
+        marks as (
+          select l.load, coalesce(max(s.at) - 7200000, 0) as mark
+          from (values (1), (2), (3), (4)) l(load) left join samples s on s.load < l.load group by 1)
+        select type, bucket, late, count(*) as samples, cast(sum(value) as bigint) as value
+        from (select s.*, bucket + 3600000 <= m.mark as late from samples s join marks m using (load))
+        where late or bucket + 3600000 <= (select mark from marks where load = 4) group by 1, 2, 3""",
     "stream_lifecycle": CATALOG_ORACLES["upload_lifecycle"],
 }
 REPORT_ORACLES["agents_status"] = (

@@ -27,7 +27,7 @@ from flamelake.operators import (
 )
 from flamelake.schema import LABEL_COLUMNS, SAMPLES
 from flamelake.sources import dictionary, pprof, store
-from flamelake.streaming import ingest, lifecycle
+from flamelake.streaming import ingest, lifecycle, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -769,6 +769,21 @@ def stream_range(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read_rollup(spark, out, ["type"], step)
 
 
+@register
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly sums by type from three loads, of which the later bring late events; the stream is restarted for each."""
+    arriving, out, checkpoint = fresh_path(spark, "arriving"), fresh_path(spark, "windows"), fresh_path(spark, "checkpoint")
+    events, step, by = fx.table(spark, sf, "events"), 3_600_000, ["type"]
+    place = F.col("user_id") % 10
+    for arrives in (place < 7, (place >= 7) & (place < 9), place == 9):
+        load = fx.event_samples(events.where(arrives))
+        load.repartition(ingest.FILES_PER_BATCH).write.mode("append").parquet(arriving)
+        stream = ingest.file_stream(spark, arriving, load.schema, ingest.FILES_PER_BATCH)
+        windows.write_windows(stream, out, checkpoint, step, "2 hours", by).awaitTermination()
+    sums = [windows.read_windows(spark, out, load.schema, by, late).withColumn("late", F.lit(late)) for late in (False, True)]
+    return sums[0].unionByName(sums[1])
+
+
 @register
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     events, log = fresh_path(spark, "events"), fresh_path(spark, "log")
