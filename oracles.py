@@ -171,6 +171,14 @@ QUERY_ORACLES: dict[str, str] = {
     "label_values_of_map": with_samples("""
         select distinct case when month(epoch_ms(timestamp)) % 2 = 1 then 'odd' else 'even' end as label_value
         from samples where month(epoch_ms(timestamp)) <> 12"""),
+    "label_values_indexed": with_samples("""
+        select label_name, label_value, count(*) as samples from (
+          unpivot (
+            select node, pod, arch,
+                   case when month(epoch_ms(timestamp)) % 2 = 1 then 'odd' when month(epoch_ms(timestamp)) <> 12 then 'even' end as team
+            from samples)
+          on node, pod, arch, team into name label_name value label_value)
+        group by 1, 2"""),
     "query_range_map_labels": with_samples(f"""
         select name, sample_type, sample_unit, period_type, period_unit, 'odd' as team, node, timestamp - timestamp % 2592000000 as bucket,
                cast(sum(v) as bigint) as value, cast(sum(d) as bigint) as duration,

@@ -26,7 +26,7 @@ from flamelake.operators import (
     timeseries,
 )
 from flamelake.schema import LABEL_COLUMNS, SAMPLES
-from flamelake.sources import dictionary, pprof, store
+from flamelake.sources import dictionary, labelindex, pprof, store
 from flamelake.streaming import ingest, lifecycle, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,17 @@ def label_values_of_map(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.label_values(fx.team_samples(spark, sf), "team")
 
 
+@register
+def label_values_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of all labels from an index kept over three batches, of which one comes twice."""
+    index, rows = fresh_path(spark, "labels"), fx.team_samples(spark, sf)
+    year = F.year("date")
+    batches = (year < 1994, (year >= 1994) & (year < 1997), year >= 1997)
+    for number in (0, 1, 1, 2):
+        labelindex.write(rows.where(batches[number]), index, number)
+    return labelindex.totals(labelindex.read(spark, index)).withColumnsRenamed({"label": "label_name", "value": "label_value"})
+
+
 @register
 def query_range_map_labels(spark: SparkSession, sf: str) -> DataFrame:
     series = timeseries.query_range(fx.team_samples(spark, sf), fx.TEAM_CPU, *fx.ALL_TIME, MONTH_MS, sum_by=["team", "labels.node"])
