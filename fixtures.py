@@ -441,6 +441,31 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def upload_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Upload streams, one per order: first messages, some with faults, and a chunk per line item, the sixth without data.
+
+    Line numbers repeat in an order, so lines of one number have equal chunks.
+    """
+    key = F.col("o_orderkey")
+    headers = table(spark, sf, "orders").select(
+        key.alias("stream_id"),
+        F.when(key % 11 == 3, None).when(key % 13 == 4, "chunk").otherwise("info").alias("kind"),
+        F.when(key % 17 == 5, "b1")
+        .when(key % 19 == 6, F.concat(F.lit("none"), F.col("o_custkey").cast("string")))
+        .otherwise(F.concat(F.lit("bid"), F.col("o_custkey").cast("string")))
+        .alias("build_id"),
+        F.when(key % 23 == 7, 9).otherwise(key % 3).cast("int").alias("type"),
+        F.concat(F.lit("u"), key.cast("string")).alias("upload_id"),
+    )
+    text = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.lit("line"), F.col("l_linenumber").cast("string"))
+    chunks = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("stream_id"),
+        F.col("l_linenumber").alias("seq"),
+        F.when(F.col("l_linenumber") != 6, F.encode(text, "UTF-8")).alias("chunk"),
+    )
+    return headers, chunks
+
+
 def lifecycle_events(spark: SparkSession, sf: str) -> DataFrame:
     """One catalog event per order; the kind follows the priority."""
     priority = F.col("o_orderpriority")

@@ -36,6 +36,27 @@ def function_names(stacktrace: str | Column = "stacktrace") -> Column:
     return F.flatten(F.transform(_col(stacktrace), frame_labels))
 
 
+def function_places(stacktrace: str | Column = "stacktrace") -> Column:
+    """Functions of a whole stack, leaf first, each with where it is: ``build_id, binary, name, file``.
+
+    The names are those of ``function_names``; what is unknown is an empty text.
+    """
+
+    def places(frame: Column) -> Column:
+        text = lambda column: F.coalesce(column, F.lit(""))
+        return F.transform(
+            frame_labels(frame),
+            lambda name, i: F.struct(
+                text(frame["mapping_build_id"]).alias("build_id"),
+                text(frame["mapping_file"]).alias("binary"),
+                name.alias("name"),
+                text(F.get(frame["lines"], i)["function_filename"]).alias("file"),
+            ),
+        )
+
+    return F.flatten(F.transform(_col(stacktrace), places))
+
+
 def stacktrace_id(stacktrace: str | Column = "stacktrace") -> Column:
     """Content id of a stack: equal stacks get equal ids on every executor."""
     return F.sha2(F.to_json(_col(stacktrace), {"ignoreNullFields": "false"}), 256)

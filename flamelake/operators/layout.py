@@ -63,12 +63,12 @@ def flamegraph_layout(nodes: DataFrame) -> DataFrame:
     """Nodes of ``reports.flamegraph`` (also trimmed) with ``record``, ``left`` and ``children``.
 
     A node covers ``left`` to ``left + cumulative``; ``children`` are the records of its
-    children in their order, as many as it has distinct callees.  Siblings differ in
-    name, so that a window over them holds no more rows than there are functions.
+    children in their order, as many as it has distinct callees.  Siblings are different
+    functions, so that a window over them holds no more rows than there are functions.
     """
     nodes = stage(nodes, "layout-nodes")
     rounds = _rounds(nodes)
-    earlier = Window.partitionBy("parent_id").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("parent_id").orderBy("name", "node_id").rowsBetween(Window.unboundedPreceding, -1)
     own = nodes.join(_with_sizes(nodes, rounds), "node_id").select(
         "node_id",
         F.when(F.col("depth") > 0, F.col("parent_id")).alias("up"),

@@ -3,6 +3,9 @@
 Input is a profile ``(stacktrace, value[, diff])``.  It is first summed per
 list of function names, the smallest form that still answers the question, and
 only then expanded to functions, tree nodes or edges.
+
+A function is its name, or with ``places`` its name in a binary and a file, so
+that functions of one name in two binaries stay apart.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flamelake.functions.frames import function_names
+from flamelake.functions.frames import function_names, function_places
+from flamelake.plans.selector import label_column
 from flamelake.schema import quoted
 
 
@@ -20,12 +24,18 @@ def _measures(profile: DataFrame) -> list[str]:
     return [c for c in ("value", "diff") if c in profile.columns]
 
 
-def by_function_names(profile: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
-    """Sum a profile (or samples) per list of function names."""
-    keys = [F.col(quoted(c)).alias(f"group_{i}") for i, c in enumerate(group_by)]
-    return profile.groupBy(function_names().alias("names"), *keys).agg(
-        *[F.sum(c).alias(c) for c in _measures(profile)]
-    )
+def _group(profile: DataFrame, field: str) -> Column:
+    """A column, or a label that has none and is kept in the label maps."""
+    if field in profile.columns:
+        return F.col(quoted(field))
+    return label_column(field.removeprefix("labels."), profile.columns)
+
+
+def by_function_names(profile: DataFrame, group_by: Sequence[str] = (), places: bool = False) -> DataFrame:
+    """Sum a profile (or samples) per list of function names, or of functions with their places."""
+    names = function_places() if places else function_names()
+    keys = [_group(profile, field).alias(f"group_{i}") for i, field in enumerate(group_by)]
+    return profile.groupBy(names.alias("names"), *keys).agg(*[F.sum(c).alias(c) for c in _measures(profile)])
 
 
 def _sums(profile: DataFrame, own: Column) -> list[Column]:
@@ -41,9 +51,20 @@ def _sums(profile: DataFrame, own: Column) -> list[Column]:
     return sums
 
 
-def top_functions(profile: DataFrame) -> DataFrame:
-    """Per function: value of stacks that hold it (recursion counts once) and value of its leaves."""
-    stacks = by_function_names(profile)
+def top_functions(profile: DataFrame, places: bool = False) -> DataFrame:
+    """Per function: value of stacks that hold it (recursion counts once) and value of its leaves.
+
+    With ``places``, ``build_id``, ``binary`` and ``file`` are columns beside ``function``.
+    """
+    rows = _top(profile, places)
+    if not places:
+        return rows
+    sums = [c for c in rows.columns if c != "function"]
+    return rows.select("function.*", *sums).withColumnRenamed("name", "function")
+
+
+def _top(profile: DataFrame, places: bool) -> DataFrame:
+    stacks = by_function_names(profile, places=places)
     return (
         stacks.where(F.size("names") > 0)
         .select(
@@ -56,24 +77,43 @@ def top_functions(profile: DataFrame) -> DataFrame:
     )
 
 
-def flamegraph(profile: DataFrame, group_by: Sequence[str] = (), invert: bool = False) -> DataFrame:
+def _identity(function: Column, places: bool) -> Column:
+    """Text of a function; with places, fields behind their lengths, so that no two functions share one."""
+    if not places:
+        return function
+    fields = [function[c] for c in ("build_id", "binary", "name", "file")]
+    return F.concat_ws("|", *[part for f in fields for part in (F.length(f).cast("string"), f)])
+
+
+def flamegraph(
+    profile: DataFrame, group_by: Sequence[str] = (), invert: bool = False, places: bool = False
+) -> DataFrame:
     """Tree nodes, one per path from the root (from the leaf when inverted).
 
     A node id is the running digest of the path, so it needs no path array, no
     numbering pass and no self join; the parent id comes with it.  Nodes shared
-    by many stacks are summed in partial aggregates before the shuffle.
+    by many stacks are summed in partial aggregates before the shuffle.  With
+    ``places``, nodes have ``build_id``, ``binary`` and ``file`` too.
+
+    ``group_by`` puts a node a group above the functions, for columns and for
+    labels of the label maps; as in selectors of label sets, an empty label is no
+    label, so a missing one and an empty one are one group.
     """
-    stacks = by_function_names(profile, group_by)
+    stacks = by_function_names(profile, group_by, places)
     path = F.col("names") if invert else F.reverse("names")
     if group_by:
-        groups = F.array(*[F.coalesce(F.col(f"group_{i}"), F.lit("")) for i in range(len(group_by))])
-        path = F.concat(groups, path)
-    none = F.expr("cast(array() as array<struct<node_id:string,parent_id:string,name:string>>)")
+        groups = [F.coalesce(F.col(f"group_{i}").cast("string"), F.lit("")) for i in range(len(group_by))]
+        if places:
+            nowhere = [F.lit("").alias(c) for c in ("build_id", "binary", "file")]
+            groups = [F.struct(*nowhere[:2], g.alias("name"), nowhere[2]) for g in groups]
+        path = F.concat(F.array(*groups), path)
+    function = "struct<build_id:string,binary:string,name:string,file:string>" if places else "string"
+    none = F.expr(f"cast(array() as array<struct<node_id:string,parent_id:string,name:{function}>>)")
 
     def step(nodes: Column, name: Column) -> Column:
         parent = F.coalesce(F.get(nodes, F.size(nodes) - 1)["node_id"], F.lit(""))
         node = F.struct(
-            F.md5(F.concat(parent, F.lit("|"), name)).alias("node_id"),
+            F.md5(F.concat(parent, F.lit("|"), _identity(name, places))).alias("node_id"),
             parent.alias("parent_id"),
             name.alias("name"),
         )
@@ -86,11 +126,15 @@ def flamegraph(profile: DataFrame, group_by: Sequence[str] = (), invert: bool =
     rows = sized.select(
         F.posexplode_outer(F.aggregate("path", none, step)).alias("depth", "node"), "length", *measures
     )
-    return (
+    nodes = (
         rows.select("depth", "node.*", (F.col("depth") + 1 == F.col("length")).alias("own"), *measures)
         .groupBy("node_id", "parent_id", "depth", "name")
         .agg(*_sums(stacks, F.col("own")))
     )
+    if not places:
+        return nodes
+    sums = [c for c in nodes.columns if c not in ("node_id", "parent_id", "depth", "name")]
+    return nodes.select("node_id", "parent_id", "depth", "name.*", *sums)
 
 
 def trim_flamegraph(nodes: DataFrame, threshold_percent: float) -> DataFrame:
@@ -115,9 +159,16 @@ def flamegraph_summary(nodes: DataFrame, threshold_percent: float = 0.0) -> Data
     )
 
 
-def callgraph_nodes(profile: DataFrame, threshold_percent: float = 0.0) -> DataFrame:
+def callgraph_nodes(profile: DataFrame, threshold_percent: float = 0.0, places: bool = False) -> DataFrame:
     """Functions of the call graph with cumulative and own value."""
-    nodes = top_functions(profile).withColumnRenamed("function", "name")
+    nodes = _callgraph_nodes(profile, threshold_percent, places)
+    if not places:
+        return nodes
+    return nodes.select("name.*", *[c for c in nodes.columns if c != "name"])
+
+
+def _callgraph_nodes(profile: DataFrame, threshold_percent: float, places: bool) -> DataFrame:
+    nodes = _top(profile, places).withColumnRenamed("function", "name")
     if threshold_percent <= 0:
         return nodes
     total = profile.where(F.size("stacktrace") > 0).agg(F.sum("value").alias("total")).scalar()
@@ -134,31 +185,36 @@ def _edges(stacks: DataFrame) -> DataFrame:
             (F.get("frames", i)["pos"] - F.get("frames", i - 1)["pos"] > 1).alias("is_collapsed"),
         ),
     )
+    names = {"value": "cumulative", "diff": "cumulative_diff"}
     return (
         stacks.where(F.size("frames") > 1)
-        .select(F.explode_outer(F.array_distinct(pairs)).alias("edge"), "value")
+        .select(F.explode_outer(F.array_distinct(pairs)).alias("edge"), *_measures(stacks))
         .groupBy("edge.caller", "edge.callee", "edge.is_collapsed")
-        .agg(F.sum("value").alias("cumulative"))
+        .agg(*[F.sum(c).alias(names[c]) for c in _measures(stacks)])
     )
 
 
-def callgraph_edges(profile: DataFrame, threshold_percent: float = 0.0) -> DataFrame:
+def callgraph_edges(profile: DataFrame, threshold_percent: float = 0.0, places: bool = False) -> DataFrame:
     """Caller/callee edges; an edge that bridges trimmed functions is collapsed.
 
+    A diff adds ``cumulative_diff``.  With ``places``, ``caller`` and ``callee`` are
+    structs ``(build_id, binary, name, file)``.
+
     Trimming joins the frames with the kept functions.  That side is planned by
     its size at run time: broadcast below the session's limit, else a shuffle
     join whose skewed partitions (a root function is in every stack) are split.
     """
-    stacks = by_function_names(profile).where(F.size("names") > 0)
+    stacks = by_function_names(profile, places=places).where(F.size("names") > 0)
+    measures = _measures(stacks)
     if threshold_percent <= 0:
         numbered = F.transform("names", lambda name, i: F.struct(i.alias("pos"), name.alias("name")))
-        return _edges(stacks.select(numbered.alias("frames"), "value"))
-    kept = callgraph_nodes(profile, threshold_percent).select("name")
+        return _edges(stacks.select(numbered.alias("frames"), *measures))
+    kept = _callgraph_nodes(profile, threshold_percent, places).select("name")
     frames = stacks.select(
-        F.sha2(F.to_json("names"), 256).alias("stack"), "value", F.posexplode("names").alias("pos", "name")
+        F.sha2(F.to_json("names"), 256).alias("stack"), *measures, F.posexplode("names").alias("pos", "name")
     ).join(kept, "name", "left_semi")
     # One group is one stack, so the collected list is no longer than the stack is deep.
-    relinked = frames.groupBy("stack", "value").agg(
+    relinked = frames.groupBy("stack", *measures).agg(
         F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("frames")
     )
     return _edges(relinked)

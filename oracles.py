@@ -95,6 +95,38 @@ compared as (select stack, names, b as v, b - coalesce(cast(a as hugeint) * tb /
 {tail}""")
 
 
+PLACES = "list_transform(stack, lambda f: {'build_id': f.build, 'binary': f.bin, 'name': f.fn, 'file': f.src})"
+PLACE_STEP = (
+    "lambda x, y: md5(x || '|' || length(y.build_id) || '|' || y.build_id || '|' || length(y.binary) || '|' || y.binary"
+    " || '|' || length(y.name) || '|' || y.name || '|' || length(y.file) || '|' || y.file)"
+)
+
+
+def place_nodes(measures: str) -> str:
+    """Nodes of ``paths(path, v, d)``, whose elements are functions in their binaries and files."""
+    return f"""
+prefixes as (
+  select path[1:i] as prefix, i = len(path) as own, v, d
+  from (select path, v, d, unnest(generate_series(1, len(path))) as i from paths))
+select list_reduce(prefix, {PLACE_STEP}, '') as node_id, list_reduce(prefix[1 : len(prefix) - 1], {PLACE_STEP}, '') as parent_id,
+       cast(len(prefix) - 1 as integer) as depth, prefix[-1].build_id as build_id, prefix[-1].binary as "binary",
+       prefix[-1].name as name, prefix[-1].file as file, {measures}
+from prefixes group by prefix"""
+
+
+def place_edges(stacks: str) -> str:
+    ends = ", ".join(f"{end}.{field} as {end}_{field}" for end in ("caller", "callee") for field in ("build_id", "binary", "name", "file"))
+    return cpu_diff(f""",
+  numbered as (select row_number() over () as id, {PLACES} as names, v, d from compared),
+  {stacks},
+  edges as (
+    select caller, callee, is_collapsed, cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff
+    from (select distinct id, v, d, frames[i + 1].name as caller, frames[i].name as callee, frames[i + 1].pos - frames[i].pos > 1 as is_collapsed
+          from (select *, unnest(generate_series(1, len(frames) - 1)) as i from stacks))
+    group by all)
+  select {ends}, is_collapsed, cumulative, cumulative_diff from edges""")
+
+
 def flame(path: str, tail: str) -> str:
     """Nodes as (path prefix, depth, name) with sums, then the digest of each path."""
     return with_samples(f""",
@@ -293,6 +325,34 @@ from nodes n join ids i on i.node_id = n.node_id join lefts l on l.node_id = n.n
               from (select path, v, d, unnest(generate_series(1, len(path))) as i
                     from (select list_reverse(names) as path, v, d from compared)))
         group by prefix"""),
+    "top_places": cpu_diff(f"""
+        select f.build_id as build_id, f.binary as "binary", f.name as "function", f.file as file,
+               cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
+               cast(sum(case when f = places[1] then v else 0 end) as bigint) as flat,
+               cast(sum(case when f = places[1] then d else 0 end) as bigint) as flat_diff
+        from (select places, v, d, unnest(list_distinct(places)) as f from (select {PLACES} as places, v, d from compared)) group by f"""),
+    "flamegraph_places": cpu_diff(f""",
+        paths as (select list_reverse({PLACES}) as path, v, d from compared),"""
+        + place_nodes("""cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
+               cast(sum(case when own then v else 0 end) as bigint) as flat,
+               cast(sum(case when own then d else 0 end) as bigint) as flat_diff""")),
+    "flamegraph_group_by_map_label": with_samples(f""",
+        teams as (
+          select stack, value, sample_type,
+                 case when month(epoch_ms(timestamp)) = 12 then '' when month(epoch_ms(timestamp)) % 2 = 1 then 'odd' else 'even' end as team
+          from samples where name = 'process_cpu'),
+        paths as (
+          select list_concat([{{'build_id': '', 'binary': '', 'name': team, 'file': ''}}, {{'build_id': '', 'binary': '', 'name': sample_type, 'file': ''}}],
+                             list_reverse({PLACES})) as path, value as v, 0 as d from teams),"""
+        + place_nodes("""cast(sum(v) as bigint) as cumulative, cast(sum(case when own then v else 0 end) as bigint) as flat""")),
+    "callgraph_places": place_edges("stacks as (select id, v, d, list_transform(names, lambda x, i: {'pos': i, 'name': x}) as frames from numbered)"),
+    "callgraph_places_trimmed": place_edges("""kept as (
+          select f from (select v, unnest(list_distinct(names)) as f from numbered)
+          group by 1 having cast(sum(v) as double) * 100 >= 4.0 * (select sum(v) from numbered)),
+        exploded as (select id, v, d, unnest(names) as f, generate_subscripts(names, 1) as pos from numbered),
+        stacks as (
+          select id, v, d, list({'pos': pos, 'name': f} order by pos) as frames
+          from exploded where f in (select f from kept) group by 1, 2, 3)"""),
     "source_lines_diff": cpu_diff("""
         select p.build as build_id, p.src as filename, p.line as line,
                cast(sum(v) as bigint) as cumulative, cast(sum(d) as bigint) as cumulative_diff,
@@ -646,6 +706,42 @@ CATALOG_ORACLES: dict[str, str] = {
         select upload_id, cast(sum(size) as bigint) as size, cast(sum(n) as bigint) as chunks, 'ok' as status,
                string_agg("offset" || ':' || digest, ',' order by "offset") as parts
         from parts group by 1""",
+    "upload_streams": f"""with {CATALOG}, headers as (
+        select o_orderkey as stream_id, case when o_orderkey % 11 = 3 then null when o_orderkey % 13 = 4 then 'chunk' else 'info' end as kind,
+               case when o_orderkey % 17 = 5 then 'b1' when o_orderkey % 19 = 6 then 'none' || o_custkey else 'bid' || o_custkey end as build_id,
+               case when o_orderkey % 23 = 7 then 9 else o_orderkey % 3 end as type, 'u' || o_orderkey as upload_id
+        from orders),
+        messages as (
+          select l_orderkey as stream_id, l_linenumber as seq,
+                 case when l_linenumber <> 6 then l_orderkey || ':line:' || l_linenumber end as chunk
+          from lineitem),
+        keyed as (select *, {TYPE_KEY.format(t='type')} as type_key from headers),
+        judged as (
+          select h.stream_id, h.build_id, h.type_key, h.upload_id, case
+            when kind is null then 'invalid argument: Missing data'
+            when kind <> 'info' then 'invalid argument: Invalid data type.'
+            when type not in (0, 1, 2) then 'invalid argument: Invalid debuginfo type.'
+            when length(h.build_id) <= 2 then 'invalid argument: unexpectedly short input'
+            when c.build_id is null then 'failed precondition: metadata not found, this indicates that the upload was not previously initiated'
+            when c.upload_id is null then 'invalid argument: metadata not found, this indicates that the upload was not previously initiated'
+            when c.upload_id <> h.upload_id then 'failed precondition: upload metadata not found, this indicates that the upload was not previously initiated'
+            when exists (select 1 from messages m where m.stream_id = h.stream_id and m.chunk is null) then 'invalid argument: provided no value or invalid data'
+            else 'ok' end as status
+          from keyed h left join catalog c on h.build_id = c.build_id and h.type_key = c.type_key),
+        placed as (
+          select stream_id, seq, chunk, octet_length(encode(chunk)) as size, cast(coalesce(sum(octet_length(encode(chunk))) over (
+                   partition by stream_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos
+          from messages),
+        parts as (
+          select stream_id, min(pos) as "offset", sum(size) as size, count(*) as n, sha256(string_agg(chunk, '' order by seq)) as digest
+          from placed group by stream_id, pos // 40),
+        whole as (
+          select stream_id, cast(sum(size) as bigint) as size, cast(sum(n) as bigint) as chunks,
+                 string_agg("offset" || ':' || digest, ',' order by "offset") as parts
+          from parts group by 1)
+        select j.*, case when status = 'ok' then coalesce(size, 0) end as size, case when status = 'ok' then coalesce(chunks, 0) end as chunks,
+               case when status = 'ok' then parts end as parts
+        from judged j left join whole w on j.stream_id = w.stream_id""",
     "upload_parts": f"""with {CHUNKS}, placed as (
         select upload_id, seq, chunk, cast(coalesce(sum(octet_length(encode(chunk))) over (
                  partition by upload_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos

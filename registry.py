@@ -216,6 +216,37 @@ def flamegraph_diff(spark: SparkSession, sf: str) -> DataFrame:
     return reports.flamegraph(_cpu_diff(spark, sf))
 
 
+@register
+def top_places(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.top_functions(_cpu_diff(spark, sf), places=True)
+
+
+@register
+def flamegraph_places(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.flamegraph(_cpu_diff(spark, sf), places=True)
+
+
+@register
+def flamegraph_group_by_map_label(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.team_samples(spark, sf).where("name = 'process_cpu'")
+    return reports.flamegraph(rows, group_by=["labels.team", "sample_type"], places=True)
+
+
+def _edge_ends(edges: DataFrame) -> DataFrame:
+    ends = [F.col(f"{end}.{field}").alias(f"{end}_{field}") for end in ("caller", "callee") for field in ("build_id", "binary", "name", "file")]
+    return edges.select(*ends, *[c for c in edges.columns if c not in ("caller", "callee")])
+
+
+@register
+def callgraph_places(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_ends(reports.callgraph_edges(_cpu_diff(spark, sf), places=True))
+
+
+@register
+def callgraph_places_trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_ends(reports.callgraph_edges(_cpu_diff(spark, sf), 4.0, places=True))
+
+
 @register
 def source_lines_diff(spark: SparkSession, sf: str) -> DataFrame:
     return reports.source_report(_cpu_diff(spark, sf))
@@ -408,6 +439,13 @@ def chunk_reassembly(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("parts", F.array_join(F.transform("parts", shown_part), ","))
 
 
+@register
+def upload_streams(spark: SparkSession, sf: str) -> DataFrame:
+    rows = catalog.accept_uploads(*fx.upload_streams(spark, sf), _catalog(spark, sf), part_bytes=40)
+    shown_part = lambda p: F.concat_ws(":", p["offset"].cast("string"), p["digest"])
+    return rows.withColumn("parts", F.array_join(F.transform("parts", shown_part), ","))
+
+
 @register
 def upload_parts(spark: SparkSession, sf: str) -> DataFrame:
     parts = catalog.upload_parts(fx.document_chunks(spark, sf), part_bytes=1500)

@@ -59,6 +59,48 @@ def test_layout_of_deep_and_empty_trees(spark):
     assert layout.flamegraph_layout(reports.flamegraph(profile.where("false"))).count() == 0
 
 
+def test_functions_of_one_name_in_two_binaries(spark):
+    def frame(build, binary, name, file="f.c"):
+        return (1, 0, 0, 0, binary, build, [(1, name, name, file, 0)] if name else None)
+
+    app, other, raw = frame("a", "/bin/a", "main"), frame("b", "/bin/b", "main"), frame(None, None, None)
+    rows = [([raw, app], 5, 1), ([app, app], 2, -2), ([other], 4, 4), ([app, other, app], 1, 0)]
+    profile = spark.createDataFrame(rows, f"stacktrace array<{FRAME.simpleString()}>, value long, diff long")
+    top = {(r["build_id"], r["function"]): r for r in reports.top_functions(profile, places=True).collect()}
+    assert {k: (r["cumulative"], r["flat"], r["cumulative_diff"], r["flat_diff"]) for k, r in top.items()} == {
+        ("a", "main"): (8, 3, -1, -2), ("b", "main"): (5, 4, 4, 4), ("", "0x1"): (5, 5, 1, 1)
+    }
+    assert top["", "0x1"]["binary"] == top["", "0x1"]["file"] == ""
+    assert reports.top_functions(profile).count() == 2
+    nodes = reports.flamegraph(profile, places=True)
+    roots = {r["binary"]: (r["cumulative"], r["cumulative_diff"]) for r in nodes.where("depth = 0").collect()}
+    assert roots == {"/bin/a": (8, -1), "/bin/b": (4, 4)}
+    assert [r["left"] for r in layout.flamegraph_layout(nodes).where("depth = 0").orderBy("record").collect()] in ([0, 8], [0, 4])
+    edges = reports.callgraph_edges(profile, places=True).collect()
+    assert {(e["caller"]["build_id"], e["callee"]["build_id"]): (e["cumulative"], e["cumulative_diff"]) for e in edges} == {
+        ("a", ""): (5, 1), ("a", "a"): (2, -2), ("a", "b"): (1, 0), ("b", "a"): (1, 0)
+    }
+    # At half the total only the first binary's function is left, and edges jump over the other's.
+    trimmed = reports.callgraph_edges(profile, 50.0, places=True).collect()
+    assert {(e["caller"]["build_id"], e["callee"]["build_id"], e["is_collapsed"]): e["cumulative"] for e in trimmed} == {
+        ("a", "a", False): 2, ("a", "a", True): 1
+    }
+
+
+def test_fields_that_differ_only_in_their_borders_are_two_nodes(spark):
+    stacks = [([(1, 0, 0, 0, binary, "", [(1, name, name, "", 0)])], 1) for binary, name in [("a|1|b", "c"), ("a", "b|1|c"), ("a", "b")]]
+    profile = spark.createDataFrame(stacks, f"stacktrace array<{FRAME.simpleString()}>, value long")
+    assert reports.flamegraph(profile, places=True).select("node_id").distinct().count() == 3
+
+
+def test_group_by_label_of_a_map(spark, rows):
+    grouped = reports.flamegraph(fx.team_samples(spark, SF), group_by=["labels.team"]).where("depth = 0")
+    assert {r["name"] for r in grouped.collect()} == {"", "odd", "even"}
+    assert grouped.agg(F.sum("cumulative")).first()[0] == rows.agg(F.sum("value")).first()[0]
+    with pytest.raises(ValueError, match="unknown label"):
+        reports.flamegraph(rows, group_by=["labels.team"])
+
+
 def test_unsymbolized_frames_show_their_address(spark):
     df = spark.createDataFrame([([(-16, 0, 0, 0, "", "", [])], 5)], f"stacktrace array<{FRAME.simpleString()}>, value long")
     assert reports.top_functions(df).first()["function"] == "0xfffffffffffffff0"
