@@ -11,7 +11,8 @@ signatures of 256 bits must allow for the threshold.
 Pairs of one list are not all made.  First every list proposes its members to its
 most central one, whose hashes most others hold; confirmed links are contracted to groups.  Then lists whose
 members lie in several groups propose pairs of different groups, of similar size
-only.  A pair inside a group could change nothing, so no link is lost.
+only, in long lists only those that did not share an earlier hash.  A pair inside a
+group could change nothing, so no link is lost.
 
 Sets of up to ``WHOLE`` are listed by the exact bound of set similarity.  Larger
 ones, and those that can be similar to a larger one, are also listed by ``size``
@@ -39,6 +40,8 @@ from flamelake.llm.common import id_text, map_columns, map_rows, stage
 from flamelake.llm.components import components
 
 SIZE, SHARED, WHOLE = 96, 50, 256
+#: In lists of at least so many, a pair of sketches that met in an earlier list is not made again.
+LONG = 8
 #: Sketch estimates below the threshold less this much (six deviations) are dropped.
 MARGIN = 0.25
 #: Buckets in which retained hashes are counted; their table is what the rarity order needs.
@@ -129,24 +132,45 @@ def listed(sets: DataFrame, counts: np.ndarray, percent: int, size: int, shared:
     return rows.withColumn("bits", F.struct("b0", "b1", "b2", "b3")).drop("b0", "b1", "b2", "b3")
 
 
-def _enough(a: str, b: str, percent: int, size: int, low="n", high="n"):
+def _enough(a: str, b: str, percent: int, size: int, low="n", high="n", every="bits", some="bits"):
     """Can the shared hash be the first of as many as two similar sets share, and can so few bits of their
     signatures differ?  Exact for whole sets; for sketches seven deviations below the mean.  ``a`` and ``b``
-    may stand for several sets, of ``low`` to ``high`` shingles, and have null bits then."""
+    may stand for several sets, of ``low`` to ``high`` shingles, with the bits that ``every`` one has and those
+    that ``some`` have: what every set of one side has and none of the other differs in all their pairs."""
     col = lambda x, c: F.col(f"{x}.{c}").cast("double")
     rest = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
     share = percent / (100 + percent)
-    sets = F.ceil(share * (col(a, low) + col(b, low)) - 1e-6)
+    least, most_sets = col(a, low) + col(b, low), col(a, high) + col(b, high)
+    sets = F.ceil(share * least - 1e-6)
     ratio = F.greatest(
         F.lit(percent / 100), F.least(col(a, low) / col(b, high), col(b, low) / col(a, high), F.lit(1.0))
     )
     p = share * (1 + ratio)
     sampled = size * p - 7 * F.sqrt(size * p * (1 - p))
-    apart = sum(F.bit_count(F.col(f"{a}.bits.b{k}").bitwiseXOR(F.col(f"{b}.bits.b{k}"))) for k in range(4))
+    only = lambda x, y, k: F.col(f"{x}.{every}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{some}.b{k}")))
+    apart = sum(F.bit_count(only(a, b, k).bitwiseOR(only(b, a, k))) for k in range(4))
     # Members of only one of two sets: all that they hold, less twice what they share.
-    most = F.when(F.col(f"{a}.whole"), col(a, low) + col(b, low) - 2 * sets).otherwise(2 * (size - sampled))
+    whole = F.when(least == most_sets, least - 2 * sets).otherwise(most_sets * (1 - 2 * share) + 1e-6)
+    most = F.when(F.col(f"{a}.whole"), whole).otherwise(2 * (size - sampled))
     listed_early = F.when(F.col(f"{a}.whole"), rest >= sets).otherwise(rest >= sampled)
-    return listed_early & F.coalesce(apart <= most, F.lit(True))
+    return listed_early & (apart <= most)
+
+
+def _listed_before(nodes: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int, size: int, shared: int) -> DataFrame:
+    """``node, prefix``: the hashes, in order, by which the sketches of ``nodes`` are listed."""
+    table = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def make():
+        def work(columns):
+            for node, n, own in zip(*columns, strict=True):
+                for values, _, whole in prefixes(np.array(own, np.int64), n, table.value, percent, size, shared):
+                    if not whole:
+                        yield node, values.tolist()
+
+        return work
+
+    rows = sets.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", "n", "sketch")
+    return map_rows(rows, make, "node bigint, prefix array<bigint>", 1024)
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -194,7 +218,8 @@ def groups(
         ),
         "sets",
     )
-    lists = listed(sets, rarity(sets), percent, size, shared)
+    counts = rarity(sets)
+    lists = listed(sets, counts, percent, size, shared)
     shared_values = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     lists = stage(lists.join(shared_values, "value"), "shared")
     # The most central member of each list: the one whose hashes most others hold.
@@ -220,29 +245,42 @@ def groups(
     placed = lists.join(grouped.withColumnRenamed("component", "own"), "node", "left").withColumn(
         "own", F.coalesce("own", "node")
     )
-    mixed = placed.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+    mixed = placed.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("many")).where("low < high")
     step = math.log(100 / percent)
+    met = placed.join(mixed.select("value", "many"), "value").withColumn("band", F.floor(F.log("n") / step + 1e-9))
+    # Members of long lists of sketches bring the hashes by which they are listed before, to tell pairs that met there.
+    long = (F.col("many") >= LONG) & ~F.col("whole")
+    met = stage(met.select("value", "own", "band", "node", "n", "rest", "whole", "bits", long.alias("long")), "met")
+    prefix = _listed_before(met.where("long").select("node"), sets, counts, percent, size, shared)
+    before = F.when(F.col("long"), F.slice("prefix", 1, F.array_position("prefix", F.col("value")).cast("int") - 1))
     members = stage(
-        placed.join(mixed.select("value"), "value")
-        .withColumn("band", F.floor(F.log("n") / step + 1e-9))
-        .select("value", "own", "band", F.struct("node", "n", "rest", "whole", "bits").alias("set")),
+        met.where("not long").withColumn("before", F.lit(None).cast("array<bigint>"))
+        .unionByName(met.where("long").join(prefix, "node", "left").withColumn("before", before).drop("prefix"))
+        .select("value", "own", "band", F.struct("node", "n", "rest", "whole", "bits", "before").alias("set")),
         "mixed",
     )
     held = members.groupBy("value", "own", "band").agg(
         F.min("set.n").alias("low"), F.max("set.n").alias("high"), F.max("set.rest").alias("rest"), F.first("set.whole").alias("whole"),
-        F.when(F.count("*") == 1, F.min("set.bits")).alias("bits"),
+        F.struct(*[F.bit_and(f"set.bits.b{k}").alias(f"b{k}") for k in range(4)]).alias("every"),
+        F.struct(*[F.bit_or(f"set.bits.b{k}").alias(f"b{k}") for k in range(4)]).alias("some"),
+        F.when(F.count("*") == 1, F.first("set.before")).alias("before"),
     )
-    left = held.select("value", "band", F.struct("own", "band", "low", "high", "rest", "whole", "bits").alias("a"))
-    right = held.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1))).select(
-        "value", F.col("at").alias("band"), F.struct("own", "band", "low", "high", "rest", "whole", "bits").alias("b")
+    group = F.struct("own", "band", "low", "high", "rest", "whole", "every", "some", "before")
+    # Groups of one band meet once; those of neighbouring bands meet in the higher one.
+    left = held.select("value", "band", group.alias("a"))
+    right = held.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
+        "value", F.col("at").alias("band"), group.alias("b")
     )
+    met_before = F.coalesce(F.arrays_overlap("a.before", "b.before"), F.lit(False))
     meeting = (
         left.join(right, ["value", "band"])
-        .where(F.col("a.own") < F.col("b.own"))
-        .where(_enough("a", "b", percent, size, "low", "high"))
+        .where((F.col("a.own") < F.col("b.own")) | ((F.col("a.own") > F.col("b.own")) & (F.col("a.band") > F.col("b.band"))))
+        .where((100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low")))
+        .where(_enough("a", "b", percent, size, "low", "high", "every", "some"))
+        .where(~met_before)
     )
     side = lambda x: members.select(
-        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").alias(x)
+        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").dropFields("before").alias(x)
     )
     second = (
         meeting.select(

@@ -218,6 +218,23 @@ def test_near_duplicate_chains_and_shared_passages(spark):
     assert out == {d: c for d, (_, c) in brute.groups(rows, 4).items()}
 
 
+def test_near_duplicates_above_whole_sets_in_long_lists(spark):
+    """A passage of 420 words in 60 documents: their lists are long, and pairs lie on both sides of 0.8."""
+    rng = random.Random(8)
+    passage = prose(700, 420)
+    rows = [(n, passage + " " + prose(800 + n, 30 + 4 * n)) for n in range(30)]
+    for n in range(30, 60):  # copies of the first ones with a few words changed, so groups grow in these lists
+        words = rows[rng.randrange(30)][1].split()
+        for _ in range(rng.randrange(1, 14)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    expected = brute.groups(rows, 4)
+    assert all(size > near_dup.WHOLE for size, _ in expected.values()) and len({c for _, c in expected.values()}) > 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, shingle=4).collect()}
+    assert out == {d: c for d, (_, c) in expected.items()}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (20, 3), (30, 31), (31, 30), (5, 5)] + [(100 + n, 101 + n) for n in range(40)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
