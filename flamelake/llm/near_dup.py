@@ -271,16 +271,16 @@ def groups(
     right = held.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
         "value", F.col("at").alias("band"), group.alias("b")
     )
-    met_before = F.coalesce(F.arrays_overlap("a.before", "b.before"), F.lit(False))
+    met_before = lambda x, y: F.coalesce(F.arrays_overlap(f"{x}.before", f"{y}.before"), F.lit(False))
     meeting = (
         left.join(right, ["value", "band"])
         .where((F.col("a.own") < F.col("b.own")) | ((F.col("a.own") > F.col("b.own")) & (F.col("a.band") > F.col("b.band"))))
         .where((100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low")))
         .where(_enough("a", "b", percent, size, "low", "high", "every", "some"))
-        .where(~met_before)
+        .where(~met_before("a", "b"))
     )
     side = lambda x: members.select(
-        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").dropFields("before").alias(x)
+        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").alias(x)
     )
     second = (
         meeting.select(
@@ -290,6 +290,7 @@ def groups(
         .join(side("v"), ["value", "v_own", "v_band"])
         .where(_similar_size("u.n", "v.n", percent))
         .where(_enough("u", "v", percent, size))
+        .where(~met_before("u", "v"))
         .select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()
