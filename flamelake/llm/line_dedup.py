@@ -7,15 +7,16 @@ the input, not on what is left, and lines without words stay.
 
 Only the first line of every distinct set is joined.  Its words are ordered by
 rarity; two similar sets share one of the first ``n - ceil(percent * n) + 1``, so
-only those are listed.  Pairs from a list pass filters of length, of position and
-of a parity signature (each exact: no similar pair is lost) and are verified on
-whole sets.
+only those are listed.  Listed words leave a task as one row a bucket of words, and
+a bucket's lists are worked on together.  Pairs from a list pass filters of length,
+of position and of a parity signature (each exact: no similar pair is lost) and are
+verified on whole sets.
 
-Pairs of one list are not all made.  Lists arrive sorted, and in a long one a line
-gets only its first passing partners; words from buckets with very many rows are
-spread over shares with lists of their own.  Lines that might have further
-partners, and that nothing has removed by then, meet all earlier lines of their
-words in a join.
+Pairs of one list are not all made.  Lists are sorted by size of the sets, so that
+only sets of similar size meet, and a line gets only some passing partners of a
+list; words from buckets with very many rows are spread over shares with lists of
+their own.  Lines that might have further partners, and that nothing has removed by
+then, meet all earlier lines of their words in a join.
 
 Rows that share a ``doc_id`` but not their text stand one after the other, by digest of
 the text, and their lines are numbered on; equal rows have the same lines.
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flamelake.llm import hashing
 from flamelake.llm.common import arrow_schema, id_text, map_columns, map_rows, parse, stage
@@ -41,45 +43,67 @@ PERCENT = 80
 BUCKETS = 1 << 16
 #: Words of one bucket that a list of the first step may stand for.
 SHARE = 500_000
-#: In the first step a line meets the first SOURCES lines of a list and gets PARTNERS of them at most; lists
-#: above SHORT lines are worked on one by one.  The second step has no bounds.
-SHORT, SOURCES, PARTNERS = 48, 20_000, 2
+#: In the first step a line gets about PARTNERS lines of a list; in lists above SHORT lines, which are worked on one
+#: by one, it meets the first SOURCES lines only.  The second step has no bounds.
+SHORT, SOURCES, PARTNERS = 1024, 20_000, 2
+#: Listed words that leave a task together, and words for which there is a bucket of lists.
+LEAVE, BUCKET = 1 << 18, 1 << 21
 #: Size of the table that keeps words without open lines out of the second step: 1 MB, whatever the input.
 FILTER_BITS = 20
-#: Texts whose lines are worked on together.
-ROWS = 1024
+#: Texts whose lines are worked on together: their arrays fit a processor's cache.
+ROWS = 128
+#: Bits of a word's hash that tell it from others, and of those the ones below its bucket.
+WORD, BELOW = 44, 28
 
 
 class Lines:
-    """Lines of some texts with their distinct words, as flat arrays."""
+    """Lines of some texts with their distinct words, as flat arrays.
 
-    def __init__(self, texts: list[str | None], bases: list[int]):
+    With ``places``, the place of every word bucket by rarity, words are numbers that are
+    sorted by rarity in each line.
+    """
+
+    def __init__(self, texts: list[str | None], bases: list[int], places: np.ndarray | None = None):
         encoded = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join(encoded).translate(hashing._LOWER), np.uint8)
         breaks = np.flatnonzero(data == 10)
         first, end = hashing.word_bounds(data)
-        hashes = hashing.span_hashes(data, first, end)
+        word = hashing.span_hashes(data, first, end) >> np.uint64(64 - WORD)
+        if places is not None:
+            word = places[word >> np.uint64(BELOW)] << np.uint64(BELOW) | word & np.uint64((1 << BELOW) - 1)
         line = np.searchsorted(breaks, first)
-        #: Document and number of every line.
-        ends = np.cumsum([len(e) + 1 for e in encoded]) - 1
-        self.doc = np.searchsorted(ends, np.concatenate([[0], breaks + 1]))
-        starts = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.number = np.arange(len(self.doc)) - starts[self.doc] + np.array(bases, np.int64)[self.doc]
-        order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
-        word, line = hashes[order], line[order]
-        fresh = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])])[: len(word)]
-        #: Distinct words and the line of each; lines with words, and where their words begin.
-        self.word, self.line = word[fresh], line[fresh]
-        self.having, self.start, self.size = np.unique(self.line, return_index=True, return_counts=True)
+        # Words come in the order of their lines.
+        fresh = np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
+        having, nth = line[fresh], np.cumsum(fresh) - 1
+        keys = []
+        # Number of the line and word in one integer; so many lines at a time as it has room for.
+        cuts = np.searchsorted(nth, np.arange(0, len(having) + 1, 1 << 64 - WORD))
+        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(word)], strict=True)):
+            key = np.sort((nth[a:b] - (k << 64 - WORD)).astype(np.uint64) << np.uint64(WORD) | word[a:b])
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+            keys.append((key & np.uint64((1 << WORD) - 1), (key >> np.uint64(WORD)).astype(np.int64) + (k << 64 - WORD)))
+        #: Distinct words and the line of each, by number among the lines with words; where a line's words begin.
+        self.word, self.of = (np.concatenate(c) for c in zip(*keys, strict=True))
+        self.size = np.bincount(self.of, minlength=len(having))
+        self.start = np.cumsum(self.size) - self.size
+        #: Document and number of the lines with words.
+        starts = np.cumsum([0] + [len(e) + 1 for e in encoded])
+        begins = np.concatenate([[0], breaks + 1])[having]
+        self.doc = np.searchsorted(starts, begins, side="right") - 1
+        self.number = having - np.searchsorted(breaks, starts[self.doc]) + np.array(bases, np.int64)[self.doc]
         if len(self.word):
             self.digest = hashing.mix(np.add.reduceat(hashing.mix(self.word + np.uint64(0x5851F42D4C957F2D)), self.start))
-            self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.start)
         else:
-            self.digest = self.parity = np.zeros(0, np.uint64)
+            self.digest = np.zeros(0, np.uint64)
+
+    def parity(self) -> list[np.ndarray]:
+        """Two halves of a signature of 128 bits: each word flips one, so two sets differ in no more bits than words."""
+        bit, half = np.uint64(1) << (self.word & np.uint64(63)), (self.word >> np.uint64(6)) & np.uint64(1)
+        return [np.bitwise_xor.reduceat(bit * (half == h), self.start).view(np.int64) for h in (0, 1)]
 
 
 def bucket_of(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (words >> np.uint64(BELOW)).astype(np.int64)
 
 
 def _table(rows: DataFrame) -> DataFrame:
@@ -92,7 +116,7 @@ def _table(rows: DataFrame) -> DataFrame:
             ids, texts, bases = columns
             found = Lines(texts, bases)
             counts[:] += np.bincount(bucket_of(found.word), minlength=BUCKETS)
-            return [np.array(ids, np.int64)[found.doc[found.having]], found.number[found.having], found.digest.view(np.int64)]
+            return [np.array(ids, np.int64)[found.doc], found.number, found.digest.view(np.int64)]
 
         def finish():
             used = np.flatnonzero(counts)
@@ -126,9 +150,9 @@ def _filter(words: DataFrame) -> np.ndarray:
     return table
 
 
-def _postings(rows: DataFrame, counts: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """``word, share, doc_id, line, n, place, parity, digest``: the rarest words of lines, once a distinct set
-    and batch; with ``wanted``, only words in slots that it names.
+def _postings(rows: DataFrame, counts: np.ndarray, percent: int, parts: int = 0, wanted: np.ndarray | None = None) -> DataFrame:
+    """The rarest words of lines (``_FIELDS``), once a distinct set and batch; with ``wanted``, only words in slots
+    that it names.  With ``parts``, so many buckets of words: ``bucket, lists``, packed.
 
     ``share`` is -1 for words whose list is not spread.
     """
@@ -136,47 +160,70 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int, wanted: np.ndar
     slots = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
     # Below this size only equal sets are similar.
     smallest = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
+    out = arrow_schema(parse(_SCHEMA))
 
     def make():
-        rarity = table.value
+        order = np.argsort(table.value, kind="stable")
+        rarity, places = table.value[order], np.empty(BUCKETS, np.uint64)
+        places[order] = np.arange(BUCKETS, dtype=np.uint64)
+        held, seen = [], []
 
-        def work(columns):
-            ids, texts, bases = columns
-            found = Lines(texts, bases)
+        def listed(ids, texts, bases) -> dict[str, np.ndarray] | None:
+            found = Lines(texts, bases, places)
             if not len(found.word):
-                return [[]] * 8
-            # The words of each line, rarest first; bucket counts come before the words themselves.
-            rank = np.minimum(rarity[bucket_of(found.word)], (1 << 31) - 1).astype(np.uint64)
-            order = np.lexsort((found.word, rank, found.line))
-            of = np.repeat(np.arange(len(found.having)), found.size)
-            place = np.arange(len(order)) - found.start[of]
-            once = np.zeros(len(found.having), bool)
-            at = found.having
-            earliest = np.lexsort((found.number[at], np.array(ids, np.int64)[found.doc[at]], found.digest))
+                return None
+            place = np.arange(len(found.word)) - found.start[found.of]
+            once = np.zeros(len(found.size), bool)
+            docs = np.array(ids, np.int64)[found.doc]
+            earliest = np.lexsort((found.number, docs, found.digest))
             once[earliest[np.unique(found.digest[earliest], return_index=True)[1]]] = True
-            once &= found.size >= smallest
-            use = (place < (found.size - _needed(found.size, percent) + 1)[of]) & once[of]
+            use = once & (found.size >= smallest)
+            use = place < np.where(use, found.size - _needed(found.size, percent) + 1, 0)[found.of]
             if slots is not None:
-                use &= slots.value[_slot(found.word[order])]
-            line = of[use]
-            at = found.having[line]
-            word = found.word[order][use]
+                use &= slots.value[_slot(found.word)]
+            line, word = found.of[use], found.word[use]
             shares = 1 + rarity[bucket_of(word)] // SHARE
             share = np.where(shares > 1, (found.digest[line] % shares.astype(np.uint64)).astype(np.int64), -1)
-            return [
-                word.view(np.int64),
-                share,
-                np.array(ids, np.int64)[found.doc[at]],
-                found.number[at],
-                found.size[line],
-                place[use],
-                found.parity[line].view(np.int64),
-                found.digest[line].view(np.int64),
-            ]
+            p0, p1 = found.parity()
+            made = word.view(np.int64), share, docs[line], found.number[line], found.size[line], place[use], p0[line], p1[line], found.digest.view(np.int64)[line]
+            return dict(zip(_FIELDS, made, strict=True))
+
+        def leave() -> list:
+            if not sum(seen):
+                return [[], []]
+            rows = {c: np.concatenate([h[c] for h in held]) for c in _FIELDS}
+            held.clear()
+            seen.clear()
+            bucket = (hashing.mix(rows["word"].view(np.uint64) + (rows["share"].view(np.uint64) << np.uint64(WORD))) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            used, cuts = np.unique(bucket[order], return_index=True)
+            packed = []
+            for at in np.split(order, cuts[1:]):
+                batch = pa.RecordBatch.from_arrays([pa.array(rows[c][at], f.type) for c, f in zip(_FIELDS, out, strict=True)], schema=out)
+                packed.append(_pack(batch))
+            return [used, packed]
 
+        def work(columns):
+            made = listed(*columns)
+            if not parts:
+                return [[]] * len(_FIELDS) if made is None else [made[c] for c in _FIELDS]
+            if made is not None:
+                held.append(made)
+                seen.append(len(made["word"]))
+            return leave() if sum(seen) >= LEAVE else [[], []]
+
+        if parts:
+            work.finish = leave
         return work
 
-    return map_columns(rows, make, "word bigint, share int, doc_id bigint, line bigint, n int, place int, parity bigint, digest bigint", ROWS)
+    return map_columns(rows, make, "bucket int, lists binary" if parts else _SCHEMA, ROWS)
+
+
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _near(a: dict, b: dict, percent: int):
@@ -191,98 +238,98 @@ def _near(a: dict, b: dict, percent: int):
         (100 * n >= percent * m)
         & (100 * m >= percent * n)
         & ((100 + percent) * shared >= percent * (n + m))
-        & ((100 + percent) * b["apart"](a["parity"], b["parity"]) <= (100 - percent) * (n + m))
+        & ((100 + percent) * (b["apart"](a["p0"], b["p0"]) + b["apart"](a["p1"], b["p1"])) <= (100 - percent) * (n + m))
     )
 
 
-_ARRAYS = {"least": np.minimum, "apart": lambda x, y: np.bitwise_count(x ^ y).astype(np.int64)}
+_ARRAYS = {"least": np.minimum, "apart": lambda x, y: np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).astype(np.int64)}
 _COLUMNS = {"least": F.least, "apart": lambda x, y: F.bit_count(x.bitwiseXOR(y))}
-_FIELDS = ("word", "share", "doc_id", "line", "n", "place", "parity", "digest")
-
+_FIELDS = ("word", "share", "doc_id", "line", "n", "place", "p0", "p1", "digest")
+_SCHEMA = "word bigint, share int, doc_id bigint, line bigint, n int, place int, p0 bigint, p1 bigint, digest bigint"
+_SIDE = ("n", "place", "p0", "p1")
 
-def _bits(parity: np.ndarray) -> np.ndarray:
-    return parity.view(np.uint64)
 
+def _candidates(lists: DataFrame, percent: int, short: int, most: int, partners: int) -> DataFrame:
+    """Pairs of lists that pass the filters: ``e`` and ``l`` as in ``_similar``.
 
-def _candidates(postings: DataFrame, percent: int, short: int, most: int, partners: int) -> DataFrame:
-    """Pairs of sorted lists that pass the filters: ``e`` and ``l`` as in ``_similar``.
-
-    A line that passes with ``partners`` or more earlier lines of a list gets the
-    first of them only, and lines behind the first ``most`` of a list meet only
+    A line that passes with ``partners`` or more earlier lines of a list gets some
+    of them only, and lines behind the first ``most`` of a long list meet only
     those; their rows come again with a null ``e``.
     """
     place = "struct<doc_id:bigint,line:bigint>"
-    fields = parse(f"word bigint, n int, place int, parity bigint, e {place}, l {place}")
+    fields = parse(f"word bigint, n int, place int, p0 bigint, p1 bigint, e {place}, l {place}")
 
-    def pairs_of(rows: dict, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def pairs_of(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Earlier and later rows of the pairs, and rows that may have further partners."""
         word, share = rows["word"], rows["share"]
         start = np.concatenate([[True], (word[1:] != word[:-1]) | (share[1:] != share[:-1])])
         first = np.flatnonzero(start)
         sizes = np.diff(np.concatenate([first, [len(word)]]))
-        nth, size = np.arange(len(word)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
-        fresh = np.arange(len(word)) >= old
-        e, l, more = [], [], [np.flatnonzero((share >= 0) & fresh)]  # noqa: E741
+        nth, n = np.arange(len(word)) - np.repeat(first, sizes), rows["n"]
+        e, l, more = [], [], [np.flatnonzero(share >= 0)]  # noqa: E741
 
         def part(at, shape=()):
-            own = {c: rows[c][at] for c in ("n", "place")} | {"parity": _bits(rows["parity"])[at]}
-            return {c: v[shape] if shape else v for c, v in own.items()} | _ARRAYS
+            return {c: rows[c][at][shape] if shape else rows[c][at] for c in _SIDE} | _ARRAYS
 
-        few, begins = (size <= short) & fresh, np.repeat(first, sizes)
+        # Each row with the one k places before it, of at most its size, while that is large enough.
         found = np.zeros(len(word), np.int64)
-        for k in range(int(size[few].max(initial=1)) - 1):
-            at = np.flatnonzero(few & (nth > k) & (found < partners))
-            at = at[_near(part(begins[at] + k), part(at), percent)]
-            found[at] += 1
-            e.append(begins[at] + k)
-            l.append(at)
-        more.append(np.flatnonzero(few & (found == partners)))
+        at = np.flatnonzero(np.repeat(sizes <= short, sizes))
+        for k in range(1, short):
+            at = at[nth[at] >= k]
+            at = at[100 * n[at - k] >= percent * n[at]]
+            if not len(at):
+                break
+            near = at[_near(part(at - k), part(at), percent)]
+            a, b = near - k, near
+            swap = (rows["doc_id"][a] > rows["doc_id"][b]) | ((rows["doc_id"][a] == rows["doc_id"][b]) & (rows["line"][a] > rows["line"][b]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            new = found[b] < partners
+            e.append(a[new])
+            l.append(b[new])
+            np.add.at(found, b[new], 1)
+        more.append(np.flatnonzero(found >= partners))
         for begin, count in zip(first[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+            own = np.arange(begin, begin + count)
+            own = own[np.lexsort((rows["line"][own], rows["doc_id"][own]))]
             many = min(count, most)
-            sources = part(slice(begin, begin + many), (None, slice(None)))
-            for at in range(max(begin, old), begin + count, 256):
-                rest = np.arange(at, min(at + 256, begin + count))
-                near = _near(sources, part(rest, (slice(None), None)), percent)
-                near &= np.arange(begin, begin + many)[None, :] < rest[:, None]
+            sources = part(own[:many], (None, slice(None)))
+            for at in range(0, count, 32):
+                rest = np.arange(at, min(at + 32, count))
+                near = _near(sources, part(own[rest], (slice(None), None)), percent)
+                near &= np.arange(many)[None, :] < rest[:, None]
                 near &= np.cumsum(near, axis=1) <= partners
                 t, s = np.nonzero(near)
-                e.append(begin + s)
-                l.append(rest[t])
-                more.append(rest[(near.sum(axis=1) == partners) | (rest - begin >= many)])
+                e.append(own[s])
+                l.append(own[rest[t]])
+                more.append(own[rest[(near.sum(axis=1) == partners) | (rest >= many)]])
         none = [np.zeros(0, np.int64)]
-        return np.concatenate(none + e), np.concatenate(none + l), np.unique(np.concatenate(more)), int(first[-1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = arrow_schema(fields), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in _FIELDS}
-            old = len(held["word"]) if held else 0
-            if held:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in _FIELDS}
-            # A set that a list has already is not the first of its kind.
-            order = np.lexsort((np.arange(len(rows["word"])), rows["digest"], rows["share"], rows["word"]))
-            same = np.ones(len(order) - 1, bool)
-            for c in ("digest", "share", "word"):
-                same &= rows[c][order[1:]] == rows[c][order[:-1]]
-            if same.any():
-                stay = np.ones(len(order), bool)
-                stay[order[1:][same]] = False
-                rows = {c: v[stay] for c, v in rows.items()}
-            e, l, more, last = pairs_of(rows, old)  # noqa: E741
-
-            def places(at: np.ndarray) -> pa.StructArray:
-                return pa.StructArray.from_arrays(
-                    [pa.array(rows["doc_id"][at]), pa.array(rows["line"][at])], ["doc_id", "line"]
-                )
-
-            for at, source in ((l, places(e)), (more, pa.nulls(len(more), out.field("e").type))):
-                plain = [pa.array(rows[c][at], out.field(c).type) for c in ("word", "n", "place", "parity")]
-                yield pa.RecordBatch.from_arrays([*plain, source, places(at)], schema=out)
-            # The first lines of the last list meet those that follow.
-            held = {c: v[last : last + most] for c, v in rows.items()}
-
-    return postings.mapInArrow(run, fields)
+        return np.concatenate(none + e), np.concatenate(none + l), np.unique(np.concatenate(more))
+
+    def of_bucket(given: pa.Table) -> pa.Table:
+        out = arrow_schema(fields)
+        table = pa.concat_tables([pa.ipc.open_stream(packed.as_buffer()).read_all() for packed in given.column("lists")])
+        rows = {c: table.column(c).to_numpy().astype(np.int64) for c in _FIELDS}
+        del table
+        # A set that a list has already is not the first of its kind.
+        order = np.lexsort((rows["line"], rows["doc_id"], rows["digest"], rows["n"], rows["share"], rows["word"]))
+        rows = {c: v[order] for c, v in rows.items()}
+        stay = np.zeros(len(order), bool)
+        for c in ("digest", "share", "word"):
+            stay[1:] |= rows[c][1:] != rows[c][:-1]
+        stay[:1] = True
+        rows = {c: v[stay] for c, v in rows.items()}
+        e, l, more = pairs_of(rows)  # noqa: E741
+
+        def places(at: np.ndarray) -> pa.StructArray:
+            return pa.StructArray.from_arrays([pa.array(rows["doc_id"][at]), pa.array(rows["line"][at])], ["doc_id", "line"])
+
+        made = []
+        for at, source in ((l, places(e)), (more, pa.nulls(len(more), out.field("e").type))):
+            plain = [pa.array(rows[c][at], out.field(c).type) for c in ("word", *_SIDE)]
+            made.append(pa.RecordBatch.from_arrays([*plain, source, places(at)], schema=out))
+        return pa.Table.from_batches(made, out)
+
+    return lists.groupBy("bucket").applyInArrow(of_bucket, fields)
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -292,15 +339,16 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     def sets():
         def work(columns):
-            ids, texts, bases, lines = columns
-            found = Lines(texts, bases)
-            at = {(int(d), int(n)): k for k, (d, n) in enumerate(zip(found.doc[found.having], found.number[found.having], strict=True))}
-            for row, own in enumerate(lines):
-                for line in own:
-                    k = at.get((row, line))
-                    if k is not None:
-                        words = found.word[found.start[k] : found.start[k] + found.size[k]]
-                        yield ids[row], line, np.sort(words).astype("<u8").tobytes()
+            own, lines = [], []
+            for doc_id, text, base, numbers in zip(*columns, strict=True):
+                every = (text or "").split("\n")
+                for line in numbers:
+                    if 0 <= line - base < len(every):
+                        own.append((doc_id, line))
+                        lines.append(every[line - base])
+            hashes, counts = hashing.words(lines)
+            for (doc_id, line), words in zip(own, np.split(hashes, np.cumsum(counts))[:-1], strict=True):
+                yield doc_id, line, np.unique(words).astype("<u8").tobytes()
 
         return work
 
@@ -367,9 +415,9 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT, starts: DataFrame | None
     firsts = stage(
         table.where("line >= 0").groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("p.*"), "first-lines"
     )
-    postings = _postings(rows, counts, percent)
-    dealt = postings.repartition("word", "share").sortWithinPartitions("word", "share", "doc_id", "line")
-    found = stage(_candidates(dealt, percent, SHORT, SOURCES, PARTNERS), "candidates")
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // BUCKET)
+    found = stage(_candidates(_postings(rows, counts, percent, parts), percent, SHORT, SOURCES, PARTNERS), "candidates")
     # Repeated rows give a line twice.
     found = found.where("e is null or e < l").withColumns({"doc_id": F.col("l.doc_id"), "line": F.col("l.line")})
     found = found.join(firsts.hint("merge"), ["doc_id", "line"], "left_semi")
@@ -378,10 +426,10 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT, starts: DataFrame | None
     # Lines that may have further partners and that nothing has removed so far.
     rest = stage(found.where("e is null").join(gone.hint("merge"), ["doc_id", "line"], "left_anti"), "rest")
     if not rest.isEmpty():
-        sides = {x: {c: F.col(f"{x}.{c}").cast("bigint") for c in ("n", "place", "parity")} for x in "st"}
+        sides = {x: {c: F.col(f"{x}.{c}").cast("bigint") for c in _SIDE} for x in "st"}
         source = F.struct(F.col("s.doc_id").alias("doc_id"), F.col("s.line").alias("line"))
         met = (
-            _postings(rows, counts, percent, _filter(rest))
+            _postings(rows, counts, percent, wanted=_filter(rest))
             .alias("s")
             .join(rest.alias("t"), F.col("s.word") == F.col("t.word"))
             .where(source < F.col("t.l"))
@@ -399,11 +447,12 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     name = "line_dedup"
     starts = bases(docs)
     kept = kept_lines(docs, percent, starts).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    packed = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row")
-    )
+    # The text goes once through the join.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), others)
     joined = _based(packed, starts).join(kept.hint("merge"), "doc_id", "left")
-    rebuilt = joined.mapInArrow(_rebuild, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines bigint, n_removed bigint")
+    fields = T.StructType([joined.schema["row"], *parse("text string, n_lines bigint, n_removed bigint")])
+    rebuilt = joined.mapInArrow(_rebuild, fields)
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != name]
     return rebuilt.select(*columns, F.struct("n_lines", "n_removed").alias(name))
 
