@@ -4,15 +4,16 @@ Every distinct shingle set is represented once.  Its sketch holds the smallest
 shingle hashes: all of a set of up to ``WHOLE``, ``size`` of a larger one.  Two
 similar sets share many of them, so they also share one of the rarest in an order
 by rarity, a prefix of each sketch; only those are listed.  Lists propose pairs,
-the sketch of a pair's union estimates its similarity, and exact Jaccard on full
-sets confirms it.  Before a pair is made, the places of the shared hash and
-signatures of 256 bits must allow for the threshold.
+signatures of whole sets and the sketch of a pair's union estimate its similarity, and
+exact Jaccard on full sets confirms it.
 
 Pairs of one list are not all made.  First every list proposes its members to its
-most central one, whose hashes most others hold; confirmed links are contracted to groups.  Then lists whose
-members lie in several groups propose pairs of different groups, of similar size
-only, in long lists only those that did not share an earlier hash.  A pair inside a
-group could change nothing, so no link is lost.
+most central one, whose hashes most others hold; confirmed links are contracted to groups.  Then in lists whose
+members lie in several groups, those outside of the largest group meet the members of other groups
+that are of similar size.  A pair inside a group could change nothing, so no link is lost.  A pair is made only
+if the places of the shared hash allow for the threshold, and signatures of both whole sets (exact) and both
+sketches: edited copies of one text hold its hashes in many lists, but of their pairs only those near
+the threshold or above it go on.
 
 Sets of up to ``WHOLE`` are listed by the exact bound of set similarity.  Larger
 ones, and those that can be similar to a larger one, are also listed by ``size``
@@ -40,8 +41,9 @@ from flamelake.llm.common import id_text, map_columns, map_rows, stage
 from flamelake.llm.components import components
 
 SIZE, SHARED, WHOLE = 96, 50, 256
-#: In lists of at least so many, a pair of sketches that met in an earlier list is not made again.
-LONG = 8
+#: Bits of the signatures of a whole set and of a sketch, and the 64-bit columns that hold them.
+SET_BITS, SKETCH_BITS = 512, 256
+SIGNS = [f"b{k}" for k in range((SET_BITS + SKETCH_BITS) // 64)]
 #: Sketch estimates below the threshold less this much (six deviations) are dropped.
 MARGIN = 0.25
 #: Buckets in which retained hashes are counted; their table is what the rarity order needs.
@@ -49,18 +51,21 @@ BUCKETS = 1 << 16
 
 
 def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
-    """``doc_id, n, digest, sketch`` of every row with a ``doc_id``; ``digest`` stands for the whole set."""
+    """``doc_id, n, digest, sketch, signs`` of every row; ``digest`` stands for the whole set."""
 
     def make():
         def work(columns):
             ids, texts = columns
             for doc_id, own in zip(ids, hashing.shingle_sets(texts, shingle), strict=True):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
-                yield doc_id, len(own), digest, (own if len(own) <= WHOLE else own[:size]).tolist()
+                signs = parity(own, SET_BITS) + parity(own[:size], SKETCH_BITS)
+                yield doc_id, len(own), digest, (own if len(own) <= WHOLE else own[:size]).tolist(), *signs
 
         return work
 
-    return map_rows(id_text(docs), make, "doc_id bigint, n bigint, digest binary, sketch array<bigint>", 1024)
+    schema = "doc_id bigint, n bigint, digest binary, sketch array<bigint>, " + ", ".join(f"{b} bigint" for b in SIGNS)
+    rows = map_rows(id_text(docs), make, schema, 1024)
+    return rows.select("doc_id", "n", "digest", "sketch", F.struct(*SIGNS).alias("signs"))
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -101,76 +106,67 @@ def _rarest(values: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     return values[np.lexsort((values, counts[bucket_of(values)]))[:n]]
 
 
-def parity(values: np.ndarray) -> tuple[int, ...]:
-    """Signature of 256 bits: each hash flips one of them, so two sets differ in no more bits than members."""
-    bits = np.bincount((hashing.mix(values.view(np.uint64)) & np.uint64(255)).astype(np.int64), minlength=256)
+def parity(values: np.ndarray, size: int) -> tuple[int, ...]:
+    """Signature of ``size`` bits: each hash flips one of them, so two sets differ in no more bits than members."""
+    bits = np.bincount((hashing.mix(values.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return tuple(np.packbits((bits & 1).astype(np.uint8)).view(np.int64).tolist())
 
 
 def listed(sets: DataFrame, counts: np.ndarray, percent: int, size: int, shared: int) -> DataFrame:
-    """``value, node, n, rest, whole, bits``: the rarest retained hashes of every set; ``rest`` of its retained
-    hashes are this one or come after it, ``bits`` is their signature."""
+    """``value, node, n, rest, whole``: the rarest retained hashes of every set; ``rest`` of its retained
+    hashes are this one or come after it."""
     table = sets.sparkSession.sparkContext.broadcast(counts)
 
     def make():
         def work(columns):
             found = [
-                (values, node, n, retained, whole, *parity(own[:retained]))
+                (values, node, n, retained, whole)
                 for node, n, own in ((node, n, np.array(own, np.int64)) for node, n, own in zip(*columns, strict=True))
                 for values, retained, whole in prefixes(own, n, table.value, percent, size, shared)
             ]
             many = np.array([len(f[0]) for f in found], np.int64)
             values = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-            node, n, retained, whole, *bits = (np.repeat(np.array([f[k] for f in found], np.int64), many) for k in range(1, 9))
+            node, n, retained, whole = (np.repeat(np.array([f[k] for f in found], np.int64), many) for k in range(1, 5))
             place = np.arange(len(values)) - np.repeat(np.cumsum(many) - many, many)
-            return [values, node, n, retained - place, whole.astype(bool), *bits]
+            return [values, node, n, retained - place, whole.astype(bool)]
 
         return work
 
-    schema = "value bigint, node bigint, n bigint, rest bigint, whole boolean, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-    rows = map_columns(sets.select("node", "n", "sketch"), make, schema, 512)
-    return rows.withColumn("bits", F.struct("b0", "b1", "b2", "b3")).drop("b0", "b1", "b2", "b3")
+    schema = "value bigint, node bigint, n bigint, rest bigint, whole boolean"
+    return map_columns(sets.select("node", "n", "sketch"), make, schema, 512)
 
 
-def _enough(a: str, b: str, percent: int, size: int, low="n", high="n", every="bits", some="bits"):
-    """Can the shared hash be the first of as many as two similar sets share, and can so few bits of their
-    signatures differ?  Exact for whole sets; for sketches seven deviations below the mean.  ``a`` and ``b``
-    may stand for several sets, of ``low`` to ``high`` shingles, with the bits that ``every`` one has and those
-    that ``some`` have: what every set of one side has and none of the other differs in all their pairs."""
-    col = lambda x, c: F.col(f"{x}.{c}").cast("double")
-    rest = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+def _shared(a: str, b: str, percent: int, size: int):
+    """How many members two similar sets share at least, and how many hashes their sketches share: the first
+    exact, the second seven deviations below the mean."""
+    n, m = F.col(f"{a}.n").cast("double"), F.col(f"{b}.n").cast("double")
     share = percent / (100 + percent)
-    least, most_sets = col(a, low) + col(b, low), col(a, high) + col(b, high)
-    sets = F.ceil(share * least - 1e-6)
-    ratio = F.greatest(
-        F.lit(percent / 100), F.least(col(a, low) / col(b, high), col(b, low) / col(a, high), F.lit(1.0))
-    )
-    p = share * (1 + ratio)
-    sampled = size * p - 7 * F.sqrt(size * p * (1 - p))
-    only = lambda x, y, k: F.col(f"{x}.{every}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{some}.b{k}")))
-    apart = sum(F.bit_count(only(a, b, k).bitwiseOR(only(b, a, k))) for k in range(4))
-    # Members of only one of two sets: all that they hold, less twice what they share.
-    whole = F.when(least == most_sets, least - 2 * sets).otherwise(most_sets * (1 - 2 * share) + 1e-6)
-    most = F.when(F.col(f"{a}.whole"), whole).otherwise(2 * (size - sampled))
-    listed_early = F.when(F.col(f"{a}.whole"), rest >= sets).otherwise(rest >= sampled)
-    return listed_early & (apart <= most)
-
-
-def _listed_before(nodes: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int, size: int, shared: int) -> DataFrame:
-    """``node, prefix``: the hashes, in order, by which the sketches of ``nodes`` are listed."""
-    table = sets.sparkSession.sparkContext.broadcast(counts)
+    p = share * (1 + F.least(n, m) / F.greatest(n, m))
+    return F.ceil(share * (n + m) - 1e-6), size * p - 7 * F.sqrt(size * p * (1 - p))
 
-    def make():
-        def work(columns):
-            for node, n, own in zip(*columns, strict=True):
-                for values, _, whole in prefixes(np.array(own, np.int64), n, table.value, percent, size, shared):
-                    if not whole:
-                        yield node, values.tolist()
 
-        return work
+def _enough(a: str, b: str, percent: int, size: int):
+    """Can the shared hash be the first of as many as two similar sets share?"""
+    members, sampled = _shared(a, b, percent, size)
+    rest = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+    return F.when(F.col(f"{a}.whole"), rest >= members).otherwise(rest >= sampled)
+
+
+def _sets_alike(a: str, b: str, percent: int, size: int):
+    """Can so few bits of the signatures of two whole sets differ?  Exact: members of only one of them are all
+    that they hold, less twice what they share."""
+    members, _ = _shared(a, b, percent, size)
+    return _apart(a, b, SIGNS[: SET_BITS // 64]) <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * members
+
 
-    rows = sets.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", "n", "sketch")
-    return map_rows(rows, make, "node bigint, prefix array<bigint>", 1024)
+def _sketches_alike(a: str, b: str, percent: int, size: int):
+    """The same for the sketches of sets that are listed by them."""
+    _, sampled = _shared(a, b, percent, size)
+    return F.col(f"{a}.whole") | (_apart(a, b, SIGNS[SET_BITS // 64 :]) <= 2 * (size - sampled))
+
+
+def _apart(a: str, b: str, signs: list[str]):
+    return sum(F.bit_count(F.col(f"{a}.signs.{k}").bitwiseXOR(F.col(f"{b}.signs.{k}"))) for k in signs)
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -179,12 +175,15 @@ def _similar_size(a: str, b: str, percent: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int, size: int) -> DataFrame:
     """The pairs ``u, v`` that the estimate lets through and the full sets confirm."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: sets.select(
+        F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.struct("n", "signs").alias(f"set_{x}")
+    )
     union = F.slice(F.sort_array(F.array_union("su", "sv")), 1, size)
     both = F.size(F.array_intersect("union", F.array_intersect("su", "sv")))
     likely = (
         pairs.join(side("u"), "u")
         .join(side("v"), "v")
+        .where(_sets_alike("set_u", "set_v", percent, size))
         .withColumn("union", union)
         .where(both >= (percent / 100 - MARGIN) * F.size("union"))
         .select("u", "v")
@@ -213,20 +212,19 @@ def groups(
     every = stage(sketches(docs, shingle, size), "sketches")
     usable = every.where("doc_id is not null and digest is not null")
     sets = stage(
-        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("s")).select(
-            "digest", F.col("s.doc_id").alias("node"), "s.n", "s.sketch"
+        usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "signs")).alias("s")).select(
+            "digest", F.col("s.doc_id").alias("node"), "s.n", "s.sketch", "s.signs"
         ),
         "sets",
     )
-    counts = rarity(sets)
-    lists = listed(sets, counts, percent, size, shared)
+    lists = listed(sets, rarity(sets), percent, size, shared)
     shared_values = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     lists = stage(lists.join(shared_values, "value"), "shared")
     # The most central member of each list: the one whose hashes most others hold.
     weights = lists.groupBy("node").agg(F.sum("members").alias("weight"))
     lists = stage(lists.join(weights, "node").drop("members"), "lists")
-    heads = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("node"), "node", "n", "rest", "bits")).alias("head"))
-    headed = lists.select("value", F.struct("node", "n", "rest", "whole", "bits").alias("own")).join(heads, "value")
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("node"), "node", "n", "rest")).alias("head"))
+    headed = lists.select("value", F.struct("node", "n", "rest", "whole").alias("own")).join(heads, "value")
     texts = stage(
         id_text(docs).withColumnRenamed("doc_id", "node").join(lists.select("node").distinct().hint("merge"), "node", "left_semi"),
         "texts",
@@ -245,52 +243,38 @@ def groups(
     placed = lists.join(grouped.withColumnRenamed("component", "own"), "node", "left").withColumn(
         "own", F.coalesce("own", "node")
     )
-    mixed = placed.groupBy("value").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("many")).where("low < high")
+    held = placed.groupBy("value", "own").agg(F.count("*").alias("many"))
+    mixed = (
+        held.groupBy("value")
+        .agg(F.max(F.struct("many", "own")).alias("largest"), F.count("*").alias("groups"))
+        .where("groups > 1")
+        .select("value", F.col("largest.own").alias("main"))
+    )
     step = math.log(100 / percent)
-    met = placed.join(mixed.select("value", "many"), "value").withColumn("band", F.floor(F.log("n") / step + 1e-9))
-    # Members of long lists of sketches bring the hashes by which they are listed before, to tell pairs that met there.
-    long = (F.col("many") >= LONG) & ~F.col("whole")
-    met = stage(met.select("value", "own", "band", "node", "n", "rest", "whole", "bits", long.alias("long")), "met")
-    prefix = _listed_before(met.where("long").select("node"), sets, counts, percent, size, shared)
-    before = F.when(F.col("long"), F.slice("prefix", 1, F.array_position("prefix", F.col("value")).cast("int") - 1))
+    met = stage(
+        placed.join(mixed, "value").select(
+            "value", "node", "n", "rest", "whole", "own", (F.col("own") == F.col("main")).alias("main"),
+            F.floor(F.log("n") / step + 1e-9).alias("band"),
+        ),
+        "met",
+    )
     members = stage(
-        met.where("not long").withColumn("before", F.lit(None).cast("array<bigint>"))
-        .unionByName(met.where("long").join(prefix, "node", "left").withColumn("before", before).drop("prefix"))
-        .select("value", "own", "band", F.struct("node", "n", "rest", "whole", "bits", "before").alias("set")),
+        met.join(sets.select("node", "signs"), "node").select(
+            "value", "band", F.struct("node", "n", "rest", "whole", "own", "main", "signs").alias("set")
+        ),
         "mixed",
     )
-    held = members.groupBy("value", "own", "band").agg(
-        F.min("set.n").alias("low"), F.max("set.n").alias("high"), F.max("set.rest").alias("rest"), F.first("set.whole").alias("whole"),
-        F.struct(*[F.bit_and(f"set.bits.b{k}").alias(f"b{k}") for k in range(4)]).alias("every"),
-        F.struct(*[F.bit_or(f"set.bits.b{k}").alias(f"b{k}") for k in range(4)]).alias("some"),
-        F.when(F.count("*") == 1, F.first("set.before")).alias("before"),
-    )
-    group = F.struct("own", "band", "low", "high", "rest", "whole", "every", "some", "before")
-    # Groups of one band meet once; those of neighbouring bands meet in the higher one.
-    left = held.select("value", "band", group.alias("a"))
-    right = held.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
-        "value", F.col("at").alias("band"), group.alias("b")
-    )
-    met_before = lambda x, y: F.coalesce(F.arrays_overlap(f"{x}.before", f"{y}.before"), F.lit(False))
-    meeting = (
-        left.join(right, ["value", "band"])
-        .where((F.col("a.own") < F.col("b.own")) | ((F.col("a.own") > F.col("b.own")) & (F.col("a.band") > F.col("b.band"))))
-        .where((100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low")))
-        .where(_enough("a", "b", percent, size, "low", "high", "every", "some"))
-        .where(~met_before("a", "b"))
-    )
-    side = lambda x: members.select(
-        "value", F.col("own").alias(f"{x}_own"), F.col("band").alias(f"{x}_band"), F.col("set").alias(x)
+    # Members of the largest group of a list meet those outside; these meet each other once.
+    outside = members.where("not set.main").select(
+        "value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("set").alias("u")
     )
     second = (
-        meeting.select(
-            "value", F.col("a.own").alias("u_own"), F.col("a.band").alias("u_band"), F.col("b.own").alias("v_own"), F.col("b.band").alias("v_band")
-        )
-        .join(side("u"), ["value", "u_own", "u_band"])
-        .join(side("v"), ["value", "v_own", "v_band"])
+        outside.join(members.withColumnRenamed("set", "v"), ["value", "band"])
+        .where(F.col("v.main") | (F.col("u.own") < F.col("v.own")))
         .where(_similar_size("u.n", "v.n", percent))
         .where(_enough("u", "v", percent, size))
-        .where(~met_before("u", "v"))
+        .where(_sets_alike("u", "v", percent, size))
+        .where(_sketches_alike("u", "v", percent, size))
         .select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         .distinct()

@@ -235,6 +235,32 @@ def test_near_duplicates_above_whole_sets_in_long_lists(spark):
     assert out == {d: c for d, (_, c) in expected.items()}
 
 
+def test_edited_copies_are_not_paired_in_list_after_list(spark, monkeypatch):
+    """Copies of one text with many edits share hashes in dozens of lists, but few of their pairs are near 0.8."""
+    rng = random.Random(21)
+    rows = []
+    for n in range(80):
+        words = prose(900, 400).split()
+        for _ in range(rng.randrange(3, 40)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    expected = brute.groups(rows, 4)
+    counted, real = {}, near_dup.stage
+
+    def counting(df, label):
+        counted[label] = real(df, label)
+        return counted[label]
+
+    monkeypatch.setattr(near_dup, "stage", counting)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, shingle=4).collect()}
+    assert out == {d: c for d, (_, c) in expected.items()}
+    sets = {d: brute.shingles(text, 4) for d, text in rows}
+    near = sum(len(sets[a] & sets[b]) >= 0.72 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    assert counted["second-pairs"].count() <= near
+    assert near < 80 * 79 / 2 / 4
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (20, 3), (30, 31), (31, 30), (5, 5)] + [(100 + n, 101 + n) for n in range(40)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
