@@ -10,8 +10,7 @@ _rng = np.random.default_rng(20240229)
 #: A random odd number for each byte value.
 BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = bytes(b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256))
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 _powers: list[np.ndarray] = []
@@ -38,7 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last byte of each run without ``[\\x20\\x09-\\x0D]``."""
-    solid = np.concatenate([[False], ~_BLANK[data], [False]])
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = np.frombuffer(data.tobytes().translate(_SOLID), bool)
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     return edges[::2], edges[1::2]
 

@@ -60,10 +60,12 @@ class Lines:
     """Lines of some texts with their distinct words, as flat arrays.
 
     With ``places``, the place of every word bucket by rarity, words are numbers that are
-    sorted by rarity in each line.
+    sorted by rarity in each line.  With ``slots``, only lines with a word in one of them are there.
     """
 
-    def __init__(self, texts: list[str | None], bases: list[int], places: np.ndarray | None = None):
+    def __init__(
+        self, texts: list[str | None], bases: list[int], places: np.ndarray | None = None, slots: np.ndarray | None = None
+    ):
         encoded = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join(encoded).translate(hashing._LOWER), np.uint8)
         breaks = np.flatnonzero(data == 10)
@@ -72,6 +74,11 @@ class Lines:
         if places is not None:
             word = places[word >> np.uint64(BELOW)] << np.uint64(BELOW) | word & np.uint64((1 << BELOW) - 1)
         line = np.searchsorted(breaks, first)
+        if slots is not None:
+            wanted = np.zeros(len(breaks) + 1, bool)
+            wanted[line[slots[_slot(word)]]] = True
+            stay = wanted[line]
+            word, line = word[stay], line[stay]
         # Words come in the order of their lines.
         fresh = np.concatenate([[True], line[1:] != line[:-1]])[: len(line)]
         having, nth = line[fresh], np.cumsum(fresh) - 1
@@ -169,7 +176,7 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int, parts: int = 0,
         held, seen = [], []
 
         def listed(ids, texts, bases) -> dict[str, np.ndarray] | None:
-            found = Lines(texts, bases, places)
+            found = Lines(texts, bases, places, None if slots is None else slots.value)
             if not len(found.word):
                 return None
             place = np.arange(len(found.word)) - found.start[found.of]
@@ -197,11 +204,8 @@ def _postings(rows: DataFrame, counts: np.ndarray, percent: int, parts: int = 0,
             bucket = (hashing.mix(rows["word"].view(np.uint64) + (rows["share"].view(np.uint64) << np.uint64(WORD))) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             used, cuts = np.unique(bucket[order], return_index=True)
-            packed = []
-            for at in np.split(order, cuts[1:]):
-                batch = pa.RecordBatch.from_arrays([pa.array(rows[c][at], f.type) for c, f in zip(_FIELDS, out, strict=True)], schema=out)
-                packed.append(_pack(batch))
-            return [used, packed]
+            every = pa.RecordBatch.from_arrays([pa.array(rows[c][order], f.type) for c, f in zip(_FIELDS, out, strict=True)], schema=out)
+            return [used, [_pack(every.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]]
 
         def work(columns):
             made = listed(*columns)

@@ -50,3 +50,26 @@ def test_text_is_shuffled_once(spark, monkeypatch):
     assert seen[-1].schema["row"].dataType.names == ["doc_id", "a.b"]
     assert out.columns == ["doc_id", "text", "a.b", "line_dedup"]
     assert sorted((r["doc_id"], r["text"], r[2]) for r in out.collect()) == [(1, "one two three", 5), (2, "", 6)]
+
+
+def test_second_step_works_on_lines_with_open_words_only(spark):
+    """Of the other lines nothing but the hashes of their words is made, and the listed words are the same."""
+    texts = [f"a{n} b{n} c{n} d{n} e{n} f{n}\nsome words of every text\n\nlast{n % 3} line of six words here" for n in range(40)] + [None, ""]
+    places = np.arange(line_dedup.BUCKETS, dtype=np.uint64)
+    whole = line_dedup.Lines(texts, [0] * len(texts), places)
+    slots = np.zeros(1 << line_dedup.FILTER_BITS, bool)
+    slots[line_dedup._slot(whole.word[whole.of == 3])] = True
+    open_lines = np.unique(whole.of[slots[line_dedup._slot(whole.word)]])
+    some = line_dedup.Lines(texts, [0] * len(texts), places, slots)
+    assert 0 < len(some.size) == len(open_lines) < len(whole.size)
+    for name in ("size", "doc", "number", "digest"):
+        assert (getattr(some, name) == getattr(whole, name)[open_lines]).all(), name
+    assert not len(line_dedup.Lines(texts, [0] * len(texts), places, np.zeros_like(slots)).size)
+
+    rows = spark.createDataFrame([(n, t, 0) for n, t in enumerate(texts)], "doc_id bigint, text string, base bigint").coalesce(1)
+    counts = np.zeros(line_dedup.BUCKETS, np.int64)
+    every = line_dedup._postings(rows, counts, 80).collect()
+    wanted = np.zeros_like(slots)
+    wanted[line_dedup._slot(np.array([every[5]["word"]]).view(np.uint64))] = True
+    expected = [r for r in every if wanted[line_dedup._slot(np.array([r["word"]]).view(np.uint64))[0]]]
+    assert sorted(line_dedup._postings(rows, counts, 80, wanted=wanted).collect()) == sorted(expected) != []
