@@ -45,7 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text``: token ids and the text decoded from them."""
     ids = bpe.ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return transducer.decode(transducer.encode(docs, ids, public_tokenizers.PATTERN, keep=False), ids)
+    return transducer.encode(docs, ids, public_tokenizers.PATTERN, keep=False, decoded=True)
 
 
 STAGES = [

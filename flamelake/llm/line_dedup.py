@@ -70,10 +70,10 @@ class Lines:
         data = np.frombuffer(b"\n".join(encoded).translate(hashing._LOWER), np.uint8)
         breaks = np.flatnonzero(data == 10)
         first, end = hashing.word_bounds(data)
-        word = hashing.span_hashes(data, first, end) >> np.uint64(64 - WORD)
+        word = hashing.word_hashes(data, first, end) >> np.uint64(64 - WORD)
         if places is not None:
             word = places[word >> np.uint64(BELOW)] << np.uint64(BELOW) | word & np.uint64((1 << BELOW) - 1)
-        line = np.searchsorted(breaks, first)
+        line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.searchsorted(first, breaks), prepend=0, append=len(first)))
         if slots is not None:
             wanted = np.zeros(len(breaks) + 1, bool)
             wanted[line[slots[_slot(word)]]] = True
@@ -462,7 +462,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _rebuild(batches):
-    for batch in batches:
+    for batch in (whole.slice(at, 4 * ROWS) for whole in batches for at in range(0, whole.num_rows, 4 * ROWS)):
         texts, counts, removed = [], [], []
         for doc_id, body, base, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "base", "lines")), strict=True):
             own = (body or "").split("\n")

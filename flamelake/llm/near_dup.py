@@ -46,6 +46,8 @@ SET_BITS, SKETCH_BITS = 512, 256
 SIGNS = [f"b{k}" for k in range((SET_BITS + SKETCH_BITS) // 64)]
 #: Sketch estimates below the threshold less this much (six deviations) are dropped.
 MARGIN = 0.25
+#: Texts whose shingles are made together: their arrays stay small, whatever the number of tasks beside them.
+ROWS = 128
 #: Buckets in which retained hashes are counted; their table is what the rarity order needs.
 BUCKETS = 1 << 16
 
@@ -64,7 +66,7 @@ def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
         return work
 
     schema = "doc_id bigint, n bigint, digest binary, sketch array<bigint>, " + ", ".join(f"{b} bigint" for b in SIGNS)
-    rows = map_rows(id_text(docs), make, schema, 1024)
+    rows = map_rows(id_text(docs), make, schema, ROWS)
     return rows.select("doc_id", "n", "digest", "sketch", F.struct(*SIGNS).alias("signs"))
 
 
@@ -202,7 +204,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
 
         return work
 
-    return map_rows(rows, make, "u bigint, v bigint", 256)
+    return map_rows(rows, make, "u bigint, v bigint", ROWS)
 
 
 def groups(

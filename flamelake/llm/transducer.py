@@ -240,11 +240,12 @@ def _machine(shared) -> Transducer:
     return _KEPT[key]
 
 
-def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str, keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str, keep: bool = True, decoded: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids as little-endian unsigned 32-bit integers.
 
     A null text counts as empty and has no ids.  With ``keep`` a worker keeps its
-    states and segments for its next tasks, else they go with the task.
+    states and segments for its next tasks, else they go with the task.  With ``decoded``
+    the same worker decodes the ids: ``text`` as ``decode`` gives it, without a second worker a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
@@ -257,11 +258,12 @@ def encode(docs: DataFrame, ids: dict[bytes, int], pattern: str, keep: bool = Tr
         def work(columns):
             for doc_id, text in zip(*columns, strict=True):
                 packed = machine.cut(text or "")
-                yield doc_id, len(packed) // 4, packed
+                back = ("".join(decode_stream(array("I", packed), machine.token)),) if decoded else ()
+                yield doc_id, len(packed) // 4, packed, *back
 
         return work
 
-    return map_rows(id_text(docs), make, "doc_id bigint, n_tokens bigint, ids binary", 128)
+    return map_rows(id_text(docs), make, "doc_id bigint, n_tokens bigint, ids binary" + ", text string" * decoded, 128)
 
 
 def decode(encoded: DataFrame, ids: dict[bytes, int]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flamelake.llm import line_dedup
+from flamelake.llm import hashing, line_dedup
 
 TEXTS = ["a b a\n\n c d\te \n", None, "", "\n\nz", "q", "a  A\r\nb a\n \x0b\nlast line here"]
 
@@ -73,3 +75,43 @@ def test_second_step_works_on_lines_with_open_words_only(spark):
     wanted[line_dedup._slot(np.array([every[5]["word"]]).view(np.uint64))] = True
     expected = [r for r in every if wanted[line_dedup._slot(np.array([r["word"]]).view(np.uint64))[0]]]
     assert sorted(line_dedup._postings(rows, counts, 80, wanted=wanted).collect()) == sorted(expected) != []
+
+
+def test_hashes_of_words():
+    """Equal words have equal hashes wherever they stand, other words others, also by a byte far behind or by length."""
+    words = [bytes([97 + n % 26]) * n for n in range(1, 40)] + [b"x" * k + y + b"x" * 30 for k in (0, 7, 8, 9, 16, 24) for y in (b"y", b"z")]
+    words += [b"a\0", b"a\0\0", b"\0", b"\0" * 8, b"\0" * 9, b"\0" * 17, b"abcdefgh12345678", b"12345678abcdefgh", "größer".encode(), b"q" * 100_003]
+    assert len(set(words)) == len(words)
+    for blank in (b" ", b"   ", b"\n"):
+        data = np.frombuffer(blank.join(words + words[::-1]), np.uint8)
+        first, end = hashing.word_bounds(data)
+        found = hashing.word_hashes(data, first, end)
+        assert len(found) == 2 * len(words) and len(set(found.tolist())) == len(words)
+        assert (found == found[::-1]).all()
+    none = np.zeros(0, np.int64)
+    assert not len(hashing.word_hashes(np.zeros(0, np.uint8), none, none))
+
+
+def test_hashes_of_words_take_memory_by_words():
+    """A step's hashes took more than 32 bytes a byte of text, and a worker kept 16 of them."""
+    data = np.frombuffer(b" ".join([b"abcdefghijk"] * 250_000), np.uint8)
+    first, end = hashing.word_bounds(data)
+    hashing._powers.clear()
+    tracemalloc.start()
+    hashing.words([data.tobytes().decode()])
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 24 * len(data) and kept < len(data), (most / len(data), kept / len(data))
+
+
+def test_texts_are_rebuilt_in_small_steps():
+    """A whole Arrow batch (10,000 texts) was held as lists of lines at once."""
+    n = 1500
+    columns = {
+        "doc_id": pa.array(range(n), pa.int64()), "text": pa.array([f"a {k}\nb\nc" for k in range(n)]), "base": pa.array([0] * n, pa.int64()),
+        "lines": pa.array([[0, 2]] * n, pa.list_(pa.int64())), "row": pa.array([{"x": k} for k in range(n)]),
+    }
+    out = [*line_dedup._rebuild(iter([pa.RecordBatch.from_pydict(columns)]))]
+    assert max(b.num_rows for b in out) <= 4 * line_dedup.ROWS
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert rows == [{"row": {"x": k}, "text": f"a {k}\nc", "n_lines": 3, "n_removed": 1} for k in range(n)]

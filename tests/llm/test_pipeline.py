@@ -5,7 +5,7 @@ import corpus_pipeline
 import oracle
 import public_tokenizers as P
 import tiktoken
-from flamelake.llm import bpe, queries
+from flamelake.llm import bpe, queries, transducer
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,14 @@ def test_pipeline_equals_plain_stages(spark, given, items):
 def test_stage_names():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "near_duplicates", "decontaminate", "bpe"]
+
+
+def test_a_task_of_bpe_has_one_worker(spark, given):
+    """Encoding and decoding in two workers took twice their number of processes; the columns stay the same."""
+    docs = spark.createDataFrame([*given[:40], (900, None), (901, ""), (902, "größer 日本 \U0001f600 \0 x")], "doc_id bigint, text string")
+    ranks = bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    one = corpus_pipeline.encoded(spark, docs, SF)
+    two = transducer.decode(transducer.encode(docs, ranks, P.PATTERN), ranks)
+    assert one.schema == two.schema
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
