@@ -42,15 +42,25 @@ def parse(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """``workdir.stage`` whose shuffle files go as soon as the table is written."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+#: Spark's Bloom filter of a join's smaller side, of fixed size, from which sizes on it is made.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1m",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
+
+def stage(df: DataFrame, label: str, **settings: str) -> DataFrame:
+    """``workdir.stage`` whose shuffle files go as soon as the table is written; ``settings`` hold meanwhile."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **settings}
+    before = {key: conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        conf.set(key, value)
     try:
         return workdir.stage(df, label)
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 #: Bytes of text that one step of an Arrow pass works on; a longer text is a step of its own.

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flamelake.llm import hashing
-from flamelake.llm.common import arrow_schema, id_text, map_columns, map_rows, parse, stage
+from flamelake.llm.common import BLOOM, arrow_schema, id_text, map_columns, map_rows, parse, stage
 
 PERCENT = 80
 #: Buckets in which words are counted; their table is what the rarity order needs.
@@ -114,7 +114,7 @@ def bucket_of(words: np.ndarray) -> np.ndarray:
 
 
 def _table(rows: DataFrame) -> DataFrame:
-    """``doc_id, line, digest`` of all lines with words; rows with line -1 hold a task's counts of word buckets."""
+    """``doc_id, line, digest`` of all lines with words; a row with line -1 holds a task's ``counts`` of word buckets."""
 
     def make():
         counts = np.zeros(BUCKETS, np.int64)
@@ -123,16 +123,16 @@ def _table(rows: DataFrame) -> DataFrame:
             ids, texts, bases = columns
             found = Lines(texts, bases)
             counts[:] += np.bincount(bucket_of(found.word), minlength=BUCKETS)
-            return [np.array(ids, np.int64)[found.doc], found.number, found.digest.view(np.int64)]
+            digests = found.digest.view(np.int64)
+            return [np.array(ids, np.int64)[found.doc], found.number, digests, pa.nulls(len(digests), pa.list_(pa.int64()))]
 
         def finish():
-            used = np.flatnonzero(counts)
-            return [counts[used], np.full(len(used), -1), used]
+            return [[None], [-1], [None], [counts]]
 
         work.finish = finish
         return work
 
-    return map_columns(rows, make, "doc_id bigint, line bigint, digest bigint", ROWS)
+    return map_columns(rows, make, "doc_id bigint, line bigint, digest bigint, counts array<bigint>", ROWS)
 
 
 def _needed(n, percent: int):
@@ -253,6 +253,27 @@ _SCHEMA = "word bigint, share int, doc_id bigint, line bigint, n int, place int,
 _SIDE = ("n", "place", "p0", "p1")
 
 
+def _by_size(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Order of listed words by list, size of the set, digest and place of the line.
+
+    One sort by list, size and as much of the digest as 64 bits hold; only rows that are equal there are sorted by all.
+    """
+    lists = rows["word"].view(np.uint64) << np.uint64(64 - WORD) | (rows["share"] + 1).view(np.uint64)
+    by = np.argsort(lists)
+    number = np.empty(len(by), np.uint64)
+    number[by] = np.cumsum(np.concatenate([[0], lists[by[1:]] != lists[by[:-1]]]))
+    size = int(rows["n"].max()).bit_length()
+    left = np.uint64(64 - int(number[by[-1]]).bit_length() - size)
+    key = (number << np.uint64(size) | rows["n"].view(np.uint64)) << left | rows["digest"].view(np.uint64) >> (np.uint64(64) - left)
+    order = np.argsort(key)
+    key = key[order]
+    equal = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.concatenate([[False], equal]) | np.concatenate([equal, [False]]))
+    own = order[tied]
+    order[tied] = own[np.lexsort((rows["line"][own], rows["doc_id"][own], rows["digest"][own], key[tied]))]
+    return order
+
+
 def _candidates(lists: DataFrame, percent: int, short: int, most: int, partners: int) -> DataFrame:
     """Pairs of lists that pass the filters: ``e`` and ``l`` as in ``_similar``.
 
@@ -315,7 +336,7 @@ def _candidates(lists: DataFrame, percent: int, short: int, most: int, partners:
         rows = {c: table.column(c).to_numpy().astype(np.int64) for c in _FIELDS}
         del table
         # A set that a list has already is not the first of its kind.
-        order = np.lexsort((rows["line"], rows["doc_id"], rows["digest"], rows["n"], rows["share"], rows["word"]))
+        order = _by_size(rows)
         rows = {c: v[order] for c, v in rows.items()}
         stay = np.zeros(len(order), bool)
         for c in ("digest", "share", "word"):
@@ -339,7 +360,8 @@ def _candidates(lists: DataFrame, percent: int, short: int, most: int, partners:
 def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (``e`` earlier, ``l`` later: ``doc_id, line``) whose whole sets are similar."""
     ends = pairs.select("e.*").unionByName(pairs.select("l.*")).distinct()
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    # Written, so that Spark knows its size: only texts that hold such lines, or few others, are shuffled.
+    wanted = stage(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "wanted").where(F.size("lines") > 0)
 
     def sets():
         def work(columns):
@@ -356,7 +378,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
         return work
 
-    words = stage(map_rows(rows.join(wanted.hint("merge"), "doc_id"), sets, "doc_id bigint, line bigint, words binary", ROWS), "line-words")
+    words = stage(map_rows(rows.join(wanted, "doc_id"), sets, "doc_id bigint, line bigint, words binary", ROWS), "line-words", **BLOOM)
     keyed = lambda x: words.select(F.struct("doc_id", "line").alias(x), F.col("words").alias(f"{x}w"))
 
     def verified():
@@ -414,8 +436,8 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT, starts: DataFrame | None
     rows = _based(id_text(docs).where("doc_id is not null"), starts)
     table = stage(_table(rows), "lines")
     counts = np.zeros(BUCKETS, np.int64)
-    found = table.where("line < 0").groupBy("digest").agg(F.sum("doc_id").alias("n")).toArrow()
-    counts[found["digest"].to_numpy()] = found["n"].to_numpy()
+    found = table.where("line < 0").select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).toArrow()
+    counts[found["pos"].to_numpy()] = found["n"].to_numpy()
     firsts = stage(
         table.where("line >= 0").groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("p.*"), "first-lines"
     )

@@ -115,3 +115,32 @@ def test_texts_are_rebuilt_in_small_steps():
     assert max(b.num_rows for b in out) <= 4 * line_dedup.ROWS
     rows = pa.Table.from_batches(out).to_pylist()
     assert rows == [{"row": {"x": k}, "text": f"a {k}\nc", "n_lines": 3, "n_removed": 1} for k in range(n)]
+
+
+def test_lists_are_sorted_by_size():
+    rng = np.random.default_rng(5)
+    for many, longest in ((1, 5), (3000, 9), (3000, 100_000)):
+        rows = {"word": rng.integers(0, 40, many) << 30, "share": rng.integers(-1, 3, many), "n": rng.integers(1, longest, many)}
+        # Digests that differ in the first or only in the last bits.
+        rows["digest"] = (rng.integers(-2, 2, many) << 61) + rng.integers(0, 2, many)
+        rows |= {"doc_id": rng.integers(-(1 << 62), 1 << 62, many) * rng.integers(0, 2, many), "line": rng.integers(0, 9, many)}
+        found = np.stack([rows[c][line_dedup._by_size(rows)] for c in ("word", "share", "n", "digest", "doc_id", "line")])
+        lists = (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])
+        assert lists.sum() + 1 == len({*zip(rows["word"].tolist(), rows["share"].tolist(), strict=True)})
+        unsigned = [(w, s, n, d % 2**64, doc, line) for w, s, n, d, doc, line in found.T.tolist()]
+        assert unsigned == sorted(unsigned)
+
+
+def test_only_texts_of_a_pair_are_shuffled(spark, monkeypatch):
+    """The sets of a few lines took every text through a shuffle."""
+    seen, real = [], line_dedup.map_rows
+    monkeypatch.setattr(line_dedup, "map_rows", lambda df, *a: seen.append(df) or real(df, *a))
+    texts = [(n, f"a{n} b{n} c{n} d{n} e{n} f{n} g{n}") for n in range(3000)]
+    texts += [(9000, "a5 b5 c5 d5 e5 f5 g5 x"), (9001, "nothing like it")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    left = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()}
+    assert left == dict(texts) | {9000: ""}
+    joined = seen[0]
+    assert set(joined.columns) >= {"doc_id", "text", "lines"} and {r["doc_id"] for r in joined.collect()} == {5, 9000}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "might_contain" in plan, plan
