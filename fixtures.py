@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flamelake.functions.frames import stacktrace_id
 from flamelake.schema import FRAME, LABEL_COLUMNS
@@ -520,15 +521,35 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items numbered from 0 within their order, with the order and the part."""
-    lineitem = table(spark, sf, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*[c for c in lineitem.columns if c != "l_orderkey"])
+    """Orders with their line items, numbered from 0 within their order, and the parts of each.
+
+    Every order has a row: without line items one whose ``pos`` is null, and a line item
+    without part one whose ``part_no`` is null.  Parts are joined first, as lists, so that line items
+    are moved twice, by part and by order, and stay together by order.
+    """
+    parts = (
+        table(spark, sf, "part")
+        .groupBy("p_partkey")
+        .agg(F.collect_list(F.struct("p_name", "p_type", "p_size")).alias("parts"))
+    )
+    # The date comes last in the order and is no part of a message: it decides between equal messages only.
+    lineitem = table(spark, sf, "lineitem").drop("l_shipdate")
+    of_order = Window.partitionBy("l_orderkey")
+    order = of_order.orderBy(*[c for c in lineitem.columns if c != "l_orderkey"])
+    lines = (
+        lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        .withColumn("pos", F.row_number().over(order).cast("bigint") - 1)
+        .withColumn("n", F.count("*").over(of_order))
+        .withColumn("found", F.max(F.col("parts").isNotNull()).over(of_order))
+        .drop("l_suppkey", "l_extendedprice", "l_tax", "p_partkey")
+    )
+    columns = [c for c in lines.columns if c != "parts"]
+    orders = _orders(spark, sf)
     return (
-        lineitem.withColumn("pos", F.row_number().over(order).cast("bigint") - 1)
-        .withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
-        .withColumn("n_string", 13 + 3 * F.col("n"))
-        .join(_orders(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .select(*orders.columns, *columns, F.posexplode_outer("parts").alias("part_no", "part"))
+        .select(*orders.columns, *columns, "part_no", "part.*")
+        .withColumn("n_string", F.when(F.col("found"), 13 + 3 * F.col("n")).otherwise(13))
     )
 
 
@@ -555,7 +576,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
-    orders, lines = _orders(spark, sf), spread(_numbered_lines(spark, sf))
+    lines = _numbered_lines(spark, sf)
     pos, qty = F.col("pos"), F.col("l_quantity").cast("bigint")
     strings = [
         _if_broken(1, F.lit("x"), F.lit("")),
@@ -642,12 +663,13 @@ def derived_messages(spark: SparkSession, sf: str) -> DataFrame:
         _message("mapping", F.lit(0), mapping),
         _message("header", F.lit(0), header),
     ]
-    heads = orders.join(lines.select("profile_id", "n_string").distinct(), "profile_id", "left").withColumn(
-        "n_string", F.coalesce("n_string", F.lit(13))
-    )
-    rows = lines.select("profile_id", "broken", F.explode_outer(F.array(*of_line)).alias("m")).unionByName(
-        heads.select("profile_id", "broken", F.explode_outer(F.array(*of_order)).alias("m"))
+    # An order's own messages go with its first row.
+    first = F.coalesce(pos, F.lit(0)) + F.coalesce("part_no", F.lit(0)) == 0
+    none = F.array().cast(T.ArrayType(T.StructType([f for f in MESSAGES.fields if f.name != "profile_id"])))
+    both = F.concat(
+        F.when(first, F.array(*of_order)).otherwise(none), F.when(F.col("part_no").isNotNull(), F.array(*of_line)).otherwise(none)
     )
+    rows = lines.select("profile_id", "broken", F.explode(both).alias("m"))
     return rows.where("broken <> 13 or m.kind <> 'sample_type'").select("profile_id", "m.*").select(*MESSAGES.names)
 
 

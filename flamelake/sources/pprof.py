@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from flamelake.functions.workdir import fresh_path, stage
+from flamelake.functions.workdir import fresh_path, setting
 from flamelake.sources import wire
 
 REJECT = "reject"
@@ -26,6 +26,10 @@ KINDS = ("sample_type", "sample", "mapping", "location", "function", "string", "
 
 # Rows handed to Spark at a time.
 _BATCH = 8192
+# Files that a task writes at a time; without it rows are sorted by kind.
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+# Of staged messages.
+_STAGED = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 # Messages per encoded part.
 PART_MESSAGES = 50_000
 
@@ -122,8 +126,13 @@ def rejects(messages: DataFrame) -> DataFrame:
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
-    """Stage decoded messages once, by kind, for the joins that follow."""
-    messages.write.mode("overwrite").partitionBy("kind").parquet(path)
+    """Stage decoded messages once, by kind, for the joins that follow.
+
+    A task keeps a file of each kind open, so its rows are not sorted by kind (and spilled) first; small row
+    groups bound what the open files hold.
+    """
+    with setting(messages.sparkSession, _OPEN_FILES, str(len(KINDS) + 1)):
+        messages.write.mode("overwrite").options(**_STAGED).partitionBy("kind").parquet(path)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
