@@ -111,7 +111,11 @@ DUPLICATE_LABEL, MISSING_NAME, NO_SERIES = "duplicate label", "missing __name__"
 
 
 def _statistics(messages: DataFrame) -> DataFrame:
-    """Counts and extreme indexes of each profile: one grouped aggregate, a row per task for a huge profile."""
+    """Counts and extreme indexes of each profile: one grouped aggregate, a row per task for a huge profile.
+
+    All of them are numbers and flags, which a hash aggregate updates in place; a text among them would
+    have every message sorted.
+    """
 
     def when(kind: str, value: Column) -> Column:
         return F.when(F.col("kind") == kind, value)
@@ -132,7 +136,7 @@ def _statistics(messages: DataFrame) -> DataFrame:
     text_labels = F.filter(labels, lambda x: x["str"] != 0)
     return messages.groupBy("profile_id").agg(
         *[count(k).alias(f"n_{k}") for k in ("sample_type", "sample", "mapping", "location", "function", "string")],
-        F.min(F.when(F.col("kind") == REJECT, F.coalesce("string", F.lit("")))).alias("fault"),
+        F.max(F.col("kind") == REJECT).alias("unreadable"),
         F.max(when("string", (F.col("pos") == 0) & (F.col("string") != ""))).alias("v1"),
         F.max(when("mapping", F.col("mapping.id") != F.col("pos") + 1)).alias("v2"),
         F.max(when("function", F.col("function.id") != F.col("pos") + 1)).alias("v6"),
@@ -178,7 +182,7 @@ def _broken_rules(v5: Column) -> Column:
         "V17": outside("v17", "n_string"),
     }
     broken = F.array_compact(F.array(*[F.when(broken, F.lit(rule)) for rule, broken in rules.items()]))
-    return F.when(F.col("fault").isNotNull(), F.array(F.lit(UNREADABLE))).otherwise(broken)
+    return F.when(F.col("unreadable"), F.array(F.lit(UNREADABLE))).otherwise(broken)
 
 
 def violations(messages: DataFrame, executables: DataFrame | None = None) -> DataFrame:
@@ -218,15 +222,17 @@ def rejects(messages: DataFrame, raw: DataFrame) -> DataFrame:
     reasons = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
     broken = F.transform(
         F.coalesce(_broken_rules(F.coalesce(F.col("_executables") != F.col("n_mapping"), F.lit(False))), F.array().cast("array<string>")),
-        lambda rule: F.when(rule == UNREADABLE, entry("blob", rule, F.col("fault"))).otherwise(
-            entry("profile", rule, F.try_element_at(reasons, rule))
-        ),
+        lambda rule: entry("profile", rule, F.try_element_at(reasons, rule)),
     )
+    broken = F.filter(broken, lambda r: r["rule"] != UNREADABLE)
     error = F.when(F.col("_sent").isNull(), NO_SERIES).otherwise(F.col("_error"))
     of_series = F.when(error.isNotNull(), F.array(entry("series", F.translate(error, " ", "_"), error)))
     both = _statistics(messages).join(series, "profile_id", "full")
     every = F.concat(broken, F.coalesce(of_series, F.array().cast(f"array<struct<level:{text},rule:{text},reason:{text}>>")))
-    return both.select("profile_id", F.explode(every).alias("r")).select("profile_id", "r.*").distinct()
+    fault = F.min(F.coalesce("string", F.lit(""))).alias("reason")
+    blobs = messages.where(F.col("kind") == REJECT).groupBy("profile_id").agg(fault)
+    found = both.select("profile_id", F.explode(every).alias("r")).select("profile_id", "r.*").distinct()
+    return found.unionByName(blobs.select("profile_id", F.lit("blob").alias("level"), F.lit(UNREADABLE).alias("rule"), "reason"))
 
 
 def valid_messages(messages: DataFrame, executables: DataFrame | None = None) -> DataFrame:
