@@ -17,7 +17,7 @@ from flamelake.functions.workdir import stage
 from flamelake.operators.addresses import OK, normalize_addresses
 from flamelake.operators.asof import asof_lookup
 from flamelake.operators.segments import disjoint_segments
-from flamelake.schema import FRAME, LINE
+from flamelake.schema import LINE, STACKTRACE
 
 PROBE = ("build_id", "mapping_start", "mapping_limit", "mapping_offset", "address")
 
@@ -240,31 +240,53 @@ def resolve_addresses(
 
 
 def attach_lines(stacks: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Put resolved lines back into the frames, keeping order, addresses and present lines."""
-    identified = stacks.withColumn("_stack", F.col("stacktrace_id") if "stacktrace_id" in stacks.columns else stacktrace_id())
-    distinct = identified.select("_stack", "stacktrace").where(F.exists("stacktrace", needs_symbols)).distinct()
-    frames = distinct.select("_stack", F.posexplode("stacktrace").alias("pos", "frame"))
-    keyed = frames.select(
-        "*",
-        F.when(needs_symbols(F.col("frame")), F.col("frame.mapping_build_id")).alias("build_id"),
-        *[F.col(f"frame.{c}").alias(c) for c in PROBE if c != "build_id"],
+    """Put resolved lines back into the frames, keeping order, addresses and present lines.
+
+    Only what is looked up moves: of a distinct stack the places and addresses of the frames that need lines, and back
+    the lines found; the frames stay in the rows.
+    """
+    identified = stacks.withColumn(
+        "_stack", F.col("stacktrace_id") if "stacktrace_id" in stacks.columns else F.unhex(stacktrace_id())
+    )
+    asked = F.filter(
+        F.transform(
+            "stacktrace",
+            lambda frame, i: F.when(
+                needs_symbols(frame),
+                F.struct(
+                    i.alias("pos"),
+                    *[frame["mapping_build_id" if c == "build_id" else c].alias(c) for c in PROBE],
+                ),
+            ),
+        ),
+        lambda x: x.isNotNull(),
     )
+    distinct = identified.select("_stack", asked.alias("asked")).where("size(asked) > 0 and _stack is not null").distinct()
+    keyed = stage(distinct, "asked", compression="zstd").select("_stack", F.inline("asked"))
     found = resolved.where("lines is not null").select(*PROBE, F.col("lines").alias("_lines"))
-    # Frames that need nothing have a null build id and are spread, not joined.
-    joined = skew_join(keyed, found, list(PROBE), "left")
-    frame = F.col("frame")
-    filled = frame.withField("lines", F.coalesce("_lines", frame["lines"])).cast(FRAME)
-    rebuilt = (
-        joined.select("_stack", F.struct("pos", filled.alias("frame")).alias("entry"))
+    filled = (
+        skew_join(keyed, found, list(PROBE))
         .groupBy("_stack")
-        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-        .select("_stack", F.transform("entries", lambda e: e["frame"]).alias("_filled"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "_lines"))).alias("_found"))
     )
-    return (
-        identified.join(rebuilt, "_stack", "left")
-        .withColumn("stacktrace", F.coalesce("_filled", "stacktrace"))
-        .select(*stacks.columns)
+    # A place has one entry, unless ``resolved`` has an address twice: then its frame stands there as often.
+    once = F.size(F.array_distinct(F.col("_found.pos"))) == F.size("_found")
+    with_lines = lambda frame, lines: frame.withField("lines", F.coalesce(lines, frame["lines"]))
+    by_place = F.transform(
+        F.array(F.map_from_entries("_found")),
+        lambda found: F.transform("stacktrace", lambda frame, i: with_lines(frame, F.try_element_at(found, i))),
+    )[0]
+    repeated = F.flatten(
+        F.transform(
+            "stacktrace",
+            lambda frame, i: F.when(
+                F.array_contains(F.col("_found.pos"), i),
+                F.transform(F.filter("_found", lambda x: x["pos"] == i), lambda x: with_lines(frame, x["_lines"])),
+            ).otherwise(F.array(frame)),
+        )
     )
+    frames = F.when(F.col("_found").isNull(), F.col("stacktrace")).when(once, by_place.cast(STACKTRACE)).otherwise(repeated.cast(STACKTRACE))
+    return identified.join(filled, "_stack", "left").withColumn("stacktrace", frames).select(*stacks.columns)
 
 
 def symbolize(

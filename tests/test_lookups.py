@@ -177,3 +177,32 @@ def test_wrapping_arithmetic(spark):
     out = rows.select("a", "b", u64.wrapping_add(F.col("a"), F.col("b")).alias("s"), u64.wrapping_subtract(F.col("a"), F.col("b")).alias("d"))
     signed = lambda x: (x + 2**63) % 2**64 - 2**63
     assert all((r["s"], r["d"]) == (signed(r["a"] + r["b"]), signed(r["a"] - r["b"])) for r in out.collect())
+
+
+def test_attach_repeats_a_frame_for_repeated_lines(spark):
+    stack = [(16, 0, 100, 0, "a", "b1", []), (32, 0, 100, 0, "a", "b1", [])]
+    stacks = spark.createDataFrame([(stack, 1)], f"stacktrace array<{FRAME.simpleString()}>, value long")
+    lines = [("b1", 0, 100, 0, 16, [(n, "leaf", "leaf", "l.c", 1)]) for n in (1, 2)]
+    resolved = spark.createDataFrame(
+        lines,
+        "build_id string, mapping_start long, mapping_limit long, mapping_offset long, address long, "
+        f"lines {FRAME['lines'].dataType.simpleString()}",
+    )
+    (row,) = attach_lines(stacks, resolved).collect()
+    assert [(f["address"], [x["line"] for x in f["lines"]]) for f in row["stacktrace"]] == [(16, [1]), (16, [2]), (32, [])]
+
+
+def test_attach_moves_no_frames_to_look_them_up(spark):
+    stacks = spark.createDataFrame([([(16, 0, 100, 0, "a", "b1", [])], 1)], f"stacktrace array<{FRAME.simpleString()}>, value long")
+    resolved = spark.createDataFrame(
+        [], f"build_id string, mapping_start long, mapping_limit long, mapping_offset long, address long, lines {FRAME['lines'].dataType.simpleString()}"
+    )
+    plan = attach_lines(stacks, resolved)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 0 and "Distinct" not in plan
+
+
+def test_a_join_without_hot_keys_moves_each_side_once(spark):
+    left, right = spark.range(100).selectExpr("id % 10 as a", "id as x"), spark.range(10).selectExpr("id as a", "id as y")
+    joined = skew_join(left, right, ["a"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and joined.count() == 100
